@@ -136,15 +136,30 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, null as empty, and where each text begins in them."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, off - off[0]
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of bytes, from one running sum over all of them."""
+    n = len(b)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[b] * _power(_STEP, n), out=total[1:])
+    h = (total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts]
+    return mix(h ^ ((ends - starts).astype(np.uint64) * _ODD))
+
+
 class Words:
     """The words of some texts: byte spans, where each document's words begin, and a 64-bit hash of each."""
 
     def __init__(self, texts: pa.Array, lower: bool = False, hashes: bool = True):
-        texts = texts.fill_null("").cast(pa.large_string())
-        off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
-        self.raw, self.off, n = raw, off - off[0], len(raw)
+        raw, self.off = text_bytes(texts)
+        self.raw, n = raw, len(raw)
         solid = ~_SPACE[raw]
         inner = self.off[1:-1]
         inner = inner[(inner > 0) & (inner < n)]
@@ -156,11 +171,7 @@ class Words:
         self.ends = np.flatnonzero(solid & ~after) + 1
         self.first = np.searchsorted(self.starts, self.off)
         if hashes:
-            b = _LOWER[raw] if lower else raw
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[b] * _power(_STEP, n), out=total[1:])
-            h = (total[self.ends] - total[self.starts]) * _power(_INVERSE, n)[self.starts]
-            self.hash = mix(h ^ ((self.ends - self.starts).astype(np.uint64) * _ODD))
+            self.hash = span_hashes(_LOWER[raw] if lower else raw, self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

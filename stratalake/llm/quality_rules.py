@@ -18,8 +18,8 @@ from .common import discard, scratch, words_of
 
 #: Names of the vector's parts, and the least standard deviation taken for each.
 PARTS = {"f_size": 1.0, "f_length": 0.15, "f_symbols": 0.6, "f_repeats": 0.8, "f_lines": 0.8, "f_capitals": 0.5}
-#: 0.5 quantile and, for the verdict, 1 - 1e-9 quantile of chi-square with 6 degrees of freedom.
-CHI_MEDIAN, CHI_CUT = 5.348, 53.0
+#: 0.5 quantile and, for the verdict, 1 - 5e-4 quantile of chi-square with 6 degrees of freedom.
+CHI_MEDIAN, CHI_CUT = 5.348, 24.1
 #: Smaller groups are pooled by language, then all together; a pool below the second number gets no verdict.
 MIN_GROUP, MIN_POOL = 300, 30
 STEPS = 3
