@@ -442,7 +442,7 @@ def o36_column_paths(spark, sf_dir):
 # ---------------------------------------------------------------- texts and export
 
 _BYTES = "CASE WHEN v < 1024 THEN printf('%.0f B', v) WHEN v < 1048576 THEN {kb} ELSE {mb} END"
-_UNIT = "CASE WHEN v/{d} >= 100 THEN printf('%.0f {u}', v/{d}) WHEN v/{d} >= 10 THEN printf('%.1f {u}', v/{d}) ELSE printf('%.2f {u}', v/{d}) END"
+_UNIT = "CASE WHEN v/{d} >= 100 THEN printf('%.0f {u}', round(v/{d}, 0)) WHEN v/{d} >= 10 THEN printf('%.1f {u}', round(v/{d}, 1)) ELSE printf('%.2f {u}', round(v/{d}, 2)) END"
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS id, " + _BYTES.format(kb=_UNIT.format(d="1024e0", u="KB"), mb=_UNIT.format(d="1048576e0", u="MB")) + " AS size FROM (SELECT o_orderkey, CAST(o_orderkey * 977 % 90000001 AS DOUBLE) + 3 AS v FROM orders)")
