@@ -9,8 +9,8 @@ from ..functions.schema import BBOX, EDGES, finite
 
 #: Rectangles or points are broadcast up to so many; more meet the boxes on a grid.
 BROADCAST_SHAPES = 50_000
-#: Cells that one box may cover on the grid; larger boxes and boxes with unknown edges go the broadcast way in pieces.
-MAX_CELLS = 64
+#: Cells that one box may cover on a grid; grids, and how much coarser each is than the one before.
+MAX_CELLS, LEVELS, COARSER = 64, 5, 16.0
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -47,21 +47,26 @@ def _cells(df: DataFrame, box: str, cell: float) -> DataFrame:
     return df.withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
 
 
-def _gridable(box: str, cell: float) -> Column:
+def _level(box: str, cell: float) -> Column:
+    """The finest grid on which a box covers at most MAX_CELLS cells; null for unknown or turned edges."""
     b = F.col(box)
     sane = finite(b["xmin"]) & finite(b["ymin"]) & finite(b["xmax"]) & finite(b["ymax"])
-    sane &= (b["xmin"] <= b["xmax"]) & (b["ymin"] <= b["ymax"])
-    span = lambda lo, hi: F.floor(b[hi] / cell) - F.floor(b[lo] / cell) + 1
-    return F.coalesce(sane & (span("xmin", "xmax") * span("ymin", "ymax") <= MAX_CELLS), F.lit(False))
+    sane = F.coalesce(sane & (b["xmin"] <= b["xmax"]) & (b["ymin"] <= b["ymax"]), F.lit(False))
+    out = F.when(~sane, F.lit(None).cast("int"))
+    for k in range(LEVELS):
+        size = cell * COARSER**k
+        cells = lambda lo, hi, size=size: F.floor(b[hi] / size) - F.floor(b[lo] / size) + 1
+        out = out.when(cells("xmin", "xmax").cast("double") * cells("ymin", "ymax") <= MAX_CELLS, F.lit(k))
+    return out
 
 
 def range_join(boxes: DataFrame, rects: DataFrame, how: str = "auto", cell: float = 10.0) -> DataFrame:
     """Every pair of a row of boxes (with bbox) and a row of rects (with rect) that intersect.
 
-    how: "broadcast" tests each box against the broadcast rectangles; "grid" joins on the cells both touch and keeps a
-    pair in the one cell that holds the lower left corner of their common part, so that no pair comes twice; boxes or
-    rectangles the grid cannot hold (unknown edges, too many cells) are tested against all of the other side. "auto"
-    takes broadcast behind a check of the number of rectangles.
+    how: "broadcast" tests each box against the broadcast rectangles; "grid" joins on the cells both touch, on the coarser
+    of the grids that suit the two, and keeps a pair in the one cell that holds the lower left corner of their common
+    part, so that no pair comes twice; boxes and rectangles without four sane edges, which no grid can hold, are
+    broadcast to all of the other side. "auto" takes broadcast behind a check of the number of rectangles.
     """
     b = boxes.where(F.col("bbox").isNotNull())
     if how == "auto":
@@ -69,14 +74,19 @@ def range_join(boxes: DataFrame, rects: DataFrame, how: str = "auto", cell: floa
     test = intersects(F.col("bbox"), F.col("rect"))
     if how == "broadcast":
         return b.join(F.broadcast(rects), test)
-    fit_b, fit_r = _gridable("bbox", cell), _gridable("rect", cell)
-    pairs = _cells(b.where(fit_b), "bbox", cell).join(_cells(rects.where(fit_r), "rect", cell), ["cx", "cy"]).where(test)
-    low = lambda e: F.floor(F.greatest(F.col("bbox")[e], F.col("rect")[e]) / cell)
-    pairs = pairs.where((F.col("cx") == low("xmin")) & (F.col("cy") == low("ymin"))).drop("cx", "cy")
     names = [*boxes.columns, *rects.columns]
-    odd_b = b.where(~fit_b).join(rects, test)
-    odd_r = b.where(fit_b).join(rects.where(~fit_r), test)
-    return pairs.select(*names).unionByName(odd_b.select(*names)).unionByName(odd_r.select(*names))
+    b, r = b.withColumn("_lb", _level("bbox", cell)), rects.withColumn("_lr", _level("rect", cell))
+    low = lambda e, size: F.floor(F.greatest(F.col("bbox")[e], F.col("rect")[e]) / size)
+    out = None
+    for k in range(LEVELS):
+        size = cell * COARSER**k
+        for mine, theirs in ((F.col("_lb") == k, F.col("_lr") <= k), (F.col("_lb") < k, F.col("_lr") == k)):
+            pairs = _cells(b.where(mine), "bbox", size).join(_cells(r.where(theirs), "rect", size), ["cx", "cy"]).where(test)
+            pairs = pairs.where((F.col("cx") == low("xmin", size)) & (F.col("cy") == low("ymin", size))).select(*names)
+            out = pairs if out is None else out.unionByName(pairs)
+    odd_b, odd_r = b.where("_lb is null"), r.where("_lr is null")
+    out = out.unionByName(F.broadcast(odd_b).join(r, test).select(*names))
+    return out.unionByName(b.where("_lb is not null").join(F.broadcast(odd_r), test).select(*names))
 
 
 def point_candidates(boxes: DataFrame, points: DataFrame, how: str = "auto", cell: float = 10.0) -> DataFrame:
