@@ -44,9 +44,18 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.count: dict[str, int] = {}  # open elements by tag: most searches of a deep stack end here
+
+    def _cut(self, i: int) -> None:
+        """Closes the open elements from place i on."""
+        for node in self.open[i:]:
+            self.count[node.tag] -= 1
+        del self.open[i:]
 
     def _close(self, tags: frozenset, stop: frozenset) -> None:
-        """Closes the outermost open element of tags inside the nearest of stop."""
+        """Closes the nearest open element of tags inside the nearest of stop, and those of tags right around it."""
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in stop:
@@ -54,7 +63,7 @@ class Builder(HTMLParser):
             if tag in tags:
                 while i > 1 and self.open[i - 1].tag in tags and self.open[i - 1].tag not in stop:
                     i -= 1
-                del self.open[i:]
+                self._cut(i)
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -63,22 +72,23 @@ class Builder(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag[:1] == "h" and tag[1:].isdigit() and self.open[-1].tag[:1] == "h" and self.open[-1].tag[1:].isdigit():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "path", "use"):
-            self.open.pop()
+        if tag in ("svg", "path", "use"):
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         fence = frozenset() if tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot") else SCOPE - {"html", "body"}
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1 if self.count.get(tag) else 0, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in fence:
                 break

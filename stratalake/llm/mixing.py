@@ -141,11 +141,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; all columns stay."""
     # a repeated doc_id: its rows are matched in the order of source and size
-    order = Window.partitionBy("doc_id").orderBy("source", "_size")
-    taken = mix(docs, weights, cap).select("doc_id", "source", F.col("size").alias("_size"), "copies")
-    taken = taken.withColumn("_n", F.row_number().over(order)).select(F.col("doc_id").alias("_d"), "_n", "copies")
-    full = docs.withColumn("_size", F.size(words_of(F.col("text").cast("string"))))
-    full = full.withColumn("_n", F.row_number().over(order))
-    j = full.join(taken.withColumnRenamed("_n", "_m"), full["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_n") == F.col("_m")))
-    j = j.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return j.select(*[j[c] for c in docs.columns])
+    order = Window.partitionBy("d").orderBy("source", "size")
+    taken = mix(docs, weights, cap).select(F.col("doc_id").alias("d"), "source", "size", "copies")
+    taken = taken.withColumn("m", F.row_number().over(order)).select(F.col("d").alias("e"), "m", "copies")
+    size = F.size(words_of(F.col("doc.text").cast("string"))).cast("long")
+    full = docs.select(F.struct("*").alias("doc")).select(
+        "doc", F.col("doc.doc_id").cast("long").alias("d"), F.col("doc.source").cast("string").alias("source"), size.alias("size")
+    )
+    full = full.withColumn("n", F.row_number().over(order))
+    j = full.join(taken, F.col("d").eqNullSafe(F.col("e")) & (F.col("n") == F.col("m"))).where("copies > 0")
+    return j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
