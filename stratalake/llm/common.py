@@ -61,6 +61,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def largest(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of df with the largest positive values of column, at most so many: whole steps of a logarithmic scale.
+
+    Counts per step go to the driver (a few hundred), never the rows themselves.
+    """
+    step = F.floor(16 * F.log2(F.col(column)))
+    steps = df.where(F.col(column) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    total, least = 0, None
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        total += row["n"]
+        if total > most:
+            break
+        least = row["step"]
+    return df.where(F.lit(False) if least is None else (F.col(column) > 0) & (step >= least))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
