@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bounded_batches, chained, components, discard, mix, pieces, scratch, table
+from .common import Words, bounded_batches, chained, components, discard, largest, mix, pieces, scratch, table
 
 #: Tokens in so many documents, as seen by the tasks, are ordered last; the table of them has at most this many rows.
 FREQUENT, FREQUENT_ROWS = 64, 200_000
@@ -238,9 +238,10 @@ def _verify(num: int, den: int, frequent: np.ndarray):
 def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
     """Tokens that many documents hold; at most FREQUENT_ROWS of them, so that they can be sent to all tasks."""
     t = docs.select("text").mapInArrow(_frequent_rows(k), "token long, n long")
-    t = t.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = t.orderBy(F.desc("n"), "token").limit(FREQUENT_ROWS).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
+    t = scratch(t.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
+    rows = largest(t, "n", FREQUENT_ROWS).select("token").toArrow()
+    discard(t)
+    return np.sort(rows.column("token").to_numpy().view(np.uint64))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:

@@ -171,8 +171,14 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     x = scratch(rows.mapInArrow(_feature_rows, "doc_id long, x array<float>"), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     marks = marks.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = x.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE).select("x", "y").toPandas()
-    model = Additive(np.stack(known["x"].to_numpy()) if len(known) else np.zeros((0, len(FEATURES))), known["y"].to_numpy(float)) if len(known) else None
+    marks = scratch(x.select("doc_id").join(marks, "doc_id"), "marks")
+    share = int((1 << 20) * min(1.0, 0.97 * SAMPLE / max(1, marks.count())))  # 0.97: the draw stays under the limit
+    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).distinct().limit(SAMPLE)
+    known = x.join(marks, "doc_id").select("x", "y").toArrow()
+    y = known.column("y").to_numpy().astype(float)
+    known = known.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    order = np.lexsort((y, *known.T)) if len(y) else []  # the fit does not depend on the order of arrival
+    model = Additive(known[order], y[order]) if len(y) else None
 
     def run(batches):
         for rb in batches:
