@@ -65,7 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOW = _WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 #: The smallest node reachable by links (a, b), both ways listed, for each node of nodes (id).
@@ -82,7 +82,7 @@ SQL: dict[str, str] = {
     "op1_embedding_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
   nodes AS (SELECT vec_id AS id FROM v),
-  links AS (
+  links AS MATERIALIZED (
     SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
     WHERE list_dot_product(x.e, y.e) >= 0.9e0 * sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))
   ),
@@ -91,16 +91,16 @@ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, compo
 """,
     "op3_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_LOW} AS w FROM documents),
-  grams AS (
+  grams AS MATERIALIZED (
     SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
   ),
-  sizes AS (SELECT doc_id, len(s) AS n FROM grams),
-  tokens AS (SELECT doc_id, unnest(s) AS t FROM grams),
+  sizes AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM grams),
+  tokens AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM grams),
   common AS (
     SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM tokens x JOIN tokens y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL
   ),
-  links AS (
+  links AS MATERIALIZED (
     SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)
   ),
   nodes AS (SELECT doc_id AS id FROM documents),
@@ -110,7 +110,7 @@ SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, component_id FROM sizes s JO
     "op9_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
   starts AS (
-    SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), i -> array_to_string(w[i:i + 19], ' '))) AS g FROM w
+    SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS g FROM w
   ),
   later AS (
     SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM starts) WHERE r > 1
@@ -119,7 +119,7 @@ WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM docume
   lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
   kept AS (
     SELECT w.doc_id, w.w, CASE WHEN ps IS NULL THEN w.w
-      ELSE list_transform(list_filter(range(1, len(w.w) + 1), p -> NOT list_contains(ps, p)), p -> w.w[p]) END AS k
+      ELSE list_transform(list_filter(range(1, len(w.w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w.w[p]) END AS k
     FROM w LEFT JOIN lists ON lists.doc_id = w.doc_id
   )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
