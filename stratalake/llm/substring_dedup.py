@@ -2,7 +2,7 @@
 
 The suffixes of all documents form one tree over words, cut off below depth ``window``: a node at that depth with
 several leaves is a repeat of ``window`` words, and chains of such nodes spell the maximal repeats. Edges are compared by
-hashes of their words (two independent 64-bit hashes at full depth).
+hashes of their words (128 bits at full depth).
 
 1. Pruning. Every window has one minimal ``GRAM``-word gram, the same wherever the window occurs. If no other selected
    gram equals it, the window is a leaf of its own, and its suffix needs no place in a tree.
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bounded_batches, chained, discard, pieces, scratch, table
+from .common import Words, bounded_batches, chained, discard, largest, pieces, scratch, table
 
 GRAM = 8
 #: Suffixes that may share a prefix of GRAM words before it is made longer; longer prefixes listed at most.
 GROUP, GROUPS = 4096, 200_000
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
+#: h1 holds the prefix in its upper half, and half a hash of the whole window.
+_HALF = np.uint64(0xFFFFFFFF)
 _NONE = np.iinfo(np.int64).max
 
 
@@ -57,6 +59,11 @@ def _minimal(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return grams, low, _slide(np.concatenate([pad, low, pad]), wide, np.maximum) == grams
 
 
+def _packed(pos: np.ndarray, kind: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """One number for three: rows that are shuffled by the million stay short."""
+    return (pos << 3) | (kind.astype(np.int64) << 1) | more.astype(np.int64)
+
+
 def _first_seen(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stable order that brings equal rows of x together; where a new value begins in it."""
     order = np.argsort(x, kind="stable")
@@ -65,7 +72,7 @@ def _first_seen(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(window: int):
-    """kind 0: a gram once per task with its place; 1: a place known to be repeated; 2: a frequent prefix (n times)."""
+    """kind 0: a gram once per task with its place; 1: a place known to be repeated; 2: a frequent prefix (pos times)."""
 
     def run(batches):
         held, size = [], 0
@@ -76,13 +83,12 @@ def _anchor_rows(window: int):
             alone = new & np.concatenate([new[1:], [True]])
             own = (d * np.int64(-7046029254386353131)) ^ pos  # spreads the rows that need no meeting
             x = np.where(new, grams.view(np.int64)[order], own[order])
-            rows = dict(kind=np.where(new, 0, 1).astype(np.int32), x=x, more=~alone, d=d[order], pos=pos[order], n=np.ones(len(x), np.int64))
-            yield table(**rows)
+            yield table(x=x, d=d[order], f=_packed(pos[order], np.where(new, 0, 1), ~alone))
             v, c = np.unique(all_grams, return_counts=True)
             v, c = v[c > 3].view(np.int64), c[c > 3]
             if len(v):
                 z = np.zeros(len(v), np.int64)
-                yield table(kind=np.full(len(v), 2, np.int32), x=v, more=z.astype(bool), d=z, pos=z, n=c.astype(np.int64))
+                yield table(x=v, d=z, f=_packed(c.astype(np.int64), z + 2, z))
 
         for rb in pieces(batches):
             w = Words(rb.column("text"))
@@ -108,14 +114,15 @@ def _suffix_rows(window: int, frequent: np.ndarray):
         held, size = [], 0
 
         def flush():
-            p, h1, h2, d, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            h1, h2, d, start = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((start, d, h2, h1))
-            p, h1, h2, d, start = (x[order] for x in (p, h1, h2, d, start))
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(p)]
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+            h1, h2, d, start = (x[order] for x in (h1, h2, d, start))
+            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(d)]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
             new |= (d == d[lead]) & (start == start[lead])  # the same row once more
-            q = np.where(new, p.view(np.int64), (d * np.int64(-7046029254386353131)) ^ start)
-            return table(kind=np.where(new, 0, 1).astype(np.int32), p=q, h1=h1.view(np.int64), h2=h2.view(np.int64), d=d, start=start)
+            spread = (d * np.int64(-7046029254386353131)) ^ start  # rows that need no meeting
+            f = _packed(start, np.where(new, 0, 1), np.zeros(len(d), bool))
+            return table(h1=np.where(new, h1.view(np.int64), spread), h2=np.where(new, h2.view(np.int64), 0), d=d, f=f)
 
         for rb in pieces(batches):
             w = Words(rb.column("text"))
@@ -135,8 +142,9 @@ def _suffix_rows(window: int, frequent: np.ndarray):
             p = grams[s]
             if len(frequent):
                 i = np.minimum(np.searchsorted(frequent, p), len(frequent) - 1)
-                p = np.where(frequent[i] == p, h1, p)
-            held.append((p, h1, h2, rb.column("d").to_numpy()[doc], (s - w.first[doc]).astype(np.int64)))
+                p = np.where(frequent[i] == p, h1 << np.uint64(32), p)
+            h1 = (p & ~_HALF) | (h1 >> np.uint64(32))
+            held.append((h1, h2, rb.column("d").to_numpy()[doc], (s - w.first[doc]).astype(np.int64)))
             size += len(s)
             if size >= _FLUSH:
                 yield flush()
@@ -151,7 +159,8 @@ def _deep_nodes(batches):
     """Reads the sorted suffixes of each subtree; leaves of a full-depth node, but for its first, are removals."""
     last = (0, 0, -1, -1)
     for rb in batches:
-        kind, h1, h2, d, start = (rb.column(x).to_numpy() for x in ("kind", "h1", "h2", "d", "start"))
+        h1, h2, d, f = (rb.column(x).to_numpy() for x in ("h1", "h2", "d", "f"))
+        kind, start = (f >> 1) & 3, f >> 3
         if not len(d):
             continue
         known = kind == 1
@@ -214,26 +223,30 @@ def removals(docs: DataFrame, window: int = 20) -> DataFrame:
     docs: d (long, not null), text. Starts are judged on the input.
     """
     spark = docs.sparkSession
-    rows = docs.mapInArrow(_anchor_rows(window), "kind int, x long, more boolean, d long, pos long, n long")
+    rows = docs.mapInArrow(_anchor_rows(window), "x long, d long, f long").repartition("x")
+    kind = F.shiftright("f", 1).bitwiseAND(F.lit(3).cast("long"))
+    rows = rows.withColumns({"kind": kind, "more": F.col("f").bitwiseAND(F.lit(1).cast("long")), "pos": F.shiftright("f", 3)})
     met = Window.partitionBy("x", F.expr("kind = 2"))
     rows = rows.withColumn("seen", F.count("*").over(met)).withColumn("any_more", F.max("more").over(met))
-    anchors = scratch(rows.where("kind > 0 or seen > 1 or any_more").select("kind", "x", "d", "pos", "n"), "anchors")
-    frequent = anchors.where("kind = 2").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP)
-    frequent = frequent.orderBy(F.desc("n"), "x").limit(GROUPS).select("x").toPandas()["x"].to_numpy(np.int64)
+    anchors = scratch(rows.where("kind > 0 or seen > 1 or any_more = 1").select("kind", "x", "d", "pos"), "anchors")
+    frequent = anchors.where("kind = 2").groupBy("x").agg(F.sum("pos").alias("n")).where(F.col("n") > GROUP)
+    frequent = largest(frequent, "n", GROUPS).select("x").toArrow().column("x").to_numpy()
 
     places = anchors.where("kind < 2").groupBy("d").agg(F.collect_list("pos").alias("pos"))
     held = docs.join(places, "d").select("d", "text", "pos")
     held = scratch(held, "repeating")
+    discard(anchors)
     suffixes = held.mapInArrow(
-        _suffix_rows(window, np.sort(frequent.view(np.uint64))), "kind int, p long, h1 long, h2 long, d long, start long"
+        _suffix_rows(window, np.sort(frequent.view(np.uint64))), "h1 long, h2 long, d long, f long"
     )
-    suffixes = suffixes.repartition("p").sortWithinPartitions("p", "h1", "h2", "d", "start")
+    prefix = F.shiftrightunsigned("h1", 32)
+    suffixes = suffixes.repartition(prefix).sortWithinPartitions("h1", "h2", "d", "f")
     gone = suffixes.mapInArrow(_deep_nodes, "d long, start long").groupBy("d").agg(F.collect_set("start").alias("gone"))
     cut = held.select("d", "text").join(gone, "d").withColumn("window", F.lit(window))
     cut = cut.select("d", "gone", "window", "text").mapInArrow(_with_sha, _CUT_IN)
     out = cut.mapInArrow(_cut, "d long, whole_sha256 string, n_removed long, kept_sha256 string, kept_text string")
     out = scratch(out.dropDuplicates(["d", "whole_sha256"]), "cut")
-    discard(anchors, held)
+    discard(held)
     return out
 
 
@@ -277,10 +290,11 @@ def dedup_texts(docs: DataFrame, window: int = 20) -> DataFrame:
     Texts that lose nothing stay as they are, byte for byte; null texts stay null.
     """
     bounded_batches(docs.sparkSession)
-    names = docs.columns
     plain = _ids(docs.select("doc_id", "text")).select("d", "text")
-    cut = removals(plain, window).select("d", F.col("whole_sha256").alias("_sha"), "n_removed", "kept_text")
-    keep = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
-    out = keep.join(cut.withColumnRenamed("d", "_d").dropDuplicates(["_d"]).drop("_sha"), "_d", "left")
-    out = out.where(F.col("n_removed").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumn("text", F.coalesce("kept_text", "text")).select(*names)
+    cut = removals(plain, window).select("d", "kept_text").dropDuplicates(["d"])
+    keep = docs.select(F.struct("*").alias("doc"))
+    keep = keep.withColumn("d", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(_NONE)))
+    out = keep.join(cut, "d", "left")
+    out = out.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.coalesce("kept_text", F.col("doc.text").cast("string"))
+    return out.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
