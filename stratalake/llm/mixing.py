@@ -142,12 +142,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     """The rows of docs, each as often as the mix takes it; all columns stay."""
     # a repeated doc_id: its rows are matched in the order of source and size
     order = Window.partitionBy("d").orderBy("source", "size")
-    taken = mix(docs, weights, cap).select(F.col("doc_id").alias("d"), "source", "size", "copies")
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))  # noqa: E731  null ids match one another
+    taken = mix(docs, weights, cap).select(key("doc_id").alias("d"), "source", "size", "copies")
     taken = taken.withColumn("m", F.row_number().over(order)).select(F.col("d").alias("e"), "m", "copies")
     size = F.size(words_of(F.col("doc.text").cast("string"))).cast("long")
     full = docs.select(F.struct("*").alias("doc")).select(
-        "doc", F.col("doc.doc_id").cast("long").alias("d"), F.col("doc.source").cast("string").alias("source"), size.alias("size")
+        "doc", key("doc.doc_id").alias("d"), F.col("doc.source").cast("string").alias("source"), size.alias("size")
     )
     full = full.withColumn("n", F.row_number().over(order))
-    j = full.join(taken, F.col("d").eqNullSafe(F.col("e")) & (F.col("n") == F.col("m"))).where("copies > 0")
+    # one equality only, so that the join reuses the partitioning of the numbering and texts are shuffled once
+    j = full.join(taken, (F.col("d") == F.col("e")) & (F.col("n") - F.col("m") == 0)).where("copies > 0")
     return j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -398,3 +398,15 @@ def test_pipeline(spark):
     assert {i: n for i, n in copies.items()} == {r.doc_id: r.copies for r in mixing.mix(c).where("copies > 0").collect()}
     e = stages["packing"](spark, d, SF).collect()
     assert Counter(r.doc_id for r in e if r.start == 0) == copies
+
+
+def test_stages_take_nulls_and_repeats(spark, docs, none):
+    import corpus_pipeline
+
+    extra = spark.createDataFrame([(None, "n u l l " * 40, None, None, None), (None, None, "en", "s1", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.withColumn("n_chars", F.length("text").cast("long")).unionByName(extra, allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, SF).columns == corpus_pipeline.COLUMNS, name
+        assert stage(spark, none.withColumn("n_chars", F.lit(None).cast("long")), SF).count() == 0, name
+    kept = corpus_pipeline.near_duplicates(spark, odd, SF).collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and 76 not in {r.doc_id for r in kept if r.text == dict(texts())[75]}
