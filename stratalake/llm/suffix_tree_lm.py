@@ -1,13 +1,15 @@
 """Operator 8: language-model scoring by a probabilistic suffix tree over words.
 
-Symbols are the ``ALPHABET`` most frequent words, one class for all rarer words, and the end of a text. The tree's
-contexts are the last one or two symbols. A context enters if it is frequent enough and a divergence test says that its
-next-symbol counts differ from what its parent (the context without its oldest symbol) predicts; its distribution is its
-counts smoothed towards its parent's. A text is scored along the longest retained suffix at each place; a rare word then
-costs its share of the rare class, by absolute discounting, all unseen words together having the discounted mass.
-
-Word counts cover every training word. The most frequent are sent to the tasks (a fixed number); all others meet the
-rare words of the texts in a join by hash, whose keys cannot be hot.
+Symbols are all words and the end of a text. The tree's contexts are the last one or two words. A context enters if it
+occurs ``LEAST`` times and a divergence test says that its next-symbol counts differ from what its parent (the context
+without its oldest word) predicts; its distribution is its counts smoothed towards its parent's. The root discounts word
+counts absolutely, all unseen words together having the discounted mass. A text is scored along the longest retained suffix
+at each place.
+
+Nothing of the tree is bounded in number. Given a context, the logarithm of a symbol's probability is the root's, plus one
+term for every retained context along the suffix, plus one for every edge of these, so nodes and edges are one written table
+of terms by hash. The most frequent words and terms are sent to the tasks (fixed numbers, only for speed); all others meet the
+texts in one join by hash. A bit field of fixed size over all terms keeps those that cannot match out of that join.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import Words, bounded_batches, discard, largest, mix, pieces, scratch, table
 
-#: Words that tasks know by heart; those that are symbols of their own.
-TOP, ALPHABET = 200_000, 4096
-RARE, END = ALPHABET, ALPHABET + 1
-SYMBOLS = ALPHABET + 2
-#: Least share of all tokens that a context needs, divergence it needs (nats), weight of its parent, edges of the tree.
-LEAST, DIVERGENCE, PRIOR, EDGES = 5e-5, 0.02, 20.0, 300_000
-_FLUSH = 1 << 21
+#: Words and terms that tasks know by heart, keys that joins broadcast: for speed alone, the others are met by shuffles.
+TOP, TOP_TERMS, TOP_KEYS = 200_000, 400_000, 20_000
+RARE, END = TOP, TOP + 1
+SYMBOLS = TOP + 2
+#: Least occurrences of a context, divergence it needs (nats), weight of its parent, words in the longest context.
+LEAST, DIVERGENCE, PRIOR, DEPTH = 20, 0.02, 20.0, 2
+#: Tells contexts' terms from those of edges.
+_NODE = 0x510E527FADE682D1
+_FLUSH = 1 << 19
 
 
 def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -35,49 +39,104 @@ def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
 
 
 def _summed(parts):
-    k = np.concatenate([x for x, _ in parts])
-    n = np.concatenate([y for _, y in parts])
-    u, back = np.unique(k, return_inverse=True)
-    return u, np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
+    """Rows (keys, ..., n) of equal keys as one row, the counts added."""
+    *columns, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(n):
+        return *columns, n
+    order = np.lexsort(columns)
+    columns, n = [c[order] for c in columns], n[order]
+    new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], 0)]))
+    return *(c[new] for c in columns), np.add.reduceat(n, new)
 
 
-def _counted(of):
-    """Rows (x, n): counts of the 64-bit values that of(piece) gives, merged within the task up to a bound."""
+def _counted(of, names: list[str]):
+    """Rows (names, n): counts of the tuples of 64-bit values that of(piece) gives, merged within the task up to a bound."""
+
+    def out(parts):
+        return table(**{c: v.view(np.int64) for c, v in zip([*names, "n"], parts, strict=True)})
 
     def run(batches):
         held, size = [], 0
         for rb in pieces(batches):
-            v, c = np.unique(of(rb), return_counts=True)
-            held.append((v, c))
-            size += len(v)
+            values = of(rb)
+            held.append(_summed([(*values, np.ones(len(values[0]), np.int64))]))
+            size += len(held[-1][-1])
             if size >= _FLUSH:
-                v, c = _summed(held)
-                held, size = [(v, c)], len(v)
+                held = [_summed(held)]
+                size = len(held[0][-1])
                 if size >= _FLUSH // 2:
-                    yield table(x=v.view(np.int64), n=c)
+                    yield out(held[0])
                     held, size = [], 0
         if held:
-            v, c = _summed(held)
-            yield table(x=v.view(np.int64), n=c)
+            yield out(_summed(held))
 
     return run
 
 
 def _word_values(rb):
-    return Words(rb.column("text"), lower=True).hash
+    return (Words(rb.column("text"), lower=True).hash,)
+
+
+def _xxhash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(a, b)."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
+    turned = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    h = np.full(len(a), 42, u)
+    for x in (a, b):
+        h = h + p5 + u(8)
+        h ^= turned(x * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        h ^= h >> u(32)
+    return h
+
+
+def _grams(v: np.ndarray, begin: np.ndarray, depth: int):
+    """For k from 1 to depth: places with k words before them in their text, and there the keys of the context and of the
+    parent's context and symbol. xxhash64 of the two is the key of context and symbol."""
+    since = np.arange(len(v)) - np.repeat(begin, np.diff(np.append(begin, len(v))))
+    key = v  # of the k symbols that end at each place
+    for k in range(1, depth + 1):
+        at = np.flatnonzero(since >= k)
+        yield at, key[at - 1], key[at]
+        if k < depth:
+            both = np.zeros(len(v), np.uint64)
+            both[at] = _xxhash(key[at - 1], key[at])
+            key = both
+
+
+def _bits(keys: DataFrame, column: str) -> np.ndarray:
+    """A field of 2**26 bits with those of the keys set: a key whose bit is not set is not among them."""
+    x = keys.select(F.col(column).alias("x"))
+    found = x.groupBy(F.expr("shiftrightunsigned(x, 44)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(x, 38) & 63 as int)))").alias("b")).toArrow()
+    bits = np.zeros(1 << 20, np.uint64)
+    bits[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return bits
+
+
+def _maybe(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (bits[x >> np.uint64(44)] >> ((x >> np.uint64(38)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _met(rows: DataFrame, other: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with other by key, the keys of largest weight by broadcast: no task has all rows of a hot key."""
+    hot = largest(other, weight, TOP_KEYS).drop(weight)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(other.drop(weight), key, how))
 
 
 class Tree:
-    """What the tasks hold: frequent words, and the retained contexts with their edges."""
+    """What the tasks hold: frequent words, the heaviest terms, and the bits of all terms."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: dict):
         rank = np.lexsort((words, -counts))
-        words, counts = words[rank], counts[rank]
-        symbol = np.minimum(np.arange(len(words)), RARE)
+        self.by_rank = words[rank]
         order = np.argsort(words)
-        self.words, self.counts, self.symbol = words[order], counts[order], symbol[order].astype(np.int64)
-        self.root = np.zeros(SYMBOLS)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.words, self.counts, self.totals = words[order], counts[order], totals
+        self.rank = np.argsort(rank)[order].astype(np.uint64)
+        self.keys, self.terms, self.bits = np.zeros(0, np.uint64), np.zeros(0), np.zeros(1 << 20, np.uint64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent words and whether it is one."""
@@ -86,171 +145,165 @@ class Tree:
         i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return i, self.words[i] == h
 
-    def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts, each with its end; where each text begins; index and known of the words; their places."""
+    def values(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts, each with its end: a frequent word's rank, another's hash; where each text begins; index and
+        known of the words."""
         i, known = self.find(w.hash)
-        sym = np.full(len(w.hash) + len(w.first) - 1, END, np.int64)
-        at = np.arange(len(w.hash)) + w.doc()
-        sym[at] = np.where(known, self.symbol[i] if len(self.symbol) else RARE, RARE)
-        return sym, w.first[:-1] + np.arange(len(w.first) - 1), i, known, at
-
-    @staticmethod
-    def contexts(sym: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the one and two symbols before each place; -1 where a text has begun since."""
-        n = len(sym)
-        one, two = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        one[1:] = sym[:-1]
-        one[begin] = -1
-        two[2:] = np.where((one[2:] >= 0) & (one[1:-1] >= 0), sym[:-2] * SYMBOLS + sym[1:-1], -1)
-        return one, two
+        v = np.full(len(w.hash) + len(w.first) - 1, END, np.uint64)
+        v[np.arange(len(w.hash)) + w.doc()] = np.where(known, self.rank[i], w.hash) if len(self.rank) else w.hash
+        return v, w.first[:-1] + np.arange(len(w.first) - 1), i, known
+
+    def root(self, counts):
+        """The root's probability of a symbol that was seen so often."""
+        return np.maximum(counts - self.totals["discount"], 0.05) / (self.totals["tokens"] + 0.5)
+
+    def end(self) -> float:
+        return self.root(self.totals["docs"]) if self.totals["docs"] else self.totals["unseen"]
+
+    def along(self, v: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sum of the terms held at each place, and the places and keys of those that may be in the table only."""
+        total, places, keys = np.zeros(len(v)), [], []
+        for at, ctx, par in _grams(v, begin, DEPTH):
+            for x in (_xxhash(ctx, np.full(len(ctx), _NODE, np.uint64)), _xxhash(ctx, par)):
+                m = np.flatnonzero(_maybe(self.bits, x))
+                x, where = x[m], at[m]
+                if len(self.keys):
+                    i = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+                    own = self.keys[i] == x
+                    total[where[own]] += self.terms[i[own]]
+                    x, where = x[~own], where[~own]
+                places.append(where)
+                keys.append(x)
+        return total, np.concatenate(places), np.concatenate(keys)
 
     def probability(self, sym: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        p = self.root[sym]
-        for ctx, (codes, rest, edges, share) in zip(self.contexts(sym, begin), self.levels, strict=False):
-            if not len(codes):
-                continue
-            i = np.minimum(np.searchsorted(codes, ctx), len(codes) - 1)
-            at = np.flatnonzero((codes[i] == ctx) & (ctx >= 0))
-            own = np.zeros(len(at))
-            if len(edges):
-                e = ctx[at] * SYMBOLS + sym[at]
-                j = np.minimum(np.searchsorted(edges, e), len(edges) - 1)
-                own = np.where(edges[j] == e, share[j], 0.0)
-            p[at] = own + rest[i[at]] * p[at]
-        return p
-
-
-def _level(counts: DataFrame, parent, total: int) -> tuple[tuple, DataFrame, DataFrame]:
-    """Arrays (contexts, rest, edges, share) of the contexts in counts (x = context * SYMBOLS + symbol, n) that pass the
-    test, and the tables they come from: at most 1 / LEAST contexts and EDGES edges."""
-    c = counts.select(F.floor(F.col("x") / SYMBOLS).cast("long").alias("ctx"), F.pmod("x", F.lit(SYMBOLS)).alias("s"), "n", "x")
-    c = parent(c)  # adds p: the parent's probability of s
-    all_ = c.groupBy("ctx").agg(
+        """Probabilities by the terms held here, for symbols given by rank; RARE is all words that are not held."""
+        p = np.zeros(SYMBOLS)
+        c = self.counts[np.searchsorted(self.words, self.by_rank)]
+        p[: len(c)] = self.root(c)
+        p[END] = self.end()
+        p[RARE] = 1 - p.sum()
+        return p[sym] * 10 ** self.along(sym.astype(np.uint64), begin)[0]
+
+
+def _level(train: DataFrame, tree: Tree, k: int, frequent: np.ndarray, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(e, n, p) of all symbols e after contexts of k words that may be frequent, and the terms (x, d, n) of the contexts
+    that pass the test and of their edges. frequent: bits of the contexts; before: (e, n, p) of the parents."""
+    held = train.sparkSession.sparkContext.broadcast((tree, frequent))
+
+    def grams(rb):
+        t, bits = held.value
+        v, begin, *_ = t.values(Words(rb.column("text"), lower=True))
+        *_, (_, ctx, par) = _grams(v, begin, k)
+        m = _maybe(bits, _xxhash(ctx, ctx))
+        return ctx[m], par[m]
+
+    c = train.mapInArrow(_counted(grams, ["ctx", "par"]), "ctx long, par long, n long")
+    c = scratch(c.groupBy("ctx", "par").agg(F.sum("n").alias("n")), "grams")
+    parents = before.select(F.col("e").alias("par"), F.col("p").alias("pp"), F.col("n").alias("w"))
+    full = scratch(_met(c, parents, "par", "w"), "predicted")
+    discard(c)
+    all_ = full.groupBy("ctx").agg(
         F.sum("n").alias("of"), F.count("*").alias("kinds"),
-        F.sum(F.col("n") * (F.log("n") - F.log("p"))).alias("g"),
+        F.sum(F.col("n") * (F.log("n") - F.log("pp"))).alias("g"),
     )
     kl = F.col("g") / F.col("of") - F.log("of")
     df = F.greatest(F.col("kinds") - 1, F.lit(1))
-    passed = (F.col("of") >= max(20, LEAST * total)) & (kl >= DIVERGENCE) & (2 * F.col("of") * kl > df + 4 * F.sqrt(2 * df))
-    nodes = scratch(all_.withColumn("kl", kl).where(passed).select("ctx", "of"), "nodes")
-    gain = F.col("n") * (F.log(F.col("n") / F.col("of")) - F.log("p"))
-    e = c.join(F.broadcast(nodes), "ctx").withColumn("gain", gain).where("n > 1 and gain > 1")
-    e = scratch(e.select("ctx", "x", "gain", (F.col("n") / (F.col("of") + PRIOR)).alias("share")), "gains")
-    edges = scratch(largest(e, "gain", EDGES).select("ctx", "x", "share"), "edges")
-    held = edges.groupBy("ctx").agg(F.sum("share").alias("held"))
-    rest = nodes.join(held, "ctx", "left").select("ctx", (1 - F.coalesce("held", F.lit(0.0))).alias("rest"))
+    passed = (F.col("of") >= LEAST) & (kl >= DIVERGENCE) & (2 * F.col("of") * kl > df + 4 * F.sqrt(2 * df))
+    nodes = scratch(all_.where(passed).select("ctx", "of", F.col("of").alias("w")), "nodes")
+    edge = (F.col("n") > 1) & (F.col("n") * (F.log(F.col("n") / F.col("of")) - F.log("pp")) > 1)
+    share = F.col("n") / (F.col("of") + PRIOR)
+    held_ = _met(full, nodes, "ctx", "w").where(edge).groupBy("ctx").agg(F.sum(share).alias("held"))
+    rest = nodes.join(held_, "ctx", "left").select("ctx", "of", "w", (1 - F.coalesce("held", F.lit(0.0))).alias("rest"))
     rest = scratch(rest, "rest")
-    discard(nodes, e)
-    n, e = rest.orderBy("ctx").toArrow(), edges.orderBy("x").toArrow()
-    arrays = tuple(t.column(c).to_numpy() for t, c in ((n, "ctx"), (n, "rest"), (e, "x"), (e, "share")))
-    return arrays, rest, edges
+    by_parent = F.coalesce("rest", F.lit(1.0)) * F.col("pp")
+    own = F.when(edge, share).otherwise(0.0)
+    out = _met(full, rest, "ctx", "w", "left").select(F.xxhash64("ctx", "par").alias("e"), "n", (F.coalesce(own, F.lit(0.0)) + by_parent).alias("p"), F.when(edge, F.log10((own + by_parent) / by_parent)).alias("d"))
+    out = scratch(out, "level")
+    discard(full, nodes)
+    terms = rest.select(F.xxhash64("ctx", F.lit(_NODE)).alias("x"), F.log10("rest").alias("d"), F.col("of").alias("n"))
+    return out, terms.unionByName(out.where("d is not null").select(F.col("e").alias("x"), "d", "n"))
 
 
 def trained(train: DataFrame) -> tuple[Tree, DataFrame, dict]:
-    """The tree, the counts of all training words (x, n) and the totals, from the texts of train (text)."""
-    spark = train.sparkSession
-    vocab = scratch(train.mapInArrow(_counted(_word_values), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")), "vocab")
+    """The tree's part for the tasks, the table of all training words and terms (x, c, d: one of both null), and the totals,
+    from the texts of train (text)."""
+    vocab = scratch(train.mapInArrow(_counted(_word_values, ["x"]), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")), "vocab")
     row = vocab.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count("*").alias("types"),
         F.count(F.when(F.col("n") == 1, 1)).alias("ones"), F.count(F.when(F.col("n") == 2, 1)).alias("twos"),
     ).first()
     docs = train.count()
+    tokens, types = int(row["words"]) + docs, int(row["types"]) + (docs > 0)
+    discount = min(max(row["ones"] / max(1, row["ones"] + 2 * row["twos"]), 0.05), 0.95)
+    totals = {"tokens": tokens, "types": types, "docs": docs, "discount": discount, "unseen": (discount * types + 0.5) / (tokens + 0.5)}
     top = largest(vocab, "n", TOP).toArrow()
-    tree = Tree(top.column("x").to_numpy().view(np.uint64), top.column("n").to_numpy())
-    total = int(row["words"]) + docs
-    by_symbol = np.bincount(tree.symbol, weights=tree.counts, minlength=SYMBOLS)[:SYMBOLS]
-    own = float(by_symbol[:RARE].sum())
-    by_symbol[RARE], by_symbol[END] = row["words"] - own, docs
-    tree.root = (by_symbol + 0.5) / (by_symbol.sum() + 0.5 * SYMBOLS)
-    rare_types = max(0, int(row["types"]) - ALPHABET)
-    discount = row["ones"] / max(1, row["ones"] + 2 * row["twos"]) if rare_types else 0.5
-    discount = min(max(discount, 0.05), 0.95)
-    rare = float(by_symbol[RARE])
-    totals = {
-        "tokens": total, "types": int(row["types"]) + (docs > 0), "docs": docs, "discount": discount,
-        "rare": rare, "unseen": (discount * rare_types + 0.5) / (rare + 0.5),
-    }
-
-    held = spark.sparkContext.broadcast(tree)
-    root = spark.createDataFrame(pa.table({"s": np.arange(SYMBOLS), "p": tree.root}))
-
-    def singles(rb):
-        t = held.value
-        sym, begin, *_ = t.symbols(Words(rb.column("text"), lower=True))
-        one, _ = t.contexts(sym, begin)
-        m = one >= 0
-        return one[m] * SYMBOLS + sym[m]
-
-    pairs = scratch(train.mapInArrow(_counted(singles), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")), "pairs")
-    first, rest, edges = _level(pairs, lambda c: c.join(F.broadcast(root), "s"), total)
-
-    wide = np.sort(pairs.where(F.col("n") >= max(20, LEAST * total)).select("x").toArrow().column("x").to_numpy())
-    wide = wide[np.isin(wide % SYMBOLS, first[0])]
-    tree.levels = [first]
-    held2 = spark.sparkContext.broadcast((tree, wide))
-
-    def doubles(rb):
-        t, keep = held2.value
-        sym, begin, *_ = t.symbols(Words(rb.column("text"), lower=True))
-        two = t.contexts(sym, begin)[1]
-        m = np.isin(two, keep) & (two >= 0)
-        return two[m] * SYMBOLS + sym[m]
-
-    def parent(c):
-        b, e = rest.withColumnRenamed("ctx", "c1"), edges.select(F.col("x").alias("edge"), "share")
-        c = c.withColumn("c1", F.pmod("ctx", F.lit(SYMBOLS))).withColumn("edge", F.col("c1") * SYMBOLS + F.col("s"))
-        c = c.join(F.broadcast(root), "s").join(F.broadcast(b), "c1").join(F.broadcast(e), "edge", "left")
-        return c.withColumn("p", F.coalesce("share", F.lit(0.0)) + F.col("rest") * F.col("p"))
-
-    if len(wide):
-        triples = scratch(train.mapInArrow(_counted(doubles), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")), "triples")
-        tree.levels = [first, _level(triples, parent, total)[0]]
-        discard(triples)
-    discard(pairs)
-    return tree, vocab, totals
-
-
-def _score_rows(held, totals: dict):
+    tree = Tree(top.column("x").to_numpy().view(np.uint64), top.column("n").to_numpy(), totals)
+
+    spark = train.sparkSession
+    end = spark.createDataFrame([(END, docs)], "e long, n long").where("n > 0")
+    rank = spark.createDataFrame(pa.table({"x": tree.words.view(np.int64), "rank": tree.rank.view(np.int64)}))
+    seen = vocab.join(F.broadcast(rank), "x", "left").select(F.coalesce("rank", "x").alias("e"), "n").unionByName(end)
+    before, terms = seen.withColumn("p", (F.col("n") - discount) / (tokens + 0.5)), None
+    for k in range(1, DEPTH + 1):
+        keys = before.where((F.col("n") >= LEAST) & (F.col("e") != END))
+        frequent = _bits(keys.select(F.xxhash64("e", "e").alias("e")), "e")
+        if not frequent.any():
+            break
+        before, found = _level(train, tree, k, frequent, before)
+        terms = found if terms is None else terms.unionByName(found)
+    table_ = vocab.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d"))
+    if terms is not None:
+        terms = scratch(terms, "terms")
+        top = largest(terms, "n", TOP_TERMS).toArrow()
+        keys = top.column("x").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        tree.keys, tree.terms, tree.bits = keys[order], top.column("d").to_numpy()[order], _bits(terms, "x")
+        table_ = table_.unionByName(terms.select("x", F.lit(None).cast("long").alias("c"), "d"))
+    return tree, table_, totals
+
+
+def _score_rows(held):
     def run(batches):
         tree = held.value
+        totals = tree.totals
         scale = np.log10(totals["tokens"] + totals["types"] + 1)
         known_end = totals["docs"] > 0
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
             n_docs = rb.num_rows
-            sym, begin, i, known, at = tree.symbols(w)
-            p = np.log10(tree.probability(sym, begin)) if len(sym) else np.zeros(0)
-            own = np.zeros(len(w.hash))
-            if len(tree.words):
-                c = tree.counts[i]
-                own = np.where(known & (tree.symbol[i] == RARE), np.log10(np.maximum(c - totals["discount"], 0.05) / (totals["rare"] + 0.5)), 0.0)
-                base = np.where(known, np.log10(c + 1) - scale, 0.0)
-            else:
-                base = np.zeros(len(w.hash))
+            v, begin, i, known = tree.values(w)
+            terms, places, keys = tree.along(v, begin)
+            c = tree.counts[i] if len(tree.words) else np.zeros(len(w.hash))
+            own = np.where(known, np.log10(tree.root(c)), 0.0)
+            base = np.where(known, np.log10(c + 1) - scale, 0.0)
             doc = w.doc()
             add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
-            score = np.add.reduceat(p, begin) + add(own) if n_docs else np.zeros(0)
+            score = (np.add.reduceat(terms, begin) if n_docs else np.zeros(0)) + add(own) + np.log10(tree.end())
             ids = rb.column("doc_id")
             text = np.array([zlib.crc32(bytes(w.raw[a:b])) for a, b in zip(w.off[:-1], w.off[1:], strict=True)], np.uint64)
             key = mix(ids.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64) ^ mix(text, 3), 5)
             tokens = w.counts() + 1
             z = np.zeros(n_docs, np.int64)
             yield table(
-                x=mix(key, 17).view(np.int64), key=key.view(np.int64), head=np.ones(n_docs, np.int64), n=z, doc_id=ids, n_tokens=tokens.astype(np.int64),
+                x=mix(key, 17).view(np.int64), key=key.view(np.int64), head=np.ones(n_docs, np.int64), n=z, m=z, doc_id=ids, n_tokens=tokens.astype(np.int64),
                 n_known=(add(known).astype(np.int64) + int(known_end)),
                 base=add(base) + np.log10(totals["docs"] + 1) - scale, score=score,
             )
             rest = np.flatnonzero(~known)
-            if len(rest):
-                order = rest[np.lexsort((w.hash[rest], doc[rest]))]
-                d, h = doc[order], w.hash[order]
-                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])]))
-                n = np.diff(np.append(new, len(d)))
+            x = np.concatenate([w.hash[rest], keys])
+            if len(x):
+                d = np.concatenate([doc[rest], np.searchsorted(begin, places, "right") - 1])
+                word = np.arange(len(x)) < len(rest)
+                order = np.lexsort((word, x, d))
+                d, x, word = d[order], x[order], word[order]
+                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (word[1:] != word[:-1])]))
+                n = np.diff(np.append(new, len(d))).astype(np.int64)
                 z = np.zeros(len(new), np.int64)
                 none = pa.nulls(len(new), pa.int64())
                 yield table(
-                    x=h[new].view(np.int64), key=key[d[new]].view(np.int64), head=z, n=n.astype(np.int64), doc_id=none, n_tokens=z, n_known=z,
-                    base=z.astype(float), score=z.astype(float),
+                    x=x[new].view(np.int64), key=key[d[new]].view(np.int64), head=z, n=np.where(word[new], n, 0), m=np.where(word[new], 0, n),
+                    doc_id=none, n_tokens=z, n_known=z, base=z.astype(float), score=z.astype(float),
                 )
 
     return run
@@ -268,18 +321,18 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree, vocab, totals = trained(rows.where(~held_out(F.col("doc_id"))).select("text"))
-    fields = "x long, key long, head long, n long, doc_id long, n_tokens long, n_known long, base double, score double"
-    s = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree), totals), fields)
-    s = s.join(vocab.withColumnRenamed("n", "c"), "x", "left")
+    tree, lookup, totals = trained(rows.where(~held_out(F.col("doc_id"))).select("text"))
+    fields = "x long, key long, head long, n long, m long, doc_id long, n_tokens long, n_known long, base double, score double"
+    s = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree)), fields)
+    s = s.join(lookup, "x", "left")
     word = (F.col("head") == 0).cast("long") * F.col("n")
     scale = float(np.log10(totals["tokens"] + totals["types"] + 1))
-    share = F.when(F.col("c").isNull(), totals["unseen"]).otherwise(F.greatest(F.col("c") - totals["discount"], F.lit(0.05)) / (totals["rare"] + 0.5))
+    share = F.when(F.col("c").isNull(), totals["unseen"]).otherwise(F.greatest(F.col("c") - totals["discount"], F.lit(0.05)) / (totals["tokens"] + 0.5))
     g = s.groupBy("key").agg(
         F.sum("head").alias("rows"), F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), word).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + word * (F.log10(F.coalesce("c", F.lit(0)) + 1) - scale)).alias("base"),
-        F.sum(F.col("score") + word * F.log10(share)).alias("score"),
+        F.sum(F.col("score") + word * F.log10(share) + F.col("m") * F.coalesce("d", F.lit(0.0))).alias("score"),
     )
     g = g.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return g.select(

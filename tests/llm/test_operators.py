@@ -410,3 +410,24 @@ def test_stages_take_nulls_and_repeats(spark, docs, none):
         assert stage(spark, none.withColumn("n_chars", F.lit(None).cast("long")), SF).count() == 0, name
     kept = corpus_pipeline.near_duplicates(spark, odd, SF).collect()
     assert sum(r.doc_id is None for r in kept) == 2 and 76 not in {r.doc_id for r in kept if r.text == dict(texts())[75]}
+
+
+# ---------------------------------------------------------------- whole jobs
+
+
+def test_suffix_tree_has_no_least_share_and_no_bound_on_terms(spark, monkeypatch):
+    rnd = random.Random(8)
+    noise = [f"n{i}" for i in range(6000)]
+    rows_ = [(i, " ".join(rnd.choices(noise, k=400))) for i in range(1500)]
+    rows_ += [(i, " ".join(f"{a} {b}" for a, b in zip(["left", "right"] * 3, ["up", "down"] * 3, strict=True))) for i in range(5000, 5014)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    # words that follow each other some 40 times, all rarer than 6,000 others
+    monkeypatch.setattr(suffix_tree_lm, "held_out", lambda d, *_: d == 5003)
+    whole = {r.doc_id: r.score for r in suffix_tree_lm.scored(df).where("doc_id >= 5000").collect()}
+    base = {r.doc_id: r.base_score for r in suffix_tree_lm.scored(df).where("doc_id >= 5000").collect()}
+    assert whole[5003] > 0.4 * base[5003]
+    # the same scores when no term, word or key is held by the tasks: all come from the shuffle joins
+    for name in ("TOP_TERMS", "TOP_KEYS", "TOP"):
+        monkeypatch.setattr(suffix_tree_lm, name, 3)
+    joined = {r.doc_id: r.score for r in suffix_tree_lm.scored(df).where("doc_id >= 5000").collect()}
+    assert whole.keys() == joined.keys() and all(math.isclose(whole[i], joined[i], rel_tol=1e-9) for i in whole)
