@@ -18,7 +18,10 @@ from .common import bounded_batches, pieces, table
 
 #: Facts of HTML (fixed values): elements without content, never shown, laid out as blocks, with a blank line around.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link object iframe audio video canvas svg select datalist textarea".split())
+UNSEEN = frozenset("head script style template noscript title meta link object iframe audio video canvas datalist".split())
+#: Start tags that leave <head> open; parts of a drawing that are not drawn where they stand.
+METADATA = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul caption tr thead tbody tfoot".split())
 SPACED = frozenset("article blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 main menu nav ol p pre section table ul".split())
 #: A start tag closes these open elements, up to the nearest of the elements behind the bar.
@@ -66,7 +69,13 @@ class Builder(HTMLParser):
                 self._cut(i)
                 return
 
+    def _leave_head(self) -> None:
+        while self.open[-1].tag == "head":
+            self._cut(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in METADATA:
+            self._leave_head()
         if tag in BLOCK and tag not in ("html", "body"):
             self._close(frozenset({"p"}), SCOPE)
         if tag in CLOSES:
@@ -81,7 +90,7 @@ class Builder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in ("svg", "path", "use"):
+        if tag not in VOID and (tag in ("path", "use") or self.count.get("svg")):
             self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
@@ -96,6 +105,8 @@ class Builder(HTMLParser):
             self.open[-1].children.append(Node("p", {}))
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head()
         self.open[-1].children.append(data)
 
 
@@ -146,6 +157,20 @@ def _seen(node: Node) -> bool:
     return not (a.get("style") and _HIDDEN.search(a["style"]))
 
 
+def _drawn(svg: Node) -> list:
+    """The texts of a drawing, each apart."""
+    out, todo = [], list(reversed(svg.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.tag in UNDRAWN or not _seen(node):
+            continue
+        if node.tag in ("text", "foreignobject"):
+            out += [" ", node, " "]
+        else:
+            todo += reversed(node.children)
+    return out
+
+
 def _laid_out(rows: list[list[str]]) -> list[str]:
     rows = [r for r in rows if any(r)]
     widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
@@ -188,6 +213,20 @@ def render(html: str | None) -> str:
                 if node.attrs.get("type", "text") in ("submit", "button", "reset") and node.attrs.get("value"):
                     w.text(f" {node.attrs['value']} ")
                 continue
+            if tag == "svg":
+                todo += [(c, False, 0) for c in reversed(_drawn(node))]
+                continue
+            if tag in ("select", "optgroup", "option"):
+                label = node.attrs.get("label") if tag != "select" else None
+                w.text(f" {label or ''} ")
+                if tag != "option" or not label:
+                    todo += [(c, False, 0) for c in reversed([*node.children, " "])]
+                continue
+            if tag == "textarea":
+                w.line(1)
+                w.plain("".join(c for c in node.children if isinstance(c, str)).strip("\r\n"))
+                w.line(1)
+                continue
             if tag == "table":
                 w.line(2)
                 tables.append([])

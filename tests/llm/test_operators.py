@@ -431,3 +431,20 @@ def test_suffix_tree_has_no_least_share_and_no_bound_on_terms(spark, monkeypatch
         monkeypatch.setattr(suffix_tree_lm, name, 3)
     joined = {r.doc_id: r.score for r in suffix_tree_lm.scored(df).where("doc_id >= 5000").collect()}
     assert whole.keys() == joined.keys() and all(math.isclose(whole[i], joined[i], rel_tol=1e-9) for i in whole)
+
+
+MORE_HTML = {
+    "<html><head><title>T</title><p>Hello <b>all</b>": "Hello all",
+    "<head><meta charset=u><link rel=x>\n Hello<p>x": "Hello\n\nx",
+    "<head><title>T</title><style>s</style></head><body>x": "x",
+    "<html><head><script>f()</script><img alt=pic>y": "pic y",
+    "a<textarea>\none\n two</textarea>b": "a\none\n two\nb",
+    "<p>Size <select><option selected>small<option>large</select> now": "Size small large now",
+    "<select><optgroup label=fruit><option>fig</optgroup></select>": "fruit fig",
+    "<p>a<svg><title>t</title><defs/><circle r=1 /><text>drawn</text><defs><text>not</text></defs></svg>b": "a drawn b",
+}
+
+
+@pytest.mark.parametrize("html", MORE_HTML)
+def test_pages_keep_visible_text(html):
+    assert html_text.render(html).strip() == MORE_HTML[html]
