@@ -1,12 +1,15 @@
 """Operator 5: license scan by Dice similarity of word bigrams between normalised text and licence templates.
 
-Lines, and runs of neighbouring lines that share a bigram with a template, are the segments of a document. For a segment of
-s distinct bigrams only templates of t bigrams with s * d / (2 - d) <= t <= s * (2 - d) / d can reach similarity d; the
-others are never compared. All is done inside the row: no shuffle.
+Windows of words, regardless of lines, are compared with the templates. A window of s bigrams can reach similarity d with a
+template of t only if s * d / (2 - d) <= t <= s * (2 - d) / d, so it holds t * d / (2 - d) of the template's bigrams within
+t * (2 - d) / d places; only where this is so, all windows that begin and end with a bigram of the template (others are no
+better) are compared. All is done inside the row: no shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +33,8 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
@@ -74,56 +79,65 @@ class _Lines:
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], dice: float):
         self.names, self.dice = [n for n, _ in templates], dice
-        self.sets = []
+        self.sets, self.most = [], []
         for _, text in templates:
             words = _Lines(pa.array([text.replace("\n", " ")]))
-            self.sets.append(np.unique(chained(words.hash, 2, 61)))
+            grams = chained(words.hash, 2, 61)
+            self.sets.append(np.unique(grams))
+            self.most.append(int(len(grams) * (2 - dice) / dice + 1e-9))
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
 
-    def best(self, grams: np.ndarray) -> tuple[float, int] | None:
-        s = len(grams)
-        found = None
-        for i, t in enumerate(self.sets):
-            if s * self.dice > (2 - self.dice) * len(t) or len(t) * self.dice > (2 - self.dice) * s:
-                continue
-            d = 2 * len(np.intersect1d(grams, t, assume_unique=True)) / (s + len(t))
-            if d >= self.dice and (found is None or d > found[0]):
-                found = d, i
-        return found
+    def windows(self, grams: np.ndarray, hit: np.ndarray, doc: np.ndarray, i: int) -> list[tuple[float, float, int, int, int]]:
+        """(weight, similarity, template, first, last bigram) of the best window from each place where one reaches dice."""
+        t, most = self.sets[i], self.most[i]
+        own = hit[np.isin(grams[hit], t)]
+        need = max(1, math.ceil(len(t) * self.dice / (2 - self.dice) - 1e-9))
+        if len(own) < need:
+            return []
+        d = doc[own]
+        near = (own[need - 1 :] - own[: len(own) - need + 1] < most) & (d[need - 1 :] == d[: len(own) - need + 1])
+        out = []
+        for k in np.flatnonzero(near).tolist():
+            a, seen, same, best, at = int(own[k]), set(), set(), None, int(own[k])
+            for j in range(k, len(own)):
+                b = int(own[j])
+                if b - a >= most or d[j] != d[k]:
+                    break
+                seen.update(grams[at : b + 1].tolist())
+                at = b + 1
+                same.add(int(grams[b]))
+                dice = 2 * len(same) / (len(seen) + len(t))
+                if dice >= self.dice and (best is None or dice >= best[1]):
+                    best = len(same) * dice, dice, i, a, b
+            if best:
+                out.append(best)
+        return out
 
     def __call__(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
-        """Per text: (licence, similarity, byte span) of its matching segments, none inside another match."""
+        """Per text: (licence, similarity, byte span) of its matching windows, none over another: those that share more of
+        their template first."""
         w, out = _Lines(texts), [[] for _ in range(len(texts))]
         if len(w.hash) < 2 or not len(self.all):
             return out
         grams = chained(w.hash, 2, 61)
-        same = (w.line[1:] == w.line[:-1]) & (w.doc[1:] == w.doc[:-1])
         at = np.minimum(np.searchsorted(self.all, grams), len(self.all) - 1)
-        hit = np.flatnonzero(same & (self.all[at] == grams))
-        lines = np.unique(w.line[hit])
-        if not len(lines):
-            return out
-        run = np.cumsum(np.concatenate([[True], np.diff(lines) > 2]))
-        spans = [(a, a) for a in lines.tolist()]
-        spans += [(lines[run == r][0], lines[run == r][-1]) for r in np.flatnonzero(np.bincount(run) > 1)]
+        hit = np.flatnonzero((w.doc[1:] == w.doc[:-1]) & (self.all[at] == grams))
+        found = [x for i in range(len(self.sets)) for x in self.windows(grams, hit, w.doc, i)]
         taken: dict[int, list[tuple[int, int]]] = {}
-        for a, b in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
-            i, j = np.searchsorted(w.line, a), np.searchsorted(w.line, b, "right")
-            for d in np.unique(w.doc[i:j]).tolist():
-                x, y = i + np.searchsorted(w.doc[i:j], [d, d + 1])
-                if y - x < 2 or any(p <= x and y <= q for p, q in taken.get(d, [])):
-                    continue
-                if found := self.best(np.unique(grams[x : y - 1])):
-                    taken.setdefault(d, []).append((x, y))
-                    begin = int(w.off[d])
-                    out[d].append((self.names[found[1]], found[0], int(w.starts[x]) - begin, int(w.ends[y - 1]) - begin))
+        for _, dice, i, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            d = int(w.doc[a])
+            if any(a <= q + 1 and p <= b + 1 for p, q in taken.get(d, [])):
+                continue
+            taken.setdefault(d, []).append((a, b))
+            begin = int(w.off[d])
+            out[d].append((self.names[i], dice, int(w.starts[a]) - begin, int(w.ends[b + 1]) - begin))
         return [sorted(x, key=lambda y: y[2]) for x in out]
 
 
 def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice: float = DICE) -> DataFrame:
     """doc_id, found array<struct<license, dice, start, stop>> per row of docs (doc_id, text); other columns are ignored.
 
-    found lists the matching segments by their place (byte offsets in UTF-8); it is empty for null, empty and unlicensed
+    found lists the matching windows by their place (byte offsets in UTF-8); it is empty for null, empty and unlicensed
     texts. Among templates of equal similarity the first listed wins. Repeated rows come back as often as they came, null
     doc_ids stay. An empty table gives an empty result.
     """

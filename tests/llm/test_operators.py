@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from stratalake.llm import embedding_dedup, html_text, jaccard_join, licenses, mixing, packing, quality_model, quality_rules, substring_dedup, suffix_tree_lm
@@ -448,3 +449,15 @@ MORE_HTML = {
 @pytest.mark.parametrize("html", MORE_HTML)
 def test_pages_keep_visible_text(html):
     assert html_text.render(html).strip() == MORE_HTML[html]
+
+
+def test_licenses_beside_prose_and_inside_a_sentence():
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][1].split()
+    wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    prose = "to the end of the day and or this is in the house " * 12
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.DICE)
+    texts_ = [f"{prose}\n{wrapped}\nNo more. {prose}", "This project is released under the MIT License. See the docs for more.", "Licensed under the", "Apache License, Version 2.0", prose]
+    got = scan(pa.array(texts_))
+    assert [[x[0] for x in y] for y in got] == [["MIT"], ["MIT"], [], [], []]
+    assert texts_[0][got[0][0][2] : got[0][0][3]].split() == " ".join(mit).rstrip(".").split()
+    assert got[1][0][1] == 1 and texts_[1][got[1][0][2] : got[1][0][3]] == "released under the MIT License"
