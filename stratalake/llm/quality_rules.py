@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, scratch, words_of
 
-#: Names of the vector's parts, and the least standard deviation taken for each.
-PARTS = {"f_size": 1.0, "f_length": 0.15, "f_symbols": 0.6, "f_repeats": 0.8, "f_lines": 0.8, "f_capitals": 0.5}
+#: Names of the vector's parts, and the least standard deviation taken for each: for parts that the clean half does not vary in.
+PARTS = {"f_size": 1.0, "f_length": 0.15, "f_symbols": 0.25, "f_repeats": 0.6, "f_lines": 0.8, "f_capitals": 0.5}
 #: 0.5 quantile and, for the verdict, 1 - 5e-4 quantile of chi-square with 6 degrees of freedom.
 CHI_MEDIAN, CHI_CUT = 5.348, 24.1
 #: Smaller groups are pooled by language, then all together; a pool below the second number gets no verdict.
@@ -126,7 +126,7 @@ def _shape(s: Column) -> Column:
     floors = F.array(*[F.lit(v * v) for v in PARTS.values()])
     mean = F.transform(s["s1"], lambda x: x / k)
     cov = F.transform(s["s2"], lambda row, i: F.transform(
-        row, lambda x, j: x / k - F.get(mean, i) * F.get(mean, j) + F.when(i == j, F.get(floors, i)).otherwise(0.0)))
+        row, lambda x, j: _let(x / k - F.get(mean, i) * F.get(mean, j), lambda v: F.when(i == j, F.greatest(v, F.get(floors, i))).otherwise(v))))
     return F.struct(mean.alias("mean"), _let(cov, _inverse).alias("fit"))
 
 

@@ -451,6 +451,13 @@ def test_pages_keep_visible_text(html):
     assert html_text.render(html).strip() == MORE_HTML[html]
 
 
+def test_rules_count_kept_junk_beside_kept_clean(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    r = quality_rules.judged(d).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    junk, clean = sorted(r, key=lambda x: x.quality)
+    assert junk.kept <= 0.02 * junk.n and clean.kept >= 0.98 * clean.n
+
+
 def test_licenses_beside_prose_and_inside_a_sentence():
     mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][1].split()
     wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
