@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -23,11 +22,16 @@ PIECE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for tables between jobs; a local one only where none is set."""
+    """The shared folder for tables between jobs, from spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors are threads of the driver uses a folder of its own in the warehouse; on a
+    cluster this is an error, since no folder is known that all executors see.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return found.rstrip("/")
 
 
@@ -77,6 +81,29 @@ def largest(df: DataFrame, column: str, most: int) -> DataFrame:
     return df.where(F.lit(False) if least is None else (F.col(column) > 0) & (step >= least))
 
 
+def bit_field(keys: DataFrame, column: str) -> np.ndarray:
+    """A field of 2**26 bits with those of the (well mixed) keys set. Of any size of keys; a key whose bit is unset is not
+    among them."""
+    x = keys.select(F.col(column).alias("x"))
+    bit = F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(x, 38) & 63 as int)))").alias("b")
+    found = x.groupBy(F.expr("shiftrightunsigned(x, 44)").alias("i")).agg(bit).toArrow()
+    bits = np.zeros(1 << 20, np.uint64)
+    bits[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return bits
+
+
+def in_field(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in the field."""
+    return (bits[x >> np.uint64(44)] >> ((x >> np.uint64(38)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def row_key(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with _a and _b, two hashes of these columns that tell rows apart: by 128 bits, nulls included."""
+    cols = [F.col(c) for c in columns]
+    cols += [F.concat(*[F.col(c).isNull().cast("string") for c in columns])]
+    return docs.withColumns({"_a": F.xxhash64(*cols), "_b": F.xxhash64(F.lit("b"), *cols)})
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -1,35 +1,36 @@
 """Operator 3: near-duplicate documents by Jaccard similarity of word shingles, filtered under several global orders.
 
 Two sets whose similarity is at least t share at least a = ceil(t * n) tokens (n: the size of either), so under ANY
-global order their first n - a + l tokens share at least l. Candidates pass one such filter per order:
+global order their first n - a + l tokens share at least l.
 
-1. Hash order, corpus-frequent tokens last. Every document sends its first n - a + l tokens (l a tenth of n).
-   Tokens of one document fall away; a document left with fewer than l shared tokens links with nothing.
+1. Hash order, corpus-frequent tokens last. Every document sends its first n - a + l tokens (l a tenth of n). A token of one
+   document falls away; a document left with fewer than l shared tokens links with nothing.
 2. Frequency order, rarest first, over what is left: of m shared prefix tokens a partner shares at least l, hence one
    of the first m - l + 1. Only these tokens tie documents to one another.
-3. Two more hash orders, tested for each pair by set operations where the documents meet, before sizes are compared
-   and the exact intersection is counted.
+3. Candidates are pairs of tied documents that share prefix tokens under the first order and under each of two more hash
+   orders: the filters of all orders are intersected, where the documents meet, before exact intersections are counted.
 
-Documents that filters 1 and 2 tie together form a cluster; a cluster is dealt out in blocks, and each pair of blocks is
-verified in one task, which returns the links of a spanning forest and never the pairs. Exact copies (of the word
-sequence) are one class throughout. Classes are told apart by 64-bit hashes of the word sequence and shingles by 64-bit
-hashes of their words.
+Documents that are tied together, directly or not, form a cluster. A cluster of more than a block is cut into length bands
+as wide as the similarity, so that only neighbouring bands meet, and bands into blocks; each pair of blocks is verified in
+one task, which returns the links of a spanning forest and never the pairs. Exact copies (of the word sequence) are one
+class throughout. Classes are told apart by 64-bit hashes of the word sequence and shingles by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bounded_batches, chained, components, discard, largest, mix, pieces, scratch, table
+from .common import Words, bit_field, bounded_batches, chained, components, discard, in_field, mix, pieces, row_key, scratch, table
 
-#: Tokens in so many documents, as seen by the tasks, are ordered last; the table of them has at most this many rows.
-FREQUENT, FREQUENT_ROWS = 64, 200_000
+#: Tokens in so many documents, as seen by the tasks, are ordered last.
+FREQUENT = 64
 #: Documents of a block; two blocks meet in a task.
 BLOCK = 384
 _FLUSH = 1 << 21
@@ -58,12 +59,8 @@ def sequence_keys(w: Words) -> np.ndarray:
 
 
 def order_key(s: np.ndarray, salt: int, frequent: np.ndarray) -> np.ndarray:
-    """Place of each token in global order number salt: frequent tokens come after all others."""
-    key = mix(s, salt) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        key |= (frequent[at] == s).astype(np.uint64) << np.uint64(63)
-    return key
+    """Place of each token in global order number salt: those in the field of frequent tokens come after all others."""
+    return (mix(s, salt) >> np.uint64(1)) | (in_field(frequent, s).astype(np.uint64) << np.uint64(63))
 
 
 def first_of(s: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
@@ -104,12 +101,12 @@ def _class_rows(k: int):
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
             n = [len(s) for s in shingle_sets(w, k)]
-            yield table(doc_id=rb.column("doc_id"), key=sequence_keys(w), n=pa.array(n, pa.int64()))
+            yield table(**{c: rb.column(c) for c in rb.schema.names if c != "text"}, key=sequence_keys(w), n=pa.array(n, pa.int64()))
 
     return run
 
 
-def _prefix_rows(k: int, num: int, den: int, frequent: np.ndarray):
+def _prefix_rows(k: int, num: int, den: int, frequent):
     def run(batches):
         held: dict[int, tuple[int, np.ndarray]] = {}
         size = 0
@@ -128,7 +125,7 @@ def _prefix_rows(k: int, num: int, den: int, frequent: np.ndarray):
             for key, s in zip(sequence_keys(w).tolist(), shingle_sets(w, k), strict=True):
                 if len(s) and key not in held:
                     n = len(s)
-                    t = first_of(s, order_key(s, 1, frequent), n - _need(n, num, den) + _slack(n))
+                    t = first_of(s, order_key(s, 1, frequent.value), n - _need(n, num, den) + _slack(n))
                     held[key] = n, t
                     size += len(t)
             if size >= _FLUSH // 8:
@@ -142,13 +139,14 @@ def _prefix_rows(k: int, num: int, den: int, frequent: np.ndarray):
 
 def _set_rows(k: int):
     def run(batches):
+        done = set()
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
-            same = pa.array(sequence_keys(w) == rb.column("key").to_numpy())  # a repeated doc_id may have other texts
+            key = rb.column("key").to_pylist()
+            same = sequence_keys(w).tolist()  # a repeated doc_id may have other texts
+            use = [a == b and a not in done and not done.add(a) for a, b in zip(same, key, strict=True)]
             sets = pa.array([s.tobytes() for s in shingle_sets(w, k)], pa.binary())
-            yield table(
-                cluster=rb.column("cluster"), key=rb.column("key"), blocks=rb.column("blocks"), tokens=sets
-            ).filter(same)
+            yield table(**{c: rb.column(c) for c in rb.schema.names if c not in ("d", "text")}, tokens=sets).filter(pa.array(use, pa.bool_()))
 
     return run
 
@@ -175,17 +173,17 @@ def _shared(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(keys: list[int], subs: list[int], sets: list[np.ndarray], pair: tuple[int, int], num, den, frequent):
-    """Links of a spanning forest among verified pairs."""
-    if len(sets) == 2 and len({*subs}) == len({*pair}):
+def _links(sides: list[int], sets: list[np.ndarray], inside: bool, num: int, den: int, frequent: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest among verified pairs: those of a block, or else those between the two sides."""
+    if len(sets) == 2 and (inside or sides[0] != sides[1]):
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(keys[0], keys[1])] if den * shared >= num * (len(sets[0]) + len(sets[1]) - shared) else []
+        return [(0, 1)] if den * shared >= num * (len(sets[0]) + len(sets[1]) - shared) else []
     n = np.array([len(s) for s in sets])
-    sub = np.array(subs)
+    side = np.array(sides)
     ok = (num * np.maximum.outer(n, n) <= den * np.minimum.outer(n, n)) & np.tri(len(n), k=-1, dtype=bool)
-    if pair[0] != pair[1]:  # inside a block, pairs are compared where it meets itself
-        ok &= sub[:, None] != sub[None, :]
-    for salt in (21, 22):
+    if not inside:  # pairs of one block are compared where it meets itself
+        ok &= side[:, None] != side[None, :]
+    for salt in (1, 21, 22):
         if not ok.any():
             return []
         ok &= _shared([first_of(s, order_key(s, salt, frequent), len(s) - _need(len(s), num, den) + 1) for s in sets]) > 0
@@ -205,59 +203,87 @@ def _links(keys: list[int], subs: list[int], sets: list[np.ndarray], pair: tuple
     for a, b in np.argwhere(ok).tolist():
         if (x := root(a)) != (y := root(b)):
             parent[x] = y
-            out.append((keys[a], keys[b]))
+            out.append((a, b))
     return out
 
 
-def _verify(num: int, den: int, frequent: np.ndarray):
+MEET = ("cluster", "b", "c", "i", "j")
+
+
+def _verify(num: int, den: int, frequent):
+    """Links (node of either end) of the blocks that meet."""
+
     def run(batches):
-        now, keys, subs, sets, out = None, [], [], [], []
+        now, nodes, sides, sets, keys = None, [], [], [], set()
 
         def close():
-            if len(sets) > 1:
-                out.extend(_links(keys, subs, sets, now[1:], num, den, frequent))
+            if len(sets) < 2:
+                return None
+            found = _links(sides, sets, now[1] == now[2] and now[3] == now[4], num, den, frequent.value)
+            ends = {x: [nodes[p[i]] for p in found] for i, x in enumerate("ab")}
+            return table(**{f"{x}_{c}": pa.array([v[j] for v in ends[x]], t) for x in "ab" for j, (c, t) in enumerate(zip(NODE, (pa.bool_(), pa.int64(), pa.int64()), strict=True))}) if found else None
 
         for rb in batches:
-            for c, i, j, key, sub, tokens in zip(*(rb.column(x).to_pylist() for x in ("cluster", "i", "j", "key", "sub", "tokens")), strict=True):
-                if (c, i, j) != now:
-                    close()
-                    now, keys, subs, sets = (c, i, j), [], [], []
-                keys.append(key)
-                subs.append(sub)
-                sets.append(np.frombuffer(tokens, np.uint64))
-            if out:
-                yield table(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
-                out.clear()
-        close()
-        if out:
-            yield table(a=pa.array([x for x, _ in out], pa.int64()), b=pa.array([y for _, y in out], pa.int64()))
+            for *at, z, low, key, side, tokens in zip(*(rb.column(x).to_pylist() for x in (*MEET, *NODE, "side", "tokens")), strict=True):
+                if at != now:
+                    if (out := close()) is not None:
+                        yield out
+                    now, nodes, sides, sets, keys = at, [], [], [], set()
+                if key not in keys:
+                    keys.add(key)
+                    nodes.append((z, low, key))
+                    sides.append(side)
+                    sets.append(np.frombuffer(tokens, np.uint64))
+        if (out := close()) is not None:
+            yield out
 
     return run
 
 
 def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Tokens that many documents hold; at most FREQUENT_ROWS of them, so that they can be sent to all tasks."""
+    """Field of the tokens that many documents hold, of fixed size."""
     t = docs.select("text").mapInArrow(_frequent_rows(k), "token long, n long")
-    t = scratch(t.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent")
-    rows = largest(t, "n", FREQUENT_ROWS).select("token").toArrow()
-    discard(t)
-    return np.sort(rows.column("token").to_numpy().view(np.uint64))
+    t = t.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return bit_field(t.select(F.col("token")), "token")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); other columns are ignored.
+#: A class as node of the graph of links: the order of nodes is that of their smallest doc_id, null last.
+NODE = ("z", "low", "key")
 
-    Words are runs of other characters than ASCII white space, A-Z lower-cased; a set holds the distinct k-word shingles,
-    or the whole sequence where there are fewer words. Null and wordless texts: n_shingles 0, linked with nothing, their
-    own component. Rows with a null doc_id join the group of an equal text that has an id, else component_id is null. Repeated
-    rows come back as often as they came, with one answer. An empty table gives an empty result.
-    Two documents link when den * |intersection| >= num * |union|; component_id is the smallest doc_id reachable.
+
+def _dealt(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets (cluster, total, bands, band, ...) once for each pair of blocks in which they meet others."""
+    own, above, below = (F.coalesce(F.try_element_at("bands", F.col("band") + x), F.lit(0)) for x in (0, 1, -1))
+    sets = sets.withColumns({"own": own, "above": above, "below": below, "sub": F.pmod(F.xxhash64("key"), own).cast("int")})
+
+    def cells(n: str, b: int, c: int, of) -> Column:
+        at = lambda o: F.struct((F.col("band") + b).alias("b"), (F.col("band") + c).alias("c"), *of(o))
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), at)).otherwise(F.array())
+
+    sub, one = F.col("sub"), F.lit(1)
+    many = F.concat(
+        cells("own", 0, 0, lambda o: (F.least(sub, o).alias("i"), F.greatest(sub, o).alias("j"), (sub > o).cast("int").alias("side"))),
+        cells("above", 0, 1, lambda o: (sub.alias("i"), o.alias("j"), F.lit(0).alias("side"))),
+        cells("below", -1, 0, lambda o: (o.alias("i"), sub.alias("j"), one.alias("side"))),
+    )
+    single = F.array(F.struct(*[F.lit(0).alias(x) for x in ("b", "c", "i", "j", "side")]))
+    return sets.withColumn("cell", F.explode(F.when(F.col("total") > BLOCK, many).otherwise(single))).select("cluster", "cell.*", *NODE, "tokens")
+
+
+def grouped(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, key, group, component_id and the columns named in also, for each row of docs (doc_id, text).
+
+    key is the class of equal word sequences and group that of linked ones (a node, see NODE); both are null without words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = frequent_tokens(docs, k)
-    classes = scratch(docs.mapInArrow(_class_rows(k), "doc_id long, key long, n long"), "classes")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *also)
+    docs = docs.withColumn("d", F.coalesce("doc_id", F.xxhash64("text")))
+    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
+    kept = docs.select("doc_id", "d", "text", *also)
+    fields = ", ".join(f"{c} {t}" for c, t in kept.drop("text").dtypes)
+    classes = scratch(kept.mapInArrow(_class_rows(k), fields + ", key long, n long"), "classes")
 
     prefix = docs.select("text").mapInArrow(_prefix_rows(k, num, den, frequent), "token long, key long, n int")
     prefix = prefix.repartition("token").dropDuplicates(["token", "key", "n"])
@@ -271,28 +297,53 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100)
     ties = rare.join(lead, "token").where("lead < key").select(F.col("lead").alias("a"), F.col("key").alias("b"))
     cluster = components(ties).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
 
-    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cluster = cluster.join(blocks, "cluster")
-    reps = classes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(cluster, "key")
-    texts = docs.join(reps, "doc_id")
-    sets = texts.mapInArrow(_set_rows(k), "cluster long, key long, blocks int, tokens binary")
-    sub = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("sub", sub).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "cluster", F.least("sub", "o").alias("i"), F.greatest("sub", "o").alias("j"), "key", "sub", "tokens"
-    )
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = dealt.mapInArrow(_verify(num, den, frequent), "a long, b long")
-
-    group = components(links).select(F.col("node").alias("key"), F.col("root").alias("group"))
-    out = classes.join(group, "key", "left").withColumn(
-        "group", F.when(F.col("n") == 0, F.xxhash64("doc_id")).otherwise(F.coalesce("group", "key"))
-    )
-    low = out.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("low"))
-    out = scratch(out, "grouped").join(low, "group", "left")
-    result = out.select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    # a class is met through the row of its smallest doc_id
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("low"), "d")).alias("r")
+    reps = classes.where("n > 0").groupBy("key").agg(least, F.first("n").alias("n")).select("key", "r.z", "r.low", "r.d", "n")
+    # a little wider than the similarity, so that rounding cannot part a pair by two bands
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.0001)).cast("int")
+    reps = scratch(reps.join(cluster, "key").withColumn("band", band), "reps")
+    blocks = reps.groupBy("cluster", "band").agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).groupBy("cluster").agg(
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
+    texts = docs.select("d", "text").join(reps.drop("n").join(blocks, "cluster"), "d")
+    fields = "cluster long, total long, bands map<int, int>, band int, z boolean, low long, key long"
+    names = [x.split()[0] for x in fields.replace("map<int, int>", "m").split(", ")]
+    sets = texts.select("d", *names, "text").mapInArrow(_set_rows(k), fields + ", tokens binary")
+    dealt = _dealt(sets, num, den).repartition(*MEET).sortWithinPartitions(*MEET)
+    links = dealt.mapInArrow(_verify(num, den, frequent), ", ".join(f"{x}_{c} {t}" for x in "ab" for c, t in zip(NODE, ("boolean", "long", "long"), strict=True)))
+    ends = [F.struct(*[F.col(f"{x}_{c}").alias(c) for c in NODE]).alias(x) for x in "ab"]
+    group = components(links.select(*ends)).select(F.col("node.key").alias("key"), F.col("root").alias("group"))
+    lows = classes.where("n > 0").groupBy("key").agg(least).select("key", F.struct("r.z", "r.low", "key").alias("own"))
+    of = scratch(lows.join(group, "key", "left").select("key", F.coalesce("group", "own").alias("group")), "groups")
+    out = classes.withColumn("key", F.when(F.col("n") > 0, F.col("key"))).drop("d").join(of, "key", "left")
     discard(rare)
-    return result
+    low = F.when(F.col("n") > 0, F.col("group.low")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n", "key", "group", low.alias("component_id"), *also)
+
+
+def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); other columns are ignored.
+
+    Words are runs of other characters than ASCII white space, A-Z lower-cased; a set holds the distinct k-word shingles,
+    or the whole sequence where there are fewer words. Null and wordless texts: n_shingles 0, linked with nothing, their
+    own component. Rows with a null doc_id are linked like others; component_id is null where no row of the group has an id.
+    Rows of one doc_id and several texts belong to the group of their own text. Repeated rows come back as often as they
+    came, with one answer. An empty table gives an empty result. Two documents link when
+    den * |intersection| >= num * |union|; component_id is the smallest doc_id reachable. A text is worked on whole in one
+    task, at some 60 bytes of memory for each of its bytes.
+    """
+    return grouped(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row of docs (doc_id, text, other columns) for each group of linked rows: that of the smallest doc_id, null last,
+    and of several such rows the one of smallest hash. Rows without words all stay."""
+    names = docs.columns
+    keyed = row_key(docs, *names)
+    g = grouped(keyed, k, num, den, also=("_a", "_b"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_a", "_b")).alias("first")
+    one = g.where("n > 0").groupBy("group").agg(first).select("first._a", "first._b")
+    bare = g.where("n = 0").select("_a", "_b").distinct()
+    one = keyed.join(one, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])  # equal rows hash alike
+    return one.unionByName(keyed.join(bare, ["_a", "_b"], "left_semi")).select(*names)

@@ -1,9 +1,10 @@
 """Operator 7 [native]: mixing sources to target token weights by entropy balancing.
 
 Among all document rates that meet the token constraints, the ones nearest to 1 (in token-weighted relative entropy) are
-exponential tilts, rate = exp(sum of the duals of the document's strata). Newton steps on the convex dual run as
-DataFrame jobs over cells (documents that share all strata), one dual per stratum; then rates become whole copies: the
-integer part for all, one copy more for as many documents, in hash order, as the source's remaining tokens hold.
+exponential tilts, rate = exp(sum of the duals of the document's strata). Newton steps on the joint convex dual run as
+DataFrame jobs over cells (documents that share all strata); then rates become whole copies: the integer part for all, one
+copy more for as many documents, in hash order, as the source's remaining tokens hold. With sources as the only family, as
+in the query, a step needs no system to be solved; with several families the operator solves them together.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, scratch, words_of
+from .common import discard, row_key, scratch, words_of
 
 #: No document is taken more often.
 CAP = 3
@@ -32,56 +33,96 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """rows with rank, their number from 0 in the order of column, null last: numbered within ranges, whose counts alone
+    go to the driver (one number per shuffle partition)."""
+    r = scratch(rows.repartitionByRange(F.col(column).asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts, before = {x["_part"]: x["n"] for x in r.groupBy("_part").agg(F.count("*").alias("n")).collect()}, {}
+    for p in sorted(counts):
+        before[p] = sum(counts[q] for q in before)
+    start = F.try_element_at(F.create_map(*[F.lit(x) for p in before.items() for x in p]), "_part") if before else F.lit(0)
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(column).asc_nulls_last()))
+    return r.withColumn("rank", own - 1 + start).drop("_part")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, source_size, target: shares of the total by weight, no target above cap times its source's size."""
+    """source, source_size, target: shares of the total by weight, no target above cap times its source's size.
+
+    The excess of full sources is shared again until none is above; each round is one aggregate over the sources.
+    """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # as many rows as sources: numbering and running sums need them in order once
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(rank, F.lit(len(weights))))
-    s = s.withColumn("weight", weight).withColumn("room", cap * F.col("source_size").cast("double"))
-    by_fill = Window.orderBy(F.col("room") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum(F.col("source_size").cast("double")).over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    s = s.withColumn("level", level).withColumn("full", F.col("room") <= F.col("level") * F.col("weight"))
-    open_level = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
-    # sources that are full come first, so the first open one has seen the whole excess
-    s = s.withColumn("target", F.when(F.col("full"), F.col("room")).otherwise(open_level * F.col("weight")))
-    return s.select("source", "source_size", "target")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("rank", F.lit(len(weights))).cast("int"))
+    s = ranked(s, "source").withColumn("weight", weight).withColumn("room", cap * F.col("source_size").cast("double"))
+    s = scratch(s, "sources")
+    total = float(s.agg(F.sum("source_size")).first()[0] or 0)
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("room") <= level * F.col("weight") if n_full >= 0 else F.lit(False)
+        row = s.agg(F.sum(F.when(full, F.col("room"))).alias("room"), F.sum(F.when(~full, F.col("weight"))).alias("weight"), F.count_if(full).alias("n")).first()
+        if row["n"] == n_full or not row["weight"]:
+            break
+        level, n_full = max(level, (total - (row["room"] or 0.0)) / row["weight"]), row["n"]
+    return s.select("source", "source_size", F.least("room", level * F.col("weight")).alias("target"))
+
+
+def _solved(a: list[list[Column]], b: list[Column]) -> Column:
+    """Array x with a x = b for a symmetric positive matrix of columns, by elimination on the one row."""
+    n = len(b)
+    rows = F.array(*[F.array(*[a[i][j] + (1e-9 if i == j else 0.0) for j in range(n)], b[i]) for i in range(n)])
+
+    def step(m: Column, k: Column) -> Column:
+        pivot = F.get(m, k)
+        scaled = F.transform(pivot, lambda x: x / F.get(pivot, k))
+        return F.transform(m, lambda row, i: F.when(i == k, scaled).otherwise(F.zip_with(row, scaled, lambda x, y: x - F.get(row, k) * y)))
+
+    return F.transform(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), rows, step), lambda row: F.get(row, F.lit(n)))
 
 
 def entropy_rates(sizes: DataFrame, families: dict[str, DataFrame], cap: float = CAP) -> DataFrame:
     """One row per cell (distinct values of the families' columns) with its rate, at most cap.
 
-    families: column -> (column, target) with the tokens to take from each of its strata. With one family the diagonal of
-    the Hessian is the Hessian; with several, each step solves the families one after another.
+    families: column -> (column, target) with the tokens to take from each of its strata. The first family may have any
+    number of strata, the others a few dozen together. Each step is a Newton step on the joint dual: the first family's
+    block of the Hessian is diagonal and is eliminated where it lies, one sum over its strata gives the small system that
+    is left for the others, and its solution goes back into the first family's steps. Steps are scaled to at most 1.
     """
-    names = list(families)
-    cells = sizes.groupBy(*names).agg(F.sum("size").cast("double").alias("tokens"))
-    for c in names:
-        cells = cells.join(families[c].select(c, F.col("target").alias(f"to_{c}")).withColumnRenamed(c, "_c"), F.col(c).eqNullSafe(F.col("_c")), "left").drop("_c")
-        cells = cells.withColumn(f"dual_{c}", F.lit(0.0))
-    cells = scratch(cells, "cells")
-    rate = F.least(F.lit(float(cap)), F.exp(reduce(lambda a, b: a + b, [F.col(f"dual_{c}") for c in names])))
+    lead, *others = list(families)
+    cells = sizes.groupBy(lead, *others).agg(F.sum("size").cast("double").alias("tokens"))
+    to = families[lead].select(F.col(lead).alias("_c"), F.col("target").alias("to"))
+    cells = cells.join(_small(to), F.col(lead).eqNullSafe(F.col("_c")), "left").drop("_c")
+    strata = [(c, r[c], float(r["target"])) for c in others for r in families[c].select(c, "target").collect()]
+    inside = [F.col(c).eqNullSafe(F.lit(v)) for c, v, _ in strata]
+    cells = scratch(cells.withColumn("dual", F.lit(0.0)), "cells")
+    small = [0.0] * len(strata)
+    k = range(len(strata))
     for _ in range(MAX_STEPS):
-        worst = []
-        old = cells
-        for c in names:
-            got = F.sum(F.col("tokens") * rate).over(Window.partitionBy(c))
-            # gradient over curvature, held to a step that cannot overshoot into a flat tail
-            move = F.when((got > 0) & F.col(f"to_{c}").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"to_{c}") / got - 1)))
-            off = F.abs(F.col(f"to_{c}") - got) / F.greatest(F.col(f"to_{c}"), F.lit(1.0))
-            cells = cells.withColumn("_move", F.coalesce(move, F.lit(0.0))).withColumn("_off", off)
-            cells = cells.withColumn(f"dual_{c}", F.col(f"dual_{c}") + F.col("_move")).withColumn(f"off_{c}", F.col("_off"))
-            worst.append(F.max(f"off_{c}"))
-        cells = scratch(cells.drop("_move", "_off"), "cells")
-        discard(old)
-        error = cells.agg(F.greatest(*worst, F.lit(0.0), F.lit(0.0)).alias("e")).first()["e"]
-        cells = cells.drop(*[f"off_{c}" for c in names])
-        if error is None or error <= TOLERANCE:
+        tilt = F.exp(reduce(lambda a, b: a + b, [F.when(m, F.lit(v)).otherwise(0.0) for m, v in zip(inside, small, strict=True)], F.col("dual")))
+        got = F.col("tokens") * F.least(F.lit(float(cap)), tilt)
+        bend = F.when(tilt < cap, got).otherwise(0.0)  # at the cap the rate does not move
+        own = Window.partitionBy(lead)
+        c = cells.withColumns({"_got": got, "_h": bend}).withColumn("_sum", F.sum("_got").over(own))
+        c = c.withColumns({"_d": F.greatest(F.sum("_h").over(own), F.lit(1e-9)), "_g": F.coalesce(F.col("to") - F.col("_sum"), F.lit(0.0))})
+        c = c.withColumns({f"_b{i}": F.sum(F.when(m, F.col("_h")).otherwise(0.0)).over(own) for i, m in enumerate(inside)})
+        c = c.withColumn("_first", F.row_number().over(own.orderBy(*others, "tokens")) == 1)
+        off = F.max(F.abs(F.col("_g")) / F.greatest(F.coalesce("to", "_sum"), F.lit(1.0)))
+        once = lambda x: F.sum(F.when(F.col("_first"), x).otherwise(0.0))  # noqa: E731  a stratum of the first family counts once
+        a = [[F.sum(F.when(inside[i] & inside[j], F.col("_h")).otherwise(0.0)) - once(F.col(f"_b{i}") * F.col(f"_b{j}") / F.col("_d")) for j in k] for i in k]
+        left = [F.lit(t) - F.sum(F.when(m, F.col("_got")).otherwise(0.0)) for m, (_, _, t) in zip(inside, strata, strict=True)]
+        b = [left[i] - once(F.col(f"_b{i}") * F.col("_g") / F.col("_d")) for i in k]
+        names = {f"a{i}_{j}": a[i][j] for i in k for j in k} | {f"b{i}": b[i] for i in k} | {f"o{i}": F.abs(left[i]) / max(1.0, strata[i][2]) for i in k}
+        row = c.agg(off.alias("off"), *[v.alias(n) for n, v in names.items()])
+        step = _solved([[F.col(f"a{i}_{j}") for j in k] for i in k], [F.col(f"b{i}") for i in k]) if strata else F.array().cast("array<double>")
+        row = row.select(F.greatest("off", *[F.col(f"o{i}") for i in k], F.lit(0.0)).alias("off"), step.alias("step")).first()
+        if row["off"] is None or row["off"] <= TOLERANCE:
             break
-    return scratch(cells.select(*names, rate.alias("rate")), "rates")
+        # one scale for all, so that the direction stays Newton's
+        scale = min(1.0, 1.0 / max([abs(x) for x in row["step"]], default=0.0)) if any(row["step"]) else 1.0
+        moved = reduce(lambda x, i: x - F.col(f"_b{i}") * F.lit(row["step"][i]), k, F.col("_g")) / F.col("_d")
+        move = F.when(F.col("to").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), scale * moved))).otherwise(0.0)
+        old, cells = cells, scratch(c.withColumn("dual", F.col("dual") + move).select(lead, *others, "tokens", "to", "dual"), "cells")
+        discard(old)
+        small = [x + scale * d for x, d in zip(small, row["step"], strict=True)]
+    return cells.select(lead, *others, F.least(F.lit(float(cap)), tilt).alias("rate"))
 
 
 def _fill(rows: DataFrame, open_: DataFrame, eligible: Column) -> DataFrame:
@@ -104,25 +145,29 @@ def _fill(rows: DataFrame, open_: DataFrame, eligible: Column) -> DataFrame:
     return rest.unionByName(edge).select(*rows.columns)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken per row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken per row of docs (doc_id, text, source), and the columns
+    named in also.
 
     Size: the words of the text (null: 0); taken = copies * size, copies <= cap. Other columns are ignored. Documents
     without words are taken 0 times. Null sources are one source, last in order. Repeated rows are documents of their
-    own. The order of copies is a hash of doc_id, so reruns agree. An empty table gives an empty result.
+    own. The order of copies is a hash of doc_id and text, so reruns agree and rows without doc_id are spread; equal rows may
+    get different copies. An empty table gives an empty result. Texts are read inside the row, at a few times their size.
     """
-    size = F.size(words_of(F.col("text").cast("string"))).cast("long")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    text = F.col("text").cast("string")
+    sizes = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(F.lit(7), "doc_id", text).alias("u"), *also,
+    )
     sizes = scratch(sizes, "sizes")
     targets = scratch(source_targets(sizes, weights, cap), "targets")
     rates = entropy_rates(sizes, {"source": targets.select("source", "target")}, cap)
     per_source = targets.join(rates.withColumnRenamed("source", "rs"), F.col("source").eqNullSafe(F.col("rs"))).drop("rs")
     per_source = scratch(per_source.withColumnRenamed("source", "ps"), "per_source")
     whole = F.floor(F.col("rate") + 1e-9).cast("int")
-    u = F.xxhash64(F.lit(7), "doc_id")
     rows = sizes.join(_small(per_source), F.col("source").eqNullSafe(F.col("ps"))).drop("ps").select(
-        *sizes.columns, "source_size", "target", "rate", whole.alias("base"), F.lit(0).alias("extra"), u.alias("u"),
-        F.pmod(F.shiftrightunsigned(u, 20), F.lit(BUCKETS)).alias("bucket"),
+        *sizes.columns, "source_size", "target", "rate", whole.alias("base"), F.lit(0).alias("extra"),
+        F.pmod(F.shiftrightunsigned("u", 20), F.lit(BUCKETS)).alias("bucket"),
     )
     rows = scratch(rows, "rows")
     for step in range(FILLS):
@@ -131,25 +176,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         open_ = scratch(open_.where("open >= 1"), "open")
         fits = F.lit(True) if step == 0 else F.col("size") * max(1, 2 ** (FILLS - 1 - step)) <= F.col("open")
         old, rows = rows, scratch(_fill(rows, open_, F.col("open").isNotNull() & fits), "rows")
-        discard(old)
+        discard(old, open_)
+    discard(sizes, targets, per_source)
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.col("extra")).cast("int")
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *also
     )
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; all columns stay."""
-    # a repeated doc_id: its rows are matched in the order of source and size
-    order = Window.partitionBy("d").orderBy("source", "size")
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))  # noqa: E731  null ids match one another
-    taken = mix(docs, weights, cap).select(key("doc_id").alias("d"), "source", "size", "copies")
-    taken = taken.withColumn("m", F.row_number().over(order)).select(F.col("d").alias("e"), "m", "copies")
-    size = F.size(words_of(F.col("doc.text").cast("string"))).cast("long")
-    full = docs.select(F.struct("*").alias("doc")).select(
-        "doc", key("doc.doc_id").alias("d"), F.col("doc.source").cast("string").alias("source"), size.alias("size")
-    )
-    full = full.withColumn("n", F.row_number().over(order))
-    # one equality only, so that the join reuses the partitioning of the numbering and texts are shuffled once
-    j = full.join(taken, (F.col("d") == F.col("e")) & (F.col("n") - F.col("m") == 0)).where("copies > 0")
-    return j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    """The rows of docs, each as often as the mix takes it; all columns stay. Equal rows are met once, with all their copies."""
+    keyed = row_key(docs, *docs.columns)
+    taken = mix(keyed, weights, cap, also=("_a", "_b")).groupBy("_a", "_b").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    whole = keyed.select("_a", "_b", F.struct(*docs.columns).alias("doc")).dropDuplicates(["_a", "_b"])
+    j = whole.join(taken, ["_a", "_b"])
+    return j.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, words_of
+from .common import discard, row_key, scratch, words_of
 
 #: Names of the vector's parts, and the least standard deviation taken for each: for parts that the clean half does not vary in.
 PARTS = {"f_size": 1.0, "f_length": 0.15, "f_symbols": 0.25, "f_repeats": 0.6, "f_lines": 0.8, "f_capitals": 0.5}
@@ -58,8 +58,9 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 3, F.lit(0)).otherwise(_let(hashes, of))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base statistics, base_failed and the transformed vector, one row per row of docs."""
+def statistics(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the base statistics, base_failed and the transformed vector, one row per row of docs, and the
+    columns named in also."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     drop = lambda c, chars: F.length(c) - F.length(F.translate(c, chars, ""))
@@ -71,7 +72,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.translate(text, gaps, "")).cast("long").alias("word_chars"),
         drop(text, "#*$%&|<>").cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        drop(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("capitals"),
+        drop(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("capitals"), *also,
     )
     s = s.select("*", F.col("c.n").cast("long").alias("n_words"), F.col("c.r").cast("long").alias("n_repeat_words")).drop("c")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -140,7 +141,7 @@ def _with(rows: DataFrame, est: DataFrame, groups: int) -> DataFrame:
     return rows.join(F.broadcast(est) if groups <= BROADCAST_GROUPS else est, "g")
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance per row of docs.
 
     docs: doc_id, text, lang, source; other columns are ignored. Words are runs of other characters than ASCII white
@@ -150,7 +151,7 @@ def judged(docs: DataFrame) -> DataFrame:
     language, then together, and keep all their rows if even that is under MIN_POOL. Repeated rows count and come back as
     often as they came. An empty table gives an empty result.
     """
-    s = statistics(docs)
+    s = statistics(docs, also)
     own, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct(F.col("lang").alias("pool")))
     s = scratch(s.withColumns({"own": own, "by_lang": lang}), "stats")
     ok = s.where("not base_failed")
@@ -199,5 +200,12 @@ def judged(docs: DataFrame) -> DataFrame:
     kept = ~F.col("base_failed") & ((F.col("rows") < MIN_POOL) | (d <= CHI_CUT))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.coalesce(kept, F.lit(False)).alias("kept"), d.alias("distance"),
+        F.coalesce(kept, F.lit(False)).alias("kept"), d.alias("distance"), *also,
     )
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judged() keeps, each by its own verdict whatever its doc_id; all columns stay."""
+    keyed = row_key(docs, "doc_id", "text", "lang", "source")
+    good = judged(keyed, also=("_a", "_b")).where("kept").select("_a", "_b").distinct()
+    return keyed.join(good, ["_a", "_b"], "left_semi").select(*docs.columns)

@@ -1,18 +1,20 @@
 """Operator 9: removal of repeated passages by prefix-partitioned suffix trees.
 
-The suffixes of all documents form one tree over words, cut off below depth ``window``: a node at that depth with
-several leaves is a repeat of ``window`` words, and chains of such nodes spell the maximal repeats. Edges are compared by
-hashes of their words (128 bits at full depth).
-
-1. Pruning. Every window has one minimal ``GRAM``-word gram, the same wherever the window occurs. If no other selected
-   gram equals it, the window is a leaf of its own, and its suffix needs no place in a tree.
-2. Splitting. The suffixes left are dealt out by a prefix of variable length: ``GRAM`` words, or the full depth where
-   that many suffixes share the shorter prefix that their group would outgrow a task's memory.
-3. Building. Each task sorts its suffixes (Spark's sort, which can spill) and reads the deep nodes off neighbours; a
-   node's first leaf in the order of (doc_id, start) stays, the others are removals.
-
-A task merges what it finds repeated in its own rows before anything is shuffled, so that one passage held by a third of
-all rows sends one row per task.
+A repeat is a word sequence of ``window`` words or more that two suffixes of the corpus begin with, so it is an internal
+node of that depth in the suffix tree over words.
+
+1. Pruning. Every window has one smallest ``GRAM``-word gram (its anchor), the same wherever the window occurs. A window
+   whose anchor occurs once only is a leaf of its own: its suffix needs no place in a tree.
+2. Splitting. What is left are runs of suffixes that begin one word apart and share an anchor. A run is handed on as the
+   words themselves, once for all its suffixes. Groups are formed by a word prefix of variable length: the anchor's
+   ``GRAM`` words, or, where the anchor occurs more often than ``SPLITS`` says, the first 12, 16 or all ``window`` words of
+   each suffix. The length follows from the anchor's count over all documents, so that a group fits a task.
+3. Building. Each task sorts the suffixes of its groups as word sequences and takes the common-prefix lengths of
+   neighbours; neighbours that share ``window`` words or more hang below one deep internal node. A node's first leaf in the
+   order of (doc_id, start) stays, its other leaves are removals; adjacent ones make up the maximal repeats.
+
+A task merges equal runs among its own rows before anything is shuffled, so that one passage held by a third of all rows
+sends one row per task and flush.
 """
 
 from __future__ import annotations
@@ -21,19 +23,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bounded_batches, chained, discard, largest, pieces, scratch, table
+from .common import Words, bit_field, bounded_batches, chained, discard, in_field, mix, pieces, scratch, table
 
 GRAM = 8
-#: Suffixes that may share a prefix of GRAM words before it is made longer; longer prefixes listed at most.
-GROUP, GROUPS = 4096, 200_000
-_FLUSH = 1 << 19
-#: h1 holds the prefix in its upper half, and half a hash of the whole window.
-_HALF = np.uint64(0xFFFFFFFF)
-_NONE = np.iinfo(np.int64).max
+#: Occurrences of an anchor beyond which its suffixes are grouped by a longer prefix, and that prefix's words (at most the window).
+SPLITS = ((4096, 12), (32_768, 16), (131_072, 1 << 30))
+#: Suffixes of one run; grams, and suffixes, that a task gathers before it hands them on; runs that are sorted at a time.
+RUN, FLUSH, SORTED = 64, 1 << 19, 16_384
 
 
 def _slide(x: np.ndarray, k: int, op) -> np.ndarray:
@@ -46,167 +47,214 @@ def _slide(x: np.ndarray, k: int, op) -> np.ndarray:
     return out
 
 
-def _minimal(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams; the minimal gram of each window and 0 where a window crosses documents; grams minimal in some window."""
-    n, wide = len(w.hash), window - GRAM + 1
+def _minimal(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams; the smallest gram of each window; whether the window lies in one document."""
+    n, wide = len(w.hash), window - gram + 1
     if n < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    grams = chained(w.hash, GRAM, 31)
+    grams = chained(w.hash, gram, 31)
     low = _slide(grams, wide, np.minimum)
     end = np.repeat(w.first[1:], w.counts())
-    low = np.where(np.arange(len(low)) + window <= end[: len(low)], low, np.uint64(0))
-    pad = np.zeros(wide - 1, np.uint64)
-    return grams, low, _slide(np.concatenate([pad, low, pad]), wide, np.maximum) == grams
+    return grams, low, np.arange(len(low)) + window <= end[: len(low)]
 
 
-def _packed(pos: np.ndarray, kind: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """One number for three: rows that are shuffled by the million stay short."""
-    return (pos << 3) | (kind.astype(np.int64) << 1) | more.astype(np.int64)
-
-
-def _first_seen(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order that brings equal rows of x together; where a new value begins in it."""
-    order = np.argsort(x, kind="stable")
-    s = x[order]
-    return order, np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-
-
-def _anchor_rows(window: int):
-    """kind 0: a gram once per task with its place; 1: a place known to be repeated; 2: a frequent prefix (pos times)."""
+def _anchor_rows(window: int, gram: int):
+    """x, r, pos, n: an anchor once per flush with one place and its count, and with n = 0 each further place of it."""
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            grams, d, pos, all_grams = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, new = _first_seen(grams)
-            alone = new & np.concatenate([new[1:], [True]])
-            own = (d * np.int64(-7046029254386353131)) ^ pos  # spreads the rows that need no meeting
-            x = np.where(new, grams.view(np.int64)[order], own[order])
-            yield table(x=x, d=d[order], f=_packed(pos[order], np.where(new, 0, 1), ~alone))
-            v, c = np.unique(all_grams, return_counts=True)
-            v, c = v[c > 3].view(np.int64), c[c > 3]
-            if len(v):
-                z = np.zeros(len(v), np.int64)
-                yield table(x=v, d=z, f=_packed(c.astype(np.int64), z + 2, z))
+            grams, r, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(grams, kind="stable")
+            grams, r, pos = grams[order], r[order], pos[order]
+            new = np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)]
+            n = np.zeros(len(grams), np.int64)
+            n[new] = np.diff(np.append(np.flatnonzero(new), len(grams)))
+            apart = mix(r.view(np.uint64) + pos.astype(np.uint64), 5)  # known to be repeated: these rows need not meet
+            return table(x=np.where(new, grams, apart).view(np.int64), r=r, pos=pos, n=n)
 
         for rb in pieces(batches):
             w = Words(rb.column("text"))
-            grams, low, pick = _minimal(w, window)
+            grams, low, ok = _minimal(w, window, gram)
+            pad = np.zeros(window - gram, np.uint64)
+            pick = _slide(np.concatenate([pad, np.where(ok, low, 0), pad]), window - gram + 1, np.maximum) == grams if len(low) else ok
             at = np.flatnonzero(pick)
             doc = w.doc()[at]
-            d = rb.column("d").to_numpy()[doc]
-            held.append((grams[at], d, (at - w.first[doc]).astype(np.int64), grams[: len(low)][low > 0]))
-            size += len(grams)
-            if size >= _FLUSH:
-                yield from flush()
+            held.append((grams[at], rb.column("r").to_numpy()[doc], (at - w.first[doc]).astype(np.int64)))
+            size += len(at)
+            if size >= FLUSH:
+                yield flush()
                 held, size = [], 0
-        if held:
-            yield from flush()
+        if size:
+            yield flush()
 
     return run
 
 
-def _suffix_rows(window: int, frequent: np.ndarray):
-    """kind 0: a suffix that goes to its prefix's tree; 1: a suffix that an earlier one in this task repeats."""
+def _run_rows(window: int, gram: int, fields):
+    """key, d, t, f, n, text: a run of n suffixes for the tree of its prefix; without text, one that an earlier run of this
+    flush repeats. f holds the first start, and whether the doc_id is null."""
 
     def run(batches):
-        held, size = [], 0
+        bits = fields.value
+        first: dict[tuple[int, bytes], tuple] = {}
+        known: list[tuple] = []
+        size = 0
 
         def flush():
-            h1, h2, d, start = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((start, d, h2, h1))
-            h1, h2, d, start = (x[order] for x in (h1, h2, d, start))
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])[: len(d)]
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
-            new |= (d == d[lead]) & (start == start[lead])  # the same row once more
-            spread = (d * np.int64(-7046029254386353131)) ^ start  # rows that need no meeting
-            f = _packed(start, np.where(new, 0, 1), np.zeros(len(d), bool))
-            return table(h1=np.where(new, h1.view(np.int64), spread), h2=np.where(new, h2.view(np.int64), 0), d=d, f=f)
+            spread = mix(np.arange(len(known), dtype=np.uint64), len(first)).view(np.int64).tolist()
+            rows = [(key, d, t, f, n, text) for (key, text), (_, d, t, f, n) in first.items()]
+            rows += [(key, d, t, f, n, None) for key, (_, d, t, f, n) in zip(spread, known, strict=True)]
+            types = dict.fromkeys(("key", "d", "t", "f", "n"), pa.int64()) | {"text": pa.string()}
+            return table(**{c: pa.array(v, types[c]) for c, v in zip(types, zip(*rows, strict=True), strict=True)})
 
         for rb in pieces(batches):
             w = Words(rb.column("text"))
-            grams, low, _ = _minimal(w, window)
+            grams, low, ok = _minimal(w, window, gram)
             if not len(low):
                 continue
             pos = rb.column("pos")
             flat, off = pos.flatten().to_numpy(), pos.offsets.to_numpy()
-            mark = np.zeros(len(grams) + window, bool)
             at = flat + np.repeat(w.first[:-1], np.diff(off))
-            mark[at[at < len(grams)]] = True
-            hit = np.zeros(len(low), bool)
-            for j in range(window - GRAM + 1):
-                hit |= mark[j : j + len(low)] & (grams[j : j + len(low)] == low)
-            s = np.flatnonzero(hit & (low > 0))
-            h1, h2, doc = chained(w.hash, window, 41)[s], chained(w.hash, window, 43)[s], w.doc()[s]
-            p = grams[s]
-            if len(frequent):
-                i = np.minimum(np.searchsorted(frequent, p), len(frequent) - 1)
-                p = np.where(frequent[i] == p, h1 << np.uint64(32), p)
-            h1 = (p & ~_HALF) | (h1 >> np.uint64(32))
-            held.append((h1, h2, rb.column("d").to_numpy()[doc], (s - w.first[doc]).astype(np.int64)))
-            size += len(s)
-            if size >= _FLUSH:
+            s = np.flatnonzero(ok & np.isin(low, np.unique(grams[at[at < len(grams)]])))
+            if not len(s):
+                continue
+            doc, anchor = w.doc()[s], low[s]
+            level = np.zeros(len(s), np.int64)
+            for k, field in enumerate(bits, 1):
+                level[in_field(field, anchor)] = k
+            key = anchor.copy()
+            for k, (_, words) in enumerate(SPLITS, 1):
+                if (m := level == k).any():
+                    key[m] = chained(w.hash, min(words, window), 47 + k)[s[m]]
+            new = np.concatenate([[True], (np.diff(s) != 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+            begin = np.flatnonzero(new)
+            inside = np.arange(len(s)) - begin[np.cumsum(new) - 1]
+            begin = np.flatnonzero(inside % RUN == 0)
+            n = np.diff(np.append(begin, len(s)))
+            a, doc, size = s[begin], doc[begin], size + len(s)
+            raw = w.raw.tobytes()
+            d, t, z = (rb.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("d", "t", "z"))
+            f = ((a - w.first[doc]) << 1) | z.astype(np.int64)
+            spans = zip(w.starts[a].tolist(), w.ends[a + n + window - 2].tolist(), strict=True)
+            for key_, x, y, d_, t_, f_, n_ in zip(key[begin].view(np.int64).tolist(), *zip(*spans, strict=True), d.tolist(), t.tolist(), f.tolist(), n.tolist(), strict=True):
+                text = raw[x:y]
+                me = (f_ & 1, d_, t_, f_, n_)
+                other = first.setdefault((key_, text), me)
+                if other != me:
+                    if me < other:
+                        first[key_, text], me = me, other
+                    known.append(me)
+            if size >= FLUSH:
                 yield flush()
-                held, size = [], 0
-        if held:
+                first, known, size = {}, [], 0
+        if first:
             yield flush()
 
     return run
 
 
-def _deep_nodes(batches):
-    """Reads the sorted suffixes of each subtree; leaves of a full-depth node, but for its first, are removals."""
-    last = (0, 0, -1, -1)
-    for rb in batches:
-        h1, h2, d, f = (rb.column(x).to_numpy() for x in ("h1", "h2", "d", "f"))
-        kind, start = (f >> 1) & 3, f >> 3
+def suffix_order(w: Words, start: np.ndarray, depth: int, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at these words as word sequences of depth words, then by more values (last first);
+    for each suffix in it, the words it shares with the one before (0 for the first)."""
+    _, ids = np.unique(w.hash, return_inverse=True)
+    bits = max(1, int(ids.max()).bit_length())
+    words = ids[start[:, None] + np.arange(depth)]
+    each = 63 // bits
+    packed = []
+    for a in range(0, depth, each):
+        col = np.zeros(len(start), np.int64)
+        for j in range(a, min(depth, a + each)):
+            col = (col << bits) | words[:, j]
+        packed.append(col)
+    order = np.lexsort((*then, *packed[::-1]))
+    words = words[order]
+    unlike = words[1:] != words[:-1]
+    shared = np.where(unlike.any(1), unlike.argmax(1), depth)
+    return order, np.concatenate([np.zeros(1, np.int64), shared])
+
+
+def _trees(window: int):
+    """d, t, z, start, n: runs of removals, from runs of suffixes in the order of their prefix keys."""
+
+    def leaves(rows: pa.Table):
+        w = Words(rows.column("text").combine_chunks())
+        n, f = rows.column("n").to_numpy(), rows.column("f").to_numpy()
+        own = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        d, t, z, start = rows.column("d").to_numpy()[own], rows.column("t").to_numpy()[own], f[own] & 1, (f[own] >> 1) + step
+        order, shared = suffix_order(w, w.first[own] + step, window, start, t, d, z)
+        d, t, z, start = d[order], t[order], z[order], start[order]
+        node = np.maximum.accumulate(np.where(shared >= window, 0, np.arange(len(d))))  # first leaf below the same deep node
+        out = (d != d[node]) | (t != t[node]) | (z != z[node]) | (start != start[node])
+        d, t, z, start = d[out], t[out], z[out], start[out]
+        order = np.lexsort((start, t, d, z))
+        d, t, z, start = d[order], t[order], z[order], start[order]
         if not len(d):
-            continue
-        known = kind == 1
-        tree = np.flatnonzero(~known)
-        out = known.copy()
-        if len(tree):
-            g1, g2, gd, gs = (np.concatenate([[np.int64(y)], x[tree]]) for x, y in zip((h1, h2, d, start), last, strict=True))
-            new = np.concatenate([[True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            out[tree] = ((gd != gd[lead]) | (gs != gs[lead]))[1:]
-            last = g1[lead[-1]], g2[lead[-1]], gd[lead[-1]], gs[lead[-1]]
-        yield table(d=d[out], start=start[out])
-
-
-def _cut(batches):
+            return None
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (z[1:] != z[:-1]) | (np.diff(start) > 1)])
+        a = np.flatnonzero(new)
+        last = np.append(a[1:], len(d)) - 1
+        return table(d=d[a], t=t[a], z=z[a].astype(bool), start=start[a], n=start[last] - start[a] + 1)
+
+    def run(batches):
+        held, size, enough = [], 0, SORTED
+        for rb in batches:
+            known = rb.filter(pc.is_null(rb.column("text")))
+            if known.num_rows:
+                f = known.column("f").to_numpy()
+                yield table(d=known.column("d"), t=known.column("t"), z=(f & 1).astype(bool), start=f >> 1, n=known.column("n"))
+            held.append(rb.filter(pc.is_valid(rb.column("text"))))
+            size += held[-1].num_rows
+            if size >= enough:
+                rows = pa.Table.from_batches(held)
+                key = rows.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
+                if cut and (out := leaves(rows.slice(0, cut))) is not None:
+                    yield out
+                held, size = rows.slice(cut).to_batches(), rows.num_rows - cut
+                enough = max(SORTED, 2 * size)
+        if size and (out := leaves(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return run
+
+
+def _cut(window: int):
     """Per document: what is left of its words, and the text with the removed words' spans cut out."""
-    for rb in pieces(batches):
-        w = Words(rb.column("text"), hashes=False)
-        gone = rb.column("gone")
-        flat, off = gone.flatten().to_numpy(), gone.offsets.to_numpy()
-        off = off - off[0]
-        window = rb.column("window")[0].as_py()
-        n, sha, texts = [], [], []
-        for i in range(rb.num_rows):
-            a, b = w.first[i], w.first[i + 1]
-            step = np.zeros(b - a + 1, np.int64)
-            s = flat[off[i] : off[i + 1]]
-            s = s[s < b - a]
-            np.add.at(step, s, 1)
-            np.add.at(step, np.minimum(s + window, b - a), -1)
-            keep = np.cumsum(step)[:-1] == 0
-            body = w.joined(i, keep)
-            n.append(int(len(keep) - keep.sum()))
-            sha.append(hashlib.sha256(body).hexdigest())
-            raw, pieces_ = w.raw, []
-            at, stop = w.off[i], w.off[i + 1]
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
-            for x, y in zip(edge[::2], edge[1::2], strict=True):  # words x..y-1 go, with the white space that follows
-                pieces_.append(raw[at : w.starts[a + x]])
-                at = w.starts[a + y] if a + y < b else stop
-            pieces_.append(raw[at:stop])
-            texts.append(b"".join(p.tobytes() for p in pieces_))
-        yield table(
-            d=rb.column("d"), whole_sha256=rb.column("whole_sha256"), n_removed=pa.array(n, pa.int64()),
-            kept_sha256=pa.array(sha, pa.string()), kept_text=pa.array(texts, pa.binary()).cast(pa.string()),
-        )
+
+    def run(batches):
+        for rb in pieces(batches):
+            w = Words(rb.column("text"), hashes=False)
+            gone = rb.column("gone")
+            off = gone.offsets.to_numpy() - gone.offsets[0].as_py()
+            start, count = (gone.flatten().field(c).to_numpy() for c in ("start", "n"))
+            n, sha, texts = [], [], []
+            for i in range(rb.num_rows):
+                a, b = w.first[i], w.first[i + 1]
+                step = np.zeros(b - a + 1, np.int64)
+                s, m = start[off[i] : off[i + 1]], count[off[i] : off[i + 1]]
+                np.add.at(step, s, 1)
+                np.add.at(step, s + m - 1 + window, -1)
+                keep = np.cumsum(step)[:-1] == 0
+                body = w.joined(i, keep)
+                n.append(int(len(keep) - keep.sum()))
+                sha.append(hashlib.sha256(body).hexdigest())
+                raw, parts = w.raw, []
+                at, stop = w.off[i], w.off[i + 1]
+                edge = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
+                for x, y in zip(edge[::2], edge[1::2], strict=True):  # words x..y-1 go, with the white space that follows
+                    parts.append(raw[at : w.starts[a + x]])
+                    at = w.starts[a + y] if a + y < b else stop
+                parts.append(raw[at:stop])
+                texts.append(b"".join(p.tobytes() for p in parts))
+            yield table(
+                d=rb.column("d"), t=rb.column("t"), z=rb.column("z"), n_removed=pa.array(n, pa.int64()),
+                kept_sha256=pa.array(sha, pa.string()), kept_text=pa.array(texts, pa.binary()).cast(pa.string()),
+            )
+
+    return run
 
 
 def _whole(batches):
@@ -217,67 +265,65 @@ def _whole(batches):
         yield table(**cols, n_words=w.counts().astype(np.int64), whole_sha256=pa.array(sha, pa.string()))
 
 
+KEY = ["d", "t", "z"]
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the key of a document: (d, t, z). Rows of one doc_id and one text are one document; z marks a null doc_id.
+
+    The order of documents is that of (z, d, t): doc_id first, null last, then a hash of the text. Texts are told apart by
+    64 bits within a doc_id, and by 128 bits among null ones.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    id_ = F.col(doc_id).cast("long")
+    return docs.withColumns({"d": F.coalesce(id_, F.xxhash64(F.lit("d"), body)), "t": F.xxhash64(body), "z": id_.isNull()})
+
+
 def removals(docs: DataFrame, window: int = 20) -> DataFrame:
-    """d, whole_sha256, n_removed, kept_sha256, kept_text of each document that loses words.
+    """d, t, z, n_removed, kept_sha256, kept_text of each document that loses words.
 
-    docs: d (long, not null), text. Starts are judged on the input.
+    docs: the key of keyed(), and text (not null). Starts are judged on the input.
     """
     spark = docs.sparkSession
-    rows = docs.mapInArrow(_anchor_rows(window), "x long, d long, f long").repartition("x")
-    kind = F.shiftright("f", 1).bitwiseAND(F.lit(3).cast("long"))
-    rows = rows.withColumns({"kind": kind, "more": F.col("f").bitwiseAND(F.lit(1).cast("long")), "pos": F.shiftright("f", 3)})
-    met = Window.partitionBy("x", F.expr("kind = 2"))
-    rows = rows.withColumn("seen", F.count("*").over(met)).withColumn("any_more", F.max("more").over(met))
-    anchors = scratch(rows.where("kind > 0 or seen > 1 or any_more = 1").select("kind", "x", "d", "pos"), "anchors")
-    frequent = anchors.where("kind = 2").groupBy("x").agg(F.sum("pos").alias("n")).where(F.col("n") > GROUP)
-    frequent = largest(frequent, "n", GROUPS).select("x").toArrow().column("x").to_numpy()
-
-    places = anchors.where("kind < 2").groupBy("d").agg(F.collect_list("pos").alias("pos"))
-    held = docs.join(places, "d").select("d", "text", "pos")
+    gram = min(GRAM, window)
+    r = F.xxhash64(*KEY)  # equal values only bring more candidates
+    rows = docs.select(r.alias("r"), "text").mapInArrow(_anchor_rows(window, gram), "x long, r long, pos long, n long")
+    rows = rows.withColumn("seen", F.sum("n").over(Window.partitionBy("x")))
+    anchors = scratch(rows.where("n = 0 or seen > 1").select("x", "r", "pos", "n"), "anchors")
+    often = anchors.where("n > 0").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") > SPLITS[0][0])
+    often = scratch(often, "often")
+    fields = spark.sparkContext.broadcast([bit_field(often.where(F.col("n") > n), "x") for n, _ in SPLITS])
+
+    places = anchors.groupBy("r").agg(F.collect_list("pos").alias("pos"))
+    held = docs.select(r.alias("r"), *KEY, "text").join(places, "r").select(*KEY, "text", "pos")
     held = scratch(held, "repeating")
-    discard(anchors)
-    suffixes = held.mapInArrow(
-        _suffix_rows(window, np.sort(frequent.view(np.uint64))), "h1 long, h2 long, d long, f long"
-    )
-    prefix = F.shiftrightunsigned("h1", 32)
-    suffixes = suffixes.repartition(prefix).sortWithinPartitions("h1", "h2", "d", "f")
-    gone = suffixes.mapInArrow(_deep_nodes, "d long, start long").groupBy("d").agg(F.collect_set("start").alias("gone"))
-    cut = held.select("d", "text").join(gone, "d").withColumn("window", F.lit(window))
-    cut = cut.select("d", "gone", "window", "text").mapInArrow(_with_sha, _CUT_IN)
-    out = cut.mapInArrow(_cut, "d long, whole_sha256 string, n_removed long, kept_sha256 string, kept_text string")
-    out = scratch(out.dropDuplicates(["d", "whole_sha256"]), "cut")
+    discard(anchors, often)
+    runs = held.mapInArrow(_run_rows(window, gram, fields), "key long, d long, t long, f long, n long, text string")
+    runs = runs.repartition("key").sortWithinPartitions("key")
+    gone = runs.mapInArrow(_trees(window), "d long, t long, z boolean, start long, n long")
+    gone = gone.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    # a repeated row is in held as often as it came
+    cut = held.select(*KEY, "text").join(gone, KEY).dropDuplicates(KEY)
+    cut = cut.mapInArrow(_cut(window), "d long, t long, z boolean, n_removed long, kept_sha256 string, kept_text string")
+    out = scratch(cut, "cut")
     discard(held)
     return out
 
 
-_CUT_IN = "d long, gone array<long>, window int, text string, whole_sha256 string"
-
-
-def _with_sha(batches):
-    for rb in pieces(batches):
-        w = Words(rb.column("text"), hashes=False)
-        sha = [hashlib.sha256(w.joined(i)).hexdigest() for i in range(rb.num_rows)]
-        yield table(**{c: rb.column(c) for c in rb.schema.names}, whole_sha256=pa.array(sha, pa.string()))
-
-
-def _ids(docs: DataFrame) -> DataFrame:
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
-    return docs.withColumn("d", d).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def dedup_report(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs (doc_id, text); other columns are ignored.
 
     A word goes if a window of ``window`` consecutive words of its document covers it whose words also start earlier: in
-    a document of smaller doc_id, or earlier in the same one. Null texts have no words. A null doc_id counts as larger
-    than all others. Repeated rows are one document; where one doc_id has several texts, what goes from one goes from
-    each at the same place. An empty table gives an empty result.
+    a document of smaller doc_id, or earlier in the same one. Null texts have no words. Rows of one doc_id and one text are
+    one document and get one answer; several texts of one doc_id are documents of their own, in the order of a hash of the
+    text, and so are texts without doc_id, after all others. An empty table gives an empty result. A text is worked on
+    whole in one task, at some 60 bytes of memory for each of its bytes.
     """
     bounded_batches(docs.sparkSession)
-    docs = _ids(docs.select("doc_id", "text"))
-    cut = removals(docs.select("d", "text"), window).drop("kept_text")
-    whole = docs.select("doc_id", "d", "text").mapInArrow(_whole, "doc_id long, d long, n_words long, whole_sha256 string")
-    out = whole.join(cut, ["d", "whole_sha256"], "left")
+    docs = keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    cut = removals(docs.select(*KEY, "text"), window).drop("kept_text")
+    whole = docs.select(F.col("doc_id").cast("long"), *KEY, "text").mapInArrow(_whole, "doc_id long, d long, t long, z boolean, n_words long, whole_sha256 string")
+    out = whole.join(cut, KEY, "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
@@ -287,14 +333,12 @@ def dedup_report(docs: DataFrame, window: int = 20) -> DataFrame:
 def dedup_texts(docs: DataFrame, window: int = 20) -> DataFrame:
     """The rows of docs with repeated passages cut out of text; rows left without a word go. Other columns stay.
 
-    Texts that lose nothing stay as they are, byte for byte; null texts stay null.
+    Rows are documents as in dedup_report. Texts that lose nothing stay as they are, byte for byte; null texts stay null.
     """
     bounded_batches(docs.sparkSession)
-    plain = _ids(docs.select("doc_id", "text")).select("d", "text")
-    cut = removals(plain, window).select("d", "kept_text").dropDuplicates(["d"])
-    keep = docs.select(F.struct("*").alias("doc"))
-    keep = keep.withColumn("d", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(_NONE)))
-    out = keep.join(cut, "d", "left")
+    plain = keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    cut = removals(plain.select(*KEY, "text"), window).select(*KEY, "kept_text")
+    out = keyed(docs.select(F.struct("*").alias("doc")), "doc.doc_id", "doc.text").join(cut, KEY, "left")
     out = out.where(F.col("kept_text").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     text = F.coalesce("kept_text", F.col("doc.text").cast("string"))
     return out.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

@@ -126,6 +126,72 @@ def test_substring(docs, none):
     assert left[110] is None and substring_dedup.dedup_texts(docs).columns == docs.columns
 
 
+def passages_removed(rows_):
+    """n_removed and kept words of each distinct (doc_id, text), by plain comparison."""
+    order = sorted({*rows_}, key=lambda x: (x[0] is None, x[0] or 0))
+    seen, out = {}, {}
+    for i, t in order:
+        w = words(t)
+        for k in range(len(w) - 19):
+            seen.setdefault(tuple(w[k : k + 20]), []).append((i, t, k))
+    for i, t in order:
+        w = words(t)
+        sure, may = [False] * len(w), [False] * len(w)
+        for k in range(len(w) - 19):
+            for j, u, m in seen[tuple(w[k : k + 20])]:
+                if (j, u) == (i, t):
+                    earlier = maybe = m < k
+                else:  # the order of texts of one doc_id is that of a hash
+                    maybe = (j is None, j or 0) <= (i is None, i or 0)
+                    earlier = (j is None, j or 0) < (i is None, i or 0)
+                if earlier:
+                    sure[k : k + 20] = [True] * 20
+                if maybe:
+                    may[k : k + 20] = [True] * 20
+        out[i, t] = w, sure, may
+    return out
+
+
+@pytest.mark.parametrize("splits", [substring_dedup.SPLITS, ((1, 12), (3, 16), (6, 99))])
+def test_substring_null_and_repeated_ids(spark, monkeypatch, splits):
+    monkeypatch.setattr(substring_dedup, "SPLITS", splits)
+    rnd = random.Random(11)
+    p = " ".join(f"p{i}" for i in range(30))
+    alpha, beta = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    line = "this one line of ten words stands in very many texts"
+    more = [(i, f"x{i} {line} " + " ".join(rnd.choices(["u", "v", "w"], k=40))) for i in range(100, 140)]
+    rows_ = [(1, p), (None, f"{p} {alpha}"), (None, beta), (None, None), (7, f"{p} {alpha}"), (7, beta), (7, beta), (7, f"{beta} {p}"), (3, "a b c d e " * 400), (4, "a b c d e " * 90 + "z"), *more]
+    want = passages_removed(rows_)
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    report = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_report(df).collect())
+    assert sum(report.values()) == len(rows_)
+    left = Counter((r.doc_id, r.text) for r in substring_dedup.dedup_texts(df).collect())
+    for (i, t), (w, sure, may) in want.items():
+        n = rows_.count((i, t))
+        answers = {}
+        for gone in (sure, may):
+            kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+            answers[i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()] = kept
+        assert any(report[a] >= n for a in answers), (i, t)
+        if i != 7 and not (i is None and t and "b0" in t):
+            assert sure == may
+        texts_ = [k for k in left if k[0] == i and " ".join(words(k[1])) in answers.values()]
+        assert texts_ or "" in answers.values()
+    assert left[None, beta] + left[7, beta] + left[7, f"{beta} {p}"] <= 3 and left[None, None] == 1
+
+
+def test_substring_short_windows(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c y"), (3, "q b c d")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_report(df, 3).collect()} == {1: 0, 2: 3, 3: 3}
+
+
+def test_suffix_order():
+    w = substring_dedup.Words(pa.array(["a b a b c a b a"]))
+    order, shared = substring_dedup.suffix_order(w, np.arange(5), 4)
+    suffixes = [tuple(w.hash[i : i + 4]) for i in order]
+    assert suffixes == sorted(suffixes) and [sum(x == y for x, y in zip(a, b)) if a[0] == b[0] else 0 for a, b in zip(suffixes, suffixes[1:])] >= list(shared[1:])
+
+
 # ---------------------------------------------------------------- quality rules
 
 
@@ -413,6 +479,27 @@ def test_stages_take_nulls_and_repeats(spark, docs, none):
     assert sum(r.doc_id is None for r in kept) == 2 and 76 not in {r.doc_id for r in kept if r.text == dict(texts())[75]}
 
 
+def test_stages_decide_by_row(spark):
+    """Rows of a null or repeated doc_id are judged each by its own text."""
+    import corpus_pipeline
+
+    good = [" ".join(f"{x}{(i * 7 + j * 13) % 89}" for j in range(90)) for i, x in enumerate("abcdefgh" * 5)]
+    junk = "spam spam spam " * 40
+    near = good[0].split()
+    near[45] = "other"
+    rows_ = [(i, t, "en", "s", 1) for i, t in enumerate(good[:30])]
+    rows_ += [(None, good[30], "en", "s", 1), (None, junk, "en", "s", 1), (5, junk, "en", "s", 1), (5, good[31], "en", "s", 1)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality(spark, df, SF).collect())
+    assert (None, junk) not in kept and (5, junk) not in kept and kept[None, good[30]] == kept[5, good[31]] == 1
+    copies = [(9, good[0]), (9, good[0]), (None, good[0]), (None, " ".join(near)), (9, good[1]), (None, good[2]), (None, good[2]), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in copies], df.schema)
+    one = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    assert one == Counter({(9, good[0]): 1, (9, good[1]): 1, (None, good[2]): 1, (None, None): 2})
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, df, SF).collect())
+    assert {*mixed} <= {*copies}
+
+
 # ---------------------------------------------------------------- whole jobs
 
 
