@@ -14,21 +14,14 @@ from stratalake.llm.common import scratch
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids; a null doc_id counts as a value."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keys = ids.select(key.alias("_key")).distinct()
-    return docs.select(*COLUMNS).withColumn("_key", key).join(keys, "_key", "left_semi").drop("_key")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    return _kept(docs, quality_rules.judged(docs).where("kept"))
+    return quality_rules.kept_rows(docs).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near copies."""
-    return _kept(docs, jaccard_join.jaccard_classes(docs).where("doc_id <=> component_id"))
+    """One document of each group of near copies: that of smallest doc_id."""
+    return jaccard_join.representatives(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
