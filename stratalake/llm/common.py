@@ -65,8 +65,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def largest(df: DataFrame, column: str, most: int) -> DataFrame:
-    """The rows of df with the largest positive values of column, at most so many: whole steps of a logarithmic scale.
+def parted(df: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of df with the largest positive values of column, at most so many: whole steps of a logarithmic scale; and
+    the others.
 
     Counts per step go to the driver (a few hundred), never the rows themselves.
     """
@@ -78,7 +79,8 @@ def largest(df: DataFrame, column: str, most: int) -> DataFrame:
         if total > most:
             break
         least = row["step"]
-    return df.where(F.lit(False) if least is None else (F.col(column) > 0) & (step >= least))
+    top = F.lit(False) if least is None else (F.col(column) > 0) & (step >= least)
+    return df.where(top), df.where(~top)
 
 
 def bit_field(keys: DataFrame, column: str) -> np.ndarray:

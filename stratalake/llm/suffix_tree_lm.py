@@ -1,37 +1,39 @@
 """Operator 8: language-model scoring by a probabilistic suffix tree over words.
 
-Symbols are all words and the end of a text. The tree's contexts are the last one or two words. A context enters if it
-occurs ``LEAST`` times and a divergence test says that its next-symbol counts differ from what its parent (the context
-without its oldest word) predicts; its distribution is its counts smoothed towards its parent's. The root discounts word
-counts absolutely, all unseen words together having the discounted mass. A text is scored along the longest retained suffix
-at each place.
-
-Nothing of the tree is bounded in number. Given a context, the logarithm of a symbol's probability is the root's, plus one
-term for every retained context along the suffix, plus one for every edge of these, so nodes and edges are one written table
-of terms by hash. The most frequent words and terms are sent to the tasks (fixed numbers, only for speed); all others meet the
-texts in one join by hash. A bit field of fixed size over all terms keeps those that cannot match out of that join.
+Symbols are all words and the end of a text. A context is the last one to ``DEPTH`` words; every context of ``LEAST``
+occurrences or more is tested against its longest retained suffix, and is retained if its next-symbol counts diverge from
+what that suffix predicts. Symbols without an edge of their own (seen less than ``PAIR`` times after the context, or hardly
+likelier than the suffix says) count as one in the test, and keep the suffix's distribution over what is left of the
+probability; a context's edges are its counts smoothed by ``PRIOR``. The root discounts word counts absolutely, all unseen
+words together having the discounted mass. A text is scored along the longest retained suffix at each place.
+
+Nothing is bounded in number. Given a context, the logarithm of a symbol's probability is the root's, plus one term for
+every retained context along the suffixes, plus one for every edge of these, so nodes and edges are one written table of
+terms by hash. The most frequent words and terms are sent to the tasks (fixed numbers, only for speed); all others meet the
+texts in one join by hash. Bit fields of fixed size tell which grams are frequent and which terms exist, so that the texts
+send only what may be asked for. The texts are read once for the words, once for contexts of one word, once for those of
+two, and once for all longer ones, whose candidates are made up of frequent grams of three words.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, discard, largest, mix, pieces, scratch, table
+from .common import Words, bit_field, bounded_batches, discard, in_field, mix, parted, pieces, scratch, table
 
 #: Words and terms that tasks know by heart, keys that joins broadcast: for speed alone, the others are met by shuffles.
-TOP, TOP_TERMS, TOP_KEYS = 200_000, 400_000, 20_000
-RARE, END = TOP, TOP + 1
-SYMBOLS = TOP + 2
-#: Least occurrences of a context, divergence it needs (nats), weight of its parent, words in the longest context.
-LEAST, DIVERGENCE, PRIOR, DEPTH = 20, 0.02, 20.0, 2
+TOP, TOP_TERMS, TOP_KEYS = 200_000, 1_000_000, 20_000
+#: The symbol of a text's end; frequent words are their ranks, other words their hashes.
+END = 1 << 61
+#: Least occurrences of a context and of an edge; divergence a context needs (nats per occurrence) and gain an edge needs
+#: (nats); weight of the suffix; words in the longest context.
+LEAST, PAIR, DIVERGENCE, GAIN, PRIOR, DEPTH = 20, 3, 0.02, 1.0, 10.0, 6
 #: Tells contexts' terms from those of edges.
 _NODE = 0x510E527FADE682D1
-_FLUSH = 1 << 19
+_FLUSH = 1 << 20
 
 
 def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -59,7 +61,7 @@ def _counted(of, names: list[str]):
         held, size = [], 0
         for rb in pieces(batches):
             values = of(rb)
-            held.append(_summed([(*values, np.ones(len(values[0]), np.int64))]))
+            held.append((*values, np.ones(len(values[0]), np.int64)))
             size += len(held[-1][-1])
             if size >= _FLUSH:
                 held = [_summed(held)]
@@ -77,7 +79,7 @@ def _word_values(rb):
     return (Words(rb.column("text"), lower=True).hash,)
 
 
-def _xxhash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def xxhash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Spark's xxhash64(a, b)."""
     u = np.uint64
     p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
@@ -93,50 +95,47 @@ def _xxhash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def _grams(v: np.ndarray, begin: np.ndarray, depth: int):
-    """For k from 1 to depth: places with k words before them in their text, and there the keys of the context and of the
-    parent's context and symbol. xxhash64 of the two is the key of context and symbol."""
+def walk(v: np.ndarray, begin: np.ndarray, depth: int, frequent: dict[int, np.ndarray]):
+    """For k = 1, 2, ..., depth: k, the places whose last k words may be a frequent context, the keys of that context and of
+    the context without its oldest word together with the symbol, and the key of context and symbol.
+
+    frequent[k]: field of the frequent grams of k words; beyond the last one, a gram may be frequent if its parts may be.
+    """
     since = np.arange(len(v)) - np.repeat(begin, np.diff(np.append(begin, len(v))))
+    at = np.flatnonzero(since >= 1)
+    at = at[in_field(frequent[1], xxhash(v[at - 1], v[at - 1]))] if 1 in frequent else at[:0]
     key = v  # of the k symbols that end at each place
     for k in range(1, depth + 1):
-        at = np.flatnonzero(since >= k)
-        yield at, key[at - 1], key[at]
-        if k < depth:
-            both = np.zeros(len(v), np.uint64)
-            both[at] = _xxhash(key[at - 1], key[at])
-            key = both
-
-
-def _bits(keys: DataFrame, column: str) -> np.ndarray:
-    """A field of 2**26 bits with those of the keys set: a key whose bit is not set is not among them."""
-    x = keys.select(F.col(column).alias("x"))
-    found = x.groupBy(F.expr("shiftrightunsigned(x, 44)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(x, 38) & 63 as int)))").alias("b")).toArrow()
-    bits = np.zeros(1 << 20, np.uint64)
-    bits[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    return bits
-
-
-def _maybe(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return (bits[x >> np.uint64(44)] >> ((x >> np.uint64(38)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+        if not len(at):
+            return
+        ctx, par = key[at - 1], key[at]
+        both = xxhash(ctx, par)
+        yield k, at, ctx, par, both
+        key, alive = np.zeros(len(v), np.uint64), np.zeros(len(v), bool)
+        key[at], alive[at] = both, True
+        at = at[alive[at - 1]]
+        if k + 1 in frequent:
+            at = at[in_field(frequent[k + 1], key[at - 1])]
 
 
 def _met(rows: DataFrame, other: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """rows joined with other by key, the keys of largest weight by broadcast: no task has all rows of a hot key."""
-    hot = largest(other, weight, TOP_KEYS).drop(weight)
+    hot, rest = (x.drop(weight) for x in parted(other, weight, TOP_KEYS))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(cold.join(other.drop(weight), key, how))
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key, how))
 
 
 class Tree:
-    """What the tasks hold: frequent words, the heaviest terms, and the bits of all terms."""
+    """What the tasks hold: frequent words, the heaviest terms, and fields of the frequent grams, all words and all terms."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: dict):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: dict, depth: int):
         rank = np.lexsort((words, -counts))
-        self.by_rank = words[rank]
         order = np.argsort(words)
-        self.words, self.counts, self.totals = words[order], counts[order], totals
+        self.words, self.counts, self.totals, self.depth = words[order], counts[order], totals, depth
         self.rank = np.argsort(rank)[order].astype(np.uint64)
-        self.keys, self.terms, self.bits = np.zeros(0, np.uint64), np.zeros(0), np.zeros(1 << 20, np.uint64)
+        self.keys, self.terms = np.zeros(0, np.uint64), np.zeros(0)
+        self.frequent: dict[int, np.ndarray] = {}
+        self.known = self.bits = np.zeros(1 << 20, np.uint64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent words and whether it is one."""
@@ -145,9 +144,8 @@ class Tree:
         i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return i, self.words[i] == h
 
-    def values(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts, each with its end: a frequent word's rank, another's hash; where each text begins; index and
-        known of the words."""
+    def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts, each with its end; where each text begins; index and known of the words."""
         i, known = self.find(w.hash)
         v = np.full(len(w.hash) + len(w.first) - 1, END, np.uint64)
         v[np.arange(len(w.hash)) + w.doc()] = np.where(known, self.rank[i], w.hash) if len(self.rank) else w.hash
@@ -162,10 +160,10 @@ class Tree:
 
     def along(self, v: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sum of the terms held at each place, and the places and keys of those that may be in the table only."""
-        total, places, keys = np.zeros(len(v)), [], []
-        for at, ctx, par in _grams(v, begin, DEPTH):
-            for x in (_xxhash(ctx, np.full(len(ctx), _NODE, np.uint64)), _xxhash(ctx, par)):
-                m = np.flatnonzero(_maybe(self.bits, x))
+        total, places, keys = np.zeros(len(v)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for _, at, ctx, _, both in walk(v, begin, self.depth, self.frequent):
+            for x in (xxhash(ctx, np.full(len(ctx), _NODE, np.uint64)), both):
+                m = np.flatnonzero(in_field(self.bits, x))
                 x, where = x[m], at[m]
                 if len(self.keys):
                     i = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
@@ -176,59 +174,64 @@ class Tree:
                 keys.append(x)
         return total, np.concatenate(places), np.concatenate(keys)
 
-    def probability(self, sym: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Probabilities by the terms held here, for symbols given by rank; RARE is all words that are not held."""
-        p = np.zeros(SYMBOLS)
-        c = self.counts[np.searchsorted(self.words, self.by_rank)]
-        p[: len(c)] = self.root(c)
-        p[END] = self.end()
-        p[RARE] = 1 - p.sum()
-        return p[sym] * 10 ** self.along(sym.astype(np.uint64), begin)[0]
-
 
-def _level(train: DataFrame, tree: Tree, k: int, frequent: np.ndarray, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(e, n, p) of all symbols e after contexts of k words that may be frequent, and the terms (x, d, n) of the contexts
-    that pass the test and of their edges. frequent: bits of the contexts; before: (e, n, p) of the parents."""
-    held = train.sparkSession.sparkContext.broadcast((tree, frequent))
+def _pairs(train: DataFrame, tree: Tree, first: int, last: int, likely: np.ndarray) -> DataFrame:
+    """k, ctx, par, n: counts of the symbols after frequent contexts of first to last words. likely: field of the grams of
+    first words (and, by their spread keys, of the words) that occur PAIR times; others cannot be edges."""
+    held = train.sparkSession.sparkContext.broadcast((tree, likely))
 
     def grams(rb):
-        t, bits = held.value
-        v, begin, *_ = t.values(Words(rb.column("text"), lower=True))
-        *_, (_, ctx, par) = _grams(v, begin, k)
-        m = _maybe(bits, _xxhash(ctx, ctx))
-        return ctx[m], par[m]
-
-    c = train.mapInArrow(_counted(grams, ["ctx", "par"]), "ctx long, par long, n long")
-    c = scratch(c.groupBy("ctx", "par").agg(F.sum("n").alias("n")), "grams")
+        t, field = held.value
+        v, begin, *_ = t.symbols(Words(rb.column("text"), lower=True))
+        out, may = [], None
+        for k, at, ctx, par, _ in walk(v, begin, last, t.frequent):
+            if k == first:
+                may = np.zeros(len(v), bool)
+                may[at] = in_field(field, xxhash(par, par) if k == 1 else par)
+            if k >= first:
+                m = may[at]
+                out.append((np.full(int(m.sum()), k, np.uint64), ctx[m], par[m]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64)] * 3
+
+    c = train.mapInArrow(_counted(grams, ["k", "ctx", "par"]), "k long, ctx long, par long, n long")
+    return scratch(c.groupBy("k", "ctx", "par").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR), "grams")
+
+
+def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(e, n, p) of the symbols e after the contexts of pairs (ctx, par, n), and the terms (x, d, n) of the contexts that pass
+    the test and of their edges. before: (e, n, p) one level up."""
     parents = before.select(F.col("e").alias("par"), F.col("p").alias("pp"), F.col("n").alias("w"))
-    full = scratch(_met(c, parents, "par", "w"), "predicted")
-    discard(c)
-    all_ = full.groupBy("ctx").agg(
-        F.sum("n").alias("of"), F.count("*").alias("kinds"),
-        F.sum(F.col("n") * (F.log("n") - F.log("pp"))).alias("g"),
-    )
-    kl = F.col("g") / F.col("of") - F.log("of")
-    df = F.greatest(F.col("kinds") - 1, F.lit(1))
-    passed = (F.col("of") >= LEAST) & (kl >= DIVERGENCE) & (2 * F.col("of") * kl > df + 4 * F.sqrt(2 * df))
-    nodes = scratch(all_.where(passed).select("ctx", "of", F.col("of").alias("w")), "nodes")
-    edge = (F.col("n") > 1) & (F.col("n") * (F.log(F.col("n") / F.col("of")) - F.log("pp")) > 1)
+    full = scratch(_met(pairs, parents, "par", "w"), "predicted")
+    sums = full.groupBy("ctx").agg(
+        F.sum("n").alias("own"), F.sum("pp").alias("over"), F.count("*").alias("kinds"), F.sum(F.col("n") * (F.log("n") - F.log("pp"))).alias("g")
+    )
+    of = before.where(F.col("n") >= LEAST).select(F.col("e").alias("ctx"), F.col("n").alias("of"))
+    rest = F.col("of") - F.col("own")
+    gain = F.col("g") - F.col("of") * F.log("of") + F.when(rest > 0, rest * (F.log(rest) - F.log(F.greatest(1 - F.col("over"), F.lit(1e-12))))).otherwise(0.0)
+    s = sums.join(of, "ctx").withColumn("gain", gain)
+    passed = (F.col("gain") >= DIVERGENCE * F.col("of")) & (2 * F.col("gain") > F.col("kinds") + 4 * F.sqrt(2 * F.col("kinds")))
+    nodes = scratch(s.where(passed).select("ctx", "of", F.col("of").alias("w")), "nodes")
+    edge = F.col("n") * (F.log(F.col("n") / F.col("of")) - F.log("pp")) > GAIN
     share = F.col("n") / (F.col("of") + PRIOR)
-    held_ = _met(full, nodes, "ctx", "w").where(edge).groupBy("ctx").agg(F.sum(share).alias("held"))
-    rest = nodes.join(held_, "ctx", "left").select("ctx", "of", "w", (1 - F.coalesce("held", F.lit(0.0))).alias("rest"))
-    rest = scratch(rest, "rest")
-    by_parent = F.coalesce("rest", F.lit(1.0)) * F.col("pp")
-    own = F.when(edge, share).otherwise(0.0)
-    out = _met(full, rest, "ctx", "w", "left").select(F.xxhash64("ctx", "par").alias("e"), "n", (F.coalesce(own, F.lit(0.0)) + by_parent).alias("p"), F.when(edge, F.log10((own + by_parent) / by_parent)).alias("d"))
+    held = _met(full, nodes, "ctx", "w").where(edge).groupBy("ctx").agg(F.sum(share).alias("held"))
+    left = nodes.join(held, "ctx", "left").select("ctx", "of", "w", (1 - F.coalesce("held", F.lit(0.0))).alias("rest"))
+    left = scratch(left, "rest")
+    by_suffix = F.coalesce("rest", F.lit(1.0)) * F.col("pp")
+    own = F.when(edge, share)
+    out = _met(full, left, "ctx", "w", "left").select(
+        F.xxhash64("ctx", "par").alias("e"), "n", (F.coalesce(own, F.lit(0.0)) + by_suffix).alias("p"), F.log10((own + by_suffix) / by_suffix).alias("d")
+    )
     out = scratch(out, "level")
     discard(full, nodes)
-    terms = rest.select(F.xxhash64("ctx", F.lit(_NODE)).alias("x"), F.log10("rest").alias("d"), F.col("of").alias("n"))
+    terms = left.select(F.xxhash64("ctx", F.lit(_NODE)).alias("x"), F.log10("rest").alias("d"), F.col("of").alias("n"))
     return out, terms.unionByName(out.where("d is not null").select(F.col("e").alias("x"), "d", "n"))
 
 
-def trained(train: DataFrame) -> tuple[Tree, DataFrame, dict]:
-    """The tree's part for the tasks, the table of all training words and terms (x, c, d: one of both null), and the totals,
-    from the texts of train (text)."""
-    vocab = scratch(train.mapInArrow(_counted(_word_values, ["x"]), "x long, n long").groupBy("x").agg(F.sum("n").alias("n")), "vocab")
+def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
+    """The tree's part for the tasks, and the table of the other training words and terms (x, c, d: one of both null), from
+    the texts of train (text)."""
+    vocab = train.mapInArrow(_counted(_word_values, ["x"]), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    vocab = scratch(vocab, "vocab")
     row = vocab.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count("*").alias("types"),
         F.count(F.when(F.col("n") == 1, 1)).alias("ones"), F.count(F.when(F.col("n") == 2, 1)).alias("twos"),
@@ -237,74 +240,77 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame, dict]:
     tokens, types = int(row["words"]) + docs, int(row["types"]) + (docs > 0)
     discount = min(max(row["ones"] / max(1, row["ones"] + 2 * row["twos"]), 0.05), 0.95)
     totals = {"tokens": tokens, "types": types, "docs": docs, "discount": discount, "unseen": (discount * types + 0.5) / (tokens + 0.5)}
-    top = largest(vocab, "n", TOP).toArrow()
-    tree = Tree(top.column("x").to_numpy().view(np.uint64), top.column("n").to_numpy(), totals)
+    top, others = parted(vocab, "n", TOP)
+    top = top.toArrow()
+    tree = Tree(top.column("x").to_numpy().view(np.uint64), top.column("n").to_numpy(), totals, DEPTH)
+    tree.known = bit_field(vocab, "x")
 
     spark = train.sparkSession
-    end = spark.createDataFrame([(END, docs)], "e long, n long").where("n > 0")
+    end = spark.createDataFrame([(END, docs)], "e long, n long")
     rank = spark.createDataFrame(pa.table({"x": tree.words.view(np.int64), "rank": tree.rank.view(np.int64)}))
-    seen = vocab.join(F.broadcast(rank), "x", "left").select(F.coalesce("rank", "x").alias("e"), "n").unionByName(end)
-    before, terms = seen.withColumn("p", (F.col("n") - discount) / (tokens + 0.5)), None
+    seen = vocab.join(F.broadcast(rank), "x", "left").select(F.coalesce("rank", "x").alias("e"), "n").unionByName(end).where(F.col("n") >= PAIR)
+    before, terms, pairs = seen.withColumn("p", (F.col("n") - discount) / (tokens + 0.5)), None, None
     for k in range(1, DEPTH + 1):
-        keys = before.where((F.col("n") >= LEAST) & (F.col("e") != END))
-        frequent = _bits(keys.select(F.xxhash64("e", "e").alias("e")), "e")
-        if not frequent.any():
-            break
-        before, found = _level(train, tree, k, frequent, before)
+        of = F.xxhash64("e", "e") if k == 1 else F.col("e")
+        if k <= 3:
+            field = bit_field(before.where((F.col("n") >= LEAST) & (F.col("e") != END)).select(of.alias("e")), "e")
+            if not field.any():
+                break
+            tree.frequent[k] = field
+            pairs = _pairs(train, tree, k, k if k < 3 else DEPTH, bit_field(before.select(of.alias("e")), "e"))
+        before, found = _level(pairs.where(F.col("k") == k).drop("k"), before)
         terms = found if terms is None else terms.unionByName(found)
-    table_ = vocab.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d"))
+    lookup = others.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d"))
     if terms is not None:
         terms = scratch(terms, "terms")
-        top = largest(terms, "n", TOP_TERMS).toArrow()
+        top, others = parted(terms, "n", TOP_TERMS)
+        top = top.toArrow()
         keys = top.column("x").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        tree.keys, tree.terms, tree.bits = keys[order], top.column("d").to_numpy()[order], _bits(terms, "x")
-        table_ = table_.unionByName(terms.select("x", F.lit(None).cast("long").alias("c"), "d"))
-    return tree, table_, totals
+        tree.keys, tree.terms, tree.bits = keys[order], top.column("d").to_numpy()[order], bit_field(terms, "x")
+        lookup = lookup.unionByName(others.select("x", F.lit(None).cast("long").alias("c"), "d"))
+    return tree, lookup
+
+
+_ROWS = "x long, d long, t long, z boolean, word boolean, n long, n_tokens long, n_known long, base double, score double"
 
 
 def _score_rows(held):
+    """Per text a row of sums, and rows of the words and terms that are left to look up (n times x)."""
+
     def run(batches):
         tree = held.value
         totals = tree.totals
         scale = np.log10(totals["tokens"] + totals["types"] + 1)
-        known_end = totals["docs"] > 0
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
             n_docs = rb.num_rows
-            v, begin, i, known = tree.values(w)
+            v, begin, i, known = tree.symbols(w)
             terms, places, keys = tree.along(v, begin)
             c = tree.counts[i] if len(tree.words) else np.zeros(len(w.hash))
-            own = np.where(known, np.log10(tree.root(c)), 0.0)
-            base = np.where(known, np.log10(c + 1) - scale, 0.0)
+            ask = ~known & in_field(tree.known, w.hash)  # may be a rarer training word
+            own = np.where(known, np.log10(tree.root(c)), np.where(ask, 0.0, np.log10(totals["unseen"])))
+            base = np.where(known, np.log10(c + 1) - scale, np.where(ask, 0.0, -scale))
             doc = w.doc()
             add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
             score = (np.add.reduceat(terms, begin) if n_docs else np.zeros(0)) + add(own) + np.log10(tree.end())
-            ids = rb.column("doc_id")
-            text = np.array([zlib.crc32(bytes(w.raw[a:b])) for a, b in zip(w.off[:-1], w.off[1:], strict=True)], np.uint64)
-            key = mix(ids.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64) ^ mix(text, 3), 5)
-            tokens = w.counts() + 1
-            z = np.zeros(n_docs, np.int64)
+            d, t, z = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t", "z"))
             yield table(
-                x=mix(key, 17).view(np.int64), key=key.view(np.int64), head=np.ones(n_docs, np.int64), n=z, m=z, doc_id=ids, n_tokens=tokens.astype(np.int64),
-                n_known=(add(known).astype(np.int64) + int(known_end)),
+                x=mix(t.view(np.uint64) ^ d.view(np.uint64), 17).view(np.int64), d=d, t=t, z=z, word=pa.nulls(n_docs, pa.bool_()), n=np.zeros(n_docs, np.int64),
+                n_tokens=(w.counts() + 1).astype(np.int64), n_known=add(known).astype(np.int64) + int(totals["docs"] > 0),
                 base=add(base) + np.log10(totals["docs"] + 1) - scale, score=score,
             )
-            rest = np.flatnonzero(~known)
+            rest = np.flatnonzero(ask)
             x = np.concatenate([w.hash[rest], keys])
             if len(x):
-                d = np.concatenate([doc[rest], np.searchsorted(begin, places, "right") - 1])
+                of = np.concatenate([doc[rest], np.searchsorted(begin, places, "right") - 1])
                 word = np.arange(len(x)) < len(rest)
-                order = np.lexsort((word, x, d))
-                d, x, word = d[order], x[order], word[order]
-                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (word[1:] != word[:-1])]))
-                n = np.diff(np.append(new, len(d))).astype(np.int64)
-                z = np.zeros(len(new), np.int64)
-                none = pa.nulls(len(new), pa.int64())
-                yield table(
-                    x=x[new].view(np.int64), key=key[d[new]].view(np.int64), head=z, n=np.where(word[new], n, 0), m=np.where(word[new], 0, n),
-                    doc_id=none, n_tokens=z, n_known=z, base=z.astype(float), score=z.astype(float),
-                )
+                order = np.lexsort((word, x, of))
+                of, x, word = of[order], x[order], word[order]
+                new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (x[1:] != x[:-1]) | (word[1:] != word[:-1])]))
+                of = of[new]
+                none = {c: pa.nulls(len(new), pa.int64()) for c in ("n_tokens", "n_known")} | {c: pa.nulls(len(new), pa.float64()) for c in ("base", "score")}
+                yield table(x=x[new].view(np.int64), d=d[of], t=t[of], z=z[of], word=word[new], n=np.diff(np.append(new, len(x))).astype(np.int64), **none)
 
     return run
 
@@ -315,28 +321,33 @@ def scored(docs: DataFrame) -> DataFrame:
     Tokens: words (runs of other characters than ASCII white space, A-Z lower-cased) and one end; a null text has the end
     alone. Training rows are those not held out by crc32 of doc_id; a null doc_id trains. base_score is the add-one unigram
     sum and score the tree's, both log10; unseen words are one token type in both. Without training rows every token is
-    unseen. Other columns are ignored; repeated rows train and come back as often as they came. An empty table gives an
-    empty result.
+    unseen. Other columns are ignored; repeated rows train and come back as often as they came; rows of one doc_id (or none)
+    and several texts are scored each by its own text, told apart by 64 bits (128 without doc_id). An empty table gives an
+    empty result. A text is worked on whole in one task, at some 100 bytes of memory for each of its bytes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tree, lookup, totals = trained(rows.where(~held_out(F.col("doc_id"))).select("text"))
-    fields = "x long, key long, head long, n long, m long, doc_id long, n_tokens long, n_known long, base double, score double"
-    s = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree)), fields)
-    s = s.join(lookup, "x", "left")
-    word = (F.col("head") == 0).cast("long") * F.col("n")
+    text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    train = docs.where(~held_out(doc_id)).select(text.alias("text"))
+    tree, lookup = trained(train)
+    totals = tree.totals
+    rows = docs.select(F.coalesce(doc_id, F.xxhash64(F.lit("d"), text)).alias("d"), F.xxhash64(text).alias("t"), doc_id.isNull().alias("z"), text.alias("text"))
+    s = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree)), _ROWS)
+    s = s.join(lookup.withColumnRenamed("d", "d_"), "x", "left")
     scale = float(np.log10(totals["tokens"] + totals["types"] + 1))
     share = F.when(F.col("c").isNull(), totals["unseen"]).otherwise(F.greatest(F.col("c") - totals["discount"], F.lit(0.05)) / (totals["tokens"] + 0.5))
-    g = s.groupBy("key").agg(
-        F.sum("head").alias("rows"), F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), word).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + word * (F.log10(F.coalesce("c", F.lit(0)) + 1) - scale)).alias("base"),
-        F.sum(F.col("score") + word * F.log10(share) + F.col("m") * F.coalesce("d", F.lit(0.0))).alias("score"),
+    word, n = F.col("word"), F.col("n")
+    zero = F.lit(0.0)
+    g = s.groupBy("d", "t", "z").agg(
+        F.count_if(word.isNull()).alias("rows"), F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.when(word.isNull(), F.col("n_known")).when(word & F.col("c").isNotNull(), n).otherwise(0)).alias("n_known"),
+        F.sum(F.when(word.isNull(), F.col("base")).when(word, n * (F.log10(F.coalesce("c", F.lit(0)) + 1) - scale)).otherwise(zero)).alias("base"),
+        F.sum(F.when(word.isNull(), F.col("score")).when(word, n * F.log10(share)).otherwise(n * F.coalesce("d_", zero))).alias("score"),
     )
-    g = g.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    g = g.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    doc = F.when(~F.col("z"), F.col("d"))
     return g.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
+        doc.alias("doc_id"), held_out(doc).alias("held_out"), "n_tokens",
         (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
         F.lit(totals["tokens"]).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"),

@@ -363,17 +363,74 @@ def test_suffix_tree(docs, none):
     assert rows(suffix_tree_lm.scored(none)) == []
 
 
-def test_suffix_tree_learns_contexts_and_is_a_distribution(spark):
+class PlainTree:
+    """The suffix tree by plain counting."""
+
+    def __init__(self, train, least, pair, divergence, gain, prior, depth):
+        seqs = [[*words(lower(t)), "\n"] for t in train]
+        self.count = Counter(w for s in seqs for w in s)
+        own = Counter({w: n for w, n in self.count.items() if w != "\n"})
+        ones, twos = (sum(n == k for n in own.values()) for k in (1, 2))
+        self.tokens, self.discount = sum(self.count.values()), min(max(ones / max(1, ones + 2 * twos), 0.05), 0.95)
+        self.unseen = (self.discount * len(self.count) + 0.5) / (self.tokens + 0.5)
+        self.nodes, self.depth = {}, depth
+        for k in range(1, depth + 1):
+            after = {}
+            for s in seqs:
+                for i in range(k, len(s)):
+                    after.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+            found = {}
+            for ctx, c in after.items():
+                of, listed = sum(c.values()), {w: n for w, n in c.items() if n >= pair}
+                if of < least or not listed:
+                    continue
+                pp = {w: self.p(ctx[1:], w) for w in listed}
+                rest = of - sum(listed.values())
+                g = sum(n * math.log(n / of / pp[w]) for w, n in listed.items()) + (rest * math.log(rest / of / max(1e-12, 1 - sum(pp.values()))) if rest else 0)
+                if g >= divergence * of and 2 * g > len(listed) + 4 * math.sqrt(2 * len(listed)):
+                    found[ctx] = {w: n / (of + prior) for w, n in listed.items() if n * math.log(n / of / pp[w]) > gain}
+            self.nodes |= found
+
+    def p(self, ctx, w):
+        if not ctx:
+            return max(self.count[w] - self.discount, 0.05) / (self.tokens + 0.5) if self.count[w] else self.unseen
+        below = self.p(ctx[1:], w)
+        edges = self.nodes.get(ctx)
+        return below if edges is None else edges.get(w, 0) + (1 - sum(edges.values())) * below
+
+    def score(self, text):
+        s = [*words(lower(text)), "\n"]
+        return sum(math.log10(self.p(tuple(s[max(0, i - self.depth) : i]), w)) for i, w in enumerate(s))
+
+
+@pytest.mark.parametrize("held", [1_000_000, 3])
+def test_suffix_tree_equals_plain_counting(spark, monkeypatch, held):
+    """Contexts of up to DEPTH words; with few held terms and words, the others come from the shuffle joins."""
+    rnd = random.Random(5)
+    phrase = [[f"{x}{k}" for x in "abcdefgh"[: rnd.randint(2, 8)]] for k in range(12)]
+    near = [["p", "q", "qq", "r", "s", f"end{k}", f"end{k}", "t"] for k in range(2)]  # differ after the fifth word only
+    near[1][0] = "o"
+    text = lambda: " ".join(w for _ in range(12) for w in rnd.choice([*phrase, *near, [f"n{rnd.randrange(60)}"]]))
+    rows_ = [(i, text()) for i in range(60)] + [(5, text()), (None, text()), (None, text()), (None, None), (61, ""), (62, "never seen Ä1 words " + text())]
+    rows_ += [rows_[3]]
+    monkeypatch.setattr(suffix_tree_lm, "LEAST", 5)
+    for name in ("TOP", "TOP_TERMS", "TOP_KEYS"):
+        monkeypatch.setattr(suffix_tree_lm, name, held)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    m = suffix_tree_lm
+    plain = PlainTree([t for i, t in rows_ if not out(i)], 5, m.PAIR, m.DIVERGENCE, m.GAIN, m.PRIOR, m.DEPTH)
+    assert max(map(len, plain.nodes)) >= 5
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 7)) for r in suffix_tree_lm.scored(df).collect())
+    assert got == sorted((i is None, i or 0, round(plain.score(t), 7)) for i, t in rows_)
+
+
+def test_suffix_tree_learns_contexts(spark):
     rnd = random.Random(5)
     text = lambda: " ".join(f"a{k} b{k} c{k}" for k in rnd.choices(range(30), k=200))
     df = spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string")
     r = [x for x in suffix_tree_lm.scored(df).collect() if x.held_out]
     assert all(x.score > 0.6 * x.base_score for x in r)
-    tree, _, _ = suffix_tree_lm.trained(df.select("text"))
-    for ctx in ([], [0], [0, 1], [5, 3]):
-        k = len(ctx) + 1
-        sym = np.concatenate([[*ctx, s] for s in range(suffix_tree_lm.SYMBOLS)])
-        assert math.isclose(tree.probability(sym, np.arange(0, len(sym), k))[k - 1 :: k].sum(), 1, rel_tol=1e-9)
 
 
 def test_classifier(spark, docs, none):
