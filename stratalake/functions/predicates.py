@@ -34,28 +34,40 @@ def _integer(t: Column) -> Column:
     return out
 
 
-def literal(text: Column, kind: Column) -> Column:
-    """struct<kind, num, int, str, ts, bool> of a literal as the column's kind reads it; null where it cannot.
+#: White space that literals lose at both ends: ASCII, no-break and other Unicode spaces, byte order mark (fixed values).
+_BLANKS = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
-    Whole numbers stay exact for int columns, other numbers are compared as doubles; dates are ISO 8601, in UTC unless
-    they name a zone; binary columns read nothing.
-    """
-    t = F.trim(text)
+
+def readings(text: Column) -> Column:
+    """struct<num, int, str, ts, bool>: a literal read in every way at once, so that it need be parsed once only; null if blank."""
+    t = F.regexp_replace(text, f"^{_BLANKS}|{_BLANKS}$", "")
     low = F.lower(t)
     truth = F.when(low.isin("true", "t", "1", "yes"), True).when(low.isin("false", "f", "0", "no"), False)
     ts = F.when(t.rlike(_DATE), t.try_cast("timestamp"))
-    whole, num = _integer(t), _number(t)
+    made = F.struct(_number(t).alias("num"), _integer(t).alias("int"), t.alias("str"), ts.alias("ts"), truth.alias("bool"))
+    return F.when(t != "", made)
+
+
+def read_as(r: Column, kind: Column) -> Column:
+    """struct<kind, num, int, str, ts, bool> of readings for a column of this kind; null where the literal cannot be read so.
+
+    Whole numbers stay exact for int columns, other numbers are compared as doubles; dates are ISO 8601, in UTC unless
+    they name a zone; binary columns read nothing.
+    """
     own = (
-        F.when(kind == "num", F.when(num.isNotNull(), "num"))
-        .when(kind == "int", F.when(whole.isNotNull(), "int").when(num.isNotNull(), "num"))
-        .when(kind == "bool", F.when(truth.isNotNull(), "bool"))
-        .when(kind == "ts", F.when(ts.isNotNull(), "ts"))
-        .when(kind == "str", F.lit("str"))
+        F.when(kind == "num", F.when(r["num"].isNotNull(), "num"))
+        .when(kind == "int", F.when(r["int"].isNotNull(), "int").when(r["num"].isNotNull(), "num"))
+        .when(kind == "bool", F.when(r["bool"].isNotNull(), "bool"))
+        .when(kind == "ts", F.when(r["ts"].isNotNull(), "ts"))
+        .when(kind == "str", F.when(r["str"].isNotNull(), "str"))
     )
-    made = F.struct(
-        own.alias("kind"), num.alias("num"), whole.alias("int"), t.alias("str"), ts.alias("ts"), truth.alias("bool")
-    )
-    return F.when(own.isNotNull() & (t != ""), made)
+    made = F.struct(own.alias("kind"), *[r[f].alias(f) for f in ("num", "int", "str", "ts", "bool")])
+    return F.when(own.isNotNull(), made)
+
+
+def literal(text: Column, kind: Column) -> Column:
+    """A literal as a column of this kind reads it: read_as of its readings."""
+    return let(readings(text), lambda r: read_as(r, kind))
 
 
 def _compared(bound: Column, lit: Column, at_least: bool, nan_keeps: bool) -> Column:
@@ -78,15 +90,21 @@ def _compared(bound: Column, lit: Column, at_least: bool, nan_keeps: bool) -> Co
 def verdict(stat: Column, op: Column | str, value: Column | str, value2: Column | str = "", nan_bound: str = "prune") -> Column:
     """Whether the predicate keeps a row group whose column has these statistics; never null.
 
-    nan_bound: "prune" lets a NaN bound fail every comparison; "unknown" keeps, as real scan planning must.
+    value and value2 are texts, or their readings. nan_bound: "prune" lets a NaN bound fail every comparison; "unknown" keeps,
+    as real scan planning must.
     """
-    as_col = lambda x: F.lit(x) if isinstance(x, str) else x
+    texts = [F.lit(x) if isinstance(x, str) else x for x in (value, value2)]
+    return let(F.struct(readings(texts[0]).alias("a"), readings(texts[1]).alias("b")), lambda r: verdict_of(stat, op, r["a"], r["b"], nan_bound))
+
+
+def verdict_of(stat: Column, op: Column | str, value: Column, value2: Column, nan_bound: str = "prune") -> Column:
+    """verdict for literals given as readings."""
     keeps = nan_bound == "unknown"
     ge = lambda s, x: s.isNull() | _compared(s, x, True, keeps)
     le = lambda s, x: s.isNull() | _compared(s, x, False, keeps)
 
-    def judged(c: Column, lit: Column) -> Column:
-        low, high, nulls, a, b = c["min_raw"], c["max_raw"], c["null_count"], lit["a"], lit["b"]
+    def judged(c: Column, a: Column, b: Column) -> Column:
+        low, high, nulls = c["min_raw"], c["max_raw"], c["null_count"]
         one = low.isNull() | high.isNull()
         by = {
             "is_null": lambda: nulls.isNull() | (nulls > 0),
@@ -105,7 +123,7 @@ def verdict(stat: Column, op: Column | str, value: Column | str, value2: Column
 
     def of(c: Column) -> Column:
         kind = F.coalesce(c["min_raw"]["kind"], c["max_raw"]["kind"])
-        pair = F.struct(literal(as_col(value), kind).alias("a"), literal(as_col(value2), kind).alias("b"))
-        return let(pair, lambda lit: judged(c, lit))
+        pair = F.struct(read_as(value, kind).alias("a"), read_as(value2, kind).alias("b"))
+        return let(pair, lambda lit: judged(c, lit["a"], lit["b"]))
 
     return F.coalesce(let(stat, of), F.lit(True))

@@ -51,7 +51,7 @@ def bbox_text(box: Column) -> Column:
 def number_text(x: Column) -> Column:
     a = F.abs(x)
     odd = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
-    grouped = F.regexp_replace(F.format_number(x, 6), r"\.?0+$", "")
+    grouped = F.regexp_replace(F.format_number(F.round(x, 6), 6), r"\.?0+$", "")  # format_number alone rounds half to even
     return F.coalesce(
         odd,
         F.when((a != 0) & ((a < 1e-4) | (a >= 1e15)), exponential(x, 4))
@@ -75,7 +75,13 @@ def stat_text(s: Column) -> Column:
 
 
 def or_missing(x: Column) -> Column:
-    return F.coalesce(x.cast("string"), F.lit(MISSING))
+    """Text of x; the sign for missing where it is null or empty."""
+    return F.coalesce(F.nullif(x.cast("string"), F.lit("")), F.lit(MISSING))
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with its digits in groups of three; null stays."""
+    return F.format_number(n, 0)
 
 
 def joined(parts: list[Column]) -> Column:

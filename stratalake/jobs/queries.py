@@ -31,9 +31,9 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def block_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_catalog(spark: SparkSession, sf_dir: str, distinct: str = "none") -> DataFrame:
     """Blocks of orders; every 17th has no price bounds, every 11th no box; a few are hidden."""
-    b = blocks.block_statistics(order_rows(spark, sf_dir), ["file", "rg_index"], ["o_orderkey", "price", "o_orderdate", "o_orderpriority"], "x", "y", "exact")
+    b = blocks.block_statistics(order_rows(spark, sf_dir), ["file", "rg_index"], ["o_orderkey", "price", "o_orderdate", "o_orderpriority"], "x", "y", distinct)
     unknown = (F.col("rg_index") % 17 == 0)
     blank = lambda c: F.when(unknown & (c["path"] == "price"), c.withField("min_raw", F.lit(None)).withField("max_raw", F.lit(None)))
     b = b.withColumn("columns", F.transform("columns", lambda c: F.coalesce(blank(c).cast(COLUMN_STAT), c)))
@@ -53,7 +53,7 @@ WITH r AS (
     CASE WHEN rg_index % 17 <> 0 THEN MIN(price) END AS plo, CASE WHEN rg_index % 17 <> 0 THEN MAX(price) END AS phi,
     COUNT(*) - COUNT(price) AS pnull, COUNT(DISTINCT price) AS pdist, COUNT(price) AS pn,
     MIN(o_orderdate) AS dlo, MAX(o_orderdate) AS dhi, MIN(o_orderpriority) AS slo, MAX(o_orderpriority) AS shi,
-    COUNT(DISTINCT o_orderpriority) AS sdist, SUM(strlen(o_orderpriority)) AS sbytes,
+    COUNT(DISTINCT o_orderpriority) AS sdist, COUNT(DISTINCT o_orderdate) AS ddist, SUM(strlen(o_orderpriority)) AS sbytes,
     CASE WHEN rg_index % 11 <> 0 THEN MIN(x) END AS xmin, CASE WHEN rg_index % 11 <> 0 THEN MIN(y) END AS ymin,
     CASE WHEN rg_index % 11 <> 0 THEN MAX(x) END AS xmax, CASE WHEN rg_index % 11 <> 0 THEN MAX(y) END AS ymax,
     rg_index % 5 <> 0 AS visible, CAST(16*COUNT(*) + 8*COUNT(price) + SUM(strlen(o_orderpriority)) AS BIGINT) AS bytes
@@ -123,7 +123,7 @@ def o04_row_group_totals(spark, sf_dir):
 SELECT {KEY}, n AS num_rows, CAST(klo AS DOUBLE) AS key_low, CAST(khi AS DOUBLE) AS key_high, plo AS price_low, phi AS price_high, pnull AS price_nulls,
   pdist AS price_distinct, slo AS priority_low, shi AS priority_high, sdist AS priority_distinct, xmin, ymin, xmax, ymax, bytes FROM b""")
 def o05_block_statistics(spark, sf_dir):
-    b = block_catalog(spark, sf_dir)
+    b = block_catalog(spark, sf_dir, "exact")
     k, p, s = (column_by_path(c) for c in ("o_orderkey", "price", "o_orderpriority"))
     return b.select(*_key(
         "num_rows", k["min_raw"]["int"].cast("double").alias("key_low"), k["max_raw"]["int"].cast("double").alias("key_high"),
@@ -274,10 +274,10 @@ def o19_is_not_null(spark, sf_dir):
 @query(BLOCKS + f"""
 SELECT {KEY}, t, CASE c WHEN 0 THEN rg_index WHEN 4 THEN 31 WHEN 5 THEN 1e3 END AS number, CASE c WHEN 0 THEN 'int' WHEN 4 THEN 'int' WHEN 5 THEN 'num' END AS as_int,
   CASE WHEN c = 3 THEN true WHEN rg_index = 0 THEN false END AS truth, CASE c WHEN 6 THEN '2024-02-01' END AS day
-FROM (SELECT *, rg_index % 7 AS c, CASE rg_index % 7 WHEN 0 THEN '  ' || rg_index || ' ' WHEN 1 THEN '12d' WHEN 2 THEN ' ' WHEN 3 THEN 'YES' WHEN 4 THEN '0x1F' WHEN 5 THEN '1e3' ELSE '2024-02-01' END AS t FROM b)""")
+FROM (SELECT *, rg_index % 7 AS c, CASE rg_index % 7 WHEN 0 THEN chr(9) || '  ' || rg_index || ' ' || chr(10) WHEN 1 THEN '12d' WHEN 2 THEN ' ' WHEN 3 THEN 'YES' WHEN 4 THEN '0x1F' WHEN 5 THEN '1e3' ELSE '2024-02-01' END AS t FROM b)""")
 def o20_literals(spark, sf_dir):
     c = F.col("rg_index") % 7
-    t = F.get(F.array(F.concat(F.lit("  "), F.col("rg_index"), F.lit(" ")), *[F.lit(x) for x in ("12d", " ", "YES", "0x1F", "1e3", "2024-02-01")]), c)
+    t = F.get(F.array(F.concat(F.lit("\t  "), F.col("rg_index"), F.lit(" \n")), *[F.lit(x) for x in ("12d", " ", "YES", "0x1F", "1e3", "2024-02-01")]), c)
     b = block_catalog(spark, sf_dir).select("file", "rg_index", t.alias("t"))
     of = lambda kind: literal(F.col("t"), F.lit(kind))
     return b.select(*_key("t", of("num")["num"].alias("number"), of("int")["kind"].alias("as_int"), of("bool")["bool"].alias("truth"), F.date_format(of("ts")["ts"], "yyyy-MM-dd").alias("day")))
@@ -313,6 +313,16 @@ def o22_conjunction(spark, sf_dir):
     return _verdicts(spark, sf_dir, keep=FILTERS)
 
 
+def _odd_catalog(spark, sf_dir) -> DataFrame:
+    """The blocks, each with a second record of price that excludes everything, and a broken file's row for every 50th."""
+    b = block_catalog(spark, sf_dir)
+    low = stat_value(F.lit(-1.0), "double")
+    again = lambda c: c.withField("min_raw", low).withField("max_raw", low)
+    doubled = F.concat("columns", F.transform(F.filter("columns", lambda c: c["path"] == "price"), again)).cast(f"array<{COLUMN_STAT}>")
+    broken = b.where("rg_index % 50 = 0").withColumns({"rg_index": F.lit(None).cast("int"), "columns": F.lit(None).cast(f"array<{COLUMN_STAT}>")})
+    return b.withColumn("columns", doubled).unionByName(broken)
+
+
 def _filter_sets(spark, sf_dir) -> DataFrame:
     """A price range and a date for each supplier."""
     s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("filter_set"), F.col("s_suppkey").alias("k"))
@@ -326,7 +336,7 @@ _SETS = f", v AS (SELECT s_suppkey, file, rg_index, ({_P}(phi >= s_suppkey * 400
 
 @query(BLOCKS + _SETS + f"SELECT CAST(s_suppkey AS VARCHAR) AS filter_set, {KEY}, keep FROM v")
 def o23_filter_sets(spark, sf_dir):
-    v = prune.prune_many(block_catalog(spark, sf_dir), _filter_sets(spark, sf_dir))
+    v = prune.prune_many(_odd_catalog(spark, sf_dir), _filter_sets(spark, sf_dir))
     return v.select("filter_set", *_key("keep"))
 
 
@@ -421,7 +431,7 @@ def o32_file_summary(spark, sf_dir):
 
 @query(BLOCKS + _SETS + "SELECT CAST(s_suppkey AS VARCHAR) AS filter_set, CAST(SUM(CASE WHEN keep THEN 1 ELSE 0 END) AS BIGINT) AS matched, COUNT(*) AS total FROM v GROUP BY 1")
 def o33_match_counts(spark, sf_dir):
-    return prune.match_counts(prune.prune_many(block_catalog(spark, sf_dir), _filter_sets(spark, sf_dir)))
+    return prune.match_counts(_odd_catalog(spark, sf_dir), _filter_sets(spark, sf_dir))
 
 
 @query(BLOCKS + "SELECT file, MIN(xmin) AS xmin, MIN(ymin) AS ymin, MAX(xmax) AS xmax, MAX(ymax) AS ymax, CASE WHEN MIN(xmin) IS NULL THEN 'none' WHEN MIN(xmin) = MAX(xmax) AND MIN(ymin) = MAX(ymax) THEN 'point' ELSE 'bounds' END AS mode FROM b GROUP BY file")
@@ -454,13 +464,12 @@ def _coordinate(c: str) -> str:
     return f"CASE WHEN {c} = 0 THEN '0' WHEN abs({c}) < 1 THEN printf('%.5f', {c}) WHEN abs({c}) < 100 THEN printf('%.4f', {c}) ELSE printf('%.2f', {c}) END"
 
 
-_BOX_TEXT = "'[' || " + " || ', ' || ".join(_coordinate(f"round({c}, 6)") for c in ("xmin", "ymin", "xmax", "ymax")) + " || ']'"
+_BOX_TEXT = "'[' || " + " || ', ' || ".join(_coordinate(c) for c in ("xmin", "ymin", "xmax", "ymax")) + " || ']'"
 
 
 @query(BLOCKS + f"SELECT {KEY}, {_BOX_TEXT} AS box FROM b")
 def o38_bbox_text(spark, sf_dir):
-    box = F.struct(*[F.round(F.col("bbox")[e], 6).alias(e) for e in ("xmin", "ymin", "xmax", "ymax")])
-    return block_catalog(spark, sf_dir).select(*_key(bbox_text(F.when(F.col("bbox").isNotNull(), box)).alias("box")))
+    return block_catalog(spark, sf_dir).select(*_key(bbox_text(F.col("bbox")).alias("box")))
 
 
 @query(BLOCKS + f"SELECT {KEY}, CAST(klo AS VARCHAR) AS key_low, regexp_replace(format('{{:,.2f}}', plo), '\\.?0+$', '') AS price_low, strftime(dlo, '%Y-%m-%dT%H:%M:%S.%gZ') AS day_low, slo AS priority_low FROM b")
@@ -477,34 +486,54 @@ def o40_polygon(spark, sf_dir):
     return b.select(*_key(F.col("p.type").alias("kind"), at(0, 0).alias("sw_x"), at(0, 1).alias("sw_y"), at(1, 0).alias("se_x"), at(2, 1).alias("ne_y"), at(4, 0).alias("end_x"), F.size(ring).alias("n_points")))
 
 
-@query(BLOCKS + f"SELECT {KEY}, (ARRAY[{', '.join(repr(c) for c in export.PALETTE)}])[rg_index % 10 + 1] AS color FROM b")
+#: The colours in turn, once more for SQL (fixed values).
+_COLOR = "(ARRAY['#4f8cff', '#ff7a59', '#27c197', '#c97cff', '#ffd166', '#ef476f', '#06d6a0', '#118ab2', '#f25c54', '#8a4fff'])[rg_index % 10 + 1]"
+
+
+@query(BLOCKS + f"SELECT {KEY}, {_COLOR} AS color FROM b")
 def o41_color(spark, sf_dir):
     return block_catalog(spark, sf_dir).select(*_key(export.color(F.col("rg_index")).alias("color")))
 
 
-@query(BLOCKS + "SELECT file, CAST(rg_index AS BIGINT) AS id, CAST(rg_index AS BIGINT) AS index, visible, 'Feature' AS type, xmax AS east FROM b WHERE xmin IS NOT NULL")
+_RING = "xmin AS x0, ymin AS y0, xmax AS x1, ymin AS y1, xmax AS x2, ymax AS y2, xmin AS x3, ymax AS y3, xmin AS x4, ymin AS y4"
+
+
+@query(BLOCKS + f"SELECT file, CAST(rg_index AS BIGINT) AS id, CAST(rg_index AS BIGINT) AS index, visible, 'Feature' AS type, 'Polygon' AS kind, {_COLOR} AS color, 5 AS n_points, {_RING} FROM b WHERE xmin IS NOT NULL")
 def o42_features(spark, sf_dir):
     f = export.features(block_catalog(spark, sf_dir))
     ring = F.get(F.col("feature.geometry.coordinates"), F.lit(0))
-    return f.select("file", F.col("feature.id").cast("bigint").alias("id"), F.col("feature.properties.index").cast("bigint").alias("index"), "feature.properties.visible", "feature.type", F.get(F.get(ring, F.lit(1)), F.lit(0)).alias("east"))
+    corners = [F.get(F.get(ring, F.lit(i)), F.lit(j)).alias(f"{c}{i}") for i in range(5) for j, c in enumerate("xy")]
+    return f.select(
+        "file", F.col("feature.id").cast("bigint").alias("id"), F.col("feature.properties.index").cast("bigint").alias("index"), "feature.properties.visible",
+        "feature.type", F.col("feature.geometry.type").alias("kind"), F.col("feature.properties.color").alias("color"), F.size(ring).alias("n_points"), *corners,
+    )
+
 
+_SIZE = _BYTES.format(kb=_UNIT.format(d="1024e0", u="KB"), mb=_UNIT.format(d="1048576e0", u="MB"))
 
-@query(BLOCKS + f"SELECT {KEY}, n AS num_rows, {_BYTES.format(kb=_UNIT.format(d='1024e0', u='KB'), mb=_UNIT.format(d='1048576e0', u='MB'))} AS compressed, COALESCE({_BOX_TEXT}, '—') AS bbox, '—' AS types FROM (SELECT *, CAST(bytes AS DOUBLE) AS v FROM b)")
+
+@query(BLOCKS + f"""
+SELECT {KEY}, n AS num_rows, {_SIZE} AS compressed, {_SIZE} AS uncompressed, CASE WHEN rg_index % 3 = 0 THEN '—' ELSE format('{{:,}}', rg_index * 12345) END AS offset,
+  COALESCE({_BOX_TEXT}, '—') AS bbox, 'native' AS bbox_source, CASE rg_index % 4 WHEN 0 THEN '1, 3' WHEN 1 THEN '6' ELSE '—' END AS types FROM (SELECT *, CAST(bytes AS DOUBLE) AS v FROM b)""")
 def o43_row_group_report(spark, sf_dir):
-    none = {"file_offset": F.lit(None).cast("bigint"), "bbox_source": F.lit("native"), "geometry_types": F.lit(None).cast("array<int>")}
-    box = F.struct(*[F.round(F.col("bbox")[e], 6).alias(e) for e in ("xmin", "ymin", "xmax", "ymax")]).cast(BBOX)
-    b = block_catalog(spark, sf_dir).withColumns(none).withColumn("bbox", F.when(F.col("bbox").isNotNull(), box))
-    return report.row_group_report(b).select(*_key("num_rows", "compressed", "bbox", "types"))
+    k = F.col("rg_index")
+    types = F.when(k % 4 == 0, F.array(F.lit(1), F.lit(3))).when(k % 4 == 1, F.array(F.lit(6))).when(k % 4 == 2, F.array().cast("array<int>"))
+    more = {"file_offset": F.when(k % 3 != 0, k.cast("bigint") * 12345), "bbox_source": F.lit("native"), "geometry_types": types}
+    return report.row_group_report(block_catalog(spark, sf_dir).withColumns(more)).select(*_key("num_rows", "compressed", "uncompressed", "offset", "bbox", "bbox_source", "types"))
+
+
+_DAY = "strftime({}, '%Y-%m-%dT%H:%M:%S.%gZ')"
+_PRICE = "COALESCE(regexp_replace(format('{{:,.2f}}', {}), '\\.?0+$', ''), '—')"
 
 
 @query(BLOCKS + f"""
-SELECT {KEY}, 'o_orderkey' AS path, '0' AS null_count, CAST(klo AS VARCHAR) AS min, CAST(khi AS VARCHAR) AS max FROM b
-UNION ALL SELECT {KEY}, 'o_orderpriority', '0', slo, shi FROM b
-UNION ALL SELECT {KEY}, 'price', CAST(pnull AS VARCHAR), COALESCE(regexp_replace(format('{{:,.2f}}', plo), '\\.?0+$', ''), '—'), COALESCE(regexp_replace(format('{{:,.2f}}', phi), '\\.?0+$', ''), '—') FROM b""")
+SELECT {KEY}, 'o_orderkey' AS path, n AS num_values, '0' AS null_count, CAST(n AS VARCHAR) AS distinct_count, CAST(klo AS VARCHAR) AS min, CAST(khi AS VARCHAR) AS max FROM b
+UNION ALL SELECT {KEY}, 'o_orderpriority', n, '0', CAST(sdist AS VARCHAR), slo, shi FROM b
+UNION ALL SELECT {KEY}, 'o_orderdate', n, '0', CAST(ddist AS VARCHAR), {_DAY.format("dlo")}, {_DAY.format("dhi")} FROM b
+UNION ALL SELECT {KEY}, 'price', n, CAST(pnull AS VARCHAR), CAST(pdist AS VARCHAR), {_PRICE.format("plo")}, {_PRICE.format("phi")} FROM b""")
 def o44_column_report(spark, sf_dir):
-    b = block_catalog(spark, sf_dir)
-    r = report.column_report(report.drill_down(b, b)).where("path <> 'o_orderdate'")
-    return r.select(*_key("path", "null_count", "min", "max"))
+    b = block_catalog(spark, sf_dir, "exact")
+    return report.column_report(report.drill_down(b, b)).select(*_key("path", "num_values", "null_count", "distinct_count", "min", "max"))
 
 
 @query(BLOCKS + f"SELECT file, COUNT(*) AS total, CAST(SUM(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(SUM(CASE WHEN hit THEN n ELSE 0 END) AS BIGINT) AS matched_rows FROM (SELECT *, xmin IS NOT NULL AND {_HIT} AND ({_P}(phi >= 20000 AND plo <= 160000))) AS hit FROM b) GROUP BY file")

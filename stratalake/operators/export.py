@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ten colours that features take in turn.
-PALETTE = ("#1b6ca8", "#d1495b", "#3a7d44", "#edae49", "#6a4c93", "#00798c", "#8d5a3a", "#c06ba1", "#5b5f97", "#7a9e1d")
+#: Colours that features take in turn (fixed values).
+PALETTE = ("#4f8cff", "#ff7a59", "#27c197", "#c97cff", "#ffd166", "#ef476f", "#06d6a0", "#118ab2", "#f25c54", "#8a4fff")
 
 
 def color(index: Column) -> Column:

@@ -9,10 +9,9 @@ from ..functions.schema import BBOX, EDGES, as_double, column_by_path, finite
 from .blocks import with_totals
 
 _PATHS = "struct<xmin: array<string>, ymin: array<string>, xmax: array<string>, ymax: array<string>>"
-_GEO = (
-    "struct<version: string, primary_column: string, columns: map<string, struct<encoding: string, geometry_types: array<string>, "
-    f"bbox: array<double>, crs: struct<id: struct<authority: string, code: string>>, covering: struct<bbox: {_PATHS}>>>>"
-)
+#: Entries of columns stay texts, so that one that is no object cannot spoil the others.
+_GEO = "struct<version: string, primary_column: string, columns: map<string, string>>"
+_ENTRY = f"struct<encoding: string, geometry_types: array<string>, bbox: array<double>, crs: struct<id: struct<authority: string, code: string>>, covering: struct<bbox: {_PATHS}>>"
 NOT_GEO = "no readable geo metadata: not GeoParquet; trying a bbox struct"
 BAD_COVERING = "covering without a usable path for "
 
@@ -25,7 +24,9 @@ def geo_metadata(json: Column) -> Column:
 
 
 def primary_entry(geo: Column) -> Column:
-    return F.try_element_at(geo["columns"], geo["primary_column"])
+    """The primary column's entry; null where there is none or it is no object. Other columns' entries are not looked at."""
+    text = F.try_element_at(geo["columns"], geo["primary_column"])
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, _ENTRY))
 
 
 def crs(geo: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import verdict
+from ..functions.predicates import let, readings, verdict, verdict_of
 from ..functions.schema import column_by_path
 
 #: Filters are broadcast up to so many rows; more are joined by path and salt.
@@ -26,30 +26,45 @@ def keeps(filters: Iterable[tuple], columns: str = "columns", nan_bound: str = "
     return out
 
 
-def prune_many(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
-    """filter_set, file, rg_index, keep for every filter set and row group.
+def failures(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
+    """filter_set, file, rg_index of every row group that a filter of the set excludes, once each.
 
-    filters: filter_set, filter_id, column, op, value, value2. Every file has the same few paths, so rows are never dealt
-    out by path alone: filters are broadcast behind a check of their number, or else joined on path and salt. Failures
-    are what is computed per filter; a set keeps the row groups it has no failure in.
+    filters: filter_set, filter_id, column, op, value, value2. Literals are read once per filter, before they meet the row
+    groups; of several records of one path the first counts; rows without row group (rg_index null: empty or broken files)
+    are left out. Every file has the same few paths, so rows are never dealt out by path alone: filters are broadcast behind
+    a check of their number, or else joined on path and salt.
     """
-    stats = row_groups.select("file", "rg_index", F.posexplode("columns").alias("_at", "_c")).withColumn("column", F.col("_c.path"))
-    f = filters.select("filter_set", "filter_id", "column", "op", "value", F.coalesce("value2", F.lit("")).alias("value2"))
-    wanted = filters.count() <= BROADCAST_FILTERS
-    if wanted:
+    paths = F.transform("columns", lambda c: c["path"])
+    firsts = let(paths, lambda p: F.filter("columns", lambda c, i: F.array_position(p, c["path"]) == i + 1))
+    stats = row_groups.where("rg_index is not null").select("file", "rg_index", F.explode(firsts).alias("_c")).withColumn("column", F.col("_c.path"))
+    f = filters.select("filter_set", "column", "op", readings(F.col("value")).alias("_a"), readings(F.coalesce("value2", F.lit(""))).alias("_b"))
+    if filters.count() <= BROADCAST_FILTERS:
         joined = stats.join(F.broadcast(f), "column")
     else:
         salted = f.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = stats.withColumn("_salt", F.pmod(F.xxhash64("file", "rg_index"), F.lit(SALTS)).cast("int")).join(salted, ["column", "_salt"])
-    fails = joined.where(~verdict(F.col("_c"), F.col("op"), F.col("value"), F.col("value2"), nan_bound))
-    fails = fails.groupBy("filter_set", "file", "rg_index").agg(F.lit(True).alias("_failed"))
+    fails = joined.where(~verdict_of(F.col("_c"), F.col("op"), F.col("_a"), F.col("_b"), nan_bound))
+    return fails.select("filter_set", "file", "rg_index").distinct()
+
+
+def prune_many(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
+    """filter_set, file, rg_index, keep for every filter set and row group.
+
+    A set keeps the row groups it has no failure in. The result has as many rows as sets times row groups; failures() and
+    match_counts() are there for those who do not want them all.
+    """
     sets = filters.select("filter_set").distinct()
-    sets = F.broadcast(sets) if wanted else sets
-    every = row_groups.select("file", "rg_index").join(sets)
-    every = every.join(fails, ["filter_set", "file", "rg_index"], "left")
+    sets = F.broadcast(sets) if sets.count() <= BROADCAST_FILTERS else sets
+    every = row_groups.where("rg_index is not null").select("file", "rg_index").join(sets)
+    failed = failures(row_groups, filters, nan_bound).withColumn("_failed", F.lit(True))
+    every = every.join(failed, ["filter_set", "file", "rg_index"], "left")
     return every.select("filter_set", "file", "rg_index", F.col("_failed").isNull().alias("keep"))
 
 
-def match_counts(verdicts: DataFrame, by: str = "filter_set", keep: str = "keep") -> DataFrame:
-    """By, matched, total."""
-    return verdicts.groupBy(by).agg(F.count_if(keep).alias("matched"), F.count("*").alias("total"))
+def match_counts(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
+    """filter_set, matched, total of each filter set: all row groups less those that fail; no set meets a row group that
+    it keeps."""
+    failed = failures(row_groups, filters, nan_bound).groupBy("filter_set").agg(F.count("*").alias("_failed"))
+    total = row_groups.where("rg_index is not null").agg(F.count("*").alias("total"))
+    sets = filters.select("filter_set").distinct().join(failed, "filter_set", "left").join(F.broadcast(total))
+    return sets.select("filter_set", (F.col("total") - F.coalesce("_failed", F.lit(0))).alias("matched"), "total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bbox_text, bytes_text, or_missing, stat_text
+from ..functions.text import MISSING, bbox_text, bytes_text, grouped, or_missing, stat_text
 
 KEY = ["file", "rg_index"]
 
@@ -64,18 +64,18 @@ def row_group_report(row_groups: DataFrame) -> DataFrame:
     """The catalog for reading."""
     return row_groups.select(
         "file", "rg_index", "num_rows", bytes_text(F.col("total_compressed_bytes")).alias("compressed"),
-        bytes_text(F.col("total_uncompressed_bytes")).alias("uncompressed"), or_missing(F.col("file_offset")).alias("offset"),
+        bytes_text(F.col("total_uncompressed_bytes")).alias("uncompressed"), or_missing(grouped(F.col("file_offset"))).alias("offset"),
         "bbox_source", or_missing(bbox_text(F.col("bbox"))).alias("bbox"),
         or_missing(F.array_join(F.col("geometry_types").cast("array<string>"), ", ")).alias("types"),
     )
 
 
 def column_report(column_records: DataFrame) -> DataFrame:
-    """Column records (as of drill_down) for reading."""
-    missing = lambda c: or_missing(F.col(c)).alias(c)
+    """Column records (as of drill_down) for reading. An empty text as bound is shown as such."""
+    count = lambda c: or_missing(grouped(F.col(c))).alias(c)
+    bound = lambda c: F.coalesce(stat_text(F.col(c)), F.lit(MISSING))
     return column_records.select(
-        *KEY, "ordinal", "path", "type", "codec", "num_values", missing("null_count"), missing("distinct_count"),
+        *KEY, "ordinal", "path", "type", "codec", "num_values", count("null_count"), count("distinct_count"),
         bytes_text(F.col("compressed_bytes")).alias("compressed"), bytes_text(F.col("uncompressed_bytes")).alias("uncompressed"),
-        or_missing(stat_text(F.col("min_raw"))).alias("min"), or_missing(stat_text(F.col("max_raw"))).alias("max"),
-        or_missing(bbox_text(F.col("geo_bbox"))).alias("geo_bbox"),
+        bound("min_raw").alias("min"), bound("max_raw").alias("max"), or_missing(bbox_text(F.col("geo_bbox"))).alias("geo_bbox"),
     )

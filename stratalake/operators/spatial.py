@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import BBOX, EDGES, finite
 
-#: Rectangles or points are broadcast up to so many; more meet the boxes on a grid.
+#: Rectangles or points are broadcast up to so many; more meet the boxes on grids.
 BROADCAST_SHAPES = 50_000
-#: Cells that one box may cover on a grid; grids, and how much coarser each is than the one before.
-MAX_CELLS, LEVELS, COARSER = 64, 5, 16.0
+#: Cells that a shape may cover on its own grid; grids, the finest one's cell, and how much coarser each is than the one before.
+MAX_CELLS, LEVELS, FINEST, COARSER = 16, 9, 0.01, 8.0
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -40,33 +40,42 @@ def rects_from_corners(corners: DataFrame) -> DataFrame:
     return out.where("xmin < xmax and ymin < ymax")
 
 
-def _cells(df: DataFrame, box: str, cell: float) -> DataFrame:
-    """df with the grid cells (cx, cy) its box touches."""
-    at = lambda e: F.floor(F.col(box)[e] / cell)
-    df = df.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax"))))
-    return df.withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
-
-
-def _level(box: str, cell: float) -> Column:
+def _level(box: Column, finest: float) -> Column:
     """The finest grid on which a box covers at most MAX_CELLS cells; null for unknown or turned edges."""
-    b = F.col(box)
-    sane = finite(b["xmin"]) & finite(b["ymin"]) & finite(b["xmax"]) & finite(b["ymax"])
-    sane = F.coalesce(sane & (b["xmin"] <= b["xmax"]) & (b["ymin"] <= b["ymax"]), F.lit(False))
+    sane = finite(box["xmin"]) & finite(box["ymin"]) & finite(box["xmax"]) & finite(box["ymax"])
+    sane = F.coalesce(sane & (box["xmin"] <= box["xmax"]) & (box["ymin"] <= box["ymax"]), F.lit(False))
     out = F.when(~sane, F.lit(None).cast("int"))
     for k in range(LEVELS):
-        size = cell * COARSER**k
-        cells = lambda lo, hi, size=size: F.floor(b[hi] / size) - F.floor(b[lo] / size) + 1
+        size = finest * COARSER**k
+        cells = lambda lo, hi, size=size: F.floor(box[hi] / size) - F.floor(box[lo] / size) + 1
         out = out.when(cells("xmin", "xmax").cast("double") * cells("ymin", "ymax") <= MAX_CELLS, F.lit(k))
     return out
 
 
-def range_join(boxes: DataFrame, rects: DataFrame, how: str = "auto", cell: float = 10.0) -> DataFrame:
+def _on_grids(shapes: DataFrame, box: str, level: str, finest: float) -> DataFrame:
+    """shapes once for each cell (level, cx, cy) they touch, on their own grid and on all coarser ones."""
+    size = F.lit(finest) * F.pow(F.lit(COARSER), F.col("_k"))
+    at = lambda e: F.floor(F.col(box)[e] / size)
+    out = shapes.withColumn("_k", F.explode(F.sequence(F.col(level), F.lit(LEVELS - 1))))
+    return out.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+
+
+def _all_pairs(few: DataFrame, others: DataFrame, block: int) -> DataFrame:
+    """Every row of few beside every row of others: others lie in blocks by hash and few goes to each, so that neither side
+    is ever held whole. For shapes without four sane edges, which may touch anything."""
+    blocks = max(1, -(-others.count() // block))
+    dealt = others.withColumn("_block", F.pmod(F.xxhash64(*others.columns), F.lit(blocks)).cast("int"))
+    return few.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+
+
+def range_join(boxes: DataFrame, rects: DataFrame, how: str = "auto", finest: float = FINEST) -> DataFrame:
     """Every pair of a row of boxes (with bbox) and a row of rects (with rect) that intersect.
 
-    how: "broadcast" tests each box against the broadcast rectangles; "grid" joins on the cells both touch, on the coarser
-    of the grids that suit the two, and keeps a pair in the one cell that holds the lower left corner of their common
-    part, so that no pair comes twice; boxes and rectangles without four sane edges, which no grid can hold, are
-    broadcast to all of the other side. "auto" takes broadcast behind a check of the number of rectangles.
+    how: "broadcast" tests each box against the broadcast rectangles; "grid" is one equality join on (grid, cell). A shape
+    lies in the cells of the finest grid that suits its size and of all coarser grids; a pair counts on the coarser of the two
+    own grids, in the one cell that holds the lower left corner of their common part, so that no pair comes twice. Boxes
+    and rectangles without four sane edges meet all of the other side. "auto" takes broadcast behind a check of the number of
+    rectangles.
     """
     b = boxes.where(F.col("bbox").isNotNull())
     if how == "auto":
@@ -75,21 +84,17 @@ def range_join(boxes: DataFrame, rects: DataFrame, how: str = "auto", cell: floa
     if how == "broadcast":
         return b.join(F.broadcast(rects), test)
     names = [*boxes.columns, *rects.columns]
-    b, r = b.withColumn("_lb", _level("bbox", cell)), rects.withColumn("_lr", _level("rect", cell))
-    low = lambda e, size: F.floor(F.greatest(F.col("bbox")[e], F.col("rect")[e]) / size)
-    out = None
-    for k in range(LEVELS):
-        size = cell * COARSER**k
-        for mine, theirs in ((F.col("_lb") == k, F.col("_lr") <= k), (F.col("_lb") < k, F.col("_lr") == k)):
-            pairs = _cells(b.where(mine), "bbox", size).join(_cells(r.where(theirs), "rect", size), ["cx", "cy"]).where(test)
-            pairs = pairs.where((F.col("cx") == low("xmin", size)) & (F.col("cy") == low("ymin", size))).select(*names)
-            out = pairs if out is None else out.unionByName(pairs)
-    odd_b, odd_r = b.where("_lb is null"), r.where("_lr is null")
-    out = out.unionByName(F.broadcast(odd_b).join(r, test).select(*names))
-    return out.unionByName(b.where("_lb is not null").join(F.broadcast(odd_r), test).select(*names))
+    b, r = b.withColumn("_lb", _level(F.col("bbox"), finest)), rects.withColumn("_lr", _level(F.col("rect"), finest))
+    pairs = _on_grids(b.where("_lb is not null"), "bbox", "_lb", finest).join(_on_grids(r.where("_lr is not null"), "rect", "_lr", finest), ["_k", "cx", "cy"])
+    size = F.lit(finest) * F.pow(F.lit(COARSER), F.col("_k"))
+    low = lambda e: F.floor(F.greatest(F.col("bbox")[e], F.col("rect")[e]) / size)
+    own = (F.col("_k") == F.greatest("_lb", "_lr")) & (F.col("cx") == low("xmin")) & (F.col("cy") == low("ymin"))
+    out = pairs.where(own & test).select(*names)
+    out = out.unionByName(_all_pairs(b.where("_lb is null"), r, BROADCAST_SHAPES).where(test).select(*names))
+    return out.unionByName(_all_pairs(r.where("_lr is null"), b.where("_lb is not null"), BROADCAST_SHAPES).where(test).select(*names))
 
 
-def point_candidates(boxes: DataFrame, points: DataFrame, how: str = "auto", cell: float = 10.0) -> DataFrame:
+def point_candidates(boxes: DataFrame, points: DataFrame, how: str = "auto", finest: float = FINEST) -> DataFrame:
     """point_id, file, rg_index of the visible boxes (file, rg_index, bbox, visible) that hold a point, in order.
 
     Edges belong to the box. A point is a rectangle without extent, so that the range join does the work.
@@ -97,7 +102,7 @@ def point_candidates(boxes: DataFrame, points: DataFrame, how: str = "auto", cel
     p = points.select("point_id", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")).cast(BBOX).alias("rect"))
     known = F.col("rect.xmin").isNotNull() & F.col("rect.ymin").isNotNull() & ~F.isnan("rect.xmin") & ~F.isnan("rect.ymin")
     drawn = boxes.where("visible").select("file", "rg_index", "bbox")
-    hit = range_join(drawn, p.where(known), how, cell)
+    hit = range_join(drawn, p.where(known), how, finest)
     return hit.select("point_id", "file", "rg_index").distinct().orderBy("point_id", "file", "rg_index")
 
 

@@ -29,8 +29,8 @@ def _typed(v) -> dict | None:
         out |= {"kind": "bool", "bool": v}
     elif isinstance(v, int):
         out |= {"kind": "int", "int": decimal.Decimal(v)}
-    elif isinstance(v, float):
-        out |= {"kind": "num", "num": v}
+    elif isinstance(v, float | decimal.Decimal):
+        out |= {"kind": "num", "num": float(v)}
     elif isinstance(v, str):
         out |= {"kind": "str", "str": v}
     elif isinstance(v, datetime.datetime):
