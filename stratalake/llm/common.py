@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -83,20 +84,35 @@ def parted(df: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]
     return df.where(top), df.where(~top)
 
 
+#: Bits per key of a field, and the logarithms of its least and largest size in bits.
+FIELD_BITS, FIELD_LEAST, FIELD_MOST = 16, 16, 26
+
+
 def bit_field(keys: DataFrame, column: str) -> np.ndarray:
-    """A field of 2**26 bits with those of the (well mixed) keys set. Of any size of keys; a key whose bit is unset is not
-    among them."""
+    """A field of bits with those of the (well mixed) keys set: a key whose bit is unset is not among them.
+
+    Its size follows the number of keys up to 8 MB; beyond that more keys only set more of its bits.
+    """
     x = keys.select(F.col(column).alias("x"))
-    bit = F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(x, 38) & 63 as int)))").alias("b")
-    found = x.groupBy(F.expr("shiftrightunsigned(x, 44)").alias("i")).agg(bit).toArrow()
-    bits = np.zeros(1 << 20, np.uint64)
+    size = min(FIELD_MOST, max(FIELD_LEAST, (FIELD_BITS * x.count()).bit_length()))
+    bit = F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(x, {64 - size}) & 63 as int)))").alias("b")
+    found = x.groupBy(F.expr(f"shiftrightunsigned(x, {70 - size})").alias("i")).agg(bit).toArrow()
+    bits = np.zeros(1 << (size - 6), np.uint64)
     bits[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return bits
 
 
 def in_field(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which of the keys may be in the field."""
-    return (bits[x >> np.uint64(44)] >> ((x >> np.uint64(38)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+    size = len(bits).bit_length() + 5
+    return (bits[x >> np.uint64(70 - size)] >> ((x >> np.uint64(64 - size)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage,
+    which by itself may be long after the files are dead."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
 
 
 def row_key(docs: DataFrame, *columns: str) -> DataFrame:

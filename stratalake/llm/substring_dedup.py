@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, bit_field, bounded_batches, chained, discard, in_field, mix, pieces, scratch, table
+from .common import Words, bit_field, bounded_batches, chained, discard, in_field, mix, pieces, release, scratch, table
 
 GRAM = 8
 #: Occurrences of an anchor beyond which its suffixes are grouped by a longer prefix, and that prefix's words (at most the window).
@@ -298,6 +298,7 @@ def removals(docs: DataFrame, window: int = 20) -> DataFrame:
     held = docs.select(r.alias("r"), *KEY, "text").join(places, "r").select(*KEY, "text", "pos")
     held = scratch(held, "repeating")
     discard(anchors, often)
+    release(spark)
     runs = held.mapInArrow(_run_rows(window, gram, fields), "key long, d long, t long, f long, n long, text string")
     runs = runs.repartition("key").sortWithinPartitions("key")
     gone = runs.mapInArrow(_trees(window), "d long, t long, z boolean, start long, n long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bit_field, bounded_batches, discard, in_field, mix, parted, pieces, scratch, table
+from .common import Words, bit_field, bounded_batches, discard, in_field, mix, parted, pieces, release, scratch, table
 
 #: Words and terms that tasks know by heart, keys that joins broadcast: for speed alone, the others are met by shuffles.
 TOP, TOP_TERMS, TOP_KEYS = 200_000, 1_000_000, 20_000
@@ -30,7 +30,7 @@ TOP, TOP_TERMS, TOP_KEYS = 200_000, 1_000_000, 20_000
 END = 1 << 61
 #: Least occurrences of a context and of an edge; divergence a context needs (nats per occurrence) and gain an edge needs
 #: (nats); weight of the suffix; words in the longest context.
-LEAST, PAIR, DIVERGENCE, GAIN, PRIOR, DEPTH = 20, 3, 0.02, 1.0, 10.0, 6
+LEAST, PAIR, DIVERGENCE, GAIN, PRIOR, DEPTH = 20, 3, 0.02, 1.0, 10.0, 5
 #: Tells contexts' terms from those of edges.
 _NODE = 0x510E527FADE682D1
 _FLUSH = 1 << 20
@@ -135,7 +135,7 @@ class Tree:
         self.rank = np.argsort(rank)[order].astype(np.uint64)
         self.keys, self.terms = np.zeros(0, np.uint64), np.zeros(0)
         self.frequent: dict[int, np.ndarray] = {}
-        self.known = self.bits = np.zeros(1 << 20, np.uint64)
+        self.known = self.bits = np.zeros(1 << 10, np.uint64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent words and whether it is one."""
@@ -194,7 +194,9 @@ def _pairs(train: DataFrame, tree: Tree, first: int, last: int, likely: np.ndarr
         return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64)] * 3
 
     c = train.mapInArrow(_counted(grams, ["k", "ctx", "par"]), "k long, ctx long, par long, n long")
-    return scratch(c.groupBy("k", "ctx", "par").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR), "grams")
+    out = scratch(c.groupBy("k", "ctx", "par").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR), "grams")
+    held.destroy()
+    return out
 
 
 def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,8 +259,11 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
             if not field.any():
                 break
             tree.frequent[k] = field
+            release(spark)
             pairs = _pairs(train, tree, k, k if k < 3 else DEPTH, bit_field(before.select(of.alias("e")), "e"))
         before, found = _level(pairs.where(F.col("k") == k).drop("k"), before)
+        if k < 3:
+            discard(pairs)
         terms = found if terms is None else terms.unionByName(found)
     lookup = others.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d"))
     if terms is not None:
@@ -269,6 +274,7 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
         order = np.argsort(keys)
         tree.keys, tree.terms, tree.bits = keys[order], top.column("d").to_numpy()[order], bit_field(terms, "x")
         lookup = lookup.unionByName(others.select("x", F.lit(None).cast("long").alias("c"), "d"))
+    release(spark)
     return tree, lookup
 
 
