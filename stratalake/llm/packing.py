@@ -1,11 +1,10 @@
 """Operator 10: packing tokenised documents into sequences of fixed length by non-negative least squares.
 
 A document's tokens are cut every ``length`` ids; what is left over is a remainder. The histogram of remainder lengths is
-small (one number per length) whatever the corpus: shallow combinations of two, three or four lengths that fill a
-sequence are enumerated, their repeat counts solve a non-negative least-squares fit to the histogram and are rounded down,
-and the residual histogram is packed greedily, largest first. The pieces themselves never leave Spark: each gets its rank
-among pieces of its length (ranks of hash buckets plus offsets of the buckets), and a table of (length, ranks) -> sequence
-places it.
+small (one number per length) whatever the corpus. All combinations of two or three occurring lengths that fill a sequence
+are enumerated, their repeat counts solve a non-negative least-squares fit to the histogram and are rounded down, and the
+residual histogram is packed greedily, largest first. The pieces themselves never leave Spark: each gets its rank among
+pieces of its length (ranks of hash buckets plus offsets of the buckets), and a table of (length, ranks) -> sequence places it.
 """
 
 from __future__ import annotations
@@ -24,7 +23,8 @@ from .common import bounded_batches, pieces, scratch, span_hashes, table, text_b
 LENGTH, END_ID = 2048, 1
 #: Words whose ids a worker keeps; a full table is emptied.
 CACHE = 400_000
-SWEEPS = 40
+#: Steps of the least-squares fit at most; it ends earlier when a step changes no count by this much.
+STEPS, SMALL = 500, 0.01
 
 
 def tokenizer_path() -> str:
@@ -48,7 +48,7 @@ class Encoder:
 
     By the vocabulary's splitting rule a single space between two other characters always begins a token. So a text is
     cut there, and each distinct word (with the space before it) is encoded once and then found by its hash. Texts in
-    which other white space touches a space, or that hold wide white space, are encoded whole.
+    which other white space touches a space, or that hold wide white space or an added token's text, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,15 +58,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         # the same vocabulary for single words: a byte-level vocabulary's ids are its ranks
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain}
         byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            made = json.load(f)
+        vocab = made["model"]["vocab"]
+        self.added = [x["content"].encode() for x in made.get("added_tokens") or [] if x["content"]]
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t)}
-        ranks = {t: i for t, i in ranks.items() if t != b"<|endoftext|>"}
+        ranks = {t: i for t, i in ranks.items() if t not in self.added}
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._reset()
 
@@ -114,13 +115,18 @@ class Encoder:
         for i in np.flatnonzero(_LEAD[raw]).tolist():
             if raw[i : i + 3].tobytes().startswith(tuple(WIDE_GAPS)):
                 exotic[np.searchsorted(off, i, "right") - 1] = True
+        text = raw.tobytes()
+        for word in self.added:
+            i = text.find(word)
+            while i >= 0:
+                exotic[np.searchsorted(off, i, "right") - 1] = True  # one that crosses two texts does no harm
+                i = text.find(word, i + 1)
         use = ~exotic[doc]
         starts, ends, doc = starts[use], ends[use], doc[use]
         key = span_hashes(raw, starts, ends)
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         i, known = self._find(distinct)
         if not known.all():
-            text = raw.tobytes()
             fresh = len(self.key) > CACHE
             new = np.ones(len(distinct), bool) if fresh else ~known
             f = first[new]
@@ -145,6 +151,7 @@ def _piece_rows(path: str, length: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = Encoder(path), np.array([END_ID], "<u4")
+        again: dict[tuple, int] = {}  # equal pieces of one doc_id (or none) are told apart, so that their buckets differ
         for rb in pieces(batches):
             out = []
             for doc, ids in zip(rb.column("doc_id").to_pylist(), encode(rb.column("text")), strict=True):
@@ -152,42 +159,54 @@ def _piece_rows(path: str, length: int):
                 n = len(ids) // 4
                 for a in range(0, n, length):
                     b = min(n, a + length)
-                    out.append((doc, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), n))
+                    crc = zlib.crc32(ids[4 * a : 4 * b])
+                    again[doc, a, crc] = nth = again.get((doc, a, crc), -1) + 1
+                    out.append((doc, a, b - a, crc, n, nth))
+            if len(again) > CACHE:
+                again = {}
             cols = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
-            yield table(**dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), cols, strict=True)))
+            yield table(**dict(zip((*PIECE, "nth"), cols, strict=True)))
 
     return run
 
 
-def combinations(have: np.ndarray, length: int) -> list[tuple[int, ...]]:
-    """Two to four lengths that occur and fill a sequence exactly; a bounded choice of the deeper ones."""
-    there = np.flatnonzero(have).tolist()
-    found = {(length - a, a) for a in there if 2 * a <= length and have[length - a]}
-    some = sorted(there, key=lambda x: (-have[x], x))[:24]
-    for a in there:
-        for b in some:
-            c = length - a - b
-            if c > 0 and have[c]:
-                found.add(tuple(sorted((a, b, c), reverse=True)))
-            for d in some[:6]:
-                if c - d > 0 and have[c - d]:
-                    found.add(tuple(sorted((a, b, d, c - d), reverse=True)))
-    return sorted(found, reverse=True)
-
-
-def solve(hist: np.ndarray, combos: list[tuple[int, ...]]) -> np.ndarray:
-    """Repeat counts x >= 0 that bring the sum of x times combination near the histogram: coordinate descent."""
-    left, x = hist.astype(float), np.zeros(len(combos))
-    counted = [np.unique(c, return_counts=True) for c in combos]
-    for _ in range(SWEEPS):
-        moved = 0.0
-        for j, (at, n) in enumerate(counted):
-            new = max(0.0, x[j] + float(n @ left[at]) / float(n @ n))
-            if new != x[j]:
-                left[at] -= (new - x[j]) * n
-                moved = max(moved, abs(new - x[j]))
-                x[j] = new
-        if moved < 0.25:
+def combinations(have: np.ndarray, length: int) -> np.ndarray:
+    """All twos and threes of lengths that occur and fill a sequence exactly, one per row, 0 in place of a third."""
+    there = np.flatnonzero(have)
+    there = there[there > 0]
+    a = there[2 * there <= length]
+    a = a[have[length - a] > 0]
+    found = [np.stack([length - a, a, np.zeros_like(a)], 1)]
+    for x in there[3 * there <= length].tolist():
+        y = there[(there >= x) & (2 * there <= length - x)]
+        y = y[have[length - x - y] > 0]
+        found.append(np.stack([length - x - y, y, np.full_like(y, x)], 1))
+    return np.concatenate(found)
+
+
+def solve(hist: np.ndarray, combos: np.ndarray) -> np.ndarray:
+    """Repeat counts x >= 0 that bring the sum of x times combination nearest to the histogram in the sense of least squares:
+    accelerated projected gradients, all combinations at once."""
+    m, size = combos > 0, len(hist)
+    x = np.zeros(len(combos))
+    if not len(combos):
+        return x
+    spread = lambda v: np.bincount(combos[m], weights=np.repeat(v, m.sum(1)), minlength=size)  # noqa: E731  A v
+    sums = lambda r: (r[combos] * m).sum(1)  # noqa: E731  A' r
+    v = np.ones(len(combos))
+    for _ in range(20):  # the largest eigenvalue of A'A bounds the step
+        v = sums(spread(v))
+        bound = float(np.sqrt(v @ v))
+        v /= bound
+    step, y, t = 1 / (1.05 * bound), x, 1.0
+    for _ in range(STEPS):
+        new = np.maximum(0, y + step * sums(hist - spread(y)))
+        moved = float(np.abs(new - x).max())
+        if (y - new) @ (new - x) > 0:  # momentum against the descent is dropped
+            t = 1.0
+        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        x, y, t = new, new + (t - 1) / t_new * (new - x), t_new
+        if moved < SMALL:
             break
     return x
 
@@ -196,10 +215,14 @@ def plan(hist: np.ndarray, length: int = LENGTH) -> list[tuple[tuple[int, ...],
     """(lengths of a sequence, repeats) that use up the histogram (index: length of a remainder) exactly."""
     left, out = hist.astype(np.int64).copy(), []
     combos = combinations(left, length)
-    for c, x in sorted(zip(combos, solve(left, combos), strict=True), key=lambda y: -y[1]):
-        at, n = np.unique(c, return_counts=True)
-        if (k := min(int(x + 1e-6), int((left[at] // n).min()))) > 0:
-            out.append((c, k))
+    x = solve(left.astype(float), combos)
+    order = np.argsort(-x, kind="stable")
+    for c, times in zip(combos[order].tolist(), x[order].tolist(), strict=True):
+        if times + 1e-6 < 1:
+            break
+        at, n = np.unique([z for z in c if z], return_counts=True)
+        if (k := min(int(times + 1e-6), int((left[at] // n).min()))) > 0:
+            out.append((tuple(z for z in c if z), k))
             left[at] -= k * n
     there = np.flatnonzero(left).tolist()
     while there:
@@ -247,21 +270,23 @@ def _placed(patterns: list[tuple[tuple[int, ...], int]], length: int, first_sequ
     return run
 
 
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+
+
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece of docs (doc_id, text).
 
-    Ids come from the tokenizer file at path, without special tokens, then END_ID; null and empty texts are that one id.
-    Other columns are ignored; repeated rows are documents of their own; rows with a null doc_id keep it. An empty table
-    gives an empty result. Sequence numbers begin at 0 with the full pieces.
+    Ids are those that tokenizers gives for the file at path without adding special tokens (the text of an added token inside
+    a document is that token), then END_ID; null and empty texts are that one id. Other columns are ignored; repeated rows are
+    documents of their own; rows with a null doc_id keep it. An empty table gives an empty result. Sequence numbers begin at 0
+    with the full pieces. A text is encoded whole in one task, at some 40 bytes of memory for each of its bytes.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    p = scratch(rows.mapInArrow(_piece_rows(path or tokenizer_path(), length), fields), "pieces")
+    p = scratch(rows.mapInArrow(_piece_rows(path or tokenizer_path(), length), ", ".join(f"{c} long" for c in (*PIECE, "nth"))), "pieces")
     n = p.count()
     buckets = max(64, n // 50_000)
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
-    p = p.withColumn("bucket", bucket)
+    p = p.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(buckets)).cast("int"))
     counts = scratch(p.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     run = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
@@ -270,7 +295,8 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     for r in total:
         hist[r["length"]] = r["n"]
     full, hist[length] = int(hist[length]), 0
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "nth")
     ranked = p.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "bucket"])
-    ranked = ranked.select(*[c.split()[0] for c in fields.split(", ")], (F.col("own") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_placed(plan(hist, length), length, full), fields + ", sequence_id long, offset long")
+    ranked = ranked.select(*PIECE, (F.col("own") + F.col("before")).alias("rank"))
+    fields = ", ".join(f"{c} long" for c in (*PIECE, "sequence_id", "offset"))
+    return ranked.mapInArrow(_placed(plan(hist, length), length, full), fields)
