@@ -298,6 +298,46 @@ def test_packing(docs, none):
     assert rows(packing.packed(none)) == []
 
 
+def test_ids_equal_those_of_tokenizers():
+    """Odd white space, added tokens' texts, broken and whole ones, letters of many scripts: ids are as of the whole text."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(9)
+    tok, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    some = ["a", "Word", "it's", "I'LL", "42", "7x", "...", "#!", "é", "ß", "Ω", "漢字", "🙂", "\u0301", "\x00", "\x1c", "\x85", "<|endoftext|>", "<|endof", "text|>", "|", "_"]
+    gaps = [" ", " ", " ", " ", "", "  ", "\n", "\t", "\xa0", "\u2003", "\u3000", " \n", "\r\n", "\x0b"]
+    texts_ = ["".join(rnd.choice(gaps) + rnd.choice(some) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
+    texts_ += ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(128, 0xD7FF), rnd.randrange(0x10000, 0x10FFFF)])) for _ in range(rnd.randint(1, 60))) for _ in range(2000)]
+    texts_ += ["x<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", ""]
+    for a in range(0, len(texts_), 500):
+        part = texts_[a : a + 500]
+        for t, ids in zip(part, encode(pa.array(part)), strict=True):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert encode(pa.array(["a<|endoftext|>b"]))[0].tolist().count(50256) == 1
+
+
+def test_packing_null_and_repeated_ids(spark):
+    rows_ = [(None, "a b c")] * 40 + [(3, "d e")] * 40 + [(3, "f " * 3000), (None, None)]
+    got = packing.packed(spark.createDataFrame(rows_, "doc_id long, text string").repartition(2)).collect()
+    places = [(r.sequence_id, r.offset + i) for r in got for i in range(r.length)]
+    assert len(places) == len({*places}) == sum(r.doc_tokens for r in got if r.start == 0) and sum(r.start == 0 for r in got) == len(rows_)
+
+
+def test_least_squares_is_near_the_best():
+    rnd = np.random.default_rng(3)
+    hist = np.zeros(61)
+    hist[1:60] = rnd.integers(0, 40, 59)
+    combos = packing.combinations(hist.astype(int), 60)
+    assert sorted({*map(tuple, combos.tolist())}) == sorted({(c, b, a) for a in range(60) for b in range(max(a, 1), 60) for c in [60 - a - b] if c >= b and all(hist[x] for x in (a, b, c) if x)})
+    a = np.zeros((61, len(combos)))
+    for j, c in enumerate(combos):
+        for x in c[c > 0]:
+            a[x, j] += 1
+    x = packing.solve(hist, combos)
+    slope = a.T @ (a @ x - hist)  # no coordinate can move to advantage
+    assert (x >= 0).all() and slope.min() > -0.5 and np.abs(slope[x > 0.1]).max() < 0.5
+
+
 def test_plan_uses_all():
     rnd = np.random.default_rng(2)
     hist = np.zeros(2049, np.int64)
@@ -343,6 +383,36 @@ def test_embeddings(spark):
     assert rows(embedding_dedup.linked(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_recall_by_band(spark, kind):
+    """Planted links of cosine 0.9 to 1 among 6,000 vectors: found in full but for a hundredth right at the threshold."""
+    rnd = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rnd.normal(size=(3000, 48)))
+    side = rnd.normal(size=base.shape)
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    cos = rnd.uniform(0.9003, 1, 3000)[:, None]
+    both = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side]) * rnd.uniform(0.1, 9, (6000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], f"vec_id long, embedding array<{kind}>")
+    x = unit(both.astype(np.float32 if kind == "float" else float).astype(float))
+    want = (x @ x.T >= 0.9) & ~np.eye(6000, dtype=bool)
+    got = {r.vec_id: r for r in embedding_dedup.linked(df).collect()}
+    n = np.array([got[i].n_links for i in range(6000)])
+    assert (n <= want.sum(1)).all()
+    bands = {a: (n[:3000][(cos[:, 0] >= a) & (cos[:, 0] < a + 0.02)] > 0).mean() for a in (0.9, 0.92, 0.94, 0.96, 0.98)}
+    assert bands[0.9] >= 0.985 and all(v >= 0.99 for v in bands.values()), bands
+    assert all(got[i + 3000].component_id == got[i].component_id for i in range(3000) if n[i])
+
+
+def test_embedding_buckets_in_blocks(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    x = np.concatenate([np.tile([[1.0, 0, 0, 0]], (90, 1)) + rnd.normal(size=(90, 4)) * 0.05, rnd.normal(size=(60, 4))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain = sorted(map(tuple, embedding_dedup.linked(df).collect()))
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    assert sorted(map(tuple, embedding_dedup.linked(df).collect())) == plain and max(r[1] for r in plain) >= 80
+
+
 # ---------------------------------------------------------------- language model, classifier
 
 
