@@ -219,6 +219,62 @@ def test_rules_reject_outliers_and_keep_clean(spark):
     assert not got[1000] and sum(got.values()) >= 396
 
 
+def test_covariance_estimates_equal_plain_ones(spark):
+    """Minimum-covariance-determinant estimates by numpy: small groups, pools, ties, copies."""
+    rnd = np.random.default_rng(2)
+    q, rows_ = quality_rules, []
+    for g, n in (("a", 61), ("b", 201), ("c", 35)):
+        for i in range(n):
+            w = int(np.exp(rnd.normal(5.5, 0.7)))
+            f = [math.log1p(w), rnd.normal(1.6, 0.04), 0.0 if i % 9 else rnd.uniform(0, 3), abs(rnd.normal(0, 1)) if g == "b" else 0.0, float(i % 5 == 0) * 0.7, rnd.normal(0.9, 0.1)]
+            rows_.append((g, *f, w, w * 5))
+    rows_ += [rows_[0]] * 100
+    df = spark.createDataFrame(rows_, "g string, " + ", ".join(f"{x} double" for x in q.PARTS) + ", n_words long, word_chars long")
+    got = {r.g: r for r in q.estimates(df).collect()}
+    median = lambda x: np.sort(x, 0)[(len(x) - 1) // 2]  # noqa: E731  the lower one
+    groups = {g: np.array(sorted({r[1:] for r in rows_ if r[0] == g})) for g in "abc"}
+    mad = {g: 1.4826 * median(np.abs(x[:, :6] - median(x[:, :6]))) for g, x in groups.items()}
+    spread = median(np.array(list(mad.values())))
+    for g, x in groups.items():
+        w, c, x = median(x[:, 6]), median(x[:, 7]), x[:, :6]
+        steps = np.array([1 / (w + 1), 1 / (c + 1), np.log1p(100 / (c + 1)), np.log1p(600 / (w + 1)), np.log(2), np.log1p(100 / (c + 1))])
+        floors = np.maximum(2 * steps, spread / 2)
+
+        def fit(near):
+            m, cov = x[near].mean(0), np.cov(x[near].T, bias=True)
+            np.fill_diagonal(cov, np.maximum(np.diag(cov), floors**2))
+            y = x - m
+            return np.linalg.slogdet(cov)[1], m, np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)
+
+        z = np.abs(x - median(x)) / np.maximum(mad[g], floors)
+        ends = []
+        for d in ((z * z).sum(1), z.max(1)):
+            for _ in range(q.STEPS + 1):
+                end = fit(d <= median(d) * (1 + 1e-12))
+                d = end[2]
+            ends.append(end)
+        d = min(ends, key=lambda e: e[0])[2]
+        _, m, d = fit(d <= q.CHI_WIDE * max(median(d) / q.CHI_MEDIAN, q.LEAST_SCALE))
+        assert np.allclose(got[g].e.mean, m, rtol=1e-6, atol=1e-9)
+        assert math.isclose(got[g].scale, max(median(d) / q.CHI_MEDIAN, q.LEAST_SCALE), rel_tol=1e-6)
+
+
+def test_rules_take_near_copies_and_small_tables(spark):
+    rnd = random.Random(3)
+    vocab = [f"{x}{i}" for i in range(80) for x in ("the", "Of", "word", "longerword")]
+    text = lambda n: " ".join(rnd.choices(vocab, k=n))
+    clean = [(i, text(int(60 * 2 ** rnd.uniform(0, 4))), "en", f"s{i % 4}") for i in range(400)]
+    one = rnd.choices(vocab, k=300)
+    copies = [(1000 + i, " ".join([*one[: rnd.randint(290, 300)], f"x{i}"]), "en", "s1") for i in range(300)]
+    few = [(5000, text(100), "xx", None), (None, text(90), None, None), (None, "### " * 9 + text(60), None, None)]
+    df = spark.createDataFrame(clean + copies + few, "doc_id long, text string, lang string, source string")
+    kept = {(r.doc_id, r.n_symbols): r.kept for r in quality_rules.judged(df).collect()}
+    assert sum(kept[i, 0] for i, *_ in clean) >= 396 and all(kept[i, 0] for i, *_ in copies)
+    assert kept[5000, 0] and kept[None, 0] and not kept[None, 27]
+    two = spark.createDataFrame(few[:2], df.schema)
+    assert all(r.kept for r in quality_rules.judged(two).collect())
+
+
 # ---------------------------------------------------------------- mixing
 
 
