@@ -84,19 +84,37 @@ def parted(df: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]
     return df.where(top), df.where(~top)
 
 
+def xxhash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(a, b)."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
+    turned = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    h = np.full(len(a), 42, u)
+    for x in (a, b):
+        h = h + p5 + u(8)
+        h ^= turned(x * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        h ^= h >> u(32)
+    return h
+
+
 #: Bits per key of a field, and the logarithms of its least and largest size in bits.
-FIELD_BITS, FIELD_LEAST, FIELD_MOST = 16, 16, 26
+FIELD_BITS, FIELD_LEAST, FIELD_MOST = 16, 16, 28
 
 
 def bit_field(keys: DataFrame, column: str) -> np.ndarray:
-    """A field of bits with those of the (well mixed) keys set: a key whose bit is unset is not among them.
+    """A Bloom filter of the (well mixed) keys with three probes: a key one of whose bits is unset is not among them.
 
-    Its size follows the number of keys up to 8 MB; beyond that more keys only set more of its bits.
+    Its size follows the number of keys up to 32 MB; beyond that more keys only set more of its bits.
     """
     x = keys.select(F.col(column).alias("x"))
     size = min(FIELD_MOST, max(FIELD_LEAST, (FIELD_BITS * x.count()).bit_length()))
-    bit = F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(x, {64 - size}) & 63 as int)))").alias("b")
-    found = x.groupBy(F.expr(f"shiftrightunsigned(x, {70 - size})").alias("i")).agg(bit).toArrow()
+    probes = (f"shiftrightunsigned(x, {64 - size})", f"shiftrightunsigned(shiftleft(x, {size}), {64 - size})", f"shiftrightunsigned(xxhash64(x, x), {64 - size})")
+    at = x.select(F.explode(F.array(*[F.expr(p) for p in probes])).alias("at"))
+    bit = F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")
+    found = at.groupBy(F.expr("shiftright(at, 6)").alias("i")).agg(bit).toArrow()
     bits = np.zeros(1 << (size - 6), np.uint64)
     bits[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     return bits
@@ -104,8 +122,19 @@ def bit_field(keys: DataFrame, column: str) -> np.ndarray:
 
 def in_field(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which of the keys may be in the field."""
-    size = len(bits).bit_length() + 5
-    return (bits[x >> np.uint64(70 - size)] >> ((x >> np.uint64(64 - size)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+    size = np.uint64(len(bits).bit_length() + 5)
+    rest = np.uint64(64) - size
+
+    def probe(at: np.ndarray) -> np.ndarray:
+        return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    out = probe(x >> rest)
+    i = np.flatnonzero(out)
+    i_x = x[i]
+    out[i] = probe((i_x << size) >> rest)
+    i = i[out[i]]
+    out[i] = probe(xxhash(x[i], x[i]) >> rest)
+    return out
 
 
 def release(spark: SparkSession) -> None:

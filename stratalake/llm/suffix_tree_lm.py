@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bit_field, bounded_batches, discard, in_field, mix, parted, pieces, release, scratch, table
+from .common import Words, bit_field, bounded_batches, discard, in_field, mix, parted, pieces, release, scratch, table, xxhash
 
 #: Words and terms that tasks know by heart, keys that joins broadcast: for speed alone, the others are met by shuffles.
 TOP, TOP_TERMS, TOP_KEYS = 200_000, 1_000_000, 20_000
@@ -30,7 +30,7 @@ TOP, TOP_TERMS, TOP_KEYS = 200_000, 1_000_000, 20_000
 END = 1 << 61
 #: Least occurrences of a context and of an edge; divergence a context needs (nats per occurrence) and gain an edge needs
 #: (nats); weight of the suffix; words in the longest context.
-LEAST, PAIR, DIVERGENCE, GAIN, PRIOR, DEPTH = 20, 3, 0.02, 1.0, 10.0, 5
+LEAST, PAIR, DIVERGENCE, GAIN, PRIOR, DEPTH = 20, 3, 0.02, 3.0, 10.0, 5
 #: Tells contexts' terms from those of edges.
 _NODE = 0x510E527FADE682D1
 _FLUSH = 1 << 20
@@ -79,22 +79,6 @@ def _word_values(rb):
     return (Words(rb.column("text"), lower=True).hash,)
 
 
-def xxhash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(a, b)."""
-    u = np.uint64
-    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
-    turned = lambda x, n: (x << u(n)) | (x >> u(64 - n))
-    h = np.full(len(a), 42, u)
-    for x in (a, b):
-        h = h + p5 + u(8)
-        h ^= turned(x * p2, 31) * p1
-        h = turned(h, 27) * p1 + p4
-        h = (h ^ (h >> u(33))) * p2
-        h = (h ^ (h >> u(29))) * p3
-        h ^= h >> u(32)
-    return h
-
-
 def walk(v: np.ndarray, begin: np.ndarray, depth: int, frequent: dict[int, np.ndarray]):
     """For k = 1, 2, ..., depth: k, the places whose last k words may be a frequent context, the keys of that context and of
     the context without its oldest word together with the symbol, and the key of context and symbol.
@@ -126,7 +110,8 @@ def _met(rows: DataFrame, other: DataFrame, key: str, weight: str, how: str = "i
 
 
 class Tree:
-    """What the tasks hold: frequent words, the heaviest terms, and fields of the frequent grams, all words and all terms."""
+    """What the tasks hold: frequent words, the heaviest terms, and fields of the frequent grams, of all words, nodes and
+    edges."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, totals: dict, depth: int):
         rank = np.lexsort((words, -counts))
@@ -135,7 +120,7 @@ class Tree:
         self.rank = np.argsort(rank)[order].astype(np.uint64)
         self.keys, self.terms = np.zeros(0, np.uint64), np.zeros(0)
         self.frequent: dict[int, np.ndarray] = {}
-        self.known = self.bits = np.zeros(1 << 10, np.uint64)
+        self.known = self.nodes = self.edges = np.zeros(1 << 10, np.uint64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent words and whether it is one."""
@@ -162,9 +147,11 @@ class Tree:
         """Sum of the terms held at each place, and the places and keys of those that may be in the table only."""
         total, places, keys = np.zeros(len(v)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for _, at, ctx, _, both in walk(v, begin, self.depth, self.frequent):
-            for x in (xxhash(ctx, np.full(len(ctx), _NODE, np.uint64)), both):
-                m = np.flatnonzero(in_field(self.bits, x))
-                x, where = x[m], at[m]
+            node = xxhash(ctx, np.full(len(ctx), _NODE, np.uint64))
+            m = in_field(self.nodes, node)  # only a retained context has edges
+            node, at, both = node[m], at[m], both[m]
+            m = in_field(self.edges, both)
+            for x, where in ((node, at), (both[m], at[m])):
                 if len(self.keys):
                     i = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
                     own = self.keys[i] == x
@@ -200,8 +187,8 @@ def _pairs(train: DataFrame, tree: Tree, first: int, last: int, likely: np.ndarr
 
 
 def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(e, n, p) of the symbols e after the contexts of pairs (ctx, par, n), and the terms (x, d, n) of the contexts that pass
-    the test and of their edges. before: (e, n, p) one level up."""
+    """(e, n, p) of the symbols e after the contexts of pairs (ctx, par, n), and the terms (x, d, n, node) of the contexts that
+    pass the test and of their edges. before: (e, n, p) one level up."""
     parents = before.select(F.col("e").alias("par"), F.col("p").alias("pp"), F.col("n").alias("w"))
     full = scratch(_met(pairs, parents, "par", "w"), "predicted")
     sums = full.groupBy("ctx").agg(
@@ -226,7 +213,9 @@ def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = scratch(out, "level")
     discard(full, nodes)
     terms = left.select(F.xxhash64("ctx", F.lit(_NODE)).alias("x"), F.log10("rest").alias("d"), F.col("of").alias("n"))
-    return out, terms.unionByName(out.where("d is not null").select(F.col("e").alias("x"), "d", "n"))
+    terms = terms.withColumn("node", F.lit(True))
+    edges = out.where("d is not null").select(F.col("e").alias("x"), "d", "n", F.lit(False).alias("node"))
+    return out, terms.unionByName(edges)
 
 
 def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
@@ -272,7 +261,8 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
         top = top.toArrow()
         keys = top.column("x").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        tree.keys, tree.terms, tree.bits = keys[order], top.column("d").to_numpy()[order], bit_field(terms, "x")
+        tree.keys, tree.terms = keys[order], top.column("d").to_numpy()[order]
+        tree.nodes, tree.edges = bit_field(terms.where("node"), "x"), bit_field(terms.where("not node"), "x")
         lookup = lookup.unionByName(others.select("x", F.lit(None).cast("long").alias("c"), "d"))
     release(spark)
     return tree, lookup
