@@ -574,7 +574,7 @@ def test_classifier(spark, docs, none):
 
 
 def test_licenses(spark, none):
-    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][1]
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][2]
     wrapped = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
     cases = {1: ("Text.\nReleased under the MIT License.\nMore text", ["MIT"]), 2: ("released, under the <b>MIT</b> license", []), 3: (f"x\n\n{wrapped}\n\ny", ["MIT"]), 4: (None, []), 5: ("", []), 6: ("under the the MIT", []), 7: ("LICENSED UNDER THE APACHE LICENSE - VERSION 2.0\nLicensed under CC BY-NC 4.0.", ["Apache-2.0", "CC-BY-NC-4.0"])}
     df = spark.createDataFrame([(i, t, "x") for i, (t, _) in cases.items()], "doc_id long, text string, found string")
@@ -583,6 +583,64 @@ def test_licenses(spark, none):
     assert rows(licenses.scanned(none)) == []
 
 
+def test_licenses_name_the_right_one(spark):
+    """Whole texts and standard notices, wrapped, on one line and inside paragraphs; null and repeated ids."""
+    prose = "The tool reads a file and writes another one, as was said of the house at the end of the day. " * 3
+    by = {}
+    for name, t in licenses.TEMPLATES:
+        by.setdefault(name, []).append(t)
+    whole = {k: max(v, key=len) for k, v in by.items()}
+    cases = []
+    for name, t in whole.items():
+        words_ = t.split()
+        wrap = "\n".join(" * " + " ".join(words_[i : i + 9]) for i in range(0, len(words_), 9))
+        cases += [(name, f"Copyright (c) 2020 Some One\n\n{wrap}\n\n{prose}"), (name, f"{prose}{t} {prose}"), (name, t.upper())]
+    for name, ts in by.items():
+        cases += [(name, f"{prose} {min(ts, key=len)} {prose}")]
+    shorter = whole["BSD-3-Clause"].split(" HOWEVER CAUSED")[0]
+    cases += [("BSD-3-Clause", shorter), ("BSD-2-Clause", licenses._BSD), (None, prose), (None, "free software")]
+    rows_ = [(i if i % 5 else None, t, n) for i, (n, t) in enumerate(cases)] * 2
+    df = spark.createDataFrame(rows_, "doc_id long, text string, want string")
+    got = licenses.scanned(df.select("doc_id", "text"))
+    assert got.count() == len(rows_)
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.DICE)
+    wrong = [(n, x, t[:200]) for (n, t), x in zip(cases, scan(pa.array([t for _, t in cases])), strict=True) if [y[0] for y in x] != ([n] if n else [])]
+    assert not wrong
+    assert Counter(tuple(y.license for y in r.found) for r in got.collect()) == Counter((n,) if n else () for n, _ in cases for _ in range(2))
+
+
+def test_licenses_equal_plain_dice():
+    """Every window of every text against every template."""
+    rnd = random.Random(12)
+    templates = [("A", "a b c d e f"), ("B", "a b c x y"), ("C", "q r s t u v w a b"), ("A", "c d e f g h i j k l m n")]
+    scan = licenses.Scanner(templates, 0.75)
+    for _ in range(300):
+        w = []
+        while len(w) < 40:
+            t = rnd.choice(templates)[1].split()
+            part = [x for x in t if rnd.random() < 0.9] if rnd.random() < 0.7 else rnd.choices("abcdefqrsxyz", k=5)
+            w += part
+        grams, found = list(zip(w, w[1:])), []
+        for i, (_, t) in enumerate(templates):
+            own = {*zip(t.split(), t.split()[1:])}
+            for a in range(len(grams)):
+                best = None
+                for b in range(a, min(len(grams), a + int(len(t.split()[1:]) * 1.25 / 0.75 + 1e-9))):  # the size bound
+                    if grams[a] in own and grams[b] in own:
+                        s = {*grams[a : b + 1]}
+                        dice = 2 * len(s & own) / (len(s) + len(own))
+                        if dice >= 0.75 and (best is None or dice >= best[1]):
+                            best = len(s & own) * dice, dice, i, a, b
+                found += [best] if best else []
+        taken, want = [], []
+        for _, dice, i, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            if not any(a <= q + 1 and p <= b + 1 for p, q in taken):
+                taken.append((a, b))
+                want.append((a, templates[i][0], round(dice, 9)))
+        got = [(x[0], round(x[1], 9)) for x in scan(pa.array([" ".join(w)]))[0]]
+        assert got == [x[1:] for x in sorted(want)]
+
+
 HTML = {
     "<p>a<p>b <b>c</b>d<br>e": "a\n\nb cd\ne",
     "<ul><li>x<li>y<ol start=3><li>z</ol></ul>w": "- x\n- y\n  3. z\n\nw",
