@@ -770,6 +770,12 @@ MORE_HTML = {
     "a<textarea>\none\n two</textarea>b": "a\none\n two\nb",
     "<p>Size <select><option selected>small<option>large</select> now": "Size small large now",
     "<select><optgroup label=fruit><option>fig</optgroup></select>": "fruit fig",
+    "<table><tr><td><ul><li>a<li>b</ul><td><p>x<p>y<tr><td><pre>1\n 2</pre><td>z</table>": "- a | x\n- b |\n    | y\n1   | z\n 2  |",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b></div>z": "yes\nz",
+    "<style>.x, p.y {display: none} #i{visibility:hidden} b{display:none!important} .x b{display:none}</style><p class='x q'>a<p class=y>b<div class=y>c</div><i id=i>d</i><b style='display:inline'>e</b>f": "c\nf",
+    "<style>.x{display:none} @media print{p{display:none}} /* p{display:none} */</style><p class=x style='display:block'>a<p>b": "a\n\nb",
+    "<details><summary>s</summary>closed</details><details open><summary>t</summary>open</details>": "s\nt\nopen",
+    "<input value=v><input type=password value=w><input type=hidden value=h><input placeholder=pl><input type=submit value=go>": "v pl go",
     "<p>a<svg><title>t</title><defs/><circle r=1 /><text>drawn</text><defs><text>not</text></defs></svg>b": "a drawn b",
 }
 
@@ -779,6 +785,47 @@ def test_pages_keep_visible_text(html):
     assert html_text.render(html).strip() == MORE_HTML[html]
 
 
+def made_page(rnd, deep=0):
+    """HTML of random blocks with end tags left out where they may be, and its lines by a plain layout of the same blocks."""
+    word = lambda: rnd.choice(["ab", "cde", "f", "Gh", "&amp;"])
+    text = lambda: " ".join(word() for _ in range(rnd.randint(1, 4)))
+    end = lambda tag: rnd.choice([f"</{tag}>", ""])
+    html, blocks = "", []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.choice(["p", "ul", "ol", "table", "hidden", "inline"] if not deep else ["p", "ul"])
+        t = text()
+        shown = t.replace("&amp;", "&")
+        if kind == "p":
+            html += f"<p>{t.replace(' ', rnd.choice([' ', '  ', chr(10)]))}{end('p')}"
+            blocks.append([shown])
+        elif kind == "inline":
+            html += f"<h2>{t} <b>{t}</b><i hidden>{t}</i></h2>"
+            blocks.append([f"{shown} {shown}"])
+        elif kind == "hidden":
+            html += rnd.choice([f"<div style='display:none'><p>{t}</div>", f"<script>{t}</script>", f"<!-- {t} -->", f"<section hidden><ul><li>{t}</ul></section>"])
+        elif kind in ("ul", "ol"):
+            items = [text() for _ in range(rnd.randint(1, 3))]
+            html += f"<{kind}>" + "".join(f"<li>{x}{end('li')}" for x in items) + f"</{kind}>"
+            blocks.append([(f"{i}. " if kind == "ol" else "- ") + x.replace("&amp;", "&") for i, x in enumerate(items, 1)])
+        else:
+            n = rnd.randint(1, 3)
+            grid = [[text() for _ in range(n)] for _ in range(rnd.randint(1, 3))]
+            html += "<table>" + rnd.choice(["<tbody>", ""]) + "".join(f"<tr>{''.join(f'<td>{c}' + end('td') for c in r)}" for r in grid) + "</table>"
+            grid = [[c.replace("&amp;", "&") for c in r] for r in grid]
+            blocks.append([" | ".join(c.ljust(max(len(r[j]) for r in grid)) for j, c in enumerate(r)).rstrip() for r in grid])
+    return html, "\n\n".join("\n".join(b) for b in blocks)
+
+
+def test_pages_equal_plain_layout(spark):
+    rnd = random.Random(21)
+    cases = [made_page(rnd) for _ in range(1500)]
+    wrong = [(h, want, got) for h, want in cases if (got := html_text.render(h)) != want]
+    assert not wrong, wrong[0]
+    df = spark.createDataFrame([(None, None, h, 1, "x") for h, _ in cases[:50]], "page_id long, url string, html string, text int, n_words string")
+    assert sorted(r.text for r in html_text.extracted(df).collect()) == sorted(w for _, w in cases[:50])
+    assert html_text.extracted(df.limit(0)).collect() == []
+
+
 def test_rules_count_kept_junk_beside_kept_clean(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     r = quality_rules.judged(d).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
