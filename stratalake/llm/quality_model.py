@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, bounded_batches, chained, mix, pieces, scratch, table
 
-#: Labelled rows that the fit takes at most, in hash order of doc_id.
+#: Labelled rows that the fit takes at most, drawn by hashes of doc_id and features.
 SAMPLE = 40_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
 ROUNDS, PAIR_ROUNDS, RATE, LEAF = 80, 40, 0.2, 20
@@ -163,7 +163,8 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
 
     Rows held out by crc32 of doc_id never train; a null doc_id has no label and is not held out. Labels other than 0
     and 1, null ones, and labels of no document are left aside. Null and empty texts are scored by their (zero) features.
-    Without labels every score is 0.5, with labels of one class all scores are its smoothed rate. Other columns are
+    A text is worked on whole in one task, at some 60 bytes of memory for each of its bytes. Rows of one doc_id and several
+    texts share its label. Without labels every score is 0.5, with labels of one class all scores are its smoothed rate. Other columns are
     ignored; repeated rows come back as often as they came. An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
@@ -171,10 +172,12 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     x = scratch(rows.mapInArrow(_feature_rows, "doc_id long, x array<float>"), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     marks = marks.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    marks = scratch(x.select("doc_id").join(marks, "doc_id"), "marks")
-    share = int((1 << 20) * min(1.0, 0.97 * SAMPLE / max(1, marks.count())))  # 0.97: the draw stays under the limit
-    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).distinct().limit(SAMPLE)
-    known = x.join(marks, "doc_id").select("x", "y").toArrow()
+    marks = marks.distinct()
+    # a repeated doc_id brings all its rows: the bound is on rows, drawn by a hash of id and features
+    n = x.select("doc_id").join(marks, "doc_id").count()
+    share = int((1 << 20) * min(1.0, 0.97 * SAMPLE / max(1, n)))  # 0.97: the draw stays under the limit
+    drawn = x.where(F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 20)) < share)
+    known = drawn.join(marks, "doc_id").select("x", "y").limit(SAMPLE).toArrow()
     y = known.column("y").to_numpy().astype(float)
     known = known.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     order = np.lexsort((y, *known.T)) if len(y) else []  # the fit does not depend on the order of arrival

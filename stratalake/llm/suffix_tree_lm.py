@@ -33,7 +33,7 @@ END = 1 << 61
 LEAST, PAIR, DIVERGENCE, GAIN, PRIOR, DEPTH = 20, 3, 0.02, 3.0, 10.0, 5
 #: Tells contexts' terms from those of edges.
 _NODE = 0x510E527FADE682D1
-_FLUSH = 1 << 20
+_FLUSH = 1 << 19
 
 
 def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -41,21 +41,22 @@ def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
 
 
 def _summed(parts):
-    """Rows (keys, ..., n) of equal keys as one row, the counts added."""
-    *columns, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Rows (key, ..., n) of equal keys as one row, the counts added; the other columns follow from the key."""
+    key, *columns, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(n):
-        return *columns, n
-    order = np.lexsort(columns)
-    columns, n = [c[order] for c in columns], n[order]
-    new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], 0)]))
-    return *(c[new] for c in columns), np.add.reduceat(n, new)
+        return key, *columns, n
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], *(c[order[new]] for c in columns), np.add.reduceat(n, new)
 
 
 def _counted(of, names: list[str]):
-    """Rows (names, n): counts of the tuples of 64-bit values that of(piece) gives, merged within the task up to a bound."""
+    """Rows (names, n): counts of the tuples of 64-bit values that of(piece) gives, the first of which tells them apart, merged
+    within the task up to a bound. names: of the last columns."""
 
     def out(parts):
-        return table(**{c: v.view(np.int64) for c, v in zip([*names, "n"], parts, strict=True)})
+        return table(**{c: v.view(np.int64) for c, v in zip([*names, "n"], parts[-1 - len(names) :], strict=True)})
 
     def run(batches):
         held, size = [], 0
@@ -171,14 +172,14 @@ def _pairs(train: DataFrame, tree: Tree, first: int, last: int, likely: np.ndarr
         t, field = held.value
         v, begin, *_ = t.symbols(Words(rb.column("text"), lower=True))
         out, may = [], None
-        for k, at, ctx, par, _ in walk(v, begin, last, t.frequent):
+        for k, at, ctx, par, both in walk(v, begin, last, t.frequent):
             if k == first:
                 may = np.zeros(len(v), bool)
                 may[at] = in_field(field, xxhash(par, par) if k == 1 else par)
             if k >= first:
                 m = may[at]
-                out.append((np.full(int(m.sum()), k, np.uint64), ctx[m], par[m]))
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64)] * 3
+                out.append((both[m], np.full(int(m.sum()), k, np.uint64), ctx[m], par[m]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64)] * 4
 
     c = train.mapInArrow(_counted(grams, ["k", "ctx", "par"]), "k long, ctx long, par long, n long")
     out = scratch(c.groupBy("k", "ctx", "par").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR), "grams")

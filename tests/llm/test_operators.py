@@ -570,6 +570,28 @@ def test_classifier(spark, docs, none):
     assert rows(quality_model.scored(none, odd)) == []
 
 
+def test_classifier_scores_by_tables_and_bounds_its_sample(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(600, len(quality_model.FEATURES))).astype(np.float32)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    model = quality_model.Additive(x, y)
+    got = model.score(x)
+    for i in range(0, 600, 29):  # bin additions, one feature and one pair at a time
+        f = model.base + sum(t[np.searchsorted(c, v, "right")] for c, t, v in zip(model.cuts, model.tables, x[i]))
+        f += sum(t[np.searchsorted(model.coarse[a], x[i, a], "right"), np.searchsorted(model.coarse[b], x[i, b], "right")] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-f)), rel_tol=1e-6)
+    assert (0, 1) in model.pairs and ((got > 0.5) == y).mean() > 0.85
+    seen = []
+    real = quality_model.Additive
+    monkeypatch.setattr(quality_model, "SAMPLE", 40)
+    monkeypatch.setattr(quality_model, "Additive", lambda x, y: seen.append(len(x)) or real(x, y))
+    rows_ = [(1, f"one {i} text " * (i % 7 + 1)) for i in range(300)] + [(None, "no id"), (None, None), (4, "")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    r = quality_model.scored(df, marks).collect()
+    assert len(r) == len(rows_) and sum(x.doc_id is None for x in r) == 2 and seen and 0 < seen[0] <= 40
+
+
 # ---------------------------------------------------------------- licences, pages
 
 
