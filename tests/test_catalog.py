@@ -6,10 +6,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
-from stratalake.functions.schema import BBOX, STAT_VALUE
+from stratalake.functions.schema import BBOX, COLUMN_STAT, STAT_VALUE
 from stratalake.functions.text import bbox_text, bytes_text, stat_text
 from stratalake.jobs import queries
-from stratalake.operators import geo, prune, report, spatial
+from stratalake.operators import export, geo, prune, report, spatial
 from stratalake.sources import footers
 
 EDGES = ("xmin", "ymin", "xmax", "ymax")
@@ -43,6 +43,8 @@ def catalog(spark, tmp_path_factory):
     write("crsnull", meta(crs=None))
     write("crsnumber", meta(crs={"id": {"authority": "EPSG", "code": 4326}}))
     write("crstext", meta(crs={"id": {"authority": "EPSG", "code": "4326"}}))
+    write("sibling", json.dumps({"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": covering("bbox") | {"crs": {"id": {"authority": "EPSG", "code": 1}}}, "other": 5, "third": "x", "fourth": [1]}}))
+    write("entrytext", json.dumps({"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": "x"}}))
     write("nostats", meta(**covering("bbox")), write_statistics=False)
     pq.ParquetWriter(d / "empty.parquet", pa.schema([("v", pa.int64())])).close()
     (d / "broken.parquet").write_bytes(b"not parquet")
@@ -69,6 +71,7 @@ def test_sources_and_boxes(catalog):
     assert got["crsnull"][2] == "OGC:CRS84"
     assert got["crsnumber"][2] == got["crstext"][2] == "EPSG:4326"
     assert got["nostats"][0] == "unavailable"
+    assert got["sibling"] == ("bbox-struct", 0, "EPSG:1") and got["entrytext"][2] is None
     box = catalog.where("file = 'declared' and rg_index = 1").select("bbox.*").first()
     assert tuple(box) == (1.0, 2.0, 3.0, 4.0)
 
@@ -94,11 +97,68 @@ def test_texts(spark):
     box = spark.createDataFrame([((0.0, 0.0012345, 0.5, 12.5),), ((180.0, 100000.0, -0.25, 1.0),), (None,)], f"b {BBOX}")
     assert [r.t for r in box.select(bbox_text(F.col("b")).alias("t")).collect()] == ["[0, 1.235e-3, 0.50000, 12.5000]", "[180.00, 1.000e+5, -0.25000, 1.0000]", None]
     v = lambda k, **x: (k, *(x.get(f) for f in ("num", "int", "str", "ts", "bool", "bin")))
-    want = {"1,234,567": v("num", num=1234567.0), "1.0000e-5": v("num", num=1e-5), "1.5": v("num", num=1.5), "a" * 63 + "…": v("str", str="a" * 65), "0a0b": v("bin", bin=b"\n\x0b"), "<33 bytes>": v("bin", bin=b"x" * 33), "true": v("bool", bool=True), "NaN": v("num", num=float("nan"))}
+    want = {"1,234,567": v("num", num=1234567.0), "1.0000e-5": v("num", num=1e-5), "1.5": v("num", num=1.5), "0.007813": v("num", num=0.0078125), "0.5": v("num", num=0.5), "-1,234.5": v("num", num=-1234.5), "a" * 63 + "…": v("str", str="a" * 65), "0a0b": v("bin", bin=b"\n\x0b"), "<33 bytes>": v("bin", bin=b"x" * 33), "true": v("bool", bool=True), "NaN": v("num", num=float("nan"))}
     s = spark.createDataFrame([(k, x) for k, x in want.items()], f"want string, s {STAT_VALUE}")
     assert [(r.want, r.t) for r in s.select("want", stat_text(F.col("s")).alias("t")).collect() if r.want != r.t] == []
 
 
+def test_decimal_bounds_prune(spark, tmp_path):
+    import decimal
+
+    t = pa.table({"p": pa.array([decimal.Decimal("1.50"), decimal.Decimal("2.25")], pa.decimal128(9, 2))})
+    pq.write_table(t, tmp_path / "d.parquet", store_decimal_as_integer=False)
+    rows = footers.scan(footers.list_files(spark, str(tmp_path)))
+    got = rows.select(F.col("columns")[0]["min_raw"]["num"].alias("low"), prune.keeps([("p", "gte", "2.25")]).alias("a"), prune.keeps([("p", "gte", "2.26")]).alias("b")).first()
+    assert tuple(got) == (1.5, True, False)
+
+
+def test_filter_sets_take_first_record_and_leave_out_placeholders(spark):
+    num = lambda x: ("num", x, None, None, None, None, None)
+    col = lambda path, lo, hi: (path, None, None, 3, None, None, num(lo), num(hi), 0, None, None, None)
+    groups = [("f", 0, [col("a", 1.0, 5.0), col("a", 90.0, 90.0)]), ("f", 1, [col("a", 7.0, 9.0)]), ("broken", None, None), ("g", 0, [col("b", 1.0, 1.0)])]
+    b = spark.createDataFrame(groups, f"file string, rg_index int, columns array<{COLUMN_STAT}>")
+    filters = [("s", "1", "a", "between", "\t2", "3\u00a0"), ("s", "2", "a", "is_not_null", "", None), ("t", "1", "a", "gte", "6", ""), ("u", "1", "b", "eq", "nothing", "")]
+    f = spark.createDataFrame(filters, "filter_set string, filter_id string, column string, op string, value string, value2 string")
+    want = {("s", "f", 0): True, ("s", "f", 1): False, ("s", "g", 0): True, ("t", "f", 0): False, ("t", "f", 1): True, ("t", "g", 0): True, ("u", "f", 0): True, ("u", "f", 1): True, ("u", "g", 0): True}
+    assert {(r.filter_set, r.file, r.rg_index): r.keep for r in prune.prune_many(b, f).collect()} == want
+    assert {tuple(r) for r in prune.match_counts(b, f).collect()} == {("s", 2, 3), ("t", 2, 3), ("u", 3, 3)}
+    for s in "stu":
+        one = [(c, op, v, w or "") for t, _, c, op, v, w in filters if t == s]
+        for r in b.where("rg_index is not null").select("file", "rg_index", prune.keeps(one).alias("k")).collect():
+            assert r.k == want[s, r.file, r.rg_index]
+    old, prune.BROADCAST_FILTERS = prune.BROADCAST_FILTERS, 0
+    try:
+        assert {(r.filter_set, r.file, r.rg_index): r.keep for r in prune.prune_many(b, f).collect()} == want
+    finally:
+        prune.BROADCAST_FILTERS = old
+
+
+def test_colors_and_reports(spark):
+    b = spark.createDataFrame([("f", i, 1, 0, 0, o, "native", None, t) for i, (o, t) in enumerate([(None, None), (1234567, []), (5, [1, 3])])], f"file string, rg_index int, num_rows long, total_compressed_bytes long, total_uncompressed_bytes long, file_offset long, bbox_source string, bbox {BBOX}, geometry_types array<int>")
+    assert [(r.offset, r.types, r.bbox) for r in report.row_group_report(b).orderBy("rg_index").collect()] == [("—", "—", "—"), ("1,234,567", "—", "—"), ("5", "1, 3", "—")]
+    colors = [r.c for r in spark.range(12).select(export.color(F.col("id")).alias("c")).collect()]
+    assert colors[0] == colors[10] == "#4f8cff" and colors[9] == "#8a4fff" and len({*colors}) == 10
+
+
+def test_grid_join_of_all_sizes(spark):
+    """Boxes from points to the whole world against rectangles of all sizes, many of them odd."""
+    import random
+
+    rnd = random.Random(6)
+
+    def box():
+        x, y, s = rnd.uniform(-180, 180), rnd.uniform(-90, 90), 10 ** rnd.uniform(-3, 2.6)
+        odd = rnd.random()
+        return (x, y, x + s, y + s * rnd.random()) if odd > 0.15 else (x, y, x, y) if odd > 0.05 else (x, float("nan"), x + s, y) if odd > 0.02 else (x + s, y, x, y)
+
+    boxes = [("f", i, box()) for i in range(300)]
+    rects = [(i, box()) for i in range(120)]
+    b = spark.createDataFrame(boxes, f"file string, rg_index int, bbox {BBOX}")
+    r = spark.createDataFrame(rects, f"rect_id int, rect {BBOX}")
+    pairs = {how: sorted(map(tuple, spatial.range_join(b, r, how).select("rg_index", "rect_id").collect())) for how in ("broadcast", "grid")}
+    assert pairs["broadcast"] == pairs["grid"] and len({*pairs["grid"]}) == len(pairs["grid"]) > 1000
+
+
 SF = "/root/testdata/sf0.001"
 
 
