@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from stratalake.llm import jaccard_join, mixing, packing, quality_rules, substring_dedup
-from stratalake.llm.common import scratch
+from stratalake.llm.common import discard, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done, docs = docs, scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(done)
     return STAGES[-1][1](spark, docs, sf_dir)
