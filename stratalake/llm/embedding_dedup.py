@@ -46,7 +46,7 @@ def parameters(n: int, cosine: float = COSINE, recall: float = 0.99) -> tuple[fl
     return width, hashes, math.ceil(math.log(1 - recall) / math.log(1 - near**hashes))
 
 
-def _usable(kind: pa.DataType):
+def usable(kind: pa.DataType):
     """vec_id and the vector's bytes as it came (kind: of its components); null where it links with nothing."""
     size = kind.to_pandas_dtype()().itemsize
 
@@ -212,7 +212,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.99) ->
     kind = pa.float32() if single else pa.float64()
     dtype = kind.to_pandas_dtype()
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("embedding"))
-    v = v.mapInArrow(_usable(kind), "vec_id long, raw binary")
+    v = v.mapInArrow(usable(kind), "vec_id long, raw binary")
     v = v.withColumns({"c1": F.when(F.col("raw").isNotNull(), F.xxhash64("raw")), "c2": F.xxhash64(F.lit("b"), "raw")})
     v = scratch(v, "vectors")
     classes = v.where("raw is not null").groupBy("c1", "c2", "raw").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, jaccard_join, licenses, mixing, packing, quality_model, quality_rules, substring_dedup, suffix_tree_lm
+from . import embedding_dedup, html_text, jaccard_join, licenses, mixing, multi_index, packing, quality_model, quality_rules, spelling, substring_dedup, suffix_tree_lm, vector_codes
 from .common import documents
 
 
@@ -57,11 +57,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_html_text, op3_jaccard_join, op4_quality_rules, op5_license_scan, op6_quality_model,
-        op7_mixing, op8_suffix_tree_lm, op9_substring_dedup, op10_packing,
+        op7_mixing, op8_suffix_tree_lm, op9_substring_dedup, op10_packing, op11_multi_index,
+        op12_vector_codes, op13_spelling,
     )
 }
 
@@ -78,6 +91,32 @@ _COMPONENTS = """
   component AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
 """
 
+
+def _lloyd() -> str:
+    """Codebooks b0, b1, b2, each the entries moved to the whole means of the parts nearest to them."""
+    near = """
+  near{k} AS MATERIALIZED (
+    SELECT pos, part, min(d * 64 + i) % 64 AS i, min(d * 64 + i) // 64 AS d FROM (
+      SELECT u.pos, u.part, b.i, CAST(list_sum(list_transform(range(1, len(u.part) + 1), lambda j: (u.part[j] - b.part[j]) * (u.part[j] - b.part[j]))) AS BIGINT) AS d
+      FROM (SELECT DISTINCT pos, part FROM parts) u JOIN b{k} b ON b.pos = u.pos
+    ) GROUP BY pos, part
+  )"""
+    moved = """
+  sums{k} AS (
+    SELECT pos, i, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+      SELECT p.pos, a.i, unnest(range(1, len(p.part) + 1)) AS j, unnest(p.part) AS x FROM parts p JOIN near{k} a ON a.pos = p.pos AND a.part = p.part
+    ) GROUP BY pos, i, j
+  ),
+  means{k} AS (SELECT pos, i, list((s - ((s % n) + n) % n) // n ORDER BY j) AS part FROM sums{k} GROUP BY pos, i),
+  b{m} AS MATERIALIZED (SELECT b.pos, b.i, coalesce(m.part, b.part) AS part FROM b{k} b LEFT JOIN means{k} m ON m.pos = b.pos AND m.i = b.i)"""
+    return ",".join([near.format(k=0), moved.format(k=0, m=1), near.format(k=1), moved.format(k=1, m=2), near.format(k=2)])
+
+
+#: Unsigned crc32 of the bytes of s, by the table of its 256 steps.
+_CRC = """(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(1, len(hex(encode(s))) // 2 + 1),
+  lambda i: CAST('0x' || substr(hex(encode(s)), 2 * i - 1, 2) AS UBIGINT))), lambda c, x: xor(c >> 8, steps[CAST((xor(c, x) & 255) + 1 AS BIGINT)])))"""
+_STEP = "list_reduce(list_concat([CAST(i AS UBIGINT)], list_transform(range(8), lambda k: CAST(k AS UBIGINT))), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+
 SQL: dict[str, str] = {
     "op1_embedding_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -123,5 +162,58 @@ WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM docume
     FROM w LEFT JOIN lists ON lists.doc_id = w.doc_id
   )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""",
+    "op12_vector_codes": f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  ),
+  cuts AS (SELECT vec_id, label, v, unnest(range(16)) AS pos FROM kept),
+  parts AS MATERIALIZED (SELECT vec_id, label, pos, v[pos * (len(v) // 16) + 1:(pos + 1) * (len(v) // 16)] AS part FROM cuts),
+  first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM kept ORDER BY vec_id LIMIT 64),
+  b0 AS MATERIALIZED (SELECT pos, i, part FROM parts JOIN first USING (vec_id)),
+  {_lloyd()},
+  coded AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', a.i), '' ORDER BY p.pos) AS code, CAST(sum(a.d) AS BIGINT) AS error
+    FROM parts p JOIN near2 a ON a.pos = p.pos AND a.part = p.part GROUP BY vec_id
+  )
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, i)) FROM b2) AS codebooks_sha256
+FROM coded
+""",
+    "op13_spelling": f"""
+WITH RECURSIVE steps AS (SELECT list(s ORDER BY i) AS steps FROM (SELECT i, {_STEP} AS s FROM range(256) t(i))),
+  found AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+    FROM documents WHERE text IS NOT NULL
+  ),
+  runs AS (SELECT doc_id, run, doc_id || ':' || run AS s, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY ALL),
+  hashed AS MATERIALIZED (SELECT run, n, xor({_CRC}, 4294967295) AS h FROM runs, steps),
+  spoilt AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed
+  ),
+  words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  cut AS MATERIALIZED (
+    SELECT DISTINCT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+  ),
+  near AS MATERIALIZED (
+    SELECT DISTINCT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+    UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+    UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)
+  ),
+  ranked AS (
+    SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r
+    FROM near JOIN words ON word = b
+  ),
+  forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN k.n >= 10 * w.n THEN b END AS form, CASE WHEN k.n >= 10 * w.n THEN k.n END AS form_n
+    FROM words w LEFT JOIN ranked k ON k.a = w.word AND r = 1
+  ),
+  chain AS (
+    SELECT word, coalesce(form, word) AS at FROM forms
+    UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL AND c.at <> c.word
+  )
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM forms f JOIN (SELECT c.word, c.at AS root FROM chain c JOIN forms g ON g.word = c.at WHERE g.form IS NULL) c ON c.word = f.word
 """,
 }
