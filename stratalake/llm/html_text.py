@@ -10,6 +10,7 @@ content of media do not show. Work is per row: no shuffle.
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -36,39 +37,79 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 SCOPE = frozenset("td th table caption html body".split())
 #: Kinds of input whose value is not seen as text (fixed values).
 NO_VALUE = frozenset("hidden password checkbox radio file range color image".split())
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+#: Columns of a table are padded up to this width: a wider cell stands as it is.
+WIDEST = 1000
 _SIMPLE = re.compile(r"^([a-z][a-z0-9]*|\*)?((?:[.#][-_a-z0-9\u0080-\uffff]+)*)$", re.I)
-_SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+_VALUE = re.compile(r"[a-z-]+")
+_HEADING = re.compile(r"h[0-9]+")
 
 
 def _declared(style: str) -> dict[str, tuple[bool, str]]:
     """display and visibility in a list of declarations: (important, value), the last important one first."""
     out: dict[str, tuple[bool, str]] = {}
-    for name, value, important in _SHOWN.findall(style):
-        name = name.lower()
-        if important or not out.get(name, (False,))[0]:
-            out[name] = bool(important), value.lower()
+    for said in style.split(";"):
+        name, _, value = said.partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility"):
+            value, marked, word = value.lower().partition("!")
+            value, important = value.strip(), word.strip() == "important"
+            if _VALUE.fullmatch(value) and important == bool(marked) and (important or not out.get(name, (False,))[0]):
+                out[name] = important, value
     return out
 
 
+def _without_comments(css: str) -> str:
+    out, at = [], 0
+    while (a := css.find("/*", at)) >= 0:
+        out.append(css[at:a])
+        at = css.find("*/", a + 2)
+        if at < 0:
+            return " ".join(out)
+        at += 2
+    return " ".join([*out, css[at:]])
+
+
+def _rules(css: str):
+    """Selectors and declarations of each rule that stands by itself, in one pass; at-rules and rules that hold others are left out."""
+    css = _without_comments(css)
+    start = body = deep = 0
+    nested = False
+    for m in re.finditer("[{};]", css):
+        sign, at = m[0], m.start()
+        if sign == "{":
+            deep += 1
+            nested = deep > 1 or nested
+            body = at if deep == 1 else body
+        elif sign == "}":
+            deep = max(0, deep - 1)
+            if not deep:
+                selectors = css[start:body]
+                if not nested and not selectors.lstrip().startswith("@"):
+                    yield selectors, css[body + 1 : at]
+                start, body, nested = at + 1, at + 1, False
+        elif not deep and css[start:at].lstrip().startswith("@"):
+            start = body = at + 1
+
+
 class Sheet:
     """The rules of style elements that show or hide elements by tag, class or id; rules within at-rules, and selectors with
-    combinators, attributes or states, are left aside."""
+    combinators, attributes or states, are left aside. Rules are kept by an id, class or tag that they ask for."""
 
     def __init__(self):
-        self.rules: list[tuple[tuple, str, frozenset, frozenset, dict]] = []
+        self.rules: dict[tuple[str, str], list[tuple[tuple, str, frozenset, frozenset, dict]]] = {}
+        self.count = 0
 
     def add(self, css: str) -> None:
-        css = re.sub(r"/\*.*?\*/", " ", css, flags=re.S)
-        css = re.sub(r"@[^{};]*(;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", " ", css)
-        for selectors, body in _RULE.findall(css):
+        for selectors, body in _rules(css):
             if said := _declared(body):
                 for one in selectors.split(","):
                     if (m := _SIMPLE.match(one.strip())) and one.strip():
                         names = re.findall(r"([.#])([^.#]+)", m[2])
                         ids, classes = (frozenset(n for k, n in names if k == x) for x in "#.")
                         tag = (m[1] or "*").lower()
-                        self.rules.append(((len(ids), len(classes), tag != "*", len(self.rules)), tag, ids, classes, said))
+                        key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+                        self.rules.setdefault(key, []).append(((len(ids), len(classes), tag != "*", self.count), tag, ids, classes, said))
+                        self.count += 1
 
     def style(self, node: Node) -> dict[str, str]:
         """display and visibility said of a node by rules and its own style."""
@@ -76,10 +117,11 @@ class Sheet:
         a = node.attrs
         if self.rules:
             own_id, own = a.get("id"), frozenset((a.get("class") or "").split())
-            for rank, tag, ids, classes, said in self.rules:
-                if tag in ("*", node.tag) and classes <= own and ids <= {own_id}:
-                    for k, (important, v) in said.items():
-                        found[k] = max(found.get(k, ((),)), ((important, False, *rank), v))
+            for key in (("#", own_id), *((".", c) for c in own), ("", node.tag), ("", "*")):
+                for rank, tag, ids, classes, said in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and classes <= own and ids <= {own_id}:
+                        for k, (important, v) in said.items():
+                            found[k] = max(found.get(k, ((),)), ((important, False, *rank), v))
         if a.get("style"):
             for k, (important, v) in _declared(a["style"]).items():
                 found[k] = max(found.get(k, ((),)), ((important, True), v))
@@ -100,6 +142,24 @@ class Builder(HTMLParser):
         self.sheet = Sheet()
         self.open = [self.root]
         self.count: dict[str, int] = {}  # open elements by tag: most searches of a deep stack end here
+        self.tail = 0  # characters from the last end of a comment on: a comment that begins among them has none
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):  # of any kind: a comment up to the next >
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def parse_comment(self, i, report=1):
+        return -1 if len(self.rawdata) - i - 4 < self.tail else super().parse_comment(i, report)
+
+    def whole(self, html: str) -> None:
+        """Reads a page. After its last > no tag can end, so what follows is text."""
+        end = html.rfind(">") + 1
+        self.tail = end - max(0, html.rfind("-->", 0, end))
+        self.feed(html[:end])
+        self.close()
+        if html[end:]:
+            self.handle_data(html[end:] if self.cdata_elem else unescape(html[end:]))
 
     def _cut(self, i: int) -> None:
         """Closes the open elements from place i on."""
@@ -132,7 +192,7 @@ class Builder(HTMLParser):
             self._close(frozenset({"p"}), SCOPE)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        if tag[:1] == "h" and tag[1:].isdigit() and self.open[-1].tag[:1] == "h" and self.open[-1].tag[1:].isdigit():
+        if _HEADING.fullmatch(tag) and _HEADING.fullmatch(self.open[-1].tag):
             self._cut(len(self.open) - 1)
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
@@ -234,7 +294,10 @@ def _drawn(svg: Node, sheet: Sheet) -> list:
 def _laid_out(rows: list[list[str]]) -> list[str]:
     """Lines of a table: columns as wide as their widest line, rows as high as their highest cell."""
     rows = [[c.split("\n") for c in r] for r in rows if any(r)]
-    widths = [max((len(x) for r in rows if i < len(r) for x in r[i]), default=0) for i in range(max(map(len, rows), default=0))]
+    widths = [0] * max(map(len, rows), default=0)
+    for r in rows:
+        for i, cell in enumerate(r):
+            widths[i] = max(widths[i], min(WIDEST, max(map(len, cell))))
     out = []
     for r in rows:
         for k in range(max(map(len, r))):
@@ -248,8 +311,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     builder = Builder()
-    builder.feed(html)
-    builder.close()
+    builder.whole(html)
     sheet = builder.sheet
     writers, tables, lists = [Writer()], [], []
     # what is left to do: node, whether it is being left, inside preformatted text, visible
@@ -312,7 +374,7 @@ def render(html: str | None) -> str:
                 w.line(2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 1)
             if tag in ("ul", "ol", "menu"):
                 start = node.attrs.get("start") or ""
-                lists.append(int(start) if tag == "ol" and start.isdigit() and len(start) < 10 else 1 if tag == "ol" else 0)
+                lists.append(int(start) if tag == "ol" and start.isascii() and start.isdecimal() and len(start) < 10 else 1 if tag == "ol" else 0)
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1]:
@@ -341,7 +403,7 @@ def render(html: str | None) -> str:
             if not tables[-1]:
                 tables[-1].append([])
             span = node.attrs.get("colspan") or "1"
-            tables[-1][-1] += [cell] + [""] * (min(int(span), 100) - 1 if span.isdigit() and len(span) < 5 else 0)
+            tables[-1][-1] += [cell] + [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdecimal() and len(span) < 5 else 0)
         elif tag == "table" and tables:
             for row in _laid_out(tables.pop()):
                 w.line(1)

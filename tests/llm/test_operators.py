@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -180,6 +181,17 @@ def test_substring_null_and_repeated_ids(spark, monkeypatch, splits):
     assert left[None, beta] + left[7, beta] + left[7, f"{beta} {p}"] <= 3 and left[None, None] == 1
 
 
+def test_substring_takes_rows_that_come_very_often(spark):
+    """Many equal rows are one document: no task holds their places, and each of them gets the same answer."""
+    rnd = random.Random(8)
+    body = rnd.choices(["w%d" % i for i in range(5000)], k=400)
+    own = [(3, "x y z " + " ".join(body[100:200])), (9, " ".join(body[:50])), (None, " ".join(body[300:])), (None, " ".join(body[300:]))]
+    many = spark.range(10_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(" ".join(body)).alias("text")).repartition(8)
+    df = many.unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    removed = {(r.doc_id, r.n_words): (r.n_removed, r["count"]) for r in substring_dedup.dedup_report(df).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert removed == {(5, 400): (100, 10_000), (3, 103): (0, 1), (9, 50): (50, 1), (None, 100): (100, 2)}
+
+
 def test_substring_short_windows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "x a b c y"), (3, "q b c d")], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_report(df, 3).collect()} == {1: 0, 2: 3, 3: 3}
@@ -802,6 +814,32 @@ MORE_HTML = {
 }
 
 
+MORE_HTML |= {
+    "a<![foo[x]]>b<![ x>c<![CDATA[d]]>e": "abce", "<ol start='²'><li>a</ol>": "1. a", "<table><tr><td colspan='²'>a<td>b</table>": "a | b",
+    "a<!-- never closed <b>c</b>": "a<!-- never closed <b>c", "x <b": "x <b", "p &amp; q": "p & q", "<p>a<!-- b -->c<!-- d -->e": "ace",
+    "<style>{} } p{display:none} @x; a b{display:none} @media x{p{}q{display:none}} .k{display:none/*;*/}</style><p>no<div><a><b class=k>no</b><q>yes": "yes",
+    "<style>b{display:none !important;display:inline} i{visibility: hidden !x}</style><b>no</b><i>yes</i>": "yes",
+}
+
+
+def test_pages_of_any_text_end_soon():
+    """Random markup never ends the job, and the time of odd pages grows with their length."""
+    rnd = random.Random(9)
+    parts = ["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "<?", "&", "&#", "&#x;", "&amp", "\"", "'", "=", " ", "\n", "p", "td", "table", "li", "ol start=", "²", "h²", "style", "<style>", "</style>", "{", "}", "@", ";", "display:none", "svg", "select", "\x00", "é", "\ud7ff", "colspan=", "9" * 12, "script", "dialog", "details", "summary", "/", "hidden"]
+    for _ in range(4000):
+        assert isinstance(html_text.render("".join(rnd.choices(parts, k=rnd.randint(1, 40)))), str)
+    n = 1 << 20
+    for odd in ("<style>" + "a b " * (n // 4), "<style>" + "@a " * (n // 3), "<style>" + "/*" * (n // 2), "<style>" + "p{" * (n // 2), "<style>p{display:none" + " " * n + "x}", "<!-- a >" * (n // 8), "<!-- -- >" * (n // 9), "<a " * (n // 3), "&" * n, "<p style='display:" + " " * n + "'>"):
+        began = time.time()
+        html_text.render(odd)
+        assert time.time() - began < 10, odd[:20]
+    page = "<style>" + "".join(f".c{i}{{display:none}} #i{i}{{display:none}}" for i in range(20_000)) + "</style>" + "".join(f"<p class=c{i}>x<p id=i{i}>y<p>z" for i in range(20_000))
+    began = time.time()
+    assert html_text.render(page).split() == ["z"] * 20_000 and time.time() - began < 20
+    wide = "<table><tr><td>" + "w" * 1_000_000 + "<td>b" + "<tr><td>a<td>b" * 2000 + "</table>"
+    assert len(html_text.render(wide)) < 4_000_000
+
+
 @pytest.mark.parametrize("html", MORE_HTML)
 def test_pages_keep_visible_text(html):
     assert html_text.render(html).strip() == MORE_HTML[html]
