@@ -279,12 +279,24 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.withColumns({"d": F.coalesce(id_, F.xxhash64(F.lit("d"), body)), "t": F.xxhash64(body), "z": id_.isNull()})
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs (KEY, text) with one row of each document. Only rows that come again are shuffled, and each task merges its own first."""
+    again = scratch(docs.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*KEY), "again")
+    some = again.count()
+    if not some:
+        return docs
+    again = F.broadcast(again) if some <= 100_000 else again
+    repeated = docs.join(again, KEY, "left_semi").dropDuplicates(KEY)
+    return docs.join(again, KEY, "left_anti").unionByName(repeated)
+
+
 def removals(docs: DataFrame, window: int = 20) -> DataFrame:
     """d, t, z, n_removed, kept_sha256, kept_text of each document that loses words.
 
     docs: the key of keyed(), and text (not null). Starts are judged on the input.
     """
     spark = docs.sparkSession
+    docs = once(docs)
     gram = min(GRAM, window)
     r = F.xxhash64(*KEY)  # equal values only bring more candidates
     rows = docs.select(r.alias("r"), "text").mapInArrow(_anchor_rows(window, gram), "x long, r long, pos long, n long")
@@ -303,8 +315,7 @@ def removals(docs: DataFrame, window: int = 20) -> DataFrame:
     runs = runs.repartition("key").sortWithinPartitions("key")
     gone = runs.mapInArrow(_trees(window), "d long, t long, z boolean, start long, n long")
     gone = gone.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    # a repeated row is in held as often as it came
-    cut = held.select(*KEY, "text").join(gone, KEY).dropDuplicates(KEY)
+    cut = held.select(*KEY, "text").join(gone, KEY)
     cut = cut.mapInArrow(_cut(window), "d long, t long, z boolean, n_removed long, kept_sha256 string, kept_text string")
     out = scratch(cut, "cut")
     discard(held)
