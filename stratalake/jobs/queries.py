@@ -387,7 +387,7 @@ _RANGE = BLOCKS + _RECTS + f"SELECT rect_id, {KEY} FROM q JOIN b ON xmax >= a1 A
 
 @query(_RANGE)
 def o28_range_join(spark, sf_dir):
-    return _range_join(spark, sf_dir, "broadcast")
+    return _range_join(spark, sf_dir, "auto")
 
 
 @query(_RANGE)

@@ -9,8 +9,13 @@ from ..functions.schema import BBOX, EDGES, finite
 
 #: Rectangles or points are broadcast up to so many; more meet the boxes on grids.
 BROADCAST_SHAPES = 50_000
-#: Cells that a shape may cover on its own grid; grids, the finest one's cell, and how much coarser each is than the one before.
-MAX_CELLS, LEVELS, FINEST, COARSER = 16, 9, 0.01, 8.0
+#: The finest grid's cell, how much coarser each grid is than the one before, and cells that a shape may cover along one axis.
+FINEST, COARSER, SPAN = 1e-7, 4.0, 4
+#: Shapes of one side in one cell beyond which the cell is dealt out in blocks.
+DENSE = 4096
+#: Dense cells are broadcast up to so many.
+BROADCAST_CELLS = 100_000
+CELL = ["_k", "_cx", "_cy"]
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -41,23 +46,64 @@ def rects_from_corners(corners: DataFrame) -> DataFrame:
 
 
 def _level(box: Column, finest: float) -> Column:
-    """The finest grid on which a box covers at most MAX_CELLS cells; null for unknown or turned edges."""
+    """The finest grid on which a box spans at most SPAN cells along either axis; null for unknown or turned edges."""
     sane = finite(box["xmin"]) & finite(box["ymin"]) & finite(box["xmax"]) & finite(box["ymax"])
     sane = F.coalesce(sane & (box["xmin"] <= box["xmax"]) & (box["ymin"] <= box["ymax"]), F.lit(False))
-    out = F.when(~sane, F.lit(None).cast("int"))
-    for k in range(LEVELS):
-        size = finest * COARSER**k
-        cells = lambda lo, hi, size=size: F.floor(box[hi] / size) - F.floor(box[lo] / size) + 1
-        out = out.when(cells("xmin", "xmax").cast("double") * cells("ymin", "ymax") <= MAX_CELLS, F.lit(k))
-    return out
+    wide = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"]) / (finest * (SPAN - 1))
+    k = F.when(wide <= 1, F.lit(0)).otherwise(F.ceil(F.log2(wide) / F.log2(F.lit(COARSER))).cast("int"))
+    return F.when(sane & finite(wide), k)
+
+
+def _size(finest: float) -> Column:
+    return F.lit(finest) * F.pow(F.lit(COARSER), F.col("_k"))
+
+
+def _in_cells(shapes: DataFrame, box: str, k: Column, finest: float) -> DataFrame:
+    """shapes once for each cell that they touch on grid k."""
+    at = lambda e: F.floor(F.col(box)[e] / _size(finest))
+    out = shapes.withColumn("_k", k)
+    return out.withColumn("_cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("_cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+
 
+def _meeting(own: DataFrame, copies: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """Rows of own beside rows of copies in the same cell. A cell where either side is dense is dealt out: its rows lie in blocks by
+    hash, and every pair of blocks meets in a place of its own, so that no task holds more than a block of each side."""
+    per_cell = own.groupBy(*CELL).agg(F.count("*").alias("_m")).join(copies.groupBy(*CELL).agg(F.count("*").alias("_n")), CELL)
+    dense = per_cell.where((F.col("_m") > DENSE) | (F.col("_n") > DENSE))
+    dense = dense.select(*CELL, F.ceil(F.col("_m") / DENSE).cast("int").alias("_bi"), F.ceil(F.col("_n") / DENSE).cast("int").alias("_bj"))
+    found = dense.limit(BROADCAST_CELLS + 1).collect()
+    if not found:
+        return own.join(copies, CELL)
+    if len(found) <= BROADCAST_CELLS:
+        dense = F.broadcast(own.sparkSession.createDataFrame(found, dense.schema))
 
-def _on_grids(shapes: DataFrame, box: str, level: str, finest: float) -> DataFrame:
-    """shapes once for each cell (level, cx, cy) they touch, on their own grid and on all coarser ones."""
-    size = F.lit(finest) * F.pow(F.lit(COARSER), F.col("_k"))
-    at = lambda e: F.floor(F.col(box)[e] / size)
-    out = shapes.withColumn("_k", F.explode(F.sequence(F.col(level), F.lit(LEVELS - 1))))
-    return out.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+    def dealt(df: DataFrame, names: list[str], mine: str, other: str) -> DataFrame:
+        df = df.join(dense, CELL, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_bi", "_bj")})
+        mark = F.pmod(F.xxhash64(*names), F.col(f"_b{mine}")).cast("int")
+        return df.withColumn(f"_{mine}", mark).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_b{other}") - 1))).drop("_bi", "_bj")
+
+    return dealt(own, left, "i", "j").join(dealt(copies, right, "j", "i"), [*CELL, "_i", "_j"])
+
+
+def range_candidates(boxes: DataFrame, rects: DataFrame, finest: float = FINEST) -> DataFrame:
+    """Pairs of a row of boxes (with bbox) and a row of rects (with rect) that share a cell, for shapes with four sane edges.
+
+    A shape's own grid is the finest one that suits its size. A pair meets on the coarser of the two own grids only: there one
+    of them lies in its own cells and the other in a copy, which is made for grids that the other side really has. So shapes of one size
+    meet in cells of that size, and the pairs tried follow the pairs found. Columns: those of both sides, _k, _cx, _cy; a pair
+    may come once for each cell that both touch.
+    """
+    b, r = boxes.withColumn("_l", _level(F.col("bbox"), finest)).where("_l is not null"), rects.withColumn("_l", _level(F.col("rect"), finest)).where("_l is not null")
+    grids = [sorted(x["_l"] for x in side.select("_l").distinct().collect()) for side in (b, r)]  # a grid for each power of size: few
+    out = None
+    for own, copies, box, rect, levels, names, strictly in ((b, r, "bbox", "rect", grids[0], (boxes.columns, rects.columns), False), (r, b, "rect", "bbox", grids[1], (rects.columns, boxes.columns), True)):
+        every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+        coarser = F.filter(every, lambda k: k > F.col("_l")) if strictly else F.filter(every, lambda k: k >= F.col("_l"))
+        mine = _in_cells(own, box, F.col("_l"), finest).drop("_l")
+        theirs = _in_cells(copies, rect, F.explode(coarser), finest).drop("_l")
+        pairs = _meeting(mine, theirs, *names).select(*boxes.columns, *rects.columns, *CELL)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def _all_pairs(few: DataFrame, others: DataFrame, block: int) -> DataFrame:
@@ -71,27 +117,20 @@ def _all_pairs(few: DataFrame, others: DataFrame, block: int) -> DataFrame:
 def range_join(boxes: DataFrame, rects: DataFrame, how: str = "auto", finest: float = FINEST) -> DataFrame:
     """Every pair of a row of boxes (with bbox) and a row of rects (with rect) that intersect.
 
-    how: "broadcast" tests each box against the broadcast rectangles; "grid" is one equality join on (grid, cell). A shape
-    lies in the cells of the finest grid that suits its size and of all coarser grids; a pair counts on the coarser of the two
-    own grids, in the one cell that holds the lower left corner of their common part, so that no pair comes twice. Boxes
-    and rectangles without four sane edges meet all of the other side. "auto" takes broadcast behind a check of the number of
-    rectangles.
+    how: "auto" tests each box against the broadcast rectangles behind a check of their number, and beyond it takes "grid":
+    equality joins on (grid, cell), see range_candidates; a pair counts in the one cell that holds the lower left corner of the common
+    part, so that it never comes twice. Boxes and rectangles without four sane edges meet all of the other side, in blocks.
     """
     b = boxes.where(F.col("bbox").isNotNull())
-    if how == "auto":
-        how = "broadcast" if rects.count() <= BROADCAST_SHAPES else "grid"
     test = intersects(F.col("bbox"), F.col("rect"))
-    if how == "broadcast":
+    if how == "auto" and rects.limit(BROADCAST_SHAPES + 1).count() <= BROADCAST_SHAPES:
         return b.join(F.broadcast(rects), test)
     names = [*boxes.columns, *rects.columns]
-    b, r = b.withColumn("_lb", _level(F.col("bbox"), finest)), rects.withColumn("_lr", _level(F.col("rect"), finest))
-    pairs = _on_grids(b.where("_lb is not null"), "bbox", "_lb", finest).join(_on_grids(r.where("_lr is not null"), "rect", "_lr", finest), ["_k", "cx", "cy"])
-    size = F.lit(finest) * F.pow(F.lit(COARSER), F.col("_k"))
-    low = lambda e: F.floor(F.greatest(F.col("bbox")[e], F.col("rect")[e]) / size)
-    own = (F.col("_k") == F.greatest("_lb", "_lr")) & (F.col("cx") == low("xmin")) & (F.col("cy") == low("ymin"))
-    out = pairs.where(own & test).select(*names)
-    out = out.unionByName(_all_pairs(b.where("_lb is null"), r, BROADCAST_SHAPES).where(test).select(*names))
-    return out.unionByName(_all_pairs(r.where("_lr is null"), b.where("_lb is not null"), BROADCAST_SHAPES).where(test).select(*names))
+    low = lambda e: F.floor(F.greatest(F.col("bbox")[e], F.col("rect")[e]) / _size(finest))
+    out = range_candidates(b, rects, finest).where((F.col("_cx") == low("xmin")) & (F.col("_cy") == low("ymin")) & test).select(*names)
+    odd_b, odd_r = _level(F.col("bbox"), finest).isNull(), _level(F.col("rect"), finest).isNull()
+    out = out.unionByName(_all_pairs(b.where(odd_b), rects, BROADCAST_SHAPES).where(test).select(*names))
+    return out.unionByName(_all_pairs(rects.where(odd_r), b.where(~odd_b), BROADCAST_SHAPES).where(test).select(*names))
 
 
 def point_candidates(boxes: DataFrame, points: DataFrame, how: str = "auto", finest: float = FINEST) -> DataFrame:

@@ -155,8 +155,38 @@ def test_grid_join_of_all_sizes(spark):
     rects = [(i, box()) for i in range(120)]
     b = spark.createDataFrame(boxes, f"file string, rg_index int, bbox {BBOX}")
     r = spark.createDataFrame(rects, f"rect_id int, rect {BBOX}")
-    pairs = {how: sorted(map(tuple, spatial.range_join(b, r, how).select("rg_index", "rect_id").collect())) for how in ("broadcast", "grid")}
-    assert pairs["broadcast"] == pairs["grid"] and len({*pairs["grid"]}) == len(pairs["grid"]) > 1000
+    pairs = {how: sorted(map(tuple, spatial.range_join(b, r, how).select("rg_index", "rect_id").collect())) for how in ("auto", "grid")}
+    assert pairs["auto"] == pairs["grid"] and len({*pairs["grid"]}) == len(pairs["grid"]) > 1000
+
+
+def shapes(spark, n, name, seed, wide=360.0, size=0.001):
+    """n small shapes spread over a square of this width."""
+    at = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(10**9)) / 1e9 * wide)
+    x, y = at(1), at(2)
+    box = F.struct(x.alias("xmin"), y.alias("ymin"), (x + at(3) / wide * size).alias("xmax"), (y + at(4) / wide * size).alias("ymax")).cast(BBOX)
+    return spark.range(n).select(F.col("id").alias(f"{name}_id"), box.alias("bbox" if name == "box" else "rect"))
+
+
+def test_grid_candidates_follow_the_result(spark):
+    """Tiny shapes all over the world, and the same in one city: the pairs tried stay within a few times the pairs found."""
+    for wide, size in ((360.0, 0.001), (2.0, 0.02)):
+        b, r = shapes(spark, 8000, "box", 1, wide, size), shapes(spark, 8000, "rect", 50, wide, size)
+        tried = spatial.range_candidates(b, r).count()
+        found = spatial.range_join(b, r, "grid").count()
+        assert tried <= 20 * found + 2000, (wide, tried, found)
+        assert found == spatial.range_join(b, r).count()
+
+
+def test_grid_splits_dense_cells(spark, monkeypatch):
+    """All shapes in one place: pairs are dealt out in blocks, none is lost or doubled, also where dense cells are joined."""
+    b = shapes(spark, 900, "box", 1, 0.001, 0.002).unionByName(shapes(spark, 50, "box", 9, 300.0, 10.0).withColumn("box_id", F.col("box_id") + 5000))
+    r = shapes(spark, 700, "rect", 50, 0.001, 0.002).unionByName(shapes(spark, 50, "rect", 70, 300.0, 40.0).withColumn("rect_id", F.col("rect_id") + 5000))
+    want = sorted(map(tuple, spatial.range_join(b, r).select("box_id", "rect_id").collect()))
+    monkeypatch.setattr(spatial, "DENSE", 64)
+    for most in (100_000, 0):
+        monkeypatch.setattr(spatial, "BROADCAST_CELLS", most)
+        assert sorted(map(tuple, spatial.range_join(b, r, "grid").select("box_id", "rect_id").collect())) == want
+    assert len(want) > 100_000
 
 
 SF = "/root/testdata/sf0.001"
@@ -174,7 +204,7 @@ def test_odd_boxes(spark):
     boxes = spark.createDataFrame(rows, f"file string, rg_index int, bbox {BBOX}")
     rects = spark.createDataFrame([(1, (1.0, 1.0, 2.0, 2.0)), (2, (5.0, 0.5, 6.0, 0.6)), (3, (0.0, 3.0, 0.0, 3.0))], f"rect_id int, rect {BBOX}")
     want = {(1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 2)}
-    for how in ("broadcast", "grid"):
+    for how in ("auto", "grid"):
         got = spatial.range_join(boxes, rects, how).select("rect_id", "rg_index").collect()
         assert sorted(map(tuple, got)) == sorted(want), how
 
