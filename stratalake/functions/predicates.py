@@ -20,20 +20,34 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _number(t: Column) -> Column:
-    out = F.when(t.rlike(_NUMBER), t.try_cast("double"))
+def _folded(t: Column, base: int, kind: str) -> Column:
+    """The digits behind a two-letter prefix as a number; null where a whole number has more than 38 decimal digits."""
+    digits = F.filter(F.split(F.lower(F.substring(t, 3, 2**31 - 1)), ""), lambda c: c != "")
+    worth = lambda c: (F.position(c, F.lit("0123456789abcdef")) - 1).cast(kind)
+    number = F.lit(base).cast("decimal(2,0)" if kind != "double" else kind)
+    return F.aggregate(digits, F.lit(0).cast(kind), lambda a, c: F.try_add(F.try_multiply(a, number).cast(kind), worth(c)).cast(kind))
+
+
+def _prefixed(t: Column):
     for prefix, (base, digits) in _BASES.items():
-        out = out.when(F.lower(t).rlike(f"^{prefix}[{digits}]+$"), F.conv(F.substring(t, 3, 64), base, 10).try_cast("double"))
-    return F.when(F.abs(out) < float("inf"), out)
+        yield F.lower(t).rlike(f"^{prefix}[{digits}]+$"), base
 
 
 def _integer(t: Column) -> Column:
     out = F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("decimal(38,0)"))
-    for prefix, (base, digits) in _BASES.items():
-        out = out.when(F.lower(t).rlike(f"^{prefix}[{digits}]+$"), F.conv(F.substring(t, 3, 64), base, 10).try_cast("decimal(38,0)"))
+    for given, base in _prefixed(t):
+        out = out.when(given, _folded(t, base, "decimal(38,0)"))
     return out
 
 
+def _number(t: Column, whole: Column) -> Column:
+    """whole: the literal as a whole number, if it is one that 38 digits hold: its double is the nearest one."""
+    out = F.when(t.rlike(_NUMBER), t.try_cast("double"))
+    for given, base in _prefixed(t):
+        out = out.when(given, F.coalesce(whole.cast("double"), _folded(t, base, "double")))
+    return F.when(F.abs(out) < float("inf"), out)
+
+
 #: White space that literals lose at both ends: ASCII, no-break and other Unicode spaces, byte order mark (fixed values).
 _BLANKS = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
@@ -44,8 +58,8 @@ def readings(text: Column) -> Column:
     low = F.lower(t)
     truth = F.when(low.isin("true", "t", "1", "yes"), True).when(low.isin("false", "f", "0", "no"), False)
     ts = F.when(t.rlike(_DATE), t.try_cast("timestamp"))
-    made = F.struct(_number(t).alias("num"), _integer(t).alias("int"), t.alias("str"), ts.alias("ts"), truth.alias("bool"))
-    return F.when(t != "", made)
+    made = lambda w: F.struct(_number(t, w).alias("num"), w.alias("int"), t.alias("str"), ts.alias("ts"), truth.alias("bool"))
+    return F.when(t != "", let(_integer(t), made))
 
 
 def read_as(r: Column, kind: Column) -> Column:

@@ -11,11 +11,11 @@ BBOX = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
 COLUMN_STAT = (
     "struct<path: string, type: string, codec: string, num_values: bigint, compressed_bytes: bigint, "
     f"uncompressed_bytes: bigint, min_raw: {STAT_VALUE}, max_raw: {STAT_VALUE}, null_count: bigint, "
-    f"distinct_count: bigint, geo_bbox: {BBOX}, geo_types: array<int>>"
+    f"distinct_count: bigint, geo_bbox: {BBOX}, geo_types: array<int>, segments: array<string>>"
 )
 #: One row per row group, file-level fields repeated; a file without row groups or with an error has rg_index null.
 RAW_ROW_GROUPS = (
-    "file string, file_size bigint, geo_json string, rg0_paths array<string>, rg_index int, num_rows bigint, "
+    "file string, file_size bigint, geo_json string, rg0_paths array<string>, rg0_segments array<array<string>>, rg_index int, num_rows bigint, "
     f"file_offset bigint, columns array<{COLUMN_STAT}>, error string"
 )
 EDGES = ("xmin", "ymin", "xmax", "ymax")
@@ -27,6 +27,11 @@ def column_by_path(path: Column | str, columns: Column | str = "columns") -> Col
     return F.get(F.filter(columns, lambda c: c["path"] == path), F.lit(0))
 
 
+def column_by_segments(names: Column, columns: Column | str = "columns") -> Column:
+    """The first column record with these names from the root on; a record without segments has its path cut at the dots."""
+    return F.get(F.filter(columns, lambda c: F.coalesce(c["segments"], F.split(c["path"], r"\.")) == names), F.lit(0))
+
+
 def finite(x: Column) -> Column:
     """True only for a number that is neither null, NaN nor infinite."""
     return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))

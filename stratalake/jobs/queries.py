@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,8 @@ from ..functions.predicates import literal, verdict
 from ..functions.schema import BBOX, COLUMN_STAT, column_by_path, stat_value
 from ..functions.text import bbox_text, bytes_text, stat_text
 from ..operators import blocks, export, geo, prune, report, spatial
-from ..sources import footers
+from ..sources import catalog_table, footers
+from ..sources.shared import shared_folder
 
 RECT = (-60.0, -12.0, 40.0, 8.0)
 FILTERS = [("price", "between", "20000", "160000"), ("o_orderdate", "gte", "1992-03-01"), ("o_orderpriority", "lte", "4-NOT SPECIFIED")]
@@ -163,7 +166,7 @@ def geo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     geometry = F.struct(
         F.lit("geo.m").alias("path"), *[F.lit(v).alias(k) for k, v in none.items()], F.col("num_rows").alias("num_values"),
         *[F.lit(None).alias(c) for c in ("compressed_bytes", "uncompressed_bytes", "min_raw", "max_raw", "null_count", "distinct_count")],
-        box.alias("geo_bbox"), F.when(box.isNotNull(), F.array(F.lit(1), F.lit(3))).alias("geo_types"),
+        box.alias("geo_bbox"), F.when(box.isNotNull(), F.array(F.lit(1), F.lit(3))).alias("geo_types"), F.array(F.lit("geo.m")).alias("segments"),
     ).cast(COLUMN_STAT)
     case = F.col("rg_index") % len(GEO_TEXTS)
     text = F.get(F.array(*[F.lit(t).cast("string") for t in GEO_TEXTS]), case)
@@ -197,7 +200,7 @@ def o08_declared_covering(spark, sf_dir):
 
 @query(BLOCKS + _G + f"SELECT {KEY}, CASE WHEN c <> 7 THEN 'bbox.ymax' END AS detected FROM g")
 def o09_detected_struct(spark, sf_dir):
-    return geo_blocks(spark, sf_dir).select(*_key(F.array_join(geo.detected_struct(F.col("rg0_paths"))["ymax"], ".").alias("detected")))
+    return geo_blocks(spark, sf_dir).select(*_key(F.array_join(geo.detected_struct(geo.cut(F.col("rg0_paths")))["ymax"], ".").alias("detected")))
 
 
 @query(BLOCKS + _G + f"SELECT {KEY}, CASE WHEN rg_index % 5 = 0 AND c IN (0, 1, 2, 6, 7) THEN x0 END AS xmin, CASE WHEN rg_index % 5 = 0 AND c IN (0, 1, 2, 6, 7) THEN '1,3' END AS types FROM g")
@@ -231,6 +234,16 @@ def o13_catalog(spark, sf_dir):
     return c.select(*_key("num_rows", "bbox_source", "bbox.xmin", "bbox.xmax", F.size("warnings").cast("bigint").alias("n_warnings"), F.col("total_compressed_bytes").alias("bytes")))
 
 
+@query(f"SELECT file, rg_index, CAST(MAX(row_group_num_rows) AS BIGINT) AS num_rows, CAST(SUM(total_compressed_size) AS BIGINT) AS bytes, 1 AS opened_in, true AS as_before FROM ({_META}) GROUP BY 1, 2")
+def o13_catalog_refresh(spark, sf_dir):
+    """A catalog kept in a folder, after a first run and a second one that finds no change and opens no file."""
+    table = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    catalog_table.refresh(spark, sf_dir, table, datetime.date(2024, 1, 1))
+    again = catalog_table.refresh(spark, sf_dir, table, datetime.date(2024, 1, 2)).count()
+    c = catalog_table.current(spark, table).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
+    return c.select(*_key("num_rows", F.col("total_compressed_bytes").alias("bytes"), F.col("run").alias("opened_in"), F.lit(again == 0).alias("as_before")))
+
+
 # ---------------------------------------------------------------- predicates
 
 

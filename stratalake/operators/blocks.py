@@ -36,7 +36,7 @@ def block_statistics(
             F.col(f"b{i}").alias("compressed_bytes"), F.col(f"b{i}").alias("uncompressed_bytes"),
             stat_value(F.col(f"lo{i}"), types[c]).alias("min_raw"), stat_value(F.col(f"hi{i}"), types[c]).alias("max_raw"),
             (F.col("num_rows") - F.col(f"n{i}")).alias("null_count"), F.col(f"d{i}").cast("bigint").alias("distinct_count"),
-            F.lit(None).cast(BBOX).alias("geo_bbox"), F.lit(None).cast("array<int>").alias("geo_types"),
+            F.lit(None).cast(BBOX).alias("geo_bbox"), F.lit(None).cast("array<int>").alias("geo_types"), F.lit(None).cast("array<string>").alias("segments"),
         ).cast(COLUMN_STAT)
         for i, c in enumerate(columns)
     ]

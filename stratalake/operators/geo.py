@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.schema import BBOX, EDGES, as_double, column_by_path, finite
+from ..functions.schema import BBOX, EDGES, as_double, column_by_segments, finite
 from .blocks import with_totals
 
 _PATHS = "struct<xmin: array<string>, ymin: array<string>, xmax: array<string>, ymax: array<string>>"
@@ -48,12 +48,18 @@ def declared_covering(geo: Column) -> tuple[Column, Column]:
     return F.when(box.isNotNull() & fault.isNull(), box).cast(_PATHS), fault
 
 
-def detected_struct(rg0_paths: Column) -> Column:
-    """Paths bbox.<edge> among those of row group 0; the edge in any case, the last one wins, all four needed."""
+def cut(paths: Column) -> Column:
+    """Dotted paths as lists of names, for catalogs that have nothing better."""
+    return F.transform(paths, lambda p: F.split(p, r"\."))
+
+
+def detected_struct(segments: Column) -> Column:
+    """Paths [bbox, <edge>] among those of row group 0; the edge in any case, the last one wins, all four needed. A flat
+    column that is named "bbox.xmin" is one name, not two."""
 
     def last(edge: str) -> Column:
         like = lambda s: (F.size(s) == 2) & (F.get(s, F.lit(0)) == "bbox") & (F.lower(F.get(s, F.lit(1))) == edge)
-        found = F.filter(F.transform(rg0_paths, lambda p: F.split(p, r"\.")), like)
+        found = F.filter(segments, like)
         return F.try_element_at(found, F.lit(-1)).alias(edge)
 
     found = [last(e) for e in EDGES]
@@ -64,7 +70,7 @@ def detected_struct(rg0_paths: Column) -> Column:
 
 def native_box(columns: Column, primary: Column) -> tuple[Column, Column]:
     """(box, geometry types) from the primary column's own statistics; only xmin must be finite."""
-    c = column_by_path(primary, columns)
+    c = column_by_segments(F.array(primary), columns)
     ok = finite(c["geo_bbox"]["xmin"])
     return F.when(ok, c["geo_bbox"]), F.when(ok, c["geo_types"])
 
@@ -73,7 +79,7 @@ def covering_box(columns: Column, paths: Column) -> Column:
     """The box from the bounds of the four covering columns; null if any is missing or not finite."""
     edges = []
     for e in EDGES:
-        c = column_by_path(F.array_join(paths[e], "."), columns)
+        c = column_by_segments(paths[e], columns)
         edges.append(as_double(c["min_raw" if e.endswith("min") else "max_raw"]).alias(e))
     ok = finite(edges[0]) & finite(edges[1]) & finite(edges[2]) & finite(edges[3])
     return F.when(paths.isNotNull() & ok, F.struct(*edges)).cast(BBOX)
@@ -92,7 +98,8 @@ def catalog(raw: DataFrame) -> DataFrame:
     r = raw.withColumn("_geo", geo_metadata(F.col("geo_json")))
     paths, fault = declared_covering(F.col("_geo"))
     r = r.withColumns({"_declared": paths, "_fault": fault})
-    r = r.withColumn("_paths", F.coalesce("_declared", detected_struct(F.col("rg0_paths"))))
+    names = F.coalesce("rg0_segments", cut(F.col("rg0_paths"))) if "rg0_segments" in raw.columns else cut(F.col("rg0_paths"))
+    r = r.withColumn("_paths", F.coalesce("_declared", detected_struct(names)))
     box, types = native_box(F.col("columns"), F.col("_geo.primary_column"))
     r = r.withColumns({"_native": box, "geometry_types": types, "_cover": covering_box(F.col("columns"), F.col("_paths"))})
     source = (

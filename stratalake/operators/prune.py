@@ -17,7 +17,7 @@ BROADCAST_FILTERS, SALTS = 100_000, 64
 def keeps(filters: Iterable[tuple], columns: str = "columns", nan_bound: str = "prune") -> Column:
     """Whether all filters (column, op, value[, value2]) keep a row group; a column without record keeps.
 
-    One expression on the row: the scan can prune the nested fields it does not need, and nothing is shuffled.
+    One expression on the row: nothing is shuffled.
     """
     out = F.lit(True)
     for path, op, value, *more in filters:
@@ -26,6 +26,13 @@ def keeps(filters: Iterable[tuple], columns: str = "columns", nan_bound: str = "
     return out
 
 
+def firsts(columns: Column) -> Column:
+    """The first record of each path: records sorted by path and place, less those whose path is that of the one before."""
+    placed = F.array_sort(F.transform(columns, lambda c, i: F.struct(c["path"].alias("path"), i.alias("i"), c.alias("c"))))
+    new = let(placed, lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["path"] != x["path"])))
+    return F.transform(new, lambda x: x["c"])
+
+
 def failures(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
     """filter_set, file, rg_index of every row group that a filter of the set excludes, once each.
 
@@ -34,9 +41,7 @@ def failures(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune"
     are left out. Every file has the same few paths, so rows are never dealt out by path alone: filters are broadcast behind
     a check of their number, or else joined on path and salt.
     """
-    paths = F.transform("columns", lambda c: c["path"])
-    firsts = let(paths, lambda p: F.filter("columns", lambda c, i: F.array_position(p, c["path"]) == i + 1))
-    stats = row_groups.where("rg_index is not null").select("file", "rg_index", F.explode(firsts).alias("_c")).withColumn("column", F.col("_c.path"))
+    stats = row_groups.where("rg_index is not null").select("file", "rg_index", F.explode(firsts(F.col("columns"))).alias("_c")).withColumn("column", F.col("_c.path"))
     f = filters.select("filter_set", "column", "op", readings(F.col("value")).alias("_a"), readings(F.coalesce("value2", F.lit(""))).alias("_b"))
     if filters.count() <= BROADCAST_FILTERS:
         joined = stats.join(F.broadcast(f), "column")
