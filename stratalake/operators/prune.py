@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import let, readings, verdict, verdict_of
 from ..functions.schema import column_by_path
+from .filter_index import FilterIndex
 
 #: Filters are broadcast up to so many rows; more are joined by path and salt.
 BROADCAST_FILTERS, SALTS = 100_000, 64
@@ -33,21 +36,94 @@ def firsts(columns: Column) -> Column:
     return F.transform(new, lambda x: x["c"])
 
 
+def _indexed(row_groups: DataFrame, filters: DataFrame, nan_bound: str):
+    """For filters that may be broadcast: the names of their sets, the index, and the rows and fields it needs; else None."""
+    timed = lambda r: r.withField("ts", F.unix_micros(r["ts"]))  # noqa: E731  numbers, whatever the session's zone
+    f = filters.select("filter_set", "column", "op", timed(readings(F.col("value"))).alias("a"), timed(readings(F.coalesce("value2", F.lit("")))).alias("b"))
+    rows = f.limit(BROADCAST_FILTERS + 1).collect()
+    if len(rows) > BROADCAST_FILTERS:
+        return None
+    names = sorted({r["filter_set"] for r in rows if r["filter_set"] is not None})
+    number = {n: i for i, n in enumerate(names)}
+    index = FilterIndex([r.asDict() | {"set": number[r["filter_set"]]} for r in rows if r["filter_set"] is not None], nan_bound)
+    some = F.col("columns")
+    if len(index.paths) <= 1000:
+        wanted = F.array(*[F.lit(p) for p in sorted(index.paths)]).cast("array<string>")
+        some = F.filter("columns", lambda c: F.array_contains(wanted, c["path"]))
+    fields = ("path", "num_values", "null_count", "min_raw", "max_raw")
+    of = lambda c, x: timed(c[x]) if x.endswith("_raw") else c[x]
+    slim = F.transform(some, lambda c: F.struct(*[of(c, x).alias(x) for x in fields]))
+    key = row_groups.where("rg_index is not null").select(F.col("file").cast("string").alias("file"), F.col("rg_index").cast("int").alias("rg_index"), slim.alias("columns"))
+    return pa.array(names, pa.string()), row_groups.sparkSession.sparkContext.broadcast(index), key
+
+
+def _verdicts(names: pa.Array, index, everything: bool):
+    """filter_set, file, rg_index (and keep, with everything) of each row group's failures, or of all sets."""
+
+    def run(batches):
+        for rb in batches:
+            sets, at, size, flags = [], [], 0, []
+            for i, records in enumerate(rb.column("columns").to_pylist()):
+                fails = np.zeros(len(names), bool)
+                for x in index.value.failed(records or []):
+                    fails[x] = True
+                mine = np.arange(len(names)) if everything else np.flatnonzero(fails)
+                sets.append(mine)
+                at.append(np.full(len(mine), i))
+                flags.append(~fails[mine])
+                size += len(mine)
+                if size >= 1 << 16:
+                    yield made(rb, sets, at, flags)
+                    sets, at, size, flags = [], [], 0, []
+            if size:
+                yield made(rb, sets, at, flags)
+
+    def made(rb, sets, at, flags):
+        row = pa.array(np.concatenate(at))
+        columns = [names.take(pa.array(np.concatenate(sets))), rb.column("file").take(row), rb.column("rg_index").take(row)]
+        more = [pa.array(np.concatenate(flags))] if everything else []
+        return pa.RecordBatch.from_arrays([*columns, *more], ["filter_set", "file", "rg_index", "keep"][: 3 + len(more)])
+
+    return run
+
+
+def _failure_counts(names: pa.Array, index):
+    """filter_set, failed: once for each task, whatever the number of its row groups."""
+
+    def run(batches):
+        total = np.zeros(len(names), np.int64)
+        for rb in batches:
+            for records in rb.column("columns").to_pylist():
+                found = index.value.failed(records or [])
+                if len(found) == 1:
+                    np.add.at(total, np.unique(found[0]), 1)
+                elif found:
+                    fails = np.zeros(len(names), bool)
+                    for x in found:
+                        fails[x] = True
+                    total += fails
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(total[some])], ["filter_set", "failed"])
+
+    return run
+
+
 def failures(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
     """filter_set, file, rg_index of every row group that a filter of the set excludes, once each.
 
     filters: filter_set, filter_id, column, op, value, value2. Literals are read once per filter, before they meet the row
     groups; of several records of one path the first counts; rows without row group (rg_index null: empty or broken files)
-    are left out. Every file has the same few paths, so rows are never dealt out by path alone: filters are broadcast behind
-    a check of their number, or else joined on path and salt.
+    are left out. Every file has the same few paths, so rows are never dealt out by path alone: behind a check of their number
+    filters are broadcast as an index of sorted literals, or else joined on path and salt.
     """
+    ready = _indexed(row_groups, filters, nan_bound)
+    if ready:
+        names, index, rows = ready
+        return rows.mapInArrow(_verdicts(names, index, False), "filter_set string, file string, rg_index int")
     stats = row_groups.where("rg_index is not null").select("file", "rg_index", F.explode(firsts(F.col("columns"))).alias("_c")).withColumn("column", F.col("_c.path"))
     f = filters.select("filter_set", "column", "op", readings(F.col("value")).alias("_a"), readings(F.coalesce("value2", F.lit(""))).alias("_b"))
-    if filters.count() <= BROADCAST_FILTERS:
-        joined = stats.join(F.broadcast(f), "column")
-    else:
-        salted = f.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = stats.withColumn("_salt", F.pmod(F.xxhash64("file", "rg_index"), F.lit(SALTS)).cast("int")).join(salted, ["column", "_salt"])
+    salted = f.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = stats.withColumn("_salt", F.pmod(F.xxhash64("file", "rg_index"), F.lit(SALTS)).cast("int")).join(salted, ["column", "_salt"])
     fails = joined.where(~verdict_of(F.col("_c"), F.col("op"), F.col("_a"), F.col("_b"), nan_bound))
     return fails.select("filter_set", "file", "rg_index").distinct()
 
@@ -58,9 +134,14 @@ def prune_many(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prun
     A set keeps the row groups it has no failure in. The result has as many rows as sets times row groups; failures() and
     match_counts() are there for those who do not want them all.
     """
+    ready = _indexed(row_groups, filters, nan_bound)
+    if ready:
+        names, index, rows = ready
+        return rows.mapInArrow(_verdicts(names, index, True), "filter_set string, file string, rg_index int, keep boolean")
     sets = filters.select("filter_set").distinct()
-    sets = F.broadcast(sets) if sets.count() <= BROADCAST_FILTERS else sets
-    every = row_groups.where("rg_index is not null").select("file", "rg_index").join(sets)
+    blocks = max(1, -(-sets.count() // max(1, BROADCAST_FILTERS)))  # sets lie in blocks by hash, and row groups go to each block
+    dealt = sets.withColumn("_block", F.pmod(F.xxhash64("filter_set"), F.lit(blocks)).cast("int"))
+    every = row_groups.where("rg_index is not null").select("file", "rg_index", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).join(dealt, "_block")
     failed = failures(row_groups, filters, nan_bound).withColumn("_failed", F.lit(True))
     every = every.join(failed, ["filter_set", "file", "rg_index"], "left")
     return every.select("filter_set", "file", "rg_index", F.col("_failed").isNull().alias("keep"))
@@ -69,7 +150,12 @@ def prune_many(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prun
 def match_counts(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
     """filter_set, matched, total of each filter set: all row groups less those that fail; no set meets a row group that
     it keeps."""
-    failed = failures(row_groups, filters, nan_bound).groupBy("filter_set").agg(F.count("*").alias("_failed"))
+    ready = _indexed(row_groups, filters, nan_bound)
+    if ready:
+        names, index, rows = ready
+        failed = rows.mapInArrow(_failure_counts(names, index), "filter_set string, failed long").groupBy("filter_set").agg(F.sum("failed").alias("_failed"))
+    else:
+        failed = failures(row_groups, filters, nan_bound).groupBy("filter_set").agg(F.count("*").alias("_failed"))
     total = row_groups.where("rg_index is not null").agg(F.count("*").alias("total"))
     sets = filters.select("filter_set").distinct().join(failed, "filter_set", "left").join(F.broadcast(total))
     return sets.select("filter_set", (F.col("total") - F.coalesce("_failed", F.lit(0))).alias("matched"), "total")

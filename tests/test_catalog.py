@@ -133,6 +133,47 @@ def test_filter_sets_take_first_record_and_leave_out_placeholders(spark):
         prune.BROADCAST_FILTERS = old
 
 
+@pytest.mark.parametrize("nan", ["prune", "unknown"])
+def test_filter_index_equals_plain_verdicts(spark, nan):
+    """Random bounds of all kinds, half known, mixed and NaN, against random literals: as the verdict of each filter says."""
+    import datetime
+    import decimal
+    import random
+
+    from stratalake.functions.predicates import OPS, verdict
+
+    rnd = random.Random(12)
+    empty = (None,) * 7
+
+    def bound(kind):
+        v = list(empty)
+        v[0] = kind
+        at, value = {"num": (1, rnd.choice([float("nan"), float("inf"), 0.0, -0.0, 1.5, 2.0**53, rnd.uniform(-5, 5)])), "int": (2, decimal.Decimal(rnd.choice([2**53, 2**53 + 1, rnd.randint(-5, 5)]))), "str": (3, rnd.choice(["", "a", "b", "é", "1"])),
+                     "ts": (4, datetime.datetime(2024, 1, rnd.randint(1, 28))), "bool": (5, rnd.random() < 0.5), "bin": (6, b"a")}[kind]
+        v[at] = value
+        return tuple(v)
+
+    def record(path):
+        kind = rnd.choice(["num", "int", "str", "ts", "bool", "bin"])
+        other = kind if rnd.random() < 0.9 else rnd.choice(["num", "int", "str"])
+        low, high = (bound(k) if rnd.random() < 0.85 else None for k in (kind, other))
+        return (path, None, None, rnd.choice([3, 3, None]), None, None, low, high, rnd.choice([None, 0, 3, 1]), None, None, None, None)
+
+    groups = [("f", i, [record(rnd.choice("abc")) for _ in range(rnd.randint(0, 4))] if i % 20 else None) for i in range(150)]
+    literals = ["", " ", "1", "2.5", "-3", "9007199254740993", "9007199254740992", "1e3", "yes", "f", "2024-01-14", "a", "b", "zz", "0x2", None]
+    filters = [(f"s{i % 40}", str(i), rnd.choice("abcd"), rnd.choice([*OPS, "odd"]), rnd.choice(literals), rnd.choice(literals)) for i in range(90)]
+    b = spark.createDataFrame(groups, f"file string, rg_index int, columns array<{COLUMN_STAT}>")
+    f = spark.createDataFrame(filters, "filter_set string, filter_id string, column string, op string, value string, value2 string")
+    first = F.get(F.filter("columns", lambda c: c["path"] == F.col("column")), F.lit(0))
+    plain = b.crossJoin(f).select("filter_set", "rg_index", verdict(first, F.col("op"), F.col("value"), F.coalesce("value2", F.lit("")), nan).alias("k"))
+    want = {(r.filter_set, r.rg_index): r.k for r in plain.groupBy("filter_set", "rg_index").agg(F.min("k").alias("k")).collect()}
+    assert {(r.filter_set, r.rg_index): r.keep for r in prune.prune_many(b, f, nan).collect()} == want
+    assert sorted((r.filter_set, r.rg_index) for r in prune.failures(b, f, nan).collect()) == sorted(k for k, v in want.items() if not v)
+    counts = {r.filter_set: (r.matched, r.total) for r in prune.match_counts(b, f, nan).collect()}
+    assert counts == {s: (sum(v for (t, _), v in want.items() if t == s), 150) for s, _ in want}
+    assert 500 < sum(want.values()) < len(want) - 500
+
+
 def test_filter_sets_on_wide_schemas(spark):
     """Of several records of a path the first counts, and 5,000 columns take no 25 times as long as 1,000."""
     import time
