@@ -13,7 +13,11 @@ global order their first n - a + l tokens share at least l.
 Documents that are tied together, directly or not, form a cluster. A cluster of more than a block is cut into length bands
 as wide as the similarity, so that only neighbouring bands meet, and bands into blocks; each pair of blocks is verified in
 one task, which returns the links of a spanning forest and never the pairs. Exact copies (of the word sequence) are one
-class throughout. Classes are told apart by 64-bit hashes of the word sequence and shingles by 64-bit hashes of their words.
+class throughout. Classes are told apart by two 64-bit hashes of the word sequence (where documents are merely gathered as candidates,
+by the first) and shingles by 64-bit hashes of their words.
+
+Documents of a token are counted in one window, but for tokens of more than ``HEAVY`` documents: their rows are dealt by
+document, counted apart and given the counts back by broadcast.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from .common import Words, bit_field, bounded_batches, chained, components, disc
 
 #: Tokens in so many documents, as seen by the tasks, are ordered last.
 FREQUENT = 64
+#: Documents (as seen by the tasks) beyond which a token's rows are not gathered in one task.
+HEAVY = 20_000
 #: Documents of a block; two blocks meet in a task.
 BLOCK = 384
 _FLUSH = 1 << 21
@@ -49,13 +55,17 @@ def shingle_sets(w: Words, k: int) -> list[np.ndarray]:
     return out
 
 
-def sequence_keys(w: Words) -> np.ndarray:
-    """One 64-bit key per document, from its whole sequence of words."""
+def sequence_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys per document, from its whole sequence of words."""
     n = w.counts()
     at = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], n).astype(np.uint64)
-    total = np.zeros(len(w.hash) + 1, np.uint64)
-    np.cumsum(mix(w.hash + at * np.uint64(0x9E3779B97F4A7C15), 9), out=total[1:])
-    return mix((total[w.first[1:]] - total[w.first[:-1]]) ^ n.astype(np.uint64), 13).view(np.int64)
+
+    def keys(salt: int) -> np.ndarray:
+        total = np.zeros(len(w.hash) + 1, np.uint64)
+        np.cumsum(mix(w.hash + at * np.uint64(0x9E3779B97F4A7C15), salt), out=total[1:])
+        return mix((total[w.first[1:]] - total[w.first[:-1]]) ^ n.astype(np.uint64), salt + 4).view(np.int64)
+
+    return keys(9), keys(33)
 
 
 def order_key(s: np.ndarray, salt: int, frequent: np.ndarray) -> np.ndarray:
@@ -101,18 +111,19 @@ def _class_rows(k: int):
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
             n = [len(s) for s in shingle_sets(w, k)]
-            yield table(**{c: rb.column(c) for c in rb.schema.names if c != "text"}, key=sequence_keys(w), n=pa.array(n, pa.int64()))
+            key, key2 = sequence_keys(w)
+            yield table(**{c: rb.column(c) for c in rb.schema.names if c != "text"}, key=key, key2=key2, n=pa.array(n, pa.int64()))
 
     return run
 
 
 def _prefix_rows(k: int, num: int, den: int, frequent):
     def run(batches):
-        held: dict[int, tuple[int, np.ndarray]] = {}
+        held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
         size = 0
 
         def flush():
-            ks = np.array(list(held), np.int64)
+            ks = np.array([k for k, _ in held], np.int64)
             lens = [len(t) for _, t in held.values()]
             return table(
                 token=np.concatenate([t for _, t in held.values()]).view(np.int64),
@@ -122,7 +133,9 @@ def _prefix_rows(k: int, num: int, den: int, frequent):
 
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
-            for key, s in zip(sequence_keys(w).tolist(), shingle_sets(w, k), strict=True):
+            both = (x.tolist() for x in sequence_keys(w))
+            for *key, s in zip(*both, shingle_sets(w, k), strict=True):
+                key = tuple(key)
                 if len(s) and key not in held:
                     n = len(s)
                     t = first_of(s, order_key(s, 1, frequent.value), n - _need(n, num, den) + _slack(n))
@@ -142,8 +155,8 @@ def _set_rows(k: int):
         done = set()
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
-            key = rb.column("key").to_pylist()
-            same = sequence_keys(w).tolist()  # a repeated doc_id may have other texts
+            key = list(zip(rb.column("key").to_pylist(), rb.column("key2").to_pylist(), strict=True))
+            same = list(zip(*(x.tolist() for x in sequence_keys(w)), strict=True))  # a repeated doc_id may have other texts
             use = [a == b and a not in done and not done.add(a) for a, b in zip(same, key, strict=True)]
             sets = pa.array([s.tobytes() for s in shingle_sets(w, k)], pa.binary())
             yield table(**{c: rb.column(c) for c in rb.schema.names if c not in ("d", "text")}, tokens=sets).filter(pa.array(use, pa.bool_()))
@@ -221,17 +234,18 @@ def _verify(num: int, den: int, frequent):
                 return None
             found = _links(sides, sets, now[1] == now[2] and now[3] == now[4], num, den, frequent.value)
             ends = {x: [nodes[p[i]] for p in found] for i, x in enumerate("ab")}
-            return table(**{f"{x}_{c}": pa.array([v[j] for v in ends[x]], t) for x in "ab" for j, (c, t) in enumerate(zip(NODE, (pa.bool_(), pa.int64(), pa.int64()), strict=True))}) if found else None
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            return table(**{f"{x}_{c}": pa.array([v[j] for v in ends[x]], t) for x in "ab" for j, (c, t) in enumerate(zip(NODE, kinds, strict=True))}) if found else None
 
         for rb in batches:
-            for *at, z, low, key, side, tokens in zip(*(rb.column(x).to_pylist() for x in (*MEET, *NODE, "side", "tokens")), strict=True):
+            for *at, z, low, key, key2, side, tokens in zip(*(rb.column(x).to_pylist() for x in (*MEET, *NODE, "side", "tokens")), strict=True):
                 if at != now:
                     if (out := close()) is not None:
                         yield out
                     now, nodes, sides, sets, keys = at, [], [], [], set()
-                if key not in keys:
-                    keys.add(key)
-                    nodes.append((z, low, key))
+                if (key, key2) not in keys:
+                    keys.add((key, key2))
+                    nodes.append((z, low, key, key2))
                     sides.append(side)
                     sets.append(np.frombuffer(tokens, np.uint64))
         if (out := close()) is not None:
@@ -240,15 +254,31 @@ def _verify(num: int, den: int, frequent):
     return run
 
 
-def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Field of the tokens that many documents hold, of fixed size."""
+def frequent_tokens(docs: DataFrame, k: int) -> DataFrame:
+    """token, n: tokens that many documents hold, with the documents that the tasks have seen more of them in."""
     t = docs.select("text").mapInArrow(_frequent_rows(k), "token long, n long")
-    t = t.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    return bit_field(t.select(F.col("token")), "token")
+    return t.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+
+
+def _shared_tokens(prefix: DataFrame, frequent: DataFrame) -> DataFrame:
+    """token, key, n, df: the rows of prefix (token, key, n) once each, with the documents of their token, if more than one."""
+    alike = ["token", "key", "n"]
+    heavy = frequent.where(F.col("n") >= HEAVY).select("token")
+    some = heavy.count()
+    apart = None
+    if some:
+        heavy = F.broadcast(heavy) if some <= 100_000 else heavy
+        apart = scratch(prefix.join(heavy, "token", "left_semi").dropDuplicates(alike), "heavy")  # dealt by token and document
+        counts = apart.groupBy("token").agg(F.count("*").alias("df"))
+        apart = apart.join(F.broadcast(counts) if some <= 100_000 else counts, "token").select(*alike, "df")
+        prefix = prefix.join(heavy, "token", "left_anti")
+    prefix = prefix.repartition("token").dropDuplicates(alike)
+    out = prefix.withColumn("df", F.count("*").over(Window.partitionBy("token"))).select(*alike, "df")
+    return (out if apart is None else out.unionByName(apart)).where("df > 1")
 
 
 #: A class as node of the graph of links: the order of nodes is that of their smallest doc_id, null last.
-NODE = ("z", "low", "key")
+NODE = ("z", "low", "key", "key2")
 
 
 def _dealt(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -271,23 +301,23 @@ def _dealt(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def grouped(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n, key, group, component_id and the columns named in also, for each row of docs (doc_id, text).
+    """doc_id, n, group, component_id and the columns named in also, for each row of docs (doc_id, text).
 
-    key is the class of equal word sequences and group that of linked ones (a node, see NODE); both are null without words.
+    group is the class of linked word sequences (a node, see NODE), null without words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *also)
     docs = docs.withColumn("d", F.coalesce("doc_id", F.xxhash64("text")))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
+    often = scratch(frequent_tokens(docs, k), "frequent")
+    frequent = spark.sparkContext.broadcast(bit_field(often, "token"))
     kept = docs.select("doc_id", "d", "text", *also)
     fields = ", ".join(f"{c} {t}" for c, t in kept.drop("text").dtypes)
-    classes = scratch(kept.mapInArrow(_class_rows(k), fields + ", key long, n long"), "classes")
+    classes = scratch(kept.mapInArrow(_class_rows(k), fields + ", key long, key2 long, n long"), "classes")
 
     prefix = docs.select("text").mapInArrow(_prefix_rows(k, num, den, frequent), "token long, key long, n int")
-    prefix = prefix.repartition("token").dropDuplicates(["token", "key", "n"])
-    shared = prefix.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    shared = _shared_tokens(prefix, often)
     slack = F.ceil(F.col("n") / 10)
     per_class = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     per_class = per_class.where(F.size("t") >= slack)
@@ -299,7 +329,7 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, also: tu
 
     # a class is met through the row of its smallest doc_id
     least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("low"), "d")).alias("r")
-    reps = classes.where("n > 0").groupBy("key").agg(least, F.first("n").alias("n")).select("key", "r.z", "r.low", "r.d", "n")
+    reps = classes.where("n > 0").groupBy("key", "key2").agg(least, F.first("n").alias("n")).select("key", "key2", "r.z", "r.low", "r.d", "n")
     # a little wider than the similarity, so that rounding cannot part a pair by two bands
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.0001)).cast("int")
     reps = scratch(reps.join(cluster, "key").withColumn("band", band), "reps")
@@ -307,19 +337,19 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, also: tu
     blocks = blocks.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).groupBy("cluster").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
     texts = docs.select("d", "text").join(reps.drop("n").join(blocks, "cluster"), "d")
-    fields = "cluster long, total long, bands map<int, int>, band int, z boolean, low long, key long"
+    fields = "cluster long, total long, bands map<int, int>, band int, z boolean, low long, key long, key2 long"
     names = [x.split()[0] for x in fields.replace("map<int, int>", "m").split(", ")]
     sets = texts.select("d", *names, "text").mapInArrow(_set_rows(k), fields + ", tokens binary")
     dealt = _dealt(sets, num, den).repartition(*MEET).sortWithinPartitions(*MEET)
-    links = dealt.mapInArrow(_verify(num, den, frequent), ", ".join(f"{x}_{c} {t}" for x in "ab" for c, t in zip(NODE, ("boolean", "long", "long"), strict=True)))
+    links = dealt.mapInArrow(_verify(num, den, frequent), ", ".join(f"{x}_{c} {t}" for x in "ab" for c, t in zip(NODE, ("boolean", "long", "long", "long"), strict=True)))
     ends = [F.struct(*[F.col(f"{x}_{c}").alias(c) for c in NODE]).alias(x) for x in "ab"]
-    group = components(links.select(*ends)).select(F.col("node.key").alias("key"), F.col("root").alias("group"))
-    lows = classes.where("n > 0").groupBy("key").agg(least).select("key", F.struct("r.z", "r.low", "key").alias("own"))
-    of = scratch(lows.join(group, "key", "left").select("key", F.coalesce("group", "own").alias("group")), "groups")
-    out = classes.withColumn("key", F.when(F.col("n") > 0, F.col("key"))).drop("d").join(of, "key", "left")
-    discard(rare)
+    group = components(links.select(*ends)).select("node.key", "node.key2", F.col("root").alias("group"))
+    lows = classes.where("n > 0").groupBy("key", "key2").agg(least).select("key", "key2", F.struct("r.z", "r.low", "key", "key2").alias("own"))
+    of = scratch(lows.join(group, ["key", "key2"], "left").select("key", "key2", F.coalesce("group", "own").alias("group")), "groups")
+    out = classes.withColumn("key", F.when(F.col("n") > 0, F.col("key"))).drop("d").join(of, ["key", "key2"], "left")
+    discard(rare, often)
     low = F.when(F.col("n") > 0, F.col("group.low")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n", "key", "group", low.alias("component_id"), *also)
+    return out.select("doc_id", "n", "group", low.alias("component_id"), *also)
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100) -> DataFrame:
