@@ -4,12 +4,15 @@ Windows of words, regardless of lines, are compared with the templates. A window
 template of t only if s * d / (2 - d) <= t <= s * (2 - d) / d (windows are held to that many bigrams, repeated ones
 counted), so it holds t * d / (2 - d) of the template's bigrams within
 t * (2 - d) / d places; only where this is so, all windows that begin and end with a bigram of the template (others are no
-better) are compared. All is done inside the row: no shuffle.
+better) are compared, all windows of one beginning at once: distinct bigrams are counted by the place of their last occurrence
+before. All is done inside the row: no shuffle. Time grows with the text times the longest template that it resembles.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +73,14 @@ TEMPLATES = [
     *[(k, f"{v} {_HOPE.format(_NAMES[k.split('-')[0]])}") for k, v in _GNU.items()],
 ]
 
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(id, text) of the licences that are kept as files beside this module, as they are published."""
+    files = sorted((f for f in resources.files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files]
+
+
 #: Letters, digits and bytes beyond ASCII are kept, A-Z lower-cased; all else parts words. Newlines stay.
 _NORMAL = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -120,30 +131,30 @@ class Scanner:
         self.all, self.first, self.n = np.unique(gram[order], return_index=True, return_counts=True)
         self.owner = owner[order]
 
-    def windows(self, grams: np.ndarray, own: np.ndarray, doc: np.ndarray, i: int) -> list[tuple[float, float, int, int, int]]:
+    def windows(self, before: np.ndarray, own: np.ndarray, doc: np.ndarray, i: int) -> list[tuple[float, float, int, int, int]]:
         """(weight, similarity, template, first, last bigram) of the best window from each place where one reaches dice. own:
-        places of the template's bigrams."""
-        t, most = self.sets[i], self.most[i]
-        need = max(1, math.ceil(len(t) * self.dice / (2 - self.dice) - 1e-9))
+        places of the template's bigrams; before: the place of each bigram's last occurrence before."""
+        t, most = len(self.sets[i]), self.most[i]
+        need = max(1, math.ceil(t * self.dice / (2 - self.dice) - 1e-9))
         if len(own) < need:
             return []
         d = doc[own]
-        near = (own[need - 1 :] - own[: len(own) - need + 1] < most) & (d[need - 1 :] == d[: len(own) - need + 1])
+        near = np.flatnonzero((own[need - 1 :] - own[: len(own) - need + 1] < most) & (d[need - 1 :] == d[: len(own) - need + 1]))
+        if not len(near):
+            return []
+        mine = np.zeros(len(before), bool)
+        mine[own] = True
+        stop = np.minimum(own[near] + most, np.searchsorted(doc, d[near], "right") - 1)
+        until = np.searchsorted(own, stop)
         out = []
-        for k in np.flatnonzero(near).tolist():
-            a, seen, same, best, at = int(own[k]), set(), set(), None, int(own[k])
-            for j in range(k, len(own)):
-                b = int(own[j])
-                if b - a >= most or d[j] != d[k]:
-                    break
-                seen.update(grams[at : b + 1].tolist())
-                at = b + 1
-                same.add(int(grams[b]))
-                dice = 2 * len(same) / (len(seen) + len(t))
-                if dice >= self.dice and (best is None or dice >= best[1]):
-                    best = len(same) * dice, dice, i, a, b
-            if best:
-                out.append(best)
+        for k, a, end, m in zip(near.tolist(), own[near].tolist(), stop.tolist(), until.tolist(), strict=True):
+            new = before[a:end] < a
+            last = own[k:m] - a
+            same = np.cumsum(new & mine[a:end])[last]
+            dice = 2 * same / (np.cumsum(new)[last] + t)
+            j = len(dice) - 1 - int(dice[::-1].argmax())  # of equally similar windows the longest
+            if dice[j] >= self.dice:
+                out.append((float(same[j] * dice[j]), float(dice[j]), i, a, int(own[k + j])))
         return out
 
     def __call__(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
@@ -160,30 +171,37 @@ class Scanner:
         of = self.owner[np.repeat(self.first[at[hit]], n) + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)]
         place = place[np.argsort(of, kind="stable")]
         edge = np.cumsum(np.bincount(of, minlength=len(self.sets)))
-        found = [x for i, own in enumerate(np.split(place, edge[:-1])) for x in self.windows(grams, own, w.doc, i)]
-        taken: dict[int, list[tuple[int, int]]] = {}
+        before = np.full(len(grams), -1, np.int64)
+        order = np.argsort(grams, kind="stable")
+        again = np.flatnonzero(grams[order[1:]] == grams[order[:-1]])
+        before[order[again + 1]] = order[again]
+        found = [x for i, own in enumerate(np.split(place, edge[:-1])) for x in self.windows(before, own, w.doc, i)]
+        taken: list[tuple[int, int]] = []  # in order, none over another: only the last one that begins before an end can overlap
         for _, dice, i, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
             d = int(w.doc[a])
-            if any(a <= q + 1 and p <= b + 1 for p, q in taken.get(d, [])):
+            k = bisect_right(taken, (b + 1, len(w.hash)))
+            if k and a <= taken[k - 1][1] + 1 and w.doc[taken[k - 1][0]] == d:
                 continue
-            taken.setdefault(d, []).append((a, b))
+            taken.insert(k, (a, b))
             begin = int(w.off[d])
             out[d].append((self.names[i], dice, int(w.starts[a]) - begin, int(w.ends[b + 1]) - begin))
         return [sorted(x, key=lambda y: y[2]) for x in out]
 
 
-def scanned(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, dice: float = DICE) -> DataFrame:
+def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, dice: float = DICE) -> DataFrame:
     """doc_id, found array<struct<license, dice, start, stop>> per row of docs (doc_id, text); other columns are ignored.
 
     found lists the matching windows by their place (byte offsets in UTF-8); it is empty for null, empty and unlicensed
     texts. Of overlapping windows the one that shares more of its template wins, then the more similar, then the template
     listed first, then the earlier. Repeated rows come back as often as they came, null doc_ids stay. An empty table gives an
-    empty result. A text is worked on whole in one task, at some 60 bytes of memory for each of its bytes.
+    empty result. A text is worked on whole in one task, at some 60 bytes of memory for each of its bytes. templates: (id, text),
+    by default notices and short texts (TEMPLATES) and whole_texts().
     """
     bounded_batches(docs.sparkSession)
+    known = [*TEMPLATES, *whole_texts()] if templates is None else templates
 
     def run(batches):
-        scan = Scanner(templates, dice)
+        scan = Scanner(known, dice)
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("stop", pa.int64())]))
         for rb in pieces(batches):
             found = [[dict(zip(("license", "dice", "start", "stop"), y, strict=True)) for y in x] for x in scan(rb.column("text"))]

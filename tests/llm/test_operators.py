@@ -678,6 +678,33 @@ def test_licenses_equal_plain_dice():
         assert got == [x[1:] for x in sorted(want)]
 
 
+def test_whole_license_texts_are_found(spark):
+    """Each text within prose, with other line breaks, letter cases and every fiftieth word changed; megabytes of a template's words in a short time."""
+    rnd = random.Random(5)
+    texts_ = licenses.whole_texts()
+    assert {"Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0"} <= {n for n, _ in texts_}
+    prose_ = " ".join(rnd.choices(["alpha", "beta", "gamma", "delta"], k=300))
+    rows_, want = [], {}
+    for i, (name, t) in enumerate(texts_):
+        w = t.split()
+        for j in range(0, len(w), 50):
+            w[j] = rnd.choice(["zzz", w[j].upper()])
+        rows_ += [(2 * i, f"{prose_}\n{t}\n{prose_}"), (2 * i + 1, f"{prose_} {' '.join(w)} {prose_}")]
+        want |= {2 * i: name, 2 * i + 1: name}
+    got = {r.doc_id: r.found for r in licenses.scanned(spark.createDataFrame([*rows_, (999, prose_ * 40)], "doc_id long, text string")).collect()}
+    assert got.pop(999) == []
+    for i, name in want.items():
+        widest = max(got[i], key=lambda x: x.stop - x.start)
+        assert widest.license == name and widest.dice > 0.9, (name, [(x.license, x.dice) for x in got[i]])
+    scan = licenses.Scanner([*licenses.TEMPLATES, *texts_], 0.75)
+    many = dict(texts_)["MPL-2.0"]
+    began = time.time()
+    found = scan(pa.array([many * 60]))[0]  # 1 MB of text
+    assert sum(x[0] == "MPL-2.0" for x in found) >= 59 and time.time() - began < 120
+    began = time.time()
+    assert scan(pa.array([" ".join(rnd.choices(many.split(), k=300_000))])) is not None and time.time() - began < 60
+
+
 HTML = {
     "<p>a<p>b <b>c</b>d<br>e": "a\n\nb cd\ne",
     "<ul><li>x<li>y<ol start=3><li>z</ol></ul>w": "- x\n- y\n  3. z\n\nw",
