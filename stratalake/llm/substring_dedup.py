@@ -221,8 +221,8 @@ def _trees(window: int):
     return run
 
 
-def _cut(window: int):
-    """Per document: what is left of its words, and the text with the removed words' spans cut out."""
+def _cut(window: int, want_texts: bool):
+    """Per document: what is left of its words, and (if wanted) the text with the removed words' spans cut out."""
 
     def run(batches):
         for rb in pieces(batches):
@@ -241,6 +241,9 @@ def _cut(window: int):
                 body = w.joined(i, keep)
                 n.append(int(len(keep) - keep.sum()))
                 sha.append(hashlib.sha256(body).hexdigest())
+                if not want_texts:
+                    texts.append(None)
+                    continue
                 raw, parts = w.raw, []
                 at, stop = w.off[i], w.off[i + 1]
                 edge = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
@@ -290,8 +293,8 @@ def once(docs: DataFrame) -> DataFrame:
     return docs.join(again, KEY, "left_anti").unionByName(repeated)
 
 
-def removals(docs: DataFrame, window: int = 20) -> DataFrame:
-    """d, t, z, n_removed, kept_sha256, kept_text of each document that loses words.
+def removals(docs: DataFrame, window: int = 20, texts: bool = True) -> DataFrame:
+    """d, t, z, n_removed, kept_sha256, kept_text (null without texts) of each document that loses words.
 
     docs: the key of keyed(), and text (not null). Starts are judged on the input.
     """
@@ -315,10 +318,12 @@ def removals(docs: DataFrame, window: int = 20) -> DataFrame:
     runs = runs.repartition("key").sortWithinPartitions("key")
     gone = runs.mapInArrow(_trees(window), "d long, t long, z boolean, start long, n long")
     gone = gone.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    gone = scratch(gone, "gone")
+    release(spark)
     cut = held.select(*KEY, "text").join(gone, KEY)
-    cut = cut.mapInArrow(_cut(window), "d long, t long, z boolean, n_removed long, kept_sha256 string, kept_text string")
+    cut = cut.mapInArrow(_cut(window, texts), "d long, t long, z boolean, n_removed long, kept_sha256 string, kept_text string")
     out = scratch(cut, "cut")
-    discard(held)
+    discard(held, gone)
     return out
 
 
@@ -333,7 +338,7 @@ def dedup_report(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     docs = keyed(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    cut = removals(docs.select(*KEY, "text"), window).drop("kept_text")
+    cut = removals(docs.select(*KEY, "text"), window, texts=False).drop("kept_text")
     whole = docs.select(F.col("doc_id").cast("long"), *KEY, "text").mapInArrow(_whole, "doc_id long, d long, t long, z boolean, n_words long, whole_sha256 string")
     out = whole.join(cut, KEY, "left")
     return out.select(
