@@ -65,17 +65,38 @@ def _in_cells(shapes: DataFrame, box: str, k: Column, finest: float) -> DataFram
     return out.withColumn("_cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("_cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
 
 
-def _meeting(own: DataFrame, copies: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    """Rows of own beside rows of copies in the same cell. A cell where either side is dense is dealt out: its rows lie in blocks by
-    hash, and every pair of blocks meets in a place of its own, so that no task holds more than a block of each side."""
-    per_cell = own.groupBy(*CELL).agg(F.count("*").alias("_m")).join(copies.groupBy(*CELL).agg(F.count("*").alias("_n")), CELL)
-    dense = per_cell.where((F.col("_m") > DENSE) | (F.col("_n") > DENSE))
-    dense = dense.select(*CELL, F.ceil(F.col("_m") / DENSE).cast("int").alias("_bi"), F.ceil(F.col("_n") / DENSE).cast("int").alias("_bj"))
-    found = dense.limit(BROADCAST_CELLS + 1).collect()
-    if not found:
+def _profile(b: DataFrame, r: DataFrame, finest: float) -> tuple[dict, dict]:
+    """Shapes of either side by their own grid (None: without four sane edges), in one pass: a grid for each power of size, so few."""
+    levels = b.select(F.lit(0).alias("side"), _level(F.col("bbox"), finest).alias("k")).unionByName(r.select(F.lit(1).alias("side"), _level(F.col("rect"), finest).alias("k")))
+    out: tuple[dict, dict] = ({}, {})
+    for x in levels.groupBy("side", "k").agg(F.count("*").alias("n")).collect():
+        out[x["side"]][x["k"]] = x["n"]
+    return out
+
+
+def _dense_cells(meetings: list[tuple[DataFrame, DataFrame]]) -> list[DataFrame | None]:
+    """For each pair of sides the cells where one of them is dense and into how many blocks either is dealt (None: there are none)."""
+    every = []
+    for i, (own, copies) in enumerate(meetings):
+        per_cell = own.groupBy(*CELL).agg(F.count("*").alias("_m")).join(copies.groupBy(*CELL).agg(F.count("*").alias("_n")), CELL)
+        dense = per_cell.where((F.col("_m") > DENSE) | (F.col("_n") > DENSE))
+        every.append(dense.select(*CELL, F.ceil(F.col("_m") / DENSE).cast("int").alias("_bi"), F.ceil(F.col("_n") / DENSE).cast("int").alias("_bj"), F.lit(i).alias("_d")))
+    both = every[0]
+    for x in every[1:]:
+        both = both.unionByName(x)
+    found = both.limit(BROADCAST_CELLS + 1).collect()
+    if len(found) > BROADCAST_CELLS:
+        return [x.drop("_d") for x in every]
+    session = both.sparkSession
+    mine = [[r for r in found if r["_d"] == i] for i in range(len(every))]
+    return [F.broadcast(session.createDataFrame(rows, both.schema).drop("_d")) if rows else None for rows in mine]
+
+
+def _meeting(own: DataFrame, copies: DataFrame, left: list[str], right: list[str], dense: DataFrame | None) -> DataFrame:
+    """Rows of own beside rows of copies in the same cell. A dense cell is dealt out: its rows lie in blocks by hash, and every pair
+    of blocks meets in a place of its own, so that no task holds more than a block of each side."""
+    if dense is None:
         return own.join(copies, CELL)
-    if len(found) <= BROADCAST_CELLS:
-        dense = F.broadcast(own.sparkSession.createDataFrame(found, dense.schema))
 
     def dealt(df: DataFrame, names: list[str], mine: str, other: str) -> DataFrame:
         df = df.join(dense, CELL, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_bi", "_bj")})
@@ -85,7 +106,7 @@ def _meeting(own: DataFrame, copies: DataFrame, left: list[str], right: list[str
     return dealt(own, left, "i", "j").join(dealt(copies, right, "j", "i"), [*CELL, "_i", "_j"])
 
 
-def range_candidates(boxes: DataFrame, rects: DataFrame, finest: float = FINEST) -> DataFrame:
+def range_candidates(boxes: DataFrame, rects: DataFrame, finest: float = FINEST, profile: tuple[dict, dict] | None = None) -> DataFrame:
     """Pairs of a row of boxes (with bbox) and a row of rects (with rect) that share a cell, for shapes with four sane edges.
 
     A shape's own grid is the finest one that suits its size. A pair meets on the coarser of the two own grids only: there one
@@ -93,23 +114,24 @@ def range_candidates(boxes: DataFrame, rects: DataFrame, finest: float = FINEST)
     meet in cells of that size, and the pairs tried follow the pairs found. Columns: those of both sides, _k, _cx, _cy; a pair
     may come once for each cell that both touch.
     """
+    profile = profile or _profile(boxes, rects, finest)
     b, r = boxes.withColumn("_l", _level(F.col("bbox"), finest)).where("_l is not null"), rects.withColumn("_l", _level(F.col("rect"), finest)).where("_l is not null")
-    grids = [sorted(x["_l"] for x in side.select("_l").distinct().collect()) for side in (b, r)]  # a grid for each power of size: few
-    out = None
-    for own, copies, box, rect, levels, names, strictly in ((b, r, "bbox", "rect", grids[0], (boxes.columns, rects.columns), False), (r, b, "rect", "bbox", grids[1], (rects.columns, boxes.columns), True)):
-        every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
-        coarser = F.filter(every, lambda k: k > F.col("_l")) if strictly else F.filter(every, lambda k: k >= F.col("_l"))
-        mine = _in_cells(own, box, F.col("_l"), finest).drop("_l")
-        theirs = _in_cells(copies, rect, F.explode(coarser), finest).drop("_l")
-        pairs = _meeting(mine, theirs, *names).select(*boxes.columns, *rects.columns, *CELL)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
-def _all_pairs(few: DataFrame, others: DataFrame, block: int) -> DataFrame:
+    meetings, names = [], []
+    for own, copies, box, rect, side, columns in ((b, r, "bbox", "rect", 0, (boxes.columns, rects.columns)), (r, b, "rect", "bbox", 1, (rects.columns, boxes.columns))):
+        every = F.array(*[F.lit(k) for k in sorted(k for k in profile[side] if k is not None)]).cast("array<int>")
+        coarser = F.filter(every, lambda k: k > F.col("_l")) if side else F.filter(every, lambda k: k >= F.col("_l"))
+        meetings.append((_in_cells(own, box, F.col("_l"), finest).drop("_l"), _in_cells(copies, rect, F.explode(coarser), finest).drop("_l")))
+        names.append(columns)
+    few = max(sum(side.values()) for side in profile) <= DENSE
+    dense = [None, None] if few else _dense_cells(meetings)
+    pairs = [_meeting(*m, *n, d).select(*boxes.columns, *rects.columns, *CELL) for m, n, d in zip(meetings, names, dense, strict=True)]
+    return pairs[0].unionByName(pairs[1])
+
+
+def _all_pairs(few: DataFrame, others: DataFrame, n_others: int, block: int) -> DataFrame:
     """Every row of few beside every row of others: others lie in blocks by hash and few goes to each, so that neither side
     is ever held whole. For shapes without four sane edges, which may touch anything."""
-    blocks = max(1, -(-others.count() // block))
+    blocks = max(1, -(-n_others // block))
     dealt = others.withColumn("_block", F.pmod(F.xxhash64(*others.columns), F.lit(blocks)).cast("int"))
     return few.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
 
@@ -127,10 +149,15 @@ def range_join(boxes: DataFrame, rects: DataFrame, how: str = "auto", finest: fl
         return b.join(F.broadcast(rects), test)
     names = [*boxes.columns, *rects.columns]
     low = lambda e: F.floor(F.greatest(F.col("bbox")[e], F.col("rect")[e]) / _size(finest))
-    out = range_candidates(b, rects, finest).where((F.col("_cx") == low("xmin")) & (F.col("_cy") == low("ymin")) & test).select(*names)
+    profile = _profile(b, rects, finest)
+    corner = (F.col("_cx") == low("xmin")) & (F.col("_cy") == low("ymin"))
+    out = range_candidates(b, rects, finest, profile).where(corner & test).select(*names)
     odd_b, odd_r = _level(F.col("bbox"), finest).isNull(), _level(F.col("rect"), finest).isNull()
-    out = out.unionByName(_all_pairs(b.where(odd_b), rects, BROADCAST_SHAPES).where(test).select(*names))
-    return out.unionByName(_all_pairs(rects.where(odd_r), b.where(~odd_b), BROADCAST_SHAPES).where(test).select(*names))
+    if profile[0].get(None):
+        out = out.unionByName(_all_pairs(b.where(odd_b), rects, sum(profile[1].values()), BROADCAST_SHAPES).where(test).select(*names))
+    if profile[1].get(None):
+        out = out.unionByName(_all_pairs(rects.where(odd_r), b.where(~odd_b), sum(profile[0].values()), BROADCAST_SHAPES).where(test).select(*names))
+    return out
 
 
 def point_candidates(boxes: DataFrame, points: DataFrame, how: str = "auto", finest: float = FINEST) -> DataFrame:
