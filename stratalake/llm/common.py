@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: Java and Python form of the separator of words: space, tab, newline, vertical tab, form feed, return.
 GAP = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch that a Python worker holds.
@@ -22,24 +24,10 @@ PIECE_BYTES = 2 << 20
 # ---------------------------------------------------------------- scratch tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for tables between jobs, from spark.checkpoint.dir.
-
-    Where it is unset, a session whose executors are threads of the driver uses a folder of its own in the warehouse; on a
-    cluster this is an error, since no folder is known that all executors see.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    return found.rstrip("/")
-
-
 def scratch(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
