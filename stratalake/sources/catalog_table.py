@@ -77,6 +77,7 @@ def refresh(spark: SparkSession, lake: str, table: str, day: datetime.date | Non
 
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The catalog's rows of all files as the last run left them, with the date and run in which each was opened."""
-    state = newest(ledger(spark, table)).select("file", "run")
-    rows = spark.read.option("basePath", f"{table}/row_groups").parquet(f"{table}/row_groups")
-    return rows.join(state, ["file", "run"])
+    rows = catalog(spark.createDataFrame([], RAW_ROW_GROUPS)).selectExpr("*", "cast(null as date) as catalog_date", "cast(null as int) as run")
+    if _there(spark, f"{table}/row_groups"):
+        rows = spark.read.schema(rows.schema).option("basePath", f"{table}/row_groups").parquet(f"{table}/row_groups")
+    return rows.join(newest(ledger(spark, table)).select("file", "run"), ["file", "run"])

@@ -247,6 +247,7 @@ def test_kept_catalog_opens_changed_files_only(spark, tmp_path, monkeypatch):
 
     lake, table = tmp_path / "lake", str(tmp_path / "table")
     lake.mkdir()
+    assert catalog_table.current(spark, table).collect() == []
     write = lambda n, rows: pq.write_table(pa.table({"v": pa.array(range(rows))}), lake / f"{n}.parquet")
     for n in ("a", "b", "c"):
         write(n, 3)
@@ -269,6 +270,9 @@ def test_kept_catalog_opens_changed_files_only(spark, tmp_path, monkeypatch):
             run(2)
     assert now() == {("a", 3, 1), ("b", 5, 2), ("d", 1, 2), ("e", None, 3)}
     assert run(2) == {("e", "changed")} and now() == {("a", 3, 1), ("b", 5, 2), ("d", 1, 2), ("e", 2, 4)}
+    (tmp_path / "bare").mkdir()
+    bare = str(tmp_path / "bare table")
+    assert catalog_table.refresh(spark, str(tmp_path / "bare"), bare, day).collect() == [] == catalog_table.current(spark, bare).collect()
     write("c", 4)
     assert run(2) == {("c", "new")} and ("c", 4, 5) in now()
 
