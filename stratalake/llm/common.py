@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -24,11 +25,18 @@ PIECE_BYTES = 2 << 20
 # ---------------------------------------------------------------- scratch tables
 
 
+#: Scratch tables after which the driver collects its garbage: jobs in quick succession would else fill its memory with dead plans.
+RELEASE_EVERY = 6
+_written = itertools.count(1)
+
+
 def scratch(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_written) % RELEASE_EVERY == 0:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
