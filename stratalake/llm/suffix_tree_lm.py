@@ -269,7 +269,8 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
     return tree, lookup
 
 
-_ROWS = "x long, d long, t long, z boolean, word boolean, n long, n_tokens long, n_known long, base double, score double"
+#: s: what is known of a text at once, in its own row; other rows ask for a term (n times), or for a word (n below 0).
+_ROWS = "x long, d long, t long, n long, s struct<z: boolean, n_tokens: long, n_known: long, base: double, score: double>"
 
 
 def _score_rows(held):
@@ -291,12 +292,13 @@ def _score_rows(held):
             doc = w.doc()
             add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
             score = (np.add.reduceat(terms, begin) if n_docs else np.zeros(0)) + add(own) + np.log10(tree.end())
-            d, t, z = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t", "z"))
-            yield table(
-                x=mix(t.view(np.uint64) ^ d.view(np.uint64), 17).view(np.int64), d=d, t=t, z=z, word=pa.nulls(n_docs, pa.bool_()), n=np.zeros(n_docs, np.int64),
-                n_tokens=(w.counts() + 1).astype(np.int64), n_known=add(known).astype(np.int64) + int(totals["docs"] > 0),
-                base=add(base) + np.log10(totals["docs"] + 1) - scale, score=score,
-            )
+            d, t = (rb.column(c).to_numpy() for c in ("d", "t"))
+            sums = {
+                "z": rb.column("z"), "n_tokens": pa.array((w.counts() + 1).astype(np.int64)), "n_known": pa.array(add(known).astype(np.int64) + int(totals["docs"] > 0)),
+                "base": pa.array(add(base) + np.log10(totals["docs"] + 1) - scale), "score": pa.array(score),
+            }
+            s = pa.StructArray.from_arrays(list(sums.values()), names=list(sums))
+            yield table(x=mix(t.view(np.uint64) ^ d.view(np.uint64), 17).view(np.int64), d=d, t=t, n=np.zeros(n_docs, np.int64), s=s)
             rest = np.flatnonzero(ask)
             x = np.concatenate([w.hash[rest], keys])
             if len(x):
@@ -305,9 +307,8 @@ def _score_rows(held):
                 order = np.lexsort((word, x, of))
                 of, x, word = of[order], x[order], word[order]
                 new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (x[1:] != x[:-1]) | (word[1:] != word[:-1])]))
-                of = of[new]
-                none = {c: pa.nulls(len(new), pa.int64()) for c in ("n_tokens", "n_known")} | {c: pa.nulls(len(new), pa.float64()) for c in ("base", "score")}
-                yield table(x=x[new].view(np.int64), d=d[of], t=t[of], z=z[of], word=word[new], n=np.diff(np.append(new, len(x))).astype(np.int64), **none)
+                of, n = of[new], np.diff(np.append(new, len(x))).astype(np.int64)
+                yield table(x=x[new].view(np.int64), d=d[of], t=t[of], n=np.where(word[new], -n, n), s=pa.nulls(len(new), s.type))
 
     return run
 
@@ -328,18 +329,19 @@ def scored(docs: DataFrame) -> DataFrame:
     train = docs.where(~held_out(doc_id)).select(text.alias("text"))
     tree, lookup = trained(train)
     totals = tree.totals
-    rows = docs.select(F.coalesce(doc_id, F.xxhash64(F.lit("d"), text)).alias("d"), F.xxhash64(text).alias("t"), doc_id.isNull().alias("z"), text.alias("text"))
+    key = F.when(doc_id.isNull(), F.xxhash64(F.lit("z"), text)).otherwise(F.xxhash64(text))
+    rows = docs.select(F.coalesce(doc_id, F.xxhash64(F.lit("d"), text)).alias("d"), key.alias("t"), doc_id.isNull().alias("z"), text.alias("text"))
     s = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree)), _ROWS)
     s = s.join(lookup.withColumnRenamed("d", "d_"), "x", "left")
     scale = float(np.log10(totals["tokens"] + totals["types"] + 1))
     share = F.when(F.col("c").isNull(), totals["unseen"]).otherwise(F.greatest(F.col("c") - totals["discount"], F.lit(0.05)) / (totals["tokens"] + 0.5))
-    word, n = F.col("word"), F.col("n")
+    alone, word, n = F.col("s").isNotNull(), F.col("n") < 0, F.abs("n")
     zero = F.lit(0.0)
-    g = s.groupBy("d", "t", "z").agg(
-        F.count_if(word.isNull()).alias("rows"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(word.isNull(), F.col("n_known")).when(word & F.col("c").isNotNull(), n).otherwise(0)).alias("n_known"),
-        F.sum(F.when(word.isNull(), F.col("base")).when(word, n * (F.log10(F.coalesce("c", F.lit(0)) + 1) - scale)).otherwise(zero)).alias("base"),
-        F.sum(F.when(word.isNull(), F.col("score")).when(word, n * F.log10(share)).otherwise(n * F.coalesce("d_", zero))).alias("score"),
+    g = s.groupBy("d", "t").agg(
+        F.count_if(alone).alias("rows"), F.max("s.n_tokens").alias("n_tokens"), F.max("s.z").alias("z"),
+        F.sum(F.when(alone, F.col("s.n_known")).when(word & F.col("c").isNotNull(), n).otherwise(0)).alias("n_known"),
+        F.sum(F.when(alone, F.col("s.base")).when(word, n * (F.log10(F.coalesce("c", F.lit(0)) + 1) - scale)).otherwise(zero)).alias("base"),
+        F.sum(F.when(alone, F.col("s.score")).when(word, n * F.log10(share)).otherwise(n * F.coalesce("d_", zero))).alias("score"),
     )
     g = g.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     doc = F.when(~F.col("z"), F.col("d"))
