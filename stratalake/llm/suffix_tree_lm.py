@@ -10,7 +10,7 @@ words together having the discounted mass. A text is scored along the longest re
 Nothing is bounded in number. Given a context, the logarithm of a symbol's probability is the root's, plus one term for
 every retained context along the suffixes, plus one for every edge of these, so nodes and edges are one written table of
 terms by hash. The most frequent words and terms are sent to the tasks (fixed numbers, only for speed); all others meet the
-texts in one join by hash. Bit fields of fixed size tell which grams are frequent and which terms exist, so that the texts
+texts in buckets by hash: texts send packs of what they ask for, and a bucket answers with sums per text. Bit fields of fixed size tell which grams are frequent and which terms exist, so that the texts
 send only what may be asked for. The texts are read once for the words, once for contexts of one word, once for those of
 two, and once for all longer ones, whose candidates are made up of frequent grams of three words.
 """
@@ -239,8 +239,9 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
 
     spark = train.sparkSession
     end = spark.createDataFrame([(END, docs)], "e long, n long")
-    rank = spark.createDataFrame(pa.table({"x": tree.words.view(np.int64), "rank": tree.rank.view(np.int64)}))
+    rank = scratch(spark.createDataFrame(pa.table({"x": tree.words.view(np.int64), "rank": tree.rank.view(np.int64)})), "rank")
     seen = vocab.join(F.broadcast(rank), "x", "left").select(F.coalesce("rank", "x").alias("e"), "n").unionByName(end).where(F.col("n") >= PAIR)
+    seen = scratch(seen, "seen")
     before, terms, pairs = seen.withColumn("p", (F.col("n") - discount) / (tokens + 0.5)), None, None
     for k in range(1, DEPTH + 1):
         of = F.xxhash64("e", "e") if k == 1 else F.col("e")
@@ -258,8 +259,9 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
     lookup = others.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d"))
     if terms is not None:
         terms = scratch(terms, "terms")
+        release(spark)
         top, others = parted(terms, "n", TOP_TERMS)
-        top = top.toArrow()
+        top = top.select("x", "d").toArrow()
         keys = top.column("x").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         tree.keys, tree.terms = keys[order], top.column("d").to_numpy()[order]
@@ -269,17 +271,45 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
     return tree, lookup
 
 
-#: s: what is known of a text at once, in its own row; other rows ask for a term (n times), or for a word (n below 0).
-_ROWS = "x long, d long, t long, n long, s struct<z: boolean, n_tokens: long, n_known: long, base: double, score: double>"
+#: Look-ups that a task gathers before it deals them out, and look-ups and table rows that a bucket has by and large.
+_GATHER, _BUCKET = 1 << 20, 1 << 20
+#: A pack of arrays for bucket b. own: per text d, t, without doc_id, tokens, known tokens, base, score; else the words and terms that
+#: are left to look up: d and t of the texts, then per look-up its text, its hash and how often it is asked for (words: negative).
+_PACKS = "b long, own boolean, parts array<binary>"
+_SUMS = "d long, t long, rows long, z long, n_tokens long, n_known long, base double, score double"
+_OWN = (np.int64,) * 5 + (np.float64,) * 2
+_ASKED = (np.int64, np.int64, np.int32, np.uint64, np.int32)
+_SHIFT = 20
 
 
-def _score_rows(held):
-    """Per text a row of sums, and rows of the words and terms that are left to look up (n times x)."""
+def _packs(b: list, own: bool, parts: list) -> pa.RecordBatch:
+    parts = [[np.ascontiguousarray(x, t).tobytes() for x, t in zip(p, _OWN if own else _ASKED, strict=True)] for p in parts]
+    return table(b=pa.array(b, pa.int64()), own=pa.array([own] * len(b)), parts=pa.array(parts, pa.list_(pa.binary())))
+
+
+def _dealt(waiting: list, buckets: int) -> pa.RecordBatch:
+    """One pack per bucket of the look-ups (x, text, n) and the texts (d, t) that wait."""
+    x, of, n, d, t = (np.concatenate(c) for c in zip(*waiting, strict=True))
+    b = (x >> np.uint64(_SHIFT)) % np.uint64(buckets)
+    order = np.argsort(b, kind="stable")
+    x, of, n, b = x[order], of[order], n[order], b[order]
+    starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    parts = []
+    for i, j in zip(starts, np.append(starts[1:], len(b)), strict=True):
+        new = np.concatenate([[True], of[i + 1 : j] != of[i : j - 1]])
+        texts = of[i:j][new]
+        parts.append([d[texts], t[texts], np.cumsum(new) - 1, x[i:j], n[i:j]])
+    return _packs(b[starts].tolist(), False, parts)
+
+
+def _score_rows(held, buckets: int):
+    """Per piece a pack of the sums of its texts, and packs of the words and terms that are left to look up."""
 
     def run(batches):
         tree = held.value
         totals = tree.totals
         scale = np.log10(totals["tokens"] + totals["types"] + 1)
+        waiting, size, docs = [], 0, 0
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
             n_docs = rb.num_rows
@@ -291,14 +321,11 @@ def _score_rows(held):
             base = np.where(known, np.log10(c + 1) - scale, np.where(ask, 0.0, -scale))
             doc = w.doc()
             add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
-            score = (np.add.reduceat(terms, begin) if n_docs else np.zeros(0)) + add(own) + np.log10(tree.end())
-            d, t = (rb.column(c).to_numpy() for c in ("d", "t"))
-            sums = {
-                "z": rb.column("z"), "n_tokens": pa.array((w.counts() + 1).astype(np.int64)), "n_known": pa.array(add(known).astype(np.int64) + int(totals["docs"] > 0)),
-                "base": pa.array(add(base) + np.log10(totals["docs"] + 1) - scale), "score": pa.array(score),
-            }
-            s = pa.StructArray.from_arrays(list(sums.values()), names=list(sums))
-            yield table(x=mix(t.view(np.uint64) ^ d.view(np.uint64), 17).view(np.int64), d=d, t=t, n=np.zeros(n_docs, np.int64), s=s)
+            score = np.add.reduceat(terms, begin) + add(own) + np.log10(tree.end())
+            d, t, z = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t", "z"))
+            base = add(base) + np.log10(totals["docs"] + 1) - scale
+            at = int(mix(t[:1].view(np.uint64), 17)[0] >> np.uint64(_SHIFT)) % buckets
+            yield _packs([at], True, [[d, t, z, w.counts() + 1, add(known) + (totals["docs"] > 0), base, score]])
             rest = np.flatnonzero(ask)
             x = np.concatenate([w.hash[rest], keys])
             if len(x):
@@ -307,8 +334,45 @@ def _score_rows(held):
                 order = np.lexsort((word, x, of))
                 of, x, word = of[order], x[order], word[order]
                 new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (x[1:] != x[:-1]) | (word[1:] != word[:-1])]))
-                of, n = of[new], np.diff(np.append(new, len(x))).astype(np.int64)
-                yield table(x=x[new].view(np.int64), d=d[of], t=t[of], n=np.where(word[new], -n, n), s=pa.nulls(len(new), s.type))
+                n = np.diff(np.append(new, len(x)))
+                waiting.append((x[new], of[new] + docs, np.where(word[new], -n, n), d, t))
+                size, docs = size + len(new), docs + n_docs
+                if size >= _GATHER:
+                    yield _dealt(waiting, buckets)
+                    waiting, size, docs = [], 0, 0
+        if waiting:
+            yield _dealt(waiting, buckets)
+
+    return run
+
+
+def _answers(totals: dict):
+    """Sums per text of a bucket's packs, its look-ups answered from the bucket's part (x, c, d) of the table."""
+    scale = np.log10(totals["tokens"] + totals["types"] + 1)
+
+    def asked(key, c, delta, d, t, of, x, n):
+        at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+        hit, word, n = key[at] == x, n < 0, np.abs(n).astype(np.float64)
+        count = np.where(hit & word, c[at], 0)
+        seen = np.maximum(count - totals["discount"], 0.05) / (totals["tokens"] + 0.5)
+        score = n * np.where(word, np.log10(np.where(count > 0, seen, totals["unseen"])), np.where(hit, delta[at], 0.0))
+        base = n * np.where(word, np.log10(count + 1) - scale, 0.0)
+        known, base, score = (np.bincount(of, weights=v, minlength=len(d)) for v in (n * (count > 0), base, score))
+        none = np.zeros(len(d), np.int64)
+        return d, t, none, none, none, known.astype(np.int64), base, score
+
+    def run(packs: pa.Table, part: pa.Table) -> pa.Table:
+        key = part.column("x").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        held = key[order], part.column("c").fill_null(0).to_numpy()[order], part.column("d").fill_null(0.0).to_numpy()[order]
+        if not len(key):
+            held = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1)
+        out = [[np.zeros(0, t) for t in (*_OWN[:1], *_OWN)]]
+        for own, parts in zip(packs.column("own").to_pylist(), packs.column("parts").to_pylist(), strict=True):
+            values = [np.frombuffer(p, t) for p, t in zip(parts, _OWN if own else _ASKED, strict=True)]
+            out.append([*values[:2], np.ones(len(values[0]), np.int64), *values[2:]] if own else asked(*held, *values))
+        names = [c.split()[0] for c in _SUMS.split(", ")]
+        return pa.table({name: np.concatenate(c) for name, c in zip(names, zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -331,20 +395,13 @@ def scored(docs: DataFrame) -> DataFrame:
     totals = tree.totals
     key = F.when(doc_id.isNull(), F.xxhash64(F.lit("z"), text)).otherwise(F.xxhash64(text))
     rows = docs.select(F.coalesce(doc_id, F.xxhash64(F.lit("d"), text)).alias("d"), key.alias("t"), doc_id.isNull().alias("z"), text.alias("text"))
-    s = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree)), _ROWS)
-    s = s.join(lookup.withColumnRenamed("d", "d_"), "x", "left")
-    scale = float(np.log10(totals["tokens"] + totals["types"] + 1))
-    share = F.when(F.col("c").isNull(), totals["unseen"]).otherwise(F.greatest(F.col("c") - totals["discount"], F.lit(0.05)) / (totals["tokens"] + 0.5))
-    alone, word, n = F.col("s").isNotNull(), F.col("n") < 0, F.abs("n")
-    zero = F.lit(0.0)
-    g = s.groupBy("d", "t").agg(
-        F.count_if(alone).alias("rows"), F.max("s.n_tokens").alias("n_tokens"), F.max("s.z").alias("z"),
-        F.sum(F.when(alone, F.col("s.n_known")).when(word & F.col("c").isNotNull(), n).otherwise(0)).alias("n_known"),
-        F.sum(F.when(alone, F.col("s.base")).when(word, n * (F.log10(F.coalesce("c", F.lit(0)) + 1) - scale)).otherwise(zero)).alias("base"),
-        F.sum(F.when(alone, F.col("s.score")).when(word, n * F.log10(share)).otherwise(n * F.coalesce("d_", zero))).alias("score"),
-    )
+    buckets = 1 + totals["tokens"] // (2 * _BUCKET)
+    packs = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree), buckets), _PACKS)
+    lookup = lookup.withColumn("b", F.pmod(F.shiftrightunsigned("x", _SHIFT), F.lit(buckets).cast("long")))
+    s = packs.groupBy("b").cogroup(lookup.groupBy("b")).applyInArrow(_answers(totals), _SUMS)
+    g = s.groupBy("d", "t").agg(F.max("z").alias("z"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("rows", "n_known", "base", "score")])
     g = g.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    doc = F.when(~F.col("z"), F.col("d"))
+    doc = F.when(F.col("z") == 0, F.col("d"))
     return g.select(
         doc.alias("doc_id"), held_out(doc).alias("held_out"), "n_tokens",
         (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),

@@ -546,7 +546,7 @@ class PlainTree:
 
 @pytest.mark.parametrize("held", [1_000_000, 3])
 def test_suffix_tree_equals_plain_counting(spark, monkeypatch, held):
-    """Contexts of up to DEPTH words; with few held terms and words, the others come from the shuffle joins."""
+    """Contexts of up to DEPTH words; with few held terms and words, the others come from the buckets."""
     rnd = random.Random(5)
     phrase = [[f"{x}{k}" for x in "abcdefgh"[: rnd.randint(2, 8)]] for k in range(12)]
     near = [["p", "q", "qq", "r", "s", f"end{k}", f"end{k}", "t"] for k in range(2)]  # differ after the fifth word only
@@ -557,6 +557,7 @@ def test_suffix_tree_equals_plain_counting(spark, monkeypatch, held):
     monkeypatch.setattr(suffix_tree_lm, "LEAST", 5)
     for name in ("TOP", "TOP_TERMS", "TOP_KEYS"):
         monkeypatch.setattr(suffix_tree_lm, name, held)
+    monkeypatch.setattr(suffix_tree_lm, "_BUCKET", max(40, held))  # many buckets, or one
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     m = suffix_tree_lm
     plain = PlainTree([t for i, t in rows_ if not out(i)], 5, m.PAIR, m.DIVERGENCE, m.GAIN, m.PRIOR, m.DEPTH)
