@@ -10,8 +10,8 @@ words together having the discounted mass. A text is scored along the longest re
 Nothing is bounded in number. Given a context, the logarithm of a symbol's probability is the root's, plus one term for
 every retained context along the suffixes, plus one for every edge of these, so nodes and edges are one written table of
 terms by hash. The most frequent words and terms are sent to the tasks (fixed numbers, only for speed); all others meet the
-texts in buckets by hash: texts send packs of what they ask for, and a bucket answers with sums per text. Bit fields of fixed size tell which grams are frequent and which terms exist, so that the texts
-send only what may be asked for. The texts are read once for the words, once for contexts of one word, once for those of
+texts in buckets by hash: groups of texts send packs of what they ask for, and a bucket answers each pack with one pack of sums per
+text. Bit fields of fixed size tell which grams are frequent and which terms exist, so that only what may be asked for is sent. The texts are read once for the words, once for contexts of one word, once for those of
 two, and once for all longer ones, whose candidates are made up of frequent grams of three words.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,25 @@ def _met(rows: DataFrame, other: DataFrame, key: str, weight: str, how: str = "i
     return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key, how))
 
 
+class Index:
+    """Sorted, well mixed 64-bit keys, and where those of each leading bits begin: a look-up reads a few neighbours."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = np.append(keys, np.uint64(2**64 - 1)), np.uint64(64 - bits)
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of x would lie, at most the last place, and whether it is there."""
+        i = self.start[x >> self.shift]
+        less = np.flatnonzero(self.keys[i] < x)
+        while len(less):
+            i[less] += 1
+            less = less[self.keys[i[less]] < x[less]]
+        i = np.minimum(i, max(0, len(self.keys) - 2))
+        return i, (self.keys[i] == x) & (len(self.keys) > 1)
+
+
 class Tree:
     """What the tasks hold: frequent words, the heaviest terms, and fields of the frequent grams, of all words, nodes and
     edges."""
@@ -119,16 +139,13 @@ class Tree:
         order = np.argsort(words)
         self.words, self.counts, self.totals, self.depth = words[order], counts[order], totals, depth
         self.rank = np.argsort(rank)[order].astype(np.uint64)
-        self.keys, self.terms = np.zeros(0, np.uint64), np.zeros(0)
+        self.index, self.keys, self.terms = Index(self.words), Index(np.zeros(0, np.uint64)), np.zeros(0)
         self.frequent: dict[int, np.ndarray] = {}
         self.known = self.nodes = self.edges = np.zeros(1 << 10, np.uint64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent words and whether it is one."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return i, self.words[i] == h
+        return self.index.find(h)
 
     def symbols(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, each with its end; where each text begins; index and known of the words."""
@@ -153,9 +170,8 @@ class Tree:
             node, at, both = node[m], at[m], both[m]
             m = in_field(self.edges, both)
             for x, where in ((node, at), (both[m], at[m])):
-                if len(self.keys):
-                    i = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-                    own = self.keys[i] == x
+                if len(self.terms):
+                    i, own = self.keys.find(x)
                     total[where[own]] += self.terms[i[own]]
                     x, where = x[~own], where[~own]
                 places.append(where)
@@ -264,7 +280,7 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
         top = top.select("x", "d").toArrow()
         keys = top.column("x").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        tree.keys, tree.terms = keys[order], top.column("d").to_numpy()[order]
+        tree.keys, tree.terms = Index(keys[order]), top.column("d").to_numpy()[order]
         tree.nodes, tree.edges = bit_field(terms.where("node"), "x"), bit_field(terms.where("not node"), "x")
         lookup = lookup.unionByName(others.select("x", F.lit(None).cast("long").alias("c"), "d"))
     release(spark)
@@ -273,43 +289,51 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
 
 #: Look-ups that a task gathers before it deals them out, and look-ups and table rows that a bucket has by and large.
 _GATHER, _BUCKET = 1 << 20, 1 << 20
-#: A pack of arrays for bucket b. own: per text d, t, without doc_id, tokens, known tokens, base, score; else the words and terms that
-#: are left to look up: d and t of the texts, then per look-up its text, its hash and how often it is asked for (words: negative).
-_PACKS = "b long, own boolean, parts array<binary>"
-_SUMS = "d long, t long, rows long, z long, n_tokens long, n_known long, base double, score double"
-_OWN = (np.int64,) * 5 + (np.float64,) * 2
-_ASKED = (np.int64, np.int64, np.int32, np.uint64, np.int32)
+#: A pack of arrays for bucket b from group g of texts, which a task has gathered. own: per text doc_id, without doc_id, tokens, known
+#: tokens, base, score; else the words and terms that are left to look up: per look-up its text's place in the group, its hash
+#: and how often it is asked for (words: negative).
+_PACKS = "b long, g long, own boolean, parts array<binary>"
+#: A pack of answers for group g, or its own pack: per text its place, known tokens, base, score.
+_SUMS = "g long, own boolean, parts array<binary>"
+_ROWS = "d long, z long, n_tokens long, n_known long, base double, score double"
+_OWN = (np.int64,) * 4 + (np.float64,) * 2
+_ASKED = (np.int32, np.uint64, np.int32)
+_ANSWER = (np.int32, np.int32, np.float64, np.float64)
 _SHIFT = 20
 
 
-def _packs(b: list, own: bool, parts: list) -> pa.RecordBatch:
-    parts = [[np.ascontiguousarray(x, t).tobytes() for x, t in zip(p, _OWN if own else _ASKED, strict=True)] for p in parts]
-    return table(b=pa.array(b, pa.int64()), own=pa.array([own] * len(b)), parts=pa.array(parts, pa.list_(pa.binary())))
+def _bytes(arrays, types) -> list[bytes]:
+    return [np.ascontiguousarray(x, t).tobytes() for x, t in zip(arrays, types, strict=True)]
 
 
-def _dealt(waiting: list, buckets: int) -> pa.RecordBatch:
-    """One pack per bucket of the look-ups (x, text, n) and the texts (d, t) that wait."""
-    x, of, n, d, t = (np.concatenate(c) for c in zip(*waiting, strict=True))
+def _arrays(parts: list[bytes], types) -> list[np.ndarray]:
+    return [np.frombuffer(p, t) for p, t in zip(parts, types, strict=True)]
+
+
+def _dealt(asked: list, own: list, g: int, buckets: int) -> pa.RecordBatch:
+    """The own pack of group g, and one pack per bucket of its look-ups (x, text, n)."""
+    x, of, n = (np.concatenate(c) for c in zip(*asked, strict=True))
     b = (x >> np.uint64(_SHIFT)) % np.uint64(buckets)
     order = np.argsort(b, kind="stable")
     x, of, n, b = x[order], of[order], n[order], b[order]
-    starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    parts = []
-    for i, j in zip(starts, np.append(starts[1:], len(b)), strict=True):
-        new = np.concatenate([[True], of[i + 1 : j] != of[i : j - 1]])
-        texts = of[i:j][new]
-        parts.append([d[texts], t[texts], np.cumsum(new) - 1, x[i:j], n[i:j]])
-    return _packs(b[starts].tolist(), False, parts)
+    starts = np.flatnonzero(np.diff(b, prepend=b[:1] + np.uint64(1)))
+    ends = np.flatnonzero(np.diff(b, append=b[-1:] + np.uint64(1))) + 1
+    parts = [_bytes([np.concatenate(c) for c in zip(*own, strict=True)], _OWN)]
+    parts += [_bytes([of[i:j], x[i:j], n[i:j]], _ASKED) for i, j in zip(starts, ends, strict=True)]
+    to = [int(mix(np.array([g], np.uint64), 17)[0] >> np.uint64(_SHIFT)) % buckets, *b[starts].tolist()]
+    own_pack = np.arange(len(to)) == 0
+    return table(b=pa.array(to, pa.int64()), g=pa.array([g] * len(to), pa.int64()), own=own_pack, parts=pa.array(parts, pa.list_(pa.binary())))
 
 
 def _score_rows(held, buckets: int):
-    """Per piece a pack of the sums of its texts, and packs of the words and terms that are left to look up."""
+    """Per group of texts a pack of their sums, and packs of the words and terms that are left to look up."""
 
     def run(batches):
-        tree = held.value
+        tree, task = held.value, TaskContext.get()
         totals = tree.totals
         scale = np.log10(totals["tokens"] + totals["types"] + 1)
-        waiting, size, docs = [], 0, 0
+        g = (task.partitionId() if task else 0) << 32
+        asked, sums, size, docs = [], [], 0, 0
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
             n_docs = rb.num_rows
@@ -322,44 +346,43 @@ def _score_rows(held, buckets: int):
             doc = w.doc()
             add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
             score = np.add.reduceat(terms, begin) + add(own) + np.log10(tree.end())
-            d, t, z = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("d", "t", "z"))
+            d, z = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("d", "z"))
             base = add(base) + np.log10(totals["docs"] + 1) - scale
-            at = int(mix(t[:1].view(np.uint64), 17)[0] >> np.uint64(_SHIFT)) % buckets
-            yield _packs([at], True, [[d, t, z, w.counts() + 1, add(known) + (totals["docs"] > 0), base, score]])
+            sums.append((d, z, w.counts() + 1, add(known) + (totals["docs"] > 0), base, score))
             rest = np.flatnonzero(ask)
             x = np.concatenate([w.hash[rest], keys])
-            if len(x):
-                of = np.concatenate([doc[rest], np.searchsorted(begin, places, "right") - 1])
-                word = np.arange(len(x)) < len(rest)
-                order = np.lexsort((word, x, of))
-                of, x, word = of[order], x[order], word[order]
-                new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (x[1:] != x[:-1]) | (word[1:] != word[:-1])]))
-                n = np.diff(np.append(new, len(x)))
-                waiting.append((x[new], of[new] + docs, np.where(word[new], -n, n), d, t))
-                size, docs = size + len(new), docs + n_docs
-                if size >= _GATHER:
-                    yield _dealt(waiting, buckets)
-                    waiting, size, docs = [], 0, 0
-        if waiting:
-            yield _dealt(waiting, buckets)
+            of = np.concatenate([doc[rest], np.searchsorted(begin, places, "right") - 1])
+            word = np.arange(len(x)) < len(rest)
+            order = np.lexsort((word, x, of))
+            of, x, word = of[order], x[order], word[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (of[1:] != of[:-1]) | (x[1:] != x[:-1]) | (word[1:] != word[:-1])
+            new = np.flatnonzero(new)
+            n = np.diff(np.append(new, len(x)))
+            asked.append((x[new], of[new] + docs, np.where(word[new], -n, n)))
+            size, docs = size + len(new), docs + n_docs
+            if max(size, docs) >= _GATHER:
+                yield _dealt(asked, sums, g, buckets)
+                g, asked, sums, size, docs = g + 1, [], [], 0, 0
+        if sums:
+            yield _dealt(asked, sums, g, buckets)
 
     return run
 
 
 def _answers(totals: dict):
-    """Sums per text of a bucket's packs, its look-ups answered from the bucket's part (x, c, d) of the table."""
+    """A bucket's packs, its look-ups answered from the bucket's part (x, c, d) of the table by sums per text of the pack."""
     scale = np.log10(totals["tokens"] + totals["types"] + 1)
 
-    def asked(key, c, delta, d, t, of, x, n):
+    def answer(key, c, delta, of, x, n):
         at = np.minimum(np.searchsorted(key, x), len(key) - 1)
         hit, word, n = key[at] == x, n < 0, np.abs(n).astype(np.float64)
         count = np.where(hit & word, c[at], 0)
         seen = np.maximum(count - totals["discount"], 0.05) / (totals["tokens"] + 0.5)
         score = n * np.where(word, np.log10(np.where(count > 0, seen, totals["unseen"])), np.where(hit, delta[at], 0.0))
         base = n * np.where(word, np.log10(count + 1) - scale, 0.0)
-        known, base, score = (np.bincount(of, weights=v, minlength=len(d)) for v in (n * (count > 0), base, score))
-        none = np.zeros(len(d), np.int64)
-        return d, t, none, none, none, known.astype(np.int64), base, score
+        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # look-ups lie in the order of their texts
+        return of[new], *(np.add.reduceat(v, new) for v in (n * (count > 0), base, score))
 
     def run(packs: pa.Table, part: pa.Table) -> pa.Table:
         key = part.column("x").to_numpy().view(np.uint64)
@@ -367,25 +390,36 @@ def _answers(totals: dict):
         held = key[order], part.column("c").fill_null(0).to_numpy()[order], part.column("d").fill_null(0.0).to_numpy()[order]
         if not len(key):
             held = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1)
-        out = [[np.zeros(0, t) for t in (*_OWN[:1], *_OWN)]]
-        for own, parts in zip(packs.column("own").to_pylist(), packs.column("parts").to_pylist(), strict=True):
-            values = [np.frombuffer(p, t) for p, t in zip(parts, _OWN if own else _ASKED, strict=True)]
-            out.append([*values[:2], np.ones(len(values[0]), np.int64), *values[2:]] if own else asked(*held, *values))
-        names = [c.split()[0] for c in _SUMS.split(", ")]
-        return pa.table({name: np.concatenate(c) for name, c in zip(names, zip(*out, strict=True), strict=True)})
+        own, out = packs.column("own").to_pylist(), []
+        for is_own, parts in zip(own, packs.column("parts"), strict=True):
+            parts = parts.as_py()
+            out.append(parts if is_own else _bytes(answer(*held, *_arrays(parts, _ASKED)), _ANSWER))
+        return pa.table({"g": packs.column("g"), "own": packs.column("own"), "parts": pa.array(out, pa.list_(pa.binary()))})
 
     return run
 
 
+def _gathered(packs: pa.Table) -> pa.Table:
+    """The rows of a group's texts: their own sums and those of all buckets."""
+    own = packs.column("own").to_pylist()
+    parts = packs.column("parts").to_pylist()
+    d, z, n_tokens, *sums = _arrays(parts[own.index(True)], _OWN)
+    sums = [x.copy() for x in sums]
+    for p in (p for p, is_own in zip(parts, own, strict=True) if not is_own):
+        of, *more = _arrays(p, _ANSWER)  # a text comes once in a pack
+        for x, y in zip(sums, more, strict=True):
+            x[of] += y
+    return pa.table(dict(zip([c.split()[0] for c in _ROWS.split(", ")], (d, z, n_tokens, *sums), strict=True)))
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs (doc_id, text).
 
     Tokens: words (runs of other characters than ASCII white space, A-Z lower-cased) and one end; a null text has the end
     alone. Training rows are those not held out by crc32 of doc_id; a null doc_id trains. base_score is the add-one unigram
     sum and score the tree's, both log10; unseen words are one token type in both. Without training rows every token is
-    unseen. Other columns are ignored; repeated rows train and come back as often as they came; rows of one doc_id (or none)
-    and several texts are scored each by its own text, told apart by 64 bits (128 without doc_id). An empty table gives an
-    empty result. A text is worked on whole in one task, at some 100 bytes of memory for each of its bytes.
+    unseen. Other columns are ignored; repeated rows train and come back as often as they came; every row is scored by its own
+    text, whatever its doc_id. An empty table gives an empty result. A text is worked on whole in one task, at some 100 bytes of memory for each of its bytes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -393,18 +427,14 @@ def scored(docs: DataFrame) -> DataFrame:
     train = docs.where(~held_out(doc_id)).select(text.alias("text"))
     tree, lookup = trained(train)
     totals = tree.totals
-    key = F.when(doc_id.isNull(), F.xxhash64(F.lit("z"), text)).otherwise(F.xxhash64(text))
-    rows = docs.select(F.coalesce(doc_id, F.xxhash64(F.lit("d"), text)).alias("d"), key.alias("t"), doc_id.isNull().alias("z"), text.alias("text"))
+    rows = docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("d"), doc_id.isNull().cast("long").alias("z"), text.alias("text"))
     buckets = 1 + totals["tokens"] // (2 * _BUCKET)
     packs = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree), buckets), _PACKS)
     lookup = lookup.withColumn("b", F.pmod(F.shiftrightunsigned("x", _SHIFT), F.lit(buckets).cast("long")))
     s = packs.groupBy("b").cogroup(lookup.groupBy("b")).applyInArrow(_answers(totals), _SUMS)
-    g = s.groupBy("d", "t").agg(F.max("z").alias("z"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("rows", "n_known", "base", "score")])
-    g = g.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    s = s.groupBy("g").applyInArrow(_gathered, _ROWS)
     doc = F.when(F.col("z") == 0, F.col("d"))
-    return g.select(
-        doc.alias("doc_id"), held_out(doc).alias("held_out"), "n_tokens",
-        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(totals["tokens"]).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"),
+    return s.select(
+        doc.alias("doc_id"), held_out(doc).alias("held_out"), "n_tokens", "n_known",
+        F.lit(totals["tokens"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )

@@ -934,3 +934,20 @@ def test_licenses_beside_prose_and_inside_a_sentence():
     assert [[x[0] for x in y] for y in got] == [["MIT"], ["MIT"], [], [], []]
     assert texts_[0][got[0][0][2] : got[0][0][3]].split() == " ".join(mit).rstrip(".").split()
     assert got[1][0][1] == 1 and texts_[1][got[1][0][2] : got[1][0][3]] == "released under the MIT License"
+
+
+def test_suffix_tree_answers_a_pack_by_a_pack():
+    """A bucket's rows follow the packs, not the texts in them."""
+    totals = {"tokens": 1000, "types": 50, "docs": 100, "discount": 0.5, "unseen": 1e-4}
+    x = np.arange(1, 11, dtype=np.uint64) << np.uint64(40)
+    tree = suffix_tree_lm.Tree(np.zeros(0, np.uint64), np.zeros(0, np.int64), totals, 2)
+    tree.known = np.full(1 << 10, 2**64 - 1, np.uint64)  # every word is asked for
+    rb = pa.RecordBatch.from_pydict({"d": list(range(300)), "z": [0] * 300, "text": [f"a w{i % 7} a" if i else "" for i in range(300)]})
+    packs = pa.Table.from_batches(suffix_tree_lm._score_rows(type("", (), {"value": tree}), 1)([rb]))
+    part = pa.table({"x": pa.array(x.view(np.int64)), "c": pa.array([3] * 10), "d": pa.array([None] * 10, pa.float64())})
+    out = suffix_tree_lm._answers(totals)(packs, part)
+    assert packs.num_rows == out.num_rows == 2
+    rows_ = suffix_tree_lm._gathered(out)
+    assert rows_.column("d").to_pylist() == list(range(300)) and rows_.column("n_tokens").to_pylist() == [1] + [4] * 299
+    unseen = 3 * math.log10(1e-4) + math.log10(tree.end())
+    assert all(math.isclose(v, unseen) for v in rows_.column("score").to_pylist()[1:])
