@@ -84,15 +84,25 @@ def xxhash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Spark's xxhash64(a, b)."""
     u = np.uint64
     p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
-    turned = lambda x, n: (x << u(n)) | (x >> u(64 - n))
     h = np.full(len(a), 42, u)
     for x in (a, b):
-        h = h + p5 + u(8)
-        h ^= turned(x * p2, 31) * p1
-        h = turned(h, 27) * p1 + p4
-        h = (h ^ (h >> u(33))) * p2
-        h = (h ^ (h >> u(29))) * p3
-        h ^= h >> u(32)
+        t = x * p2  # turned left by 31 bits
+        s = t >> u(33)
+        t <<= u(31)
+        t |= s
+        t *= p1
+        h += p5 + u(8)
+        h ^= t
+        np.right_shift(h, u(37), out=s)
+        h <<= u(27)
+        h |= s
+        h *= p1
+        h += p4
+        for n, p in ((33, p2), (29, p3), (32, None)):
+            np.right_shift(h, u(n), out=s)
+            h ^= s
+            if p is not None:
+                h *= p
     return h
 
 

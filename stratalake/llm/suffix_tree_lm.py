@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bit_field, bounded_batches, discard, in_field, mix, parted, pieces, release, scratch, table, xxhash
+from .common import FIELD_BITS, FIELD_LEAST, FIELD_MOST, Words, bounded_batches, discard, mix, parted, pieces, release, scratch, table, xxhash
 
 #: Words and terms that tasks know by heart, keys that joins broadcast: for speed alone, the others are met by shuffles.
 TOP, TOP_TERMS, TOP_KEYS = 200_000, 1_000_000, 20_000
@@ -35,6 +35,10 @@ LEAST, PAIR, DIVERGENCE, GAIN, PRIOR, DEPTH = 20, 3, 0.02, 3.0, 10.0, 5
 #: Tells contexts' terms from those of edges.
 _NODE = 0x510E527FADE682D1
 _FLUSH = 1 << 19
+#: Bits of a frequent word's rank in a code, which is a gram's words side by side; entries that a task gathers before it packs them;
+#: training tokens and look-ups of texts that a bucket has by and large.
+_RANK, _PAIRS, _BUCKET = 21, 1 << 21, 1 << 21
+_LOW = np.uint64((1 << _RANK) - 1)
 
 
 def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -77,6 +81,50 @@ def _counted(of, names: list[str]):
     return run
 
 
+def bit_field(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of the (well mixed) keys: four bits in one of its 64-bit words, so a key is one row of the shuffle and one
+    place to look at. Its size follows the number of keys up to 32 MB."""
+    x = keys.select(F.col(column).alias("x"))
+    size = min(FIELD_MOST, max(FIELD_LEAST, (FIELD_BITS * x.count()).bit_length()))
+    bits = " | ".join(f"shiftleft(1L, cast(shiftright(x, {6 * j}) & 63 as int))" for j in range(4))
+    found = x.groupBy(F.expr(f"shiftrightunsigned(x, {70 - size})").alias("i")).agg(F.expr(f"bit_or({bits})").alias("b")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_field(field: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in the field."""
+    low, one, bits = np.uint64(63), np.uint64(1), np.zeros(len(x), np.uint64)
+    for j in range(4):
+        bits |= one << ((x >> np.uint64(6 * j)) & low)
+    return ~field[x >> np.uint64(65 - len(field).bit_length())] & bits == 0
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending 64-bit values as the bytes of their steps, those of each place together: they compress well."""
+    return np.diff(x, prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and their lengths."""
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+    return new, np.diff(np.append(new, len(x)))
+
+
+def _by_bucket(b: np.ndarray, buckets: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """A stable order by bucket, and the part of it that each bucket has."""
+    b = b.astype(np.min_scalar_type(buckets))
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    new, n = _runs(b)
+    return order, {i: (start, start + m) for i, start, m in zip(b[new].tolist(), new.tolist(), n.tolist(), strict=True)}
+
+
 def _word_values(rb):
     return (Words(rb.column("text"), lower=True).hash,)
 
@@ -131,8 +179,7 @@ class Index:
 
 
 class Tree:
-    """What the tasks hold: frequent words, the heaviest terms, and fields of the frequent grams, of all words, nodes and
-    edges."""
+    """What the tasks hold: frequent words, the heaviest terms, and fields of the frequent grams, nodes and edges."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, totals: dict, depth: int):
         rank = np.lexsort((words, -counts))
@@ -141,7 +188,7 @@ class Tree:
         self.rank = np.argsort(rank)[order].astype(np.uint64)
         self.index, self.keys, self.terms = Index(self.words), Index(np.zeros(0, np.uint64)), np.zeros(0)
         self.frequent: dict[int, np.ndarray] = {}
-        self.known = self.nodes = self.edges = np.zeros(1 << 10, np.uint64)
+        self.nodes = self.edges = np.zeros(1 << 10, np.uint64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index among the frequent words and whether it is one."""
@@ -161,51 +208,150 @@ class Tree:
     def end(self) -> float:
         return self.root(self.totals["docs"]) if self.totals["docs"] else self.totals["unseen"]
 
-    def along(self, v: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sum of the terms held at each place, and the places and keys of those that may be in the table only."""
+    def along(self, v: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sum of the terms held at each place; the places and keys of those that may be in the table only, and the places and
+        codes of such edges that have a code."""
         total, places, keys = np.zeros(len(v)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for _, at, ctx, _, both in walk(v, begin, self.depth, self.frequent):
+        coded = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for k, at, ctx, par, both in walk(v, begin, self.depth, self.frequent):
             node = xxhash(ctx, np.full(len(ctx), _NODE, np.uint64))
-            m = in_field(self.nodes, node)  # only a retained context has edges
-            node, at, both = node[m], at[m], both[m]
-            m = in_field(self.edges, both)
-            for x, where in ((node, at), (both[m], at[m])):
+            m = np.flatnonzero(in_field(self.nodes, node))  # only a retained context has edges
+            edge = m[in_field(self.edges, both[m])]
+            for x, of, may in ((node, m, False), (both, edge, k == 1)):
+                x, where = x[of], at[of]
                 if len(self.terms):
                     i, own = self.keys.find(x)
                     total[where[own]] += self.terms[i[own]]
-                    x, where = x[~own], where[~own]
+                    x, where, of = x[~own], where[~own], of[~own]
+                if may:
+                    code, small = _code((ctx[of], par[of]))
+                    coded = where[small], code[small]
+                    x, where = x[~small], where[~small]
                 places.append(where)
                 keys.append(x)
-        return total, np.concatenate(places), np.concatenate(keys)
+        return total, np.concatenate(places), np.concatenate(keys), *coded
 
 
-def _pairs(train: DataFrame, tree: Tree, first: int, last: int, likely: np.ndarray) -> DataFrame:
-    """k, ctx, par, n: counts of the symbols after frequent contexts of first to last words. likely: field of the grams of
-    first words (and, by their spread keys, of the words) that occur PAIR times; others cannot be edges."""
-    held = train.sparkSession.sparkContext.broadcast((tree, likely))
+def _code(words) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each gram side by side in one number, and which grams have frequent words only: others have no code."""
+    code, own = np.zeros(len(words[0]), np.uint64), np.ones(len(words[0]), bool)
+    for w in words:
+        code = code << np.uint64(_RANK) | w
+        own &= w <= _LOW
+    return code, own
+
+
+def _decoded(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a context of k words (at most two) and of the context without its oldest word together with the symbol."""
+    w = [code >> np.uint64(_RANK * j) & _LOW for j in range(k, -1, -1)]
+    return (w[0], w[1]) if k == 1 else (xxhash(w[0], w[1]), xxhash(w[1], w[2]))
+
 
-    def grams(rb):
+#: A pack of grams for bucket b, contexts of k words: codes and counts, or (coded: false) keys of context and rest, and counts.
+_GRAMS = "b long, k long, coded boolean, parts array<binary>"
+
+
+def _gram_packs(held, first: int, last: int, buckets: int):
+    """Per bucket the grams of first to last words and a symbol, as often as the task has them."""
+
+    def of(rb):
+        """k, codes; and k, ctx, par of grams without a code."""
         t, field = held.value
         v, begin, *_ = t.symbols(Words(rb.column("text"), lower=True))
-        out, may = [], None
-        for k, at, ctx, par, both in walk(v, begin, last, t.frequent):
+        may = None
+        for k, at, ctx, par, _ in walk(v, begin, last, t.frequent):
             if k == first:
                 may = np.zeros(len(v), bool)
                 may[at] = in_field(field, xxhash(par, par) if k == 1 else par)
             if k >= first:
                 m = may[at]
-                out.append((both[m], np.full(int(m.sum()), k, np.uint64), ctx[m], par[m]))
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.uint64)] * 4
+                at, ctx, par = at[m], ctx[m], par[m]
+                code, own = _code([v[at - j] for j in range(k, -1, -1)]) if k <= 2 else (at[:0], np.zeros(len(at), bool))
+                yield k, code[own] if k <= 2 else np.zeros(0, np.uint64), ctx[~own], par[~own]
+
+    def packs(parts):
+        to, ks, coded, out = [], [], [], []
+
+        def add(b, k, arrays, pack):
+            order, ends = _by_bucket(b, buckets)
+            arrays = [x[order] for x in arrays]
+            for i, (start, end) in ends.items():
+                to.append(i)
+                ks.append(k)
+                coded.append(len(arrays) == 2)
+                out.append(pack(*(x[start:end] for x in arrays)))
+
+        for k in sorted({p[0] for p in parts}):
+            code, ctx, par = (np.concatenate([p[j] for p in parts if p[0] == k]) for j in (1, 2, 3))
+            code.sort()
+            new, n = _runs(code)
+            add(mix(code[new], 23) % np.uint64(buckets), k, (code[new], n), lambda c, n: [_packed(c), n.astype(np.int32).tobytes()])
+            both = xxhash(ctx, par)
+            order = np.argsort(both)
+            new, n = _runs(both[order])
+            at = order[new]
+            add(
+                (both[at] >> np.uint64(20)) % np.uint64(buckets), k, (ctx[at], par[at], n),
+                lambda c, p, n: [c.tobytes(), p.tobytes(), n.astype(np.int32).tobytes()],
+            )
+        return table(b=pa.array(to, pa.int64()), k=pa.array(ks, pa.int64()), coded=pa.array(coded, pa.bool_()), parts=pa.array(out, pa.list_(pa.binary())))
+
+    def run(batches):
+        parts, size = [], 0
+        for rb in pieces(batches):
+            for p in of(rb):
+                parts.append(p)
+                size += len(p[1]) + len(p[2])
+            if size >= _PAIRS:
+                yield packs(parts)
+                parts, size = [], 0
+        if parts:
+            yield packs(parts)
+
+    return run
+
+
+def _gram_counts(least: int):
+    """k, ctx, par, n of a bucket's grams that occur so often."""
+
+    def run(packs: pa.Table) -> pa.Table:
+        kinds = list(zip(packs.column("k").to_pylist(), packs.column("coded").to_pylist(), strict=True))
+        out = []
+        for kind in sorted(set(kinds)):
+            k, coded = kind
+            parts = [p.as_py() for p, x in zip(packs.column("parts"), kinds, strict=True) if x == kind]
+            n = np.concatenate([np.frombuffer(p[-1], np.int32) for p in parts])
+            if coded:
+                key = np.concatenate([_unpacked(p[0]) for p in parts])
+            else:
+                ctx, par = (np.concatenate([np.frombuffer(p[j], np.uint64) for p in parts]) for j in (0, 1))
+                key = xxhash(ctx, par)
+            del parts
+            order = np.argsort(key)
+            new, _ = _runs(key[order])
+            n = np.add.reduceat(n[order].astype(np.int64), new)
+            often = n >= least
+            at, n = order[new[often]], n[often]
+            ctx, par = _decoded(key[at], k) if coded else (ctx[at], par[at])
+            out.append((np.full(len(n), k), ctx.view(np.int64), par.view(np.int64), n))
+        return pa.table(dict(zip(("k", "ctx", "par", "n"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
-    c = train.mapInArrow(_counted(grams, ["k", "ctx", "par"]), "k long, ctx long, par long, n long")
-    out = scratch(c.groupBy("k", "ctx", "par").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIR), "grams")
+    return run
+
+
+def _pairs(train: DataFrame, tree: Tree, first: int, last: int, likely: np.ndarray) -> DataFrame:
+    """k, ctx, par, n: counts of the symbols after frequent contexts of first to last words. likely: field of the grams of
+    first words (and, by their spread keys, of the words) that occur PAIR times; others cannot be edges."""
+    held = train.sparkSession.sparkContext.broadcast((tree, likely))
+    packs = train.mapInArrow(_gram_packs(held, first, last, 1 + tree.totals["tokens"] // _BUCKET), _GRAMS)
+    out = scratch(packs.groupBy("b").applyInArrow(_gram_counts(PAIR), "k long, ctx long, par long, n long"), "grams")
     held.destroy()
     return out
 
 
-def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(e, n, p) of the symbols e after the contexts of pairs (ctx, par, n), and the terms (x, d, n, node) of the contexts that
-    pass the test and of their edges. before: (e, n, p) one level up."""
+def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(e, n, p) of the symbols e after the contexts of pairs (ctx, par, n), the terms (x, d, n, node) of the contexts that
+    pass the test and of their edges, and the scratch table of the contexts. before: (e, n, p) one level up."""
     parents = before.select(F.col("e").alias("par"), F.col("p").alias("pp"), F.col("n").alias("w"))
     full = scratch(_met(pairs, parents, "par", "w"), "predicted")
     sums = full.groupBy("ctx").agg(
@@ -232,7 +378,7 @@ def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
     terms = left.select(F.xxhash64("ctx", F.lit(_NODE)).alias("x"), F.log10("rest").alias("d"), F.col("of").alias("n"))
     terms = terms.withColumn("node", F.lit(True))
     edges = out.where("d is not null").select(F.col("e").alias("x"), "d", "n", F.lit(False).alias("node"))
-    return out, terms.unionByName(edges)
+    return out, terms.unionByName(edges), left
 
 
 def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
@@ -251,13 +397,13 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
     top, others = parted(vocab, "n", TOP)
     top = top.toArrow()
     tree = Tree(top.column("x").to_numpy().view(np.uint64), top.column("n").to_numpy(), totals, DEPTH)
-    tree.known = bit_field(vocab, "x")
 
     spark = train.sparkSession
     end = spark.createDataFrame([(END, docs)], "e long, n long")
     rank = scratch(spark.createDataFrame(pa.table({"x": tree.words.view(np.int64), "rank": tree.rank.view(np.int64)})), "rank")
     seen = vocab.join(F.broadcast(rank), "x", "left").select(F.coalesce("rank", "x").alias("e"), "n").unionByName(end).where(F.col("n") >= PAIR)
     seen = scratch(seen, "seen")
+    done = [rank, seen]
     before, terms, pairs = seen.withColumn("p", (F.col("n") - discount) / (tokens + 0.5)), None, None
     for k in range(1, DEPTH + 1):
         of = F.xxhash64("e", "e") if k == 1 else F.col("e")
@@ -268,13 +414,15 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
             tree.frequent[k] = field
             release(spark)
             pairs = _pairs(train, tree, k, k if k < 3 else DEPTH, bit_field(before.select(of.alias("e")), "e"))
-        before, found = _level(pairs.where(F.col("k") == k).drop("k"), before)
-        if k < 3:
+        before, found, left = _level(pairs.where(F.col("k") == k).drop("k"), before)
+        done += [before, left]
+        if k < 3 or k == DEPTH:
             discard(pairs)
         terms = found if terms is None else terms.unionByName(found)
     lookup = others.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d"))
     if terms is not None:
         terms = scratch(terms, "terms")
+        discard(*done)
         release(spark)
         top, others = parted(terms, "n", TOP_TERMS)
         top = top.select("x", "d").toArrow()
@@ -287,11 +435,11 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
     return tree, lookup
 
 
-#: Look-ups that a task gathers before it deals them out, and look-ups and table rows that a bucket has by and large.
-_GATHER, _BUCKET = 1 << 20, 1 << 20
+#: Look-ups that a task gathers before it deals them out.
+_GATHER = 1 << 20
 #: A pack of arrays for bucket b from group g of texts, which a task has gathered. own: per text doc_id, without doc_id, tokens, known
 #: tokens, base, score; else the words and terms that are left to look up: per look-up its text's place in the group, its hash
-#: and how often it is asked for (words: negative).
+#: and how often it is asked for (words: negative); then those of edges with a code: place and code in one number, and how often.
 _PACKS = "b long, g long, own boolean, parts array<binary>"
 #: A pack of answers for group g, or its own pack: per text its place, known tokens, base, score.
 _SUMS = "g long, own boolean, parts array<binary>"
@@ -310,17 +458,28 @@ def _arrays(parts: list[bytes], types) -> list[np.ndarray]:
     return [np.frombuffer(p, t) for p, t in zip(parts, types, strict=True)]
 
 
-def _dealt(asked: list, own: list, g: int, buckets: int) -> pa.RecordBatch:
-    """The own pack of group g, and one pack per bucket of its look-ups (x, text, n)."""
+def _hash_of(coded: np.ndarray) -> np.ndarray:
+    """The hash of the edge in a place and code."""
+    return xxhash(coded >> np.uint64(_RANK) & _LOW, coded & _LOW)
+
+
+def _dealt(asked: list, coded: list, own: list, g: int, buckets: int) -> pa.RecordBatch:
+    """The own pack of group g, and one pack per bucket of its look-ups (x, text, n) and of those in codes."""
     x, of, n = (np.concatenate(c) for c in zip(*asked, strict=True))
-    b = (x >> np.uint64(_SHIFT)) % np.uint64(buckets)
-    order = np.argsort(b, kind="stable")
-    x, of, n, b = x[order], of[order], n[order], b[order]
-    starts = np.flatnonzero(np.diff(b, prepend=b[:1] + np.uint64(1)))
-    ends = np.flatnonzero(np.diff(b, append=b[-1:] + np.uint64(1))) + 1
+    order, ends = _by_bucket((x >> np.uint64(_SHIFT)) % np.uint64(buckets), buckets)
+    x, of, n = x[order], of[order], n[order]
+    c = np.concatenate(coded)
+    c.sort()
+    new, m = _runs(c)
+    c = c[new]
+    order, coded_ends = _by_bucket((_hash_of(c) >> np.uint64(_SHIFT)) % np.uint64(buckets), buckets)
+    c, m = c[order], m[order]
+    to = [int(mix(np.array([g], np.uint64), 17)[0] >> np.uint64(_SHIFT)) % buckets]
     parts = [_bytes([np.concatenate(c) for c in zip(*own, strict=True)], _OWN)]
-    parts += [_bytes([of[i:j], x[i:j], n[i:j]], _ASKED) for i, j in zip(starts, ends, strict=True)]
-    to = [int(mix(np.array([g], np.uint64), 17)[0] >> np.uint64(_SHIFT)) % buckets, *b[starts].tolist()]
+    for b in sorted({*ends, *coded_ends}):
+        (i, j), (k, l) = ends.get(b, (0, 0)), coded_ends.get(b, (0, 0))
+        to.append(b)
+        parts.append([*_bytes([of[i:j], x[i:j], n[i:j]], _ASKED), _packed(c[k:l]), m[k:l].astype(np.int32).tobytes()])
     own_pack = np.arange(len(to)) == 0
     return table(b=pa.array(to, pa.int64()), g=pa.array([g] * len(to), pa.int64()), own=own_pack, parts=pa.array(parts, pa.list_(pa.binary())))
 
@@ -333,23 +492,22 @@ def _score_rows(held, buckets: int):
         totals = tree.totals
         scale = np.log10(totals["tokens"] + totals["types"] + 1)
         g = (task.partitionId() if task else 0) << 32
-        asked, sums, size, docs = [], [], 0, 0
+        asked, codes, sums, size, docs = [], [], [], 0, 0
         for rb in pieces(batches):
             w = Words(rb.column("text"), lower=True)
             n_docs = rb.num_rows
             v, begin, i, known = tree.symbols(w)
-            terms, places, keys = tree.along(v, begin)
+            terms, places, keys, coded_at, coded = tree.along(v, begin)
             c = tree.counts[i] if len(tree.words) else np.zeros(len(w.hash))
-            ask = ~known & in_field(tree.known, w.hash)  # may be a rarer training word
-            own = np.where(known, np.log10(tree.root(c)), np.where(ask, 0.0, np.log10(totals["unseen"])))
-            base = np.where(known, np.log10(c + 1) - scale, np.where(ask, 0.0, -scale))
+            own = np.where(known, np.log10(tree.root(c)), 0.0)
+            base = np.where(known, np.log10(c + 1) - scale, 0.0)
             doc = w.doc()
             add = lambda v: np.bincount(doc, weights=v, minlength=n_docs)
             score = np.add.reduceat(terms, begin) + add(own) + np.log10(tree.end())
             d, z = (rb.column(c).to_numpy(zero_copy_only=False) for c in ("d", "z"))
             base = add(base) + np.log10(totals["docs"] + 1) - scale
             sums.append((d, z, w.counts() + 1, add(known) + (totals["docs"] > 0), base, score))
-            rest = np.flatnonzero(ask)
+            rest = np.flatnonzero(~known)  # may be rarer training words
             x = np.concatenate([w.hash[rest], keys])
             of = np.concatenate([doc[rest], np.searchsorted(begin, places, "right") - 1])
             word = np.arange(len(x)) < len(rest)
@@ -360,12 +518,14 @@ def _score_rows(held, buckets: int):
             new = np.flatnonzero(new)
             n = np.diff(np.append(new, len(x)))
             asked.append((x[new], of[new] + docs, np.where(word[new], -n, n)))
-            size, docs = size + len(new), docs + n_docs
+            of = (np.searchsorted(begin, coded_at, "right") - 1 + docs).astype(np.uint64)
+            codes.append(of << np.uint64(2 * _RANK) | coded)
+            size, docs = size + len(new) + len(coded), docs + n_docs
             if max(size, docs) >= _GATHER:
-                yield _dealt(asked, sums, g, buckets)
-                g, asked, sums, size, docs = g + 1, [], [], 0, 0
+                yield _dealt(asked, codes, sums, g, buckets)
+                g, asked, codes, sums, size, docs = g + 1, [], [], [], 0, 0
         if sums:
-            yield _dealt(asked, sums, g, buckets)
+            yield _dealt(asked, codes, sums, g, buckets)
 
     return run
 
@@ -374,26 +534,33 @@ def _answers(totals: dict):
     """A bucket's packs, its look-ups answered from the bucket's part (x, c, d) of the table by sums per text of the pack."""
     scale = np.log10(totals["tokens"] + totals["types"] + 1)
 
-    def answer(key, c, delta, of, x, n):
-        at = np.minimum(np.searchsorted(key, x), len(key) - 1)
-        hit, word, n = key[at] == x, n < 0, np.abs(n).astype(np.float64)
+    def answer(index, c, delta, parts):
+        of, x, n = _arrays(parts[:3], _ASKED)
+        coded, m = _unpacked(parts[3]), np.frombuffer(parts[4], np.int32)
+        at, hit = index.find(x)
+        word, n = n < 0, np.abs(n).astype(np.float64)
         count = np.where(hit & word, c[at], 0)
         seen = np.maximum(count - totals["discount"], 0.05) / (totals["tokens"] + 0.5)
         score = n * np.where(word, np.log10(np.where(count > 0, seen, totals["unseen"])), np.where(hit, delta[at], 0.0))
         base = n * np.where(word, np.log10(count + 1) - scale, 0.0)
-        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # look-ups lie in the order of their texts
-        return of[new], *(np.add.reduceat(v, new) for v in (n * (count > 0), base, score))
+        at, hit = index.find(_hash_of(coded))
+        place = (coded >> np.uint64(2 * _RANK)).astype(np.int64)
+        size = 1 + max(of.max(initial=0), place.max(initial=0))
+        known, base, score = (np.bincount(of, v, size) for v in (n * (count > 0), base, score))
+        score = score + np.bincount(place, m * np.where(hit, delta[at], 0.0), size)
+        there = np.flatnonzero((score != 0) | (base != 0))
+        return there, known[there], base[there], score[there]
 
     def run(packs: pa.Table, part: pa.Table) -> pa.Table:
         key = part.column("x").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        held = key[order], part.column("c").fill_null(0).to_numpy()[order], part.column("d").fill_null(0.0).to_numpy()[order]
+        held = Index(key[order]), part.column("c").fill_null(0).to_numpy()[order], part.column("d").fill_null(0.0).to_numpy()[order]
         if not len(key):
-            held = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1)
+            held = Index(key), np.zeros(1, np.int64), np.zeros(1)
         own, out = packs.column("own").to_pylist(), []
         for is_own, parts in zip(own, packs.column("parts"), strict=True):
             parts = parts.as_py()
-            out.append(parts if is_own else _bytes(answer(*held, *_arrays(parts, _ASKED)), _ANSWER))
+            out.append(parts if is_own else _bytes(answer(*held, parts), _ANSWER))
         return pa.table({"g": packs.column("g"), "own": packs.column("own"), "parts": pa.array(out, pa.list_(pa.binary()))})
 
     return run

@@ -951,3 +951,28 @@ def test_suffix_tree_answers_a_pack_by_a_pack():
     assert rows_.column("d").to_pylist() == list(range(300)) and rows_.column("n_tokens").to_pylist() == [1] + [4] * 299
     unseen = 3 * math.log10(1e-4) + math.log10(tree.end())
     assert all(math.isclose(v, unseen) for v in rows_.column("score").to_pylist()[1:])
+
+
+def test_suffix_tree_counts_grams_in_packs():
+    """A task's grams leave it as a few packs, whatever their number, and a bucket's counts are the plain ones."""
+    m, rnd = suffix_tree_lm, random.Random(3)
+    hashes = [1 << 40 | i for i in range(30)]  # words without a rank
+    seqs = [[rnd.choice([*range(40), *hashes]) for _ in range(900)] for _ in range(6)]
+    totals = {"tokens": 5400, "types": 70, "docs": 6, "discount": 0.5, "unseen": 1e-4}
+    tree = m.Tree(np.zeros(0, np.uint64), np.zeros(0, np.int64), totals, 3)
+    tree.frequent = {k: np.full(1 << 10, 2**64 - 1, np.uint64) for k in (1, 2, 3)}
+    tree.symbols = lambda w: (np.array(sum(seqs, []), np.uint64), np.arange(6) * 900)
+    held = type("", (), {"value": (tree, tree.frequent[1])})
+    rb = pa.RecordBatch.from_pydict({"text": ["x"] * 6})
+    key = lambda g: g[0] if len(g) == 1 else int(m.xxhash(*(np.array([key(x)], np.uint64) for x in (g[:-1], g[1:])))[0])
+    for first, last in ((1, 1), (2, 2), (3, 3)):
+        packs = pa.Table.from_batches(m._gram_packs(held, first, last, 4)([rb, rb]))
+        assert packs.num_rows <= 2 * 4
+        got = Counter()
+        for b in range(4):
+            of = packs.filter(pa.compute.equal(packs.column("b"), b))
+            if of.num_rows:
+                for r in m._gram_counts(3)(of).to_pylist():
+                    got[r["ctx"] % 2**64, r["par"] % 2**64] += r["n"]
+        plain = Counter(tuple(s[i : i + first + 1]) for s in seqs for i in range(900 - first))
+        assert got == {(key(g[:-1]), key(g[1:])): 2 * n for g, n in plain.items() if 2 * n >= 3}
