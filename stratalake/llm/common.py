@@ -296,8 +296,8 @@ def chained(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mix(out, salt)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that a piece's texts stay near PIECE_BYTES; one long text is a piece of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that a piece's texts stay near so many bytes; one long text is a piece of its own."""
     for rb in batches:
         if not rb.num_rows:
             continue
@@ -305,7 +305,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
         i = 0
         while i < rb.num_rows:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
             yield rb.slice(i, j - i)
             i = j
 

@@ -37,8 +37,10 @@ _NODE = 0x510E527FADE682D1
 _FLUSH = 1 << 19
 #: Bits of a frequent word's rank in a code, which is a gram's words side by side; entries that a task gathers before it packs them;
 #: training tokens and look-ups of texts that a bucket has by and large.
-_RANK, _PAIRS, _BUCKET = 21, 1 << 21, 1 << 21
+_RANK, _PAIRS, _BUCKET = 21, 1 << 20, 1 << 21
 _LOW = np.uint64((1 << _RANK) - 1)
+#: Bytes of text that a task works on at once.
+_PIECE = 1 << 19
 
 
 def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -65,7 +67,7 @@ def _counted(of, names: list[str]):
 
     def run(batches):
         held, size = [], 0
-        for rb in pieces(batches):
+        for rb in pieces(batches, most=_PIECE):
             values = of(rb)
             held.append((*values, np.ones(len(values[0]), np.int64)))
             size += len(held[-1][-1])
@@ -101,13 +103,22 @@ def in_field(field: np.ndarray, x: np.ndarray) -> np.ndarray:
     return ~field[x >> np.uint64(65 - len(field).bit_length())] & bits == 0
 
 
+def _array(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True), kind)
+
+
+def _squeezed(x: np.ndarray, kind) -> bytes:
+    b = np.ascontiguousarray(x, kind).tobytes()
+    return len(b).to_bytes(8, "little") + pa.compress(b, "zstd", asbytes=True)
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Ascending 64-bit values as the bytes of their steps, those of each place together: they compress well."""
-    return np.diff(x, prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _squeezed(np.diff(x, prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T, np.uint8)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(np.ascontiguousarray(_array(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,20 +296,22 @@ def _gram_packs(held, first: int, last: int, buckets: int):
             code, ctx, par = (np.concatenate([p[j] for p in parts if p[0] == k]) for j in (1, 2, 3))
             code.sort()
             new, n = _runs(code)
-            add(mix(code[new], 23) % np.uint64(buckets), k, (code[new], n), lambda c, n: [_packed(c), n.astype(np.int32).tobytes()])
+            add(mix(code[new], 23) % np.uint64(buckets), k, (code[new], n), lambda c, n: [_packed(c), _squeezed(n, np.int32)])
             both = xxhash(ctx, par)
             order = np.argsort(both)
             new, n = _runs(both[order])
             at = order[new]
+            order = np.argsort(ctx[at])
+            at, n = at[order], n[order]
             add(
                 (both[at] >> np.uint64(20)) % np.uint64(buckets), k, (ctx[at], par[at], n),
-                lambda c, p, n: [c.tobytes(), p.tobytes(), n.astype(np.int32).tobytes()],
+                lambda c, p, n: [_packed(c), _squeezed(p, np.uint64), _squeezed(n, np.int32)],
             )
         return table(b=pa.array(to, pa.int64()), k=pa.array(ks, pa.int64()), coded=pa.array(coded, pa.bool_()), parts=pa.array(out, pa.list_(pa.binary())))
 
     def run(batches):
         parts, size = [], 0
-        for rb in pieces(batches):
+        for rb in pieces(batches, most=_PIECE):
             for p in of(rb):
                 parts.append(p)
                 size += len(p[1]) + len(p[2])
@@ -320,11 +333,10 @@ def _gram_counts(least: int):
         for kind in sorted(set(kinds)):
             k, coded = kind
             parts = [p.as_py() for p, x in zip(packs.column("parts"), kinds, strict=True) if x == kind]
-            n = np.concatenate([np.frombuffer(p[-1], np.int32) for p in parts])
-            if coded:
-                key = np.concatenate([_unpacked(p[0]) for p in parts])
-            else:
-                ctx, par = (np.concatenate([np.frombuffer(p[j], np.uint64) for p in parts]) for j in (0, 1))
+            n = np.concatenate([_array(p[-1], np.int32) for p in parts])
+            key = ctx = np.concatenate([_unpacked(p[0]) for p in parts])
+            if not coded:
+                par = np.concatenate([_array(p[1], np.uint64) for p in parts])
                 key = xxhash(ctx, par)
             del parts
             order = np.argsort(key)
@@ -436,10 +448,10 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
 
 
 #: Look-ups that a task gathers before it deals them out.
-_GATHER = 1 << 20
+_GATHER = 1 << 19
 #: A pack of arrays for bucket b from group g of texts, which a task has gathered. own: per text doc_id, without doc_id, tokens, known
-#: tokens, base, score; else the words and terms that are left to look up: per look-up its text's place in the group, its hash
-#: and how often it is asked for (words: negative); then those of edges with a code: place and code in one number, and how often.
+#: tokens, base, score; else the words and terms that are left to look up: per look-up the step from the text before to its own in the
+#: group, its hash and how often it is asked for (words: negative); then those of edges with a code: place and code in one number, and how often.
 _PACKS = "b long, g long, own boolean, parts array<binary>"
 #: A pack of answers for group g, or its own pack: per text its place, known tokens, base, score.
 _SUMS = "g long, own boolean, parts array<binary>"
@@ -451,11 +463,16 @@ _SHIFT = 20
 
 
 def _bytes(arrays, types) -> list[bytes]:
-    return [np.ascontiguousarray(x, t).tobytes() for x, t in zip(arrays, types, strict=True)]
+    return [_squeezed(x, t) for x, t in zip(arrays, types, strict=True)]
 
 
 def _arrays(parts: list[bytes], types) -> list[np.ndarray]:
-    return [np.frombuffer(p, t) for p, t in zip(parts, types, strict=True)]
+    return [_array(p, t) for p, t in zip(parts, types, strict=True)]
+
+
+def _word_buckets(buckets: int) -> int:
+    """Buckets of words, the first ones; those of terms follow."""
+    return 1 + buckets // 4
 
 
 def _hash_of(coded: np.ndarray) -> np.ndarray:
@@ -466,20 +483,23 @@ def _hash_of(coded: np.ndarray) -> np.ndarray:
 def _dealt(asked: list, coded: list, own: list, g: int, buckets: int) -> pa.RecordBatch:
     """The own pack of group g, and one pack per bucket of its look-ups (x, text, n) and of those in codes."""
     x, of, n = (np.concatenate(c) for c in zip(*asked, strict=True))
-    order, ends = _by_bucket((x >> np.uint64(_SHIFT)) % np.uint64(buckets), buckets)
+    words = np.uint64(_word_buckets(buckets))
+    b = np.where(n < 0, (x >> np.uint64(_SHIFT)) % words, words + (x >> np.uint64(_SHIFT)) % np.uint64(buckets))
+    order, ends = _by_bucket(b, buckets + int(words))
     x, of, n = x[order], of[order], n[order]
     c = np.concatenate(coded)
     c.sort()
     new, m = _runs(c)
     c = c[new]
-    order, coded_ends = _by_bucket((_hash_of(c) >> np.uint64(_SHIFT)) % np.uint64(buckets), buckets)
+    order, coded_ends = _by_bucket(words + (_hash_of(c) >> np.uint64(_SHIFT)) % np.uint64(buckets), buckets + int(words))
     c, m = c[order], m[order]
     to = [int(mix(np.array([g], np.uint64), 17)[0] >> np.uint64(_SHIFT)) % buckets]
     parts = [_bytes([np.concatenate(c) for c in zip(*own, strict=True)], _OWN)]
     for b in sorted({*ends, *coded_ends}):
         (i, j), (k, l) = ends.get(b, (0, 0)), coded_ends.get(b, (0, 0))
         to.append(b)
-        parts.append([*_bytes([of[i:j], x[i:j], n[i:j]], _ASKED), _packed(c[k:l]), m[k:l].astype(np.int32).tobytes()])
+        step = np.diff(of[i:j], prepend=0)  # look-ups lie in the order of their texts
+        parts.append([*_bytes([step, x[i:j], n[i:j]], _ASKED), _packed(c[k:l]), _squeezed(m[k:l], np.int32)])
     own_pack = np.arange(len(to)) == 0
     return table(b=pa.array(to, pa.int64()), g=pa.array([g] * len(to), pa.int64()), own=own_pack, parts=pa.array(parts, pa.list_(pa.binary())))
 
@@ -493,7 +513,7 @@ def _score_rows(held, buckets: int):
         scale = np.log10(totals["tokens"] + totals["types"] + 1)
         g = (task.partitionId() if task else 0) << 32
         asked, codes, sums, size, docs = [], [], [], 0, 0
-        for rb in pieces(batches):
+        for rb in pieces(batches, most=_PIECE):
             w = Words(rb.column("text"), lower=True)
             n_docs = rb.num_rows
             v, begin, i, known = tree.symbols(w)
@@ -535,8 +555,8 @@ def _answers(totals: dict):
     scale = np.log10(totals["tokens"] + totals["types"] + 1)
 
     def answer(index, c, delta, parts):
-        of, x, n = _arrays(parts[:3], _ASKED)
-        coded, m = _unpacked(parts[3]), np.frombuffer(parts[4], np.int32)
+        step, x, n = _arrays(parts[:3], _ASKED)
+        of, coded, m = np.cumsum(step), _unpacked(parts[3]), _array(parts[4], np.int32)
         at, hit = index.find(x)
         word, n = n < 0, np.abs(n).astype(np.float64)
         count = np.where(hit & word, c[at], 0)
@@ -597,7 +617,9 @@ def scored(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("d"), doc_id.isNull().cast("long").alias("z"), text.alias("text"))
     buckets = 1 + totals["tokens"] // (2 * _BUCKET)
     packs = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree), buckets), _PACKS)
-    lookup = lookup.withColumn("b", F.pmod(F.shiftrightunsigned("x", _SHIFT), F.lit(buckets).cast("long")))
+    words, h = F.lit(_word_buckets(buckets)).cast("long"), F.shiftrightunsigned("x", _SHIFT)
+    of_word = F.col("c").isNotNull()
+    lookup = lookup.withColumn("b", F.when(of_word, F.pmod(h, words)).otherwise(words + F.pmod(h, F.lit(buckets).cast("long"))))
     s = packs.groupBy("b").cogroup(lookup.groupBy("b")).applyInArrow(_answers(totals), _SUMS)
     s = s.groupBy("g").applyInArrow(_gathered, _ROWS)
     doc = F.when(F.col("z") == 0, F.col("d"))
