@@ -62,9 +62,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def parted(df: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of df with the largest positive values of column, at most so many: whole steps of a logarithmic scale; and
-    the others.
+def topmost(df: DataFrame, column: str, most: int) -> Column:
+    """Which rows have the largest positive values of column, at most so many of df: whole steps of a logarithmic scale.
 
     Counts per step go to the driver (a few hundred), never the rows themselves.
     """
@@ -76,7 +75,12 @@ def parted(df: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]
         if total > most:
             break
         least = row["step"]
-    top = F.lit(False) if least is None else (F.col(column) > 0) & (step >= least)
+    return F.lit(False) if least is None else (F.col(column) > 0) & (step >= least)
+
+
+def parted(df: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The topmost rows of df, and the others."""
+    top = topmost(df, column, most)
     return df.where(top), df.where(~top)
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIELD_BITS, FIELD_LEAST, FIELD_MOST, Words, bounded_batches, discard, mix, parted, pieces, release, scratch, table, xxhash
+from .common import FIELD_BITS, FIELD_LEAST, FIELD_MOST, Words, bounded_batches, discard, mix, parted, pieces, release, scratch, table, topmost, xxhash
 
 #: Words and terms that tasks know by heart, keys that joins broadcast: for speed alone, the others are met by shuffles.
 TOP, TOP_TERMS, TOP_KEYS = 200_000, 1_000_000, 20_000
@@ -39,8 +39,8 @@ _FLUSH = 1 << 19
 #: training tokens and look-ups of texts that a bucket has by and large.
 _RANK, _PAIRS, _BUCKET = 21, 1 << 20, 1 << 21
 _LOW = np.uint64((1 << _RANK) - 1)
-#: Bytes of text that a task works on at once.
-_PIECE = 1 << 19
+#: Bytes of text that a task works on at once; words of a field in a pack.
+_PIECE, _PACK = 1 << 19, 1 << 17
 
 
 def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -83,15 +83,36 @@ def _counted(of, names: list[str]):
     return run
 
 
+def _field_packs(batches):
+    """A task's words of a field, (i, b), as few packs of places and words: the driver holds all of a field at once."""
+    held, size = [], 0
+
+    def pack():
+        i, b = (np.concatenate(x).view(np.uint64) for x in zip(*held, strict=True))
+        order = np.argsort(i)
+        return table(parts=pa.array([[_packed(i[order]), _squeezed(b[order], np.uint64)]], pa.list_(pa.binary())))
+
+    for rb in batches:
+        held.append((rb.column("i").to_numpy(), rb.column("b").to_numpy()))
+        size += rb.num_rows
+        if size >= _PACK:
+            yield pack()
+            held, size = [], 0
+    if size:
+        yield pack()
+
+
 def bit_field(keys: DataFrame, column: str) -> np.ndarray:
     """A Bloom filter of the (well mixed) keys: four bits in one of its 64-bit words, so a key is one row of the shuffle and one
     place to look at. Its size follows the number of keys up to 32 MB."""
     x = keys.select(F.col(column).alias("x"))
     size = min(FIELD_MOST, max(FIELD_LEAST, (FIELD_BITS * x.count()).bit_length()))
     bits = " | ".join(f"shiftleft(1L, cast(shiftright(x, {6 * j}) & 63 as int))" for j in range(4))
-    found = x.groupBy(F.expr(f"shiftrightunsigned(x, {70 - size})").alias("i")).agg(F.expr(f"bit_or({bits})").alias("b")).toArrow()
+    found = x.groupBy(F.expr(f"shiftrightunsigned(x, {70 - size})").alias("i")).agg(F.expr(f"bit_or({bits})").alias("b"))
     out = np.zeros(1 << (size - 6), np.uint64)
-    out[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    for pack in found.mapInArrow(_field_packs, "parts array<binary>").toArrow().column("parts"):
+        i, b = pack.as_py()
+        out[_unpacked(i)] = _array(b, np.uint64)
     return out
 
 
@@ -163,9 +184,9 @@ def walk(v: np.ndarray, begin: np.ndarray, depth: int, frequent: dict[int, np.nd
             at = at[in_field(frequent[k + 1], key[at - 1])]
 
 
-def _met(rows: DataFrame, other: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
-    """rows joined with other by key, the keys of largest weight by broadcast: no task has all rows of a hot key."""
-    hot, rest = (x.drop(weight) for x in parted(other, weight, TOP_KEYS))
+def _met(rows: DataFrame, other: DataFrame, key: str, top: Column, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with other by key, the keys of largest weight (top) by broadcast: no task has all rows of a hot key."""
+    hot, rest = other.where(top).drop(weight), other.where(~top).drop(weight)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key, how))
 
@@ -365,7 +386,7 @@ def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame, D
     """(e, n, p) of the symbols e after the contexts of pairs (ctx, par, n), the terms (x, d, n, node) of the contexts that
     pass the test and of their edges, and the scratch table of the contexts. before: (e, n, p) one level up."""
     parents = before.select(F.col("e").alias("par"), F.col("p").alias("pp"), F.col("n").alias("w"))
-    full = scratch(_met(pairs, parents, "par", "w"), "predicted")
+    full = scratch(_met(pairs, parents, "par", topmost(parents, "w", TOP_KEYS), "w"), "predicted")
     sums = full.groupBy("ctx").agg(
         F.sum("n").alias("own"), F.sum("pp").alias("over"), F.count("*").alias("kinds"), F.sum(F.col("n") * (F.log("n") - F.log("pp"))).alias("g")
     )
@@ -377,12 +398,13 @@ def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame, D
     nodes = scratch(s.where(passed).select("ctx", "of", F.col("of").alias("w")), "nodes")
     edge = F.col("n") * (F.log(F.col("n") / F.col("of")) - F.log("pp")) > GAIN
     share = F.col("n") / (F.col("of") + PRIOR)
-    held = _met(full, nodes, "ctx", "w").where(edge).groupBy("ctx").agg(F.sum(share).alias("held"))
+    top = topmost(nodes, "w", TOP_KEYS)
+    held = _met(full, nodes, "ctx", top, "w").where(edge).groupBy("ctx").agg(F.sum(share).alias("held"))
     left = nodes.join(held, "ctx", "left").select("ctx", "of", "w", (1 - F.coalesce("held", F.lit(0.0))).alias("rest"))
     left = scratch(left, "rest")
     by_suffix = F.coalesce("rest", F.lit(1.0)) * F.col("pp")
     own = F.when(edge, share)
-    out = _met(full, left, "ctx", "w", "left").select(
+    out = _met(full, left, "ctx", top, "w", "left").select(
         F.xxhash64("ctx", "par").alias("e"), "n", (F.coalesce(own, F.lit(0.0)) + by_suffix).alias("p"), F.log10((own + by_suffix) / by_suffix).alias("d")
     )
     out = scratch(out, "level")
@@ -393,9 +415,9 @@ def _level(pairs: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame, D
     return out, terms.unionByName(edges), left
 
 
-def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree's part for the tasks, and the table of the other training words and terms (x, c, d: one of both null), from
-    the texts of train (text)."""
+def trained(train: DataFrame) -> tuple[Tree, DataFrame, list[DataFrame]]:
+    """The tree's part for the tasks, the table of the other training words and terms (x, c, d: one of both null), and the
+    scratch tables that it reads, from the texts of train (text)."""
     vocab = train.mapInArrow(_counted(_word_values, ["x"]), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
     vocab = scratch(vocab, "vocab")
     row = vocab.agg(
@@ -431,9 +453,10 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
         if k < 3 or k == DEPTH:
             discard(pairs)
         terms = found if terms is None else terms.unionByName(found)
-    lookup = others.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d"))
+    lookup, read = others.select("x", F.col("n").alias("c"), F.lit(None).cast("double").alias("d")), [vocab]
     if terms is not None:
         terms = scratch(terms, "terms")
+        read.append(terms)
         discard(*done)
         release(spark)
         top, others = parted(terms, "n", TOP_TERMS)
@@ -444,7 +467,7 @@ def trained(train: DataFrame) -> tuple[Tree, DataFrame]:
         tree.nodes, tree.edges = bit_field(terms.where("node"), "x"), bit_field(terms.where("not node"), "x")
         lookup = lookup.unionByName(others.select("x", F.lit(None).cast("long").alias("c"), "d"))
     release(spark)
-    return tree, lookup
+    return tree, lookup, read
 
 
 #: Look-ups that a task gathers before it deals them out.
@@ -612,16 +635,22 @@ def scored(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     text, doc_id = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
     train = docs.where(~held_out(doc_id)).select(text.alias("text"))
-    tree, lookup = trained(train)
+    tree, lookup, read = trained(train)
     totals = tree.totals
     rows = docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("d"), doc_id.isNull().cast("long").alias("z"), text.alias("text"))
     buckets = 1 + totals["tokens"] // (2 * _BUCKET)
-    packs = rows.mapInArrow(_score_rows(spark.sparkContext.broadcast(tree), buckets), _PACKS)
+    held = spark.sparkContext.broadcast(tree)
+    packs = rows.mapInArrow(_score_rows(held, buckets), _PACKS)
     words, h = F.lit(_word_buckets(buckets)).cast("long"), F.shiftrightunsigned("x", _SHIFT)
     of_word = F.col("c").isNotNull()
     lookup = lookup.withColumn("b", F.when(of_word, F.pmod(h, words)).otherwise(words + F.pmod(h, F.lit(buckets).cast("long"))))
     s = packs.groupBy("b").cogroup(lookup.groupBy("b")).applyInArrow(_answers(totals), _SUMS)
-    s = s.groupBy("g").applyInArrow(_gathered, _ROWS)
+    # written here: a caller's result would else keep the tree in the driver's memory, beside that of the next call
+    s = scratch(s.groupBy("g").applyInArrow(_gathered, _ROWS), "scores")
+    held.destroy()
+    del tree, held, packs, lookup
+    discard(*read)
+    release(spark)
     doc = F.when(F.col("z") == 0, F.col("d"))
     return s.select(
         doc.alias("doc_id"), held_out(doc).alias("held_out"), "n_tokens", "n_known",

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -953,6 +954,35 @@ def test_suffix_tree_answers_a_pack_by_a_pack():
     assert all(math.isclose(v, unseen) for v in rows_.column("score").to_pylist()[1:])
 
 
+def test_suffix_tree_leaves_nothing_with_the_driver(spark, monkeypatch):
+    """What is sent to the tasks is gone when a caller gets the result, which is read from its own table alone."""
+    df = spark.createDataFrame([(i, f"a b c{i % 9} a b") for i in range(400)], "doc_id long, text string")
+    sent, tables, context = [], [], type(spark.sparkContext)
+    broadcast, write = context.broadcast, suffix_tree_lm.scratch
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    monkeypatch.setattr(suffix_tree_lm, "scratch", lambda df, name="t": tables.append(write(df, name)) or tables[-1])
+    out = suffix_tree_lm.scored(df)
+    assert sent and not any(os.path.exists(b._path) for b in sent)
+    assert [t.scratch_path for t in tables if os.path.exists(t.scratch_path.removeprefix("file:"))] == [tables[-1].scratch_path]
+    assert sorted(r.doc_id for r in out.collect()) == list(range(400))
+
+
+def test_suffix_tree_field_comes_in_packs(spark):
+    """A field reaches the driver as few packs, not as a row for each of its words, and holds every key."""
+    m = suffix_tree_lm
+    keys = np.unique(m.mix(np.arange(50_000, dtype=np.uint64)))
+    i, b = keys >> np.uint64(50), keys
+    i, first = np.unique(i, return_index=True)
+    rb = pa.RecordBatch.from_pydict({"i": i.view(np.int64), "b": b[first].view(np.int64)})
+    packs = list(m._field_packs([rb.slice(0, 900), rb.slice(900)]))
+    assert [p.num_rows for p in packs] == [1]
+    got_i, got_b = packs[0].column("parts")[0].as_py()
+    assert list(m._unpacked(got_i)) == list(i) and list(m._array(got_b, np.uint64)) == list(b[first])
+    field = m.bit_field(spark.createDataFrame([(int(x),) for x in keys[:3000].view(np.int64)], "x long"), "x")
+    assert m.in_field(field, keys[:3000]).all() and m.in_field(field, keys[3000:]).mean() < 0.05
+    assert not m.bit_field(spark.createDataFrame([], "x long"), "x").any()
+
+
 def test_suffix_tree_counts_grams_in_packs():
     """A task's grams leave it as a few packs, whatever their number, and a bucket's counts are the plain ones."""
     m, rnd = suffix_tree_lm, random.Random(3)
