@@ -12,18 +12,11 @@ import math
 from bisect import bisect_left, bisect_right
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-KINDS = ("num", "int", "str", "ts", "bool")
-
-
-def _read(r, kind: str):
-    """A literal as a column of this kind reads it: (kind, value), or None."""
-    if r is None:
-        return None
-    if kind == "int" and r["int"] is not None:
-        return "int", int(r["int"])
-    name = "num" if kind == "int" else kind
-    return (name, r[name]) if r[name] is not None else None
+#: Ways to read a literal, with the column's kind and the literal's: other than whole numbers are compared with int columns as doubles.
+FIELDS = {"num": ("num", "num"), "int": ("int", "int"), "whole": ("int", "num"), "str": ("str", "str"), "ts": ("ts", "ts"), "bool": ("bool", "bool")}
 
 
 def _number(bound) -> float:
@@ -39,7 +32,7 @@ class Cuts:
     def close(self) -> None:
         self.pairs.sort(key=lambda x: x[0])
         self.values = [v for v, _ in self.pairs]
-        self.sets = np.array([s for _, s in self.pairs], np.int64)
+        self.sets = np.array([s for _, s in self.pairs], np.int32)
         del self.pairs
 
     def above(self, bound) -> np.ndarray:
@@ -51,32 +44,34 @@ class Cuts:
 
 
 class FilterIndex:
-    """filters: rows with set (its number), column, op, and the readings a and b of the literals."""
+    """rows: number of the set, column, side (lower, upper, is_null, is_not_null or none), both, and the literal in each way of FIELDS."""
 
-    def __init__(self, filters, nan_bound: str = "prune"):
+    def __init__(self, rows, nan_bound: str = "prune"):
         self.nan_fails = nan_bound != "unknown"
         # by path, the column's kind, the literal's kind, and whether both bounds must be known
         self.lower: dict[tuple, Cuts] = {}
         self.upper: dict[tuple, Cuts] = {}
         self.nulls: dict[tuple[str, str], list[int]] = {}
-        for f in filters:
-            path, op, number = f["column"], f["op"], f["set"]
-            if op in ("is_null", "is_not_null"):
-                self.nulls.setdefault((path, op), []).append(number)
-            for kind in KINDS if op in ("eq", "gte", "lte", "between") else ():
-                a, b = _read(f["a"], kind), _read(f["b"], kind)
-                if a is None or op == "between" and b is None:
-                    continue
-                both = op in ("eq", "between")
-                if op != "lte":
-                    self.lower.setdefault((path, kind, a[0], both), Cuts()).pairs.append((a[1], number))
-                if op != "gte":
-                    top = b if op == "between" else a
-                    self.upper.setdefault((path, kind, top[0], both), Cuts()).pairs.append((top[1], number))
+        for number, path, side, both, *literals in rows:
+            if side in ("is_null", "is_not_null"):
+                self.nulls.setdefault((path, side), []).append(number)
+            elif side is not None:
+                cuts = self.lower if side == "lower" else self.upper
+                for (kind, lit), v in zip(FIELDS.values(), literals, strict=True):
+                    if v is not None:
+                        cuts.setdefault((path, kind, lit, both), Cuts()).pairs.append((int(v) if lit == "int" else v, number))
         for cuts in (*self.lower.values(), *self.upper.values()):
             cuts.close()
+        self.nulls = {k: np.array(v, np.int32) for k, v in self.nulls.items()}
         self.paths = {k[0] for k in (*self.lower, *self.upper, *self.nulls)}
 
+    @classmethod
+    def of(cls, t: pa.Table, nan_bound: str = "prune") -> tuple[pa.Array, FilterIndex]:
+        """The names of a table's filter_set in order, and the index of its rows, where the sets bear the numbers of their names."""
+        names = pc.unique(t.column("filter_set")).sort()
+        number = pc.index_in(t.column("filter_set"), value_set=names)
+        return names, cls(zip(number.to_pylist(), *[t.column(c).to_pylist() for c in ("column", "side", "both", *FIELDS)], strict=True), nan_bound)
+
     def _failing(self, cuts: dict, place, path: str, kind: str, bound, both_known: bool):
         for lit in ("num", "int") if kind in ("num", "int") else (kind,):
             for both in (True, False) if both_known else (False,):
@@ -124,4 +119,4 @@ class FilterIndex:
                 out += self._failing(self.lower, Cuts.above, path, kind, high, both)
             if low is not None:
                 out += self._failing(self.upper, Cuts.below, path, kind, low, both)
-        return [np.asarray(x, np.int64) for x in out if len(x)]
+        return [x for x in out if len(x)]

@@ -174,6 +174,38 @@ def test_filter_index_equals_plain_verdicts(spark, nan):
     assert 500 < sum(want.values()) < len(want) - 500
 
 
+@pytest.mark.parametrize("nan", ["prune", "unknown"])
+def test_filters_beyond_the_broadcast_stay_off_the_driver(spark, nan, monkeypatch):
+    """Many sets in blocks, one with very many filters and one with none that counts: as each filter's verdict says, and the driver gets no filters."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from stratalake.functions.predicates import verdict
+
+    num = lambda x: ("num", float(x), None, None, None, None, None)
+    text = lambda x: ("str", None, None, x, None, None, None)
+    col = lambda path, lo, hi: (path, None, None, 3, None, None, lo, hi, 0, None, None, None, None)
+    groups = [("f", i, [col("a", num(i % 50), num(i % 50 + 3 if i % 9 else "nan")), col("b", text(chr(97 + i % 20)), text(chr(98 + i % 20)))]) for i in range(60)]
+    b = spark.createDataFrame([*groups, ("broken", None, None)], f"file string, rg_index int, columns array<{COLUMN_STAT}>")
+    filters = [(f"s{i % 90}", str(i), "ab"[i % 2], ("between", "eq", "gte", "lte")[i // 2 % 4], str(i % 60) if i % 2 == 0 else chr(97 + i % 25), str(i % 60 + 20)) for i in range(240)]
+    filters += [("most", str(i), "a", "gte", str(i % 30), "") for i in range(150)] + [("none", "0", "a", "eq", " ", "")]
+    f = spark.createDataFrame(filters, "filter_set string, filter_id string, column string, op string, value string, value2 string").coalesce(1)
+    first = F.get(F.filter("columns", lambda c: c["path"] == F.col("column")), F.lit(0))
+    plain = b.where("rg_index is not null").crossJoin(f).select("filter_set", "rg_index", verdict(first, F.col("op"), F.col("value"), F.col("value2"), nan).alias("k"))
+    want = {(r.filter_set, r.rg_index): r.k for r in plain.groupBy("filter_set", "rg_index").agg(F.min("k").alias("k")).collect()}
+    assert {k for k, v in want.items() if not v} and all(want["none", i] for i in range(60))
+    monkeypatch.setattr(prune, "BROADCAST_FILTERS", 100)
+    monkeypatch.setattr(prune, "ROW_GROUPS_PER_TASK", 25, raising=False)
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    made = prune.prune_many(b, f, nan), prune.failures(b, f, nan), prune.match_counts(b, f, nan)
+    assert max((len(rows) for rows in seen), default=0) <= 2  # of the names of columns, not of the filters
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    many, failed, counts = (df.collect() for df in made)
+    assert len(many) == len(want) and {(r.filter_set, r.rg_index): r.keep for r in many} == want
+    assert sorted((r.filter_set, r.rg_index) for r in failed) == sorted(k for k, v in want.items() if not v)
+    assert {r.filter_set: (r.matched, r.total) for r in counts} == {s: (sum(v for (t, _), v in want.items() if t == s), 60) for s, _ in want}
+    assert prune._cuts(f).where("filter_set = 'most'").count() == 1
+
+
 def test_filter_sets_on_wide_schemas(spark):
     """Of several records of a path the first counts, and 5,000 columns take no 25 times as long as 1,000."""
     import time
