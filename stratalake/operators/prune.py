@@ -85,8 +85,8 @@ def _slim(row_groups: DataFrame, paths: list[str] | None) -> DataFrame:
     return row_groups.where("rg_index is not null").select(F.col("file").cast("string").alias("file"), F.col("rg_index").cast("int").alias("rg_index"), slim.alias("columns"))
 
 
-def _met(row_groups: DataFrame, filters: DataFrame, nan_bound: str, answer, schema: str) -> DataFrame:
-    """What answer says of the batches of row groups and an index of filters, once for each block of filters.
+def _met(row_groups: DataFrame, filters: DataFrame, nan_bound: str, answer, schema: str, total: int | None = None) -> DataFrame:
+    """What answer says of the batches of row groups and an index of filters, once for each block of filters. total: the number of row groups, if known.
 
     Filters up to BROADCAST_FILTERS are one block, whose index is broadcast; the driver sees its bytes only. More are dealt out in blocks of sets
     by hash: each block's index goes to tasks of some thousand row groups each, ahead of them.
@@ -106,7 +106,7 @@ def _met(row_groups: DataFrame, filters: DataFrame, nan_bound: str, answer, sche
 
         return rows.mapInArrow(run, schema)
     blocks = -(-n // max(1, BROADCAST_FILTERS))
-    pieces = max(1, -(-rows.count() // ROW_GROUPS_PER_TASK))
+    pieces = max(1, -(-(rows.count() if total is None else total) // ROW_GROUPS_PER_TASK))
     place = F.col("block") * pieces + F.col("piece")
     packs = _packed(cuts, blocks, nan_bound).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).select(place.alias("place"), "pack")
     to_each = rows.withColumn("piece", F.pmod(F.xxhash64("file", "rg_index"), F.lit(pieces)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -228,7 +228,8 @@ def prune_many(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prun
 def match_counts(row_groups: DataFrame, filters: DataFrame, nan_bound: str = "prune") -> DataFrame:
     """filter_set, matched, total of each filter set: all row groups less those that fail; no set meets a row group that
     it keeps."""
-    failed = _met(row_groups, filters, nan_bound, _failure_counts, "filter_set string, failed long").groupBy("filter_set").agg(F.sum("failed").alias("_failed"))
-    total = row_groups.where("rg_index is not null").agg(F.count("*").alias("total"))
-    sets = filters.select("filter_set").distinct().join(failed, "filter_set", "left").join(F.broadcast(total))
-    return sets.select("filter_set", (F.col("total") - F.coalesce("_failed", F.lit(0))).alias("matched"), "total")
+    total = row_groups.where("rg_index is not null").count()
+    failed = _met(row_groups, filters, nan_bound, _failure_counts, "filter_set string, failed long", total).groupBy("filter_set").agg(F.sum("failed").alias("_failed"))
+    sets = filters.select("filter_set").distinct().join(failed, "filter_set", "left")
+    every = F.lit(total).cast("bigint")
+    return sets.select("filter_set", (every - F.coalesce("_failed", F.lit(0))).alias("matched"), every.alias("total"))
